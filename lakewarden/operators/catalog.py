@@ -17,8 +17,13 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+# Spark keeps these names for itself; a governance property of that name is stored as data_<name>.
+RESERVED = ("owner", "location", "comment")
+
+
 def _properties(properties: Mapping[str, str]) -> str:
-    return ", ".join(f"{_text(k)} = {_text(v)}" for k, v in properties.items())
+    named = {f"data_{k}" if k.lower() in RESERVED else k: v for k, v in properties.items()}
+    return ", ".join(f"{_text(k)} = {_text(v)}" for k, v in named.items())
 
 
 def create_database(spark: SparkSession, database: str, description: str = "",

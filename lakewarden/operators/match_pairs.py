@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,114 +102,123 @@ def block_totals(member_rows: DataFrame) -> DataFrame:
     )
 
 
-def _least_similarity(medium: float, agreement: float) -> float:
-    """Smallest edit similarity with which a pair can still reach the medium threshold."""
-    needed = (medium - _ROUNDING - fv.TOKEN_WEIGHT * agreement) / fv.NAME_WEIGHT
-    return needed - _ROUNDING
+@dataclass(frozen=True)
+class _Reach:
+    """How far apart two names may be, for one outcome of the first-token test.
 
+    Names with the same first token differ only after it, so for these only the tail is cut and
+    the token is part of the signature. Texts below are SQL over the columns of `_cuttable`.
+    """
 
-def _edits(length: Column, least: float) -> Column:
-    """Most edits a pair may differ by when its longer name has this length."""
-    return F.floor(length * F.lit(1.0 - least) + F.lit(1e-9)).cast("int")
-
+    prefix: str
+    rest: str
+    least: float  # smallest edit similarity that can still reach the medium threshold
+
+    def edits(self, length: str) -> str:
+        """Most edits between two names of which the longer has this length."""
+        return f"CAST(floor({length} * {1.0 - self.least!r}D + 1e-9D) AS INT)"
+
+    def pieces(self, length: str) -> str:
+        """Pieces of a name of this length: one more than the edits to any possible partner."""
+        longest_partner = f"floor({length} / {self.least!r}D + 1e-9D)"
+        return f"({self.edits(longest_partner)} + 1)"
+
+    def signature(self, length: str, piece_number: str, piece: str) -> str:
+        return f"xxhash64(block, {self.prefix}, {length}, {piece_number}, {piece})"
+
+    def uncut(self, length: str) -> str:
+        """For names with too little text to cut: all of that length and prefix meet."""
+        return f"array({self.signature(length, '-1', repr(''))})"
+
+    def offered(self) -> str:
+        """Signatures of a name's own pieces."""
+        pieces, size = self.pieces("len"), f"length({self.rest})"
+        start, end = _cut("i", pieces, size), _cut("i + 1", pieces, size)
+        piece = f"substring({self.rest}, {start} + 1, {end} - {start})"
+        return (
+            f"CASE WHEN {size} >= {pieces} THEN transform(sequence(0, {pieces} - 1),"
+            f" i -> {self.signature('len', 'i', piece)}) ELSE {self.uncut('len')} END"
+        )
 
-def _pieces(length: Column, least: float) -> Column:
-    """Number of pieces for a name of this length: one more than any partner may differ by."""
-    longest_partner = F.floor(length / F.lit(least) + F.lit(1e-9))
-    return _edits(longest_partner, least) + 1
+    def sought(self) -> str:
+        """Signatures that a partner of the same length or shorter may offer.
+
+        With d the shift of a piece and s the difference in length, d edits are spent before
+        the piece and |s - d| after it, which limits where the piece can be.
+        """
+        edits, pieces = self.edits("len"), self.pieces("n")
+        partner = f"(n - length({self.prefix}))"
+        start, end = _cut("i", pieces, partner), _cut("i + 1", pieces, partner)
+        first = f"greatest(0, {start} - CAST(floor(({edits} - len + n) / 2) AS INT))"
+        last = (f"least(length({self.rest}) - ({end} - {start}),"
+                f" {start} + CAST(floor(({edits} + len - n) / 2) AS INT))")
+        piece = f"substring({self.rest}, p + 1, {end} - {start})"
+        places = (f"CASE WHEN {first} <= {last} THEN sequence({first}, {last})"
+                  " ELSE CAST(array() AS array<int>) END")
+        return (
+            f"flatten(transform(sequence(greatest(len - {edits}, length({self.prefix}), 1), len),"
+            f" n -> CASE WHEN {partner} >= {pieces}"
+            f" THEN flatten(transform(sequence(0, {pieces} - 1), i -> transform({places},"
+            f" p -> {self.signature('n', 'i', piece)})))"
+            f" ELSE {self.uncut('n')} END))"
+        )
 
 
-def _cut(i: Column, pieces: Column, length: Column) -> Column:
+def _cut(i: str, pieces: str, length: str) -> str:
     """Start of piece i when a text of this length is cut evenly."""
-    return F.floor(i * length / pieces).cast("int")
-
-
-def _signature(length: Column, i: Column, piece: Column) -> Column:
-    return F.xxhash64(F.col("block"), F.col("prefix"), length, i, piece)
-
-
-def _offered(names: DataFrame, least: float) -> DataFrame:
-    """Every name under the signatures of its own pieces."""
-    rest_length = F.length("rest")
-    pieces = _pieces(F.col("len"), least)
-
-    def piece(i: Column) -> Column:
-        start = _cut(i, pieces, rest_length)
-        size = _cut(i + 1, pieces, rest_length) - start
-        return _signature(F.col("len"), i, F.substring(F.col("rest"), start + 1, size))
-
-    cut = F.transform(F.sequence(F.lit(0), pieces - 1), piece)
-    # Too little text to cut: every name of that length in the group has to be compared.
-    uncut = F.array(_signature(F.col("len"), F.lit(-1), F.lit("")))
-    return names.withColumn("sig", F.explode(F.when(rest_length >= pieces, cut).otherwise(uncut)))
-
-
-def _sought(names: DataFrame, least: float) -> DataFrame:
-    """Every name under all signatures that a shorter or equally long partner may offer."""
-    edits = _edits(F.col("len"), least)
-    head = F.length("prefix")
-
-    def at_length(length: Column) -> Column:
-        shorter_by = F.col("len") - length
-        left = -F.floor((edits - shorter_by) / 2).cast("int")
-        right = F.floor((edits + shorter_by) / 2).cast("int")
-        pieces = _pieces(length, least)
-        partner_rest = length - head
-
-        def near(i: Column) -> Column:
-            start = _cut(i, pieces, partner_rest)
-            size = _cut(i + 1, pieces, partner_rest) - start
-            first = F.greatest(F.lit(0), start + left)
-            last = F.least(F.length("rest") - size, start + right)
-            places = F.when(first <= last, F.sequence(first, last)).otherwise(
-                F.array().cast("array<int>"))
-            return F.transform(
-                places,
-                lambda p: _signature(length, i, F.substring(F.col("rest"), p + 1, size)))
-
-        found = F.flatten(F.transform(F.sequence(F.lit(0), pieces - 1), near))
-        whole = F.array(_signature(length, F.lit(-1), F.lit("")))
-        return F.when(partner_rest >= pieces, found).otherwise(whole)
-
-    shortest = F.greatest(F.col("len") - edits, head, F.lit(1))
-    lengths = F.sequence(shortest, F.col("len"))
-    signatures = F.array_distinct(F.flatten(F.transform(lengths, at_length)))
-    return names.withColumn("sig", F.explode(signatures))
-
-
-def _close_names(groups: DataFrame, thresholds: Thresholds, agreement: float,
-                 skew: Skew) -> DataFrame:
-    """Pairs of unlike names at or above the threshold, for one outcome of the token test."""
-    least = _least_similarity(thresholds.medium, agreement)
-    token = first_token(F.col("name"))
-    # Names with the same first token differ only after it, so only the rest is cut.
-    prefix = token if agreement else F.lit("")
-    names = groups.select(
+    return f"CAST(floor(({i}) * {length} / {pieces}) AS INT)"
+
+
+def _reaches(thresholds: Thresholds) -> dict[bool, _Reach]:
+    """By whether the first tokens agree; an outcome that cannot reach the threshold is absent."""
+    found = {}
+    for agree, prefix, rest in ((True, "token", "tail"), (False, "''", "name")):
+        boost = fv.TOKEN_WEIGHT if agree else 0.0
+        least = (thresholds.medium - _ROUNDING - boost) / fv.NAME_WEIGHT - _ROUNDING
+        if least <= 1.0:
+            found[agree] = _Reach(prefix, rest, least)
+    return found
+
+
+def _cuttable(groups: DataFrame) -> DataFrame:
+    return groups.select(
         "block", "name", "records", "first_id", F.length("name").alias("len"),
-        prefix.alias("prefix"),
-    ).withColumn("rest", F.expr("substring(name, length(prefix) + 1)"))
+        first_token(F.col("name")).alias("token"),
+    ).withColumn("tail", F.expr("substring(name, length(token) + 1)"))
+
 
-    offered = _offered(names, least).select(
-        F.col("sig").alias("sig_a"), F.col("block").alias("block_a"), F.col("name").alias("name_a"),
-        F.col("records").alias("records_a"), F.col("first_id").alias("first_id_a"))
-    sought = _sought(names, least).select(
-        F.col("sig").alias("sig_b"), "block", F.col("name").alias("name_b"),
-        F.col("records").alias("records_b"), F.col("first_id").alias("first_id_b"))
+def _close_names(groups: DataFrame, thresholds: Thresholds, skew: Skew) -> DataFrame:
+    """Pairs of unlike names that may reach the medium threshold: shorter (or earlier) name first.
 
+    A pair can appear more than once, as two names may meet on several pieces.
+    """
+    reaches = _reaches(thresholds)
+    names = _cuttable(groups)
+
+    def under(signatures: list[str], side: str) -> DataFrame:
+        distinct = f"array_distinct(concat({', '.join(signatures)}))"
+        return names.select(
+            F.explode(F.expr(distinct)).alias(f"sig_{side}"),
+            *[F.col(c).alias(f"{c}_{side}")
+              for c in ("block", "name", "records", "first_id", "len", "token")])
+
+    offered = under([r.offered() for r in reaches.values()], "a")
+    sought = under([r.sought() for r in reaches.values()], "b")
     counts = offered.groupBy("sig_a").agg(F.count("*").alias("n"))
     met = salted_join(offered, sought, ["sig_a"], ["sig_b"], "inner",
                       heavy=heavy_keys(counts, "n", skew), skew=skew)
-    len_a, len_b = F.length("name_a"), F.length("name_b")
-    ordered = (len_a < len_b) | ((len_a == len_b) & (F.col("name_a") < F.col("name_b")))
-    same_token = first_token(F.col("name_a")) == first_token(F.col("name_b"))
-    allowed = F.floor(len_b * F.lit(1.0 - least) + F.lit(1e-9)).cast("int")
-    distance = F.call_function("levenshtein", F.col("name_a"), F.col("name_b"), allowed)
+    allowed = {agree: r.edits("len_b") for agree, r in reaches.items()}
+    # levenshtein stops counting past the limit and gives -1; the full score is for the few left.
+    near = (
+        f"levenshtein(name_a, name_b, CASE WHEN token_a = token_b THEN {allowed.get(True, '-1')}"
+        f" ELSE {allowed.get(False, '-1')} END) >= 0"
+    )
     return (
-        met.filter(F.col("block_a") == F.col("block"))
-        .filter(ordered & (same_token if agreement else ~same_token))
-        # Stops counting edits once the limit is passed; the full score follows for the few left.
-        .filter(distance >= 0)
-        .drop("sig_a", "sig_b", "block_a")
+        met.filter("block_a = block_b")
+        .filter("len_a < len_b OR (len_a = len_b AND name_a < name_b)")
+        .filter(near)
+        .select(F.col("block_a").alias("block"), "name_a", "name_b", "records_a", "records_b",
+                "first_id_a", "first_id_b")
     )
 
 
@@ -263,14 +273,8 @@ def match_names(member_rows: DataFrame, thresholds: Thresholds = Thresholds(), *
         F.col("first_id").alias("first_id_a"), F.col("first_id").alias("first_id_b"),
         "pair_count",
     )
-    outcomes = [a for a in (1.0, 0.0) if _least_similarity(thresholds.medium, a) <= 1.0]
-    alike = [_close_names(groups, thresholds, a, skew) for a in outcomes]
-    for more in alike[1:]:
-        alike[0] = alike[0].unionByName(more)
-    if not alike:
-        return _score(same, thresholds)
     # Two names may meet on several pieces.
-    once = alike[0].dropDuplicates(["block", "name_a", "name_b"])
+    once = _close_names(groups, thresholds, skew).dropDuplicates(["block", "name_a", "name_b"])
     counted = once.withColumn(
         "pair_count",
         (F.col("records_a").cast("decimal(19,0)") * F.col("records_b")).cast(_COUNT),

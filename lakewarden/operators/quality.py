@@ -83,8 +83,9 @@ def add_flags(df: DataFrame, rules: Sequence[Rule], *, null_as_pass: bool = Fals
               list_failed: bool = True) -> DataFrame:
     """One boolean per rule, `dq_pass`, and the names of the failed rules.
 
-    Every rule sees the row as it came in. A rule that yields NULL fails (or passes, on
-    request), so each row either passes or is quarantined.
+    Rules cannot replace columns, so all see the row as it came in; a rule may also use the flag
+    of an earlier one. A rule that yields NULL fails (or passes, on request), so each row either
+    passes or is quarantined.
     """
     names = [r.name for r in rules]
     taken = {c.lower() for c in df.columns}

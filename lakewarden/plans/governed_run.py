@@ -89,11 +89,14 @@ class GovernedRun:
     conform_plan: conform.ConformPlan = conform.ConformPlan()
     # Set to check the rules that fit the table's columns instead of the configured ones.
     auto_rules: quality.AutoRules | None = None
+    # Column the validated and curated tables are partitioned by; the start date if not named.
+    partition_by: str | None = None
     moment: dt.datetime | None = None
     table_format: str | None = None
 
     def __post_init__(self):
         self.moment = run_time(self.moment)
+        self.partition_by = self.partition_by or self.conform_plan.date_name
         self.store = TableStore(self.spark, self.places.commits, format=self.table_format)
 
     def run(self, mode: str = "all") -> None:
@@ -112,12 +115,12 @@ class GovernedRun:
         raw = read_parquet(self.spark, self.places.raw_trips)
         valid = conform.conform(raw, self.artifacts.contract, self.conform_plan,
                                 moment=self.moment)
-        self.store.write(valid, self.places.validated, partition_by=self.conform_plan.date_name)
+        self.store.write(valid, self.places.validated, partition_by=self.partition_by)
 
     def stage_enrich(self) -> None:
         valid = self.store.read(self.places.validated)
         curated = enrich.enrich(valid, self._zones(), moment=self.moment)
-        self.store.write(curated, self.places.curated, partition_by=self.conform_plan.date_name)
+        self.store.write(curated, self.places.curated, partition_by=self.partition_by)
 
     def stage_quality(self) -> None:
         """Two narrow passes over the curated table, then a report over what they wrote."""

@@ -24,7 +24,16 @@ def build_session(app_name: str = "lakewarden", master: str | None = None,
         builder = builder.master(master)
     for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return prepare_session(builder.getOrCreate())
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Bring a session that someone else started to the settings results depend on."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Tables partitioned by date have many folders; listing them takes few tasks, not one each.
+    tasks = max(32, 4 * spark.sparkContext.defaultParallelism)
+    spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(tasks))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -8,11 +8,12 @@ this job did; it is no transaction log and offers no time travel.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,7 @@ COMMIT_SCHEMA = T.StructType([
     T.StructField("partition_by", T.StringType()),
     T.StructField("num_rows", T.LongType()),
     T.StructField("committed_path", T.StringType()),
+    T.StructField("table_schema", T.StringType()),
 ])
 
 
@@ -57,24 +59,37 @@ class TableStore:
         self.format = format or (DELTA if delta_installed(spark) else PARQUET)
 
     def read(self, path: str) -> DataFrame:
-        return self.spark.read.format(self.format).load(path)
+        """The table as last written.
+
+        Folder names hold partition values as text, so a Parquet table is read with the schema
+        of its last write: a text value that looks like a number stays text.
+        """
+        reader = self.spark.read.format(self.format)
+        if self.format == PARQUET:
+            last = self._last_commit(path)
+            if last is not None:
+                reader = reader.schema(T.StructType.fromJson(json.loads(last["table_schema"])))
+        return reader.load(path)
 
     def write(self, df: DataFrame, path: str, *, partition_by: str | None = None) -> Written:
         """Replace the table.
 
         A partitioned write is rebalanced first: each partition value is gathered into few files
         instead of one per task, and a value with very many rows is still split over tasks.
+        Rows are counted as the tasks write them. The count sits in the last stage, where Spark
+        takes the numbers of each partition once, whatever is run again.
         """
         if partition_by:
-            writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
-        else:
-            writer = df.write
+            df = df.hint("rebalance", partition_by)
+        counted = Observation()
+        writer = df.observe(counted, F.count("*").alias("rows")).write
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
         writer.format(self.format).mode("overwrite").save(path)
-        # Parquet answers this from file footers.
-        rows = self.read(path).count()
+        rows = counted.get["rows"]
         version = None
         if self.format == PARQUET:
-            version = self._commit(path, partition_by, rows)
+            version = self._commit(path, partition_by, rows, df.schema.json())
         return Written(path, self.format, rows, version)
 
     def _commits(self) -> DataFrame:
@@ -85,14 +100,18 @@ class TableStore:
                 raise
             return self.spark.createDataFrame([], COMMIT_SCHEMA)
 
-    def _commit(self, path: str, partition_by: str | None, rows: int) -> int:
-        last = (
+    def _last_commit(self, path: str) -> Row | None:
+        return (
             self._commits().filter(F.col("committed_path") == path)
-            .agg(F.max("version").alias("v")).first()["v"]
+            .agg(F.max_by(F.struct("version", "table_schema"), "version").alias("last"))
+            .first()["last"]
         )
-        version = 0 if last is None else last + 1
+
+    def _commit(self, path: str, partition_by: str | None, rows: int, schema: str) -> int:
+        last = self._last_commit(path)
+        version = 0 if last is None else last["version"] + 1
         row = (version, dt.datetime.now(dt.timezone.utc), "WRITE", "Overwrite", self.format,
-               partition_by, rows, path)
+               partition_by, rows, path, schema)
         self.spark.createDataFrame([row], COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(
             self.audit_path)
         return version
@@ -101,7 +120,8 @@ class TableStore:
         """All versions of one table."""
         if self.format == DELTA:
             return self.spark.sql("DESCRIBE HISTORY delta.`{}`".format(path.replace("`", "``")))
-        return self._commits().filter(F.col("committed_path") == path).drop("committed_path")
+        return self._commits().filter(F.col("committed_path") == path).drop(
+            "committed_path", "table_schema")
 
     def history_audit(self, tables: dict[str, str], job_name: str,
                       moment: dt.datetime | None = None) -> DataFrame:
