@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,15 @@ def describe_database(spark: SparkSession, database: str) -> DataFrame:
     return spark.sql(f"DESCRIBE DATABASE EXTENDED {_name(database)}")
 
 
+@dataclass(frozen=True)
+class Dataset:
+    """A folder (or file) that is to be a table."""
+
+    table: str
+    path: str
+    source: str = "parquet"
+
+
 @dataclass(frozen=True)
 class Registered:
     """What registering did: created, updated, unchanged, or missing (logged, not dropped)."""
@@ -54,40 +64,93 @@ class Registered:
     outcome: str
 
 
-def _schema_of(spark: SparkSession, path: str, source: str):
-    return spark.read.format(source).load(path).schema
+def _children(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Names in a folder and whether they are folders, on any file system Spark can read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(s.getPath().getName(), s.isDirectory()) for s in files.listStatus(place)]
+    return sorted(found)
+
+
+def _source_of(spark: SparkSession, path: str) -> str | None:
+    """The format of a dataset: by its log folder, else by the ending of its first data file."""
+    children = _children(spark, path)
+    if ("_delta_log", True) in children:
+        return "delta"
+    shown = [(name, folder) for name, folder in children if name[0] not in "._"]
+    for name, _ in (c for c in shown if not c[1]):
+        for source in ("parquet", "orc", "json", "csv"):
+            if f".{source}" in name:
+                return source
+    folders = [name for name, folder in shown if folder]
+    return _source_of(spark, f"{path}/{folders[0]}") if folders else None
 
 
-def register_tables(spark: SparkSession, database: str, paths: Mapping[str, str],
-                    source: str = "parquet") -> list[Registered]:
-    """Register each path as an external table and follow changes of its schema.
+def discover(spark: SparkSession, root: str) -> list[Dataset]:
+    """The datasets directly under a prefix, one per folder with data files in it.
+
+    Lists the prefix and, per dataset, one way down to a data file; no data is read.
+    """
+    root = root.rstrip("/")
+    found = []
+    for name, folder in _children(spark, root):
+        if folder and name[0] not in "._":
+            source = _source_of(spark, f"{root}/{name}")
+            if source:
+                found.append(Dataset(name, f"{root}/{name}", source))
+    return found
+
+
+_OPTIONS = {"csv": " OPTIONS (header 'true')"}
+
+
+def _register(spark: SparkSession, database: str, dataset: Dataset) -> str:
+    full = f"{_name(database)}.{_name(dataset.table)}"
+    reader = spark.read.format(dataset.source)
+    if dataset.source == "csv":
+        reader = reader.option("header", True)
+    try:
+        found = reader.load(dataset.path).schema
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return "missing"
+    outcome = "created"
+    if spark.catalog.tableExists(f"{database}.{dataset.table}"):
+        before = {f.name: f.dataType for f in spark.table(full).schema}
+        outcome = "unchanged" if before == {f.name: f.dataType for f in found} else "updated"
+        if outcome == "updated":
+            spark.sql(f"DROP TABLE {full}")  # external: drops the entry, not the files
+    if outcome != "unchanged":
+        options = _OPTIONS.get(dataset.source, "")
+        spark.sql(f"CREATE TABLE {full} USING {dataset.source}{options}"
+                  f" LOCATION {_text(dataset.path)}")
+    partitioned = spark.sql(f"DESCRIBE {full}").filter("col_name = '# Partition Information'")
+    if dataset.source != "delta" and not partitioned.isEmpty():
+        spark.catalog.recoverPartitions(full)
+    spark.catalog.refreshTable(full)
+    return outcome
+
+
+def register_tables(spark: SparkSession, database: str,
+                    datasets: Iterable[Dataset]) -> list[Registered]:
+    """Register each dataset as an external table and follow changes of its schema.
 
     Data is never touched. A table whose path is gone stays registered and is reported.
     """
-    done = []
-    for table, path in paths.items():
-        full = f"{_name(database)}.{_name(table)}"
-        known = spark.catalog.tableExists(f"{database}.{table}")
-        try:
-            found = _schema_of(spark, path, source)
-        except Exception as problem:
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-            done.append(Registered(table, path, "missing"))
-            continue
-        outcome = "created"
-        if known:
-            before = spark.table(full).schema
-            same = {f.name: f.dataType for f in before} == {f.name: f.dataType for f in found}
-            outcome = "unchanged" if same else "updated"
-            if not same:
-                spark.sql(f"DROP TABLE {full}")  # external: drops the entry, not the files
-        if outcome != "unchanged":
-            spark.sql(f"CREATE TABLE {full} USING {source} LOCATION {_text(path)}")
-        if spark.sql(f"DESCRIBE {full}").filter("col_name = '# Partition Information'").count():
-            spark.catalog.recoverPartitions(full)
-        spark.catalog.refreshTable(full)
-        done.append(Registered(table, path, outcome))
+    return [Registered(d.table, d.path, _register(spark, database, d)) for d in datasets]
+
+
+def crawl(spark: SparkSession, database: str, root: str) -> list[Registered]:
+    """Register what lies under the prefix; report tables of the prefix that lost their folder."""
+    found = discover(spark, root)
+    done = register_tables(spark, database, found)
+    names = [r["tableName"] for r in list_tables(spark, database).collect()]
+    gone = sorted(set(names) - {d.table for d in found})
+    inside = f"{root.rstrip('/')}/"
+    for row in table_details(spark, database, gone).collect():
+        if row["location"] and inside in row["location"]:
+            done.append(Registered(row["name"], row["location"], "missing"))
     return done
 
 

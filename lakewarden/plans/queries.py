@@ -707,7 +707,8 @@ def catalog_register(spark: SparkSession, folder: str) -> DataFrame:
     database = "lakewarden_samples"
     catalog.create_database(spark, database, "sample tables", {"domain": "samples"})
     catalog.update_database(spark, database, {"classification": "internal"})
-    catalog.register_tables(spark, database, {t: f"{folder}/{t}.parquet" for t in TABLES})
+    catalog.register_tables(
+        spark, database, [catalog.Dataset(t, f"{folder}/{t}.parquet") for t in TABLES])
     names = [r["tableName"] for r in catalog.list_tables(spark, database).collect()]
     counts = None
     for name in names:

@@ -21,29 +21,45 @@ def test_database_properties(spark, database):
     assert all(t in facts["Properties"] for t in ("data_owner,o'x", "internal", "transport"))
 
 
-def test_register_update_and_missing(spark, database, tmp_path):
-    path = str(tmp_path / "plain")
-    spark.range(3).write.parquet(path)
-    parted = str(tmp_path / "parted")
+def test_crawl(spark, database, tmp_path):
+    root = tmp_path / "curated"
+    plain, parted = str(root / "plain"), str(root / "parted")
+    spark.range(3).write.parquet(plain)
     spark.range(9).withColumn("k", F.col("id") % 3).write.partitionBy("k").parquet(parted)
-    where = {"plain": path, "parted": parted, "gone": str(tmp_path / "gone")}
+    spark.range(2).write.option("header", True).csv(str(root / "listed"))
+    spark.range(2).write.json(str(root / "lines"))
+    (root / "empty").mkdir()
+    (root / "_work").mkdir()
+    (root / "changes" / "_delta_log").mkdir(parents=True)
+    found = {d.table: d.source for d in catalog.discover(spark, str(root))}
+    assert found == {"changes": "delta", "plain": "parquet", "parted": "parquet",
+                     "listed": "csv", "lines": "json"}
+    (root / "changes" / "_delta_log").rmdir()  # Delta may not be installed here
 
-    def register():
-        return {r.table: r.outcome for r in catalog.register_tables(spark, database, where)}
+    def crawl():
+        return {r.table: r.outcome for r in catalog.crawl(spark, database, str(root) + "/")}
 
-    assert register() == {"plain": "created", "parted": "created", "gone": "missing"}
+    assert set(crawl().values()) == {"created"}
     assert spark.table(f"{database}.parted").count() == 9
-    assert register()["plain"] == "unchanged"
-    spark.range(4).withColumn("more", F.lit(1)).write.mode("overwrite").parquet(path)
-    assert register() == {"plain": "updated", "parted": "unchanged", "gone": "missing"}
+    assert spark.table(f"{database}.listed").columns == ["id"]
+    assert set(crawl().values()) == {"unchanged"}
+    spark.range(4).withColumn("more", F.lit(1)).write.mode("overwrite").parquet(plain)
+    (root / "lines").rename(tmp_path / "lines")
+    assert crawl() == {"plain": "updated", "parted": "unchanged", "listed": "unchanged",
+                       "lines": "missing"}
     assert spark.table(f"{database}.plain").columns == ["id", "more"]
     names = sorted(r["tableName"] for r in catalog.list_tables(spark, database).collect())
-    assert names == ["parted", "plain"]
+    assert names == ["lines", "listed", "parted", "plain"]
     details = {r["name"]: (r["location"], r["format"])
                for r in catalog.table_details(spark, database, names).collect()}
     assert details["plain"][0].endswith("/plain") and details["plain"][1] == "parquet"
 
 
+def test_missing_path_is_reported(spark, database, tmp_path):
+    gone = catalog.Dataset("gone", str(tmp_path / "gone"))
+    assert catalog.register_tables(spark, database, [gone])[0].outcome == "missing"
+
+
 def test_profile(spark, rows):
     df = spark.createDataFrame([(1, None), (2, None), (None, "x")], "a int, `b.c` string")
     assert rows(catalog.profile(df)) == [("a", "int", 3, 1), ("b.c", "string", 3, 2)]
