@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewarden import fixed_values as fv
 from lakewarden.functions.columns import minutes_between, require_columns, run_time, stamp
@@ -64,7 +65,11 @@ def add_roles(fact: DataFrame, dimension_rows: DataFrame, roles: Sequence[Role]
     if not present:
         return fact
     require_columns(dimension_rows, [dimension.key, *dimension.attributes], "dimension")
-    needed = dimension_rows.select(dimension.key, *dimension.attributes)
+    # Keys read as text are brought to the type of the foreign key; text that is no key drops out.
+    key = F.col(dimension.key)
+    if dimension_rows.schema[dimension.key].dataType == T.StringType():
+        key = key.try_cast(fact.schema[present[0].foreign_key].dataType)
+    needed = dimension_rows.select(key.alias(dimension.key), *dimension.attributes)
     size = measure(needed, dimension.key)
     require_unique(size, dimension.key)
     for role in present:

@@ -1,10 +1,11 @@
 """Joins on one key that hold up when a single key owns a large share of the rows.
 
 A side is broadcast only after its size was measured. Otherwise both sides are shuffled, and
-the heaviest keys are split over many partitions: rows of a heavy key get a salt computed from
-their own content (so a recomputed task gives the same answer), and the other side repeats its
-row for that key once per salt. Only heavy keys are repeated, and there are never more than
-HEAVY_KEYS of them, so the list of heavy keys itself is always small enough to broadcast.
+the heaviest keys are split over as many partitions as their rows call for: a row of a heavy
+key gets a salt computed from its own content (so a recomputed task gives the same answer), and
+the other side repeats its rows for that key once per salt. Only heavy keys are repeated. Their
+list holds a hash and a number for at most HEAVY_KEYS keys, whatever the tables hold, which
+bounds its broadcast; keys beyond the list hold under 1/HEAVY_KEYS of the rows each.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 HEAVY_ROWS = 1_000_000
-HEAVY_KEYS = 1_000
-SALTS = 64
+HEAVY_KEYS = 10_000
 
 _HEAVY = "__heavy"
+_SALTS = "__salts"
+_HASH = "__hash"
 _SALT = "__salt"
 _SIDE_SALT = "__side_salt"
 
@@ -40,10 +42,9 @@ class SideSize:
 
 @dataclass(frozen=True)
 class Skew:
-    """When a key counts as heavy, and over how many partitions it is spread."""
+    """A key with this many rows is heavy and gets one salt per so many rows."""
 
     rows: int = HEAVY_ROWS
-    salts: int = SALTS
 
 
 def _width(df: DataFrame) -> Column:
@@ -94,14 +95,31 @@ def _content_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(n) for n in names])
 
 
+def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    """Equal keys have equal hashes on both sides. Whole numbers hash alike in all widths."""
+    return F.xxhash64(*[
+        F.col(k).cast("bigint") if isinstance(df.schema[k].dataType, T.IntegralType) else F.col(k)
+        for k in keys
+    ])
+
+
+def _hash_kinds(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    kinds = (df.schema[k].dataType for k in keys)
+    return ["integer" if isinstance(k, T.IntegralType) else k.simpleString() for k in kinds]
+
+
 def heavy_keys(counts: DataFrame, n: str, skew: Skew) -> DataFrame:
-    """The keys with the most rows, at most HEAVY_KEYS of them; the rest need no special care."""
+    """The keys with the most rows, by hash, with their number of salts.
+
+    Two keys with one hash are both treated as heavy, on both sides alike, which is harmless.
+    """
     keys = [c for c in counts.columns if c != n]
     return (
         counts.filter(F.col(n) >= skew.rows)
-        .orderBy(F.desc(n), *keys).limit(HEAVY_KEYS)
-        .select(*[F.col(c).alias(f"__h{i}") for i, c in enumerate(keys)],
-                F.lit(True).alias(_HEAVY))
+        .select(_key_hash(counts, keys).alias(_HEAVY), F.col(n))
+        .groupBy(_HEAVY).agg(F.max(n).alias(n))
+        .orderBy(F.desc(n), _HEAVY).limit(HEAVY_KEYS)
+        .select(_HEAVY, (F.floor(F.col(n) / skew.rows) + 1).cast("int").alias(_SALTS))
     )
 
 
@@ -110,30 +128,28 @@ def salted_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
                 null_safe: bool = False, skew: Skew = Skew()) -> DataFrame:
     """Shuffle join; `how` is left, inner or left_anti. Left may be skewed, right repeats.
 
-    All column names of the two sides must differ.
+    All column names of the two sides must differ; keys must have the same types. Rows without
+    a key are one more key here, so many of them are spread as well.
     """
+    if _hash_kinds(left, left_keys) != _hash_kinds(right, right_keys):
+        raise ValueError(
+            f"keys differ in type: {_hash_kinds(left, left_keys)} for {list(left_keys)}, "
+            f"{_hash_kinds(right, right_keys)} for {list(right_keys)}")
     if heavy is None:
         counts = left.groupBy(*left_keys).agg(F.count("*").alias("__n"))
         heavy = heavy_keys(counts, "__n", skew)
-    marks = [c for c in heavy.columns if c != _HEAVY]
-    small = F.broadcast(heavy)  # at most HEAVY_KEYS rows
-
-    salt = F.pmod(_content_hash(left), F.lit(skew.salts)).cast("int")
-    spread = F.col(_HEAVY)
-    if not null_safe:
-        # Rows without a key match nothing; they must not meet in one partition either.
-        for k in left_keys:
-            spread = spread | F.col(k).isNull()
-    salted_left = (
-        left.join(small, _matches(left_keys, marks, null_safe), "left")
-        .withColumn(_SALT, F.when(spread, salt).otherwise(0)).drop(*marks, _HEAVY)
-    )
-    copies = F.when(F.col(_HEAVY), F.sequence(F.lit(0), F.lit(skew.salts - 1)))
-    salted_right = (
-        right.join(small, _matches(right_keys, marks, null_safe), "left")
-        .withColumn(_SIDE_SALT, F.explode(F.coalesce(copies, F.array(F.lit(0)))))
-        .drop(*marks, _HEAVY)
-    )
+    small = F.broadcast(heavy)  # at most HEAVY_KEYS rows of 12 bytes
+
+    def marked(side: DataFrame, keys: Sequence[str]) -> DataFrame:
+        hashed = side.withColumn(_HASH, _key_hash(side, keys))
+        return hashed.join(small, F.col(_HASH) == F.col(_HEAVY), "left")
+
+    salt = F.pmod(_content_hash(left), F.col(_SALTS)).cast("int")
+    salted_left = marked(left, left_keys).withColumn(
+        _SALT, F.coalesce(salt, F.lit(0))).drop(_HASH, _HEAVY, _SALTS)
+    copies = F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)
+    salted_right = marked(right, right_keys).withColumn(
+        _SIDE_SALT, F.explode(copies)).drop(_HASH, _HEAVY, _SALTS)
     same_salt = F.col(_SALT) == F.col(_SIDE_SALT)
     joined = salted_left.join(
         salted_right, _matches(left_keys, right_keys, null_safe) & same_salt, how,

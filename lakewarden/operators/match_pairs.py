@@ -10,6 +10,8 @@ A block of n records has n(n-1)/2 pairs, so pairs are neither listed nor scored
   under its own length; each name also looks for such pieces at all lengths and places within
   reach. Only names that meet on a piece are compared, and the comparison is the full score,
   so the result is exactly the pairs at or above the threshold.
+* Names with the same first token may differ more and would need many signatures. Where only a
+  few names share the token they meet on the token itself.
 * Pairs below the threshold are the rest of the block. Their number is computed from the block
   sizes, not by visiting them.
 
@@ -38,10 +40,13 @@ from lakewarden.functions.matching import (
     pair_confidence,
     token_agreement,
 )
-from lakewarden.operators.keyed import Skew, heavy_keys, salted_join
+from lakewarden.operators.keyed import Skew, heavy_keys, salted_join, with_group_size
 
 # Below this the allowed edits are so many that a name cannot be cut finely enough.
 LOWEST_MEDIUM = 0.5
+# Up to this many names with one first token are compared directly: at most this many partners
+# each cost less than the signatures of their pieces. Larger groups are always cut.
+DIRECT_NAMES = 64
 _ROUNDING = 0.5 * 10 ** -fv.SCORE_DIGITS + 1e-9
 _COUNT = "decimal(38,0)"
 
@@ -180,30 +185,35 @@ def _reaches(thresholds: Thresholds) -> dict[bool, _Reach]:
     return found
 
 
-def _cuttable(groups: DataFrame) -> DataFrame:
-    return groups.select(
+def _cuttable(groups: DataFrame, skew: Skew) -> DataFrame:
+    named = groups.select(
         "block", "name", "records", "first_id", F.length("name").alias("len"),
         first_token(F.col("name")).alias("token"),
     ).withColumn("tail", F.expr("substring(name, length(token) + 1)"))
+    return with_group_size(named, ["block", "token"], "token_names", skew=skew)
 
 
-def _close_names(groups: DataFrame, thresholds: Thresholds, skew: Skew) -> DataFrame:
+def _close_names(groups: DataFrame, thresholds: Thresholds, skew: Skew, direct: int) -> DataFrame:
     """Pairs of unlike names that may reach the medium threshold: shorter (or earlier) name first.
 
     A pair can appear more than once, as two names may meet on several pieces.
     """
     reaches = _reaches(thresholds)
-    names = _cuttable(groups)
-
-    def under(signatures: list[str], side: str) -> DataFrame:
-        distinct = f"array_distinct(concat({', '.join(signatures)}))"
+    names = _cuttable(groups, skew)
+
+    def under(signatures: dict[bool, str], side: str) -> DataFrame:
+        if True in signatures:
+            signatures = signatures | {True: (
+                f"CASE WHEN token_names <= {direct} THEN array(xxhash64(block, token))"
+                f" ELSE {signatures[True]} END")}
+        distinct = f"array_distinct(concat({', '.join(signatures.values())}))"
         return names.select(
             F.explode(F.expr(distinct)).alias(f"sig_{side}"),
             *[F.col(c).alias(f"{c}_{side}")
               for c in ("block", "name", "records", "first_id", "len", "token")])
 
-    offered = under([r.offered() for r in reaches.values()], "a")
-    sought = under([r.sought() for r in reaches.values()], "b")
+    offered = under({agree: r.offered() for agree, r in reaches.items()}, "a")
+    sought = under({agree: r.sought() for agree, r in reaches.items()}, "b")
     counts = offered.groupBy("sig_a").agg(F.count("*").alias("n"))
     met = salted_join(offered, sought, ["sig_a"], ["sig_b"], "inner",
                       heavy=heavy_keys(counts, "n", skew), skew=skew)
@@ -258,7 +268,7 @@ def _less_shared_ids(pairs: DataFrame, member_rows: DataFrame) -> DataFrame:
 
 
 def match_names(member_rows: DataFrame, thresholds: Thresholds = Thresholds(), *,
-                skew: Skew = Skew()) -> DataFrame:
+                skew: Skew = Skew(), direct: int = DIRECT_NAMES) -> DataFrame:
     """Name pairs at or above the medium threshold, each with its number of record pairs.
 
     A name shared by several records is a pair with itself. Names of unlike text are ordered by
@@ -274,7 +284,8 @@ def match_names(member_rows: DataFrame, thresholds: Thresholds = Thresholds(), *
         "pair_count",
     )
     # Two names may meet on several pieces.
-    once = _close_names(groups, thresholds, skew).dropDuplicates(["block", "name_a", "name_b"])
+    close = _close_names(groups, thresholds, skew, direct)
+    once = close.dropDuplicates(["block", "name_a", "name_b"])
     counted = once.withColumn(
         "pair_count",
         (F.col("records_a").cast("decimal(19,0)") * F.col("records_b")).cast(_COUNT),

@@ -33,6 +33,8 @@ def prepare_session(spark: SparkSession) -> SparkSession:
     # Tables partitioned by date have many folders; listing them takes few tasks, not one each.
     tasks = max(32, 4 * spark.sparkContext.defaultParallelism)
     spark.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(tasks))
+    # A shuffled join side whose partitions all turn out small is hashed instead of sorted.
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
     return spark
 
 

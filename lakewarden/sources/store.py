@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakewarden.functions.columns import run_time, stamp
+from lakewarden.functions.columns import moment_column, run_time, stamp
 from lakewarden.session import fresh_path
 
 DELTA, PARQUET = "delta", "parquet"
@@ -110,10 +110,13 @@ class TableStore:
     def _commit(self, path: str, partition_by: str | None, rows: int, schema: str) -> int:
         last = self._last_commit(path)
         version = 0 if last is None else last["version"] + 1
-        row = (version, dt.datetime.now(dt.timezone.utc), "WRITE", "Overwrite", self.format,
-               partition_by, rows, path, schema)
-        self.spark.createDataFrame([row], COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(
-            self.audit_path)
+        row = (version, moment_column(dt.datetime.now(dt.timezone.utc)), "WRITE", "Overwrite",
+               self.format, partition_by, rows, path, schema)
+        commit = self.spark.range(0, 1, 1, 1).select(*[
+            F.lit(value).cast(f.dataType).alias(f.name)
+            for value, f in zip(row, COMMIT_SCHEMA.fields, strict=True)
+        ])
+        commit.write.mode("append").parquet(self.audit_path)
         return version
 
     def history(self, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ EXPECTED = [(2, "PICKUP_NOT_IN_MASTER"), (3, "PICKUP_NOT_IN_MASTER"),
 
 @pytest.mark.parametrize("limit", [10**9, 0])
 def test_one_row_per_failing_key(trips, master, rows, limit):
-    got = orphans(trips, master, limit=limit, skew=Skew(rows=2, salts=3))
+    got = orphans(trips, master, limit=limit, skew=Skew(rows=2))
     assert rows(got, "n", "orphan_type") == EXPECTED
     assert set(got.columns) == {"n", "PULocationID", "DOLocationID", "PULocationID_int",
                                 "DOLocationID_int", "orphan_type"}

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.operators.keyed import (
     Skew,
+    heavy_keys,
     lookup_join,
     measure,
     require_unique,
@@ -11,7 +12,7 @@ from lakewarden.operators.keyed import (
     with_group_size,
 )
 
-SKEW = Skew(rows=50, salts=4)
+SKEW = Skew(rows=50)
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +51,7 @@ def test_heavy_key_is_spread(spark, skewed, side):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = salted_join(skewed, side, ["k"], ["sk"], "left", skew=Skew(50, 64))
+        joined = salted_join(skewed, side, ["k"], ["sk"], "left", skew=Skew(rows=10))
         spread = joined.filter("k = 7").select(F.spark_partition_id().alias("p")).distinct().count()
         lone = skewed.join(side, F.col("k") == F.col("sk"), "left").filter("k = 7")
         assert spread == 4
@@ -77,3 +78,18 @@ def test_measure(spark):
     with pytest.raises(ValueError, match="not unique"):
         require_unique(size, "k")
     assert measure(df.filter("k > 9"), "k").rows == 0
+
+
+def test_keys_of_unlike_types(spark, skewed, side, rows):
+    wide = side.withColumn("sk", F.col("sk").cast("bigint"))
+    plain = skewed.join(side, F.col("k") == F.col("sk"), "left")
+    assert rows(salted_join(skewed, wide, ["k"], ["sk"], "left", skew=SKEW), "n", "v") == rows(
+        plain, "n", "v")
+    with pytest.raises(ValueError, match="differ in type"):
+        salted_join(skewed, side.withColumn("sk", F.col("sk").cast("string")), ["k"], ["sk"], "left")
+
+
+def test_salts_follow_the_number_of_rows(skewed):
+    counts = skewed.groupBy("k").agg(F.count("*").alias("n"))
+    got = [r["__salts"] for r in heavy_keys(counts, "n", Skew(rows=30)).collect()]
+    assert got[0] == 200 // 30 + 1 and len(got) <= 3

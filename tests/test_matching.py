@@ -71,15 +71,16 @@ def as_table(spark, records):
     return spark.createDataFrame(records, "id int, name string, block string")
 
 
-@pytest.mark.parametrize("seed, medium, high, skew", [
-    (1, 0.80, 0.95, Skew()), (2, 0.80, 0.90, Skew(rows=3, salts=3)), (3, 0.60, 0.95, Skew()),
-    (4, 0.50, 0.70, Skew()), (5, 0.93, 0.97, Skew()), (6, 1.0, 1.0, Skew()),
+@pytest.mark.parametrize("seed, medium, high, skew, direct", [
+    (1, 0.80, 0.95, Skew(), 0), (2, 0.80, 0.90, Skew(rows=3), 64),
+    (3, 0.60, 0.95, Skew(), 0), (4, 0.50, 0.70, Skew(), 0), (5, 0.93, 0.97, Skew(), 5),
+    (6, 1.0, 1.0, Skew(), 0), (7, 0.80, 0.95, Skew(), 64),
 ])
-def test_pairs_equal_brute_force(spark, seed, medium, high, skew):
+def test_pairs_equal_brute_force(spark, seed, medium, high, skew, direct):
     records = random_records(seed, 150)
     prepared = mp.prepare(as_table(spark, records), "id", "name", "block")
     members = mp.members(prepared, "id")
-    scored = mp.match_names(members, Thresholds(high, medium), skew=skew).cache()
+    scored = mp.match_names(members, Thresholds(high, medium), skew=skew, direct=direct).cache()
     expected, totals = brute_force(records, medium, high)
     got = {(r["block"], r["name_a"], r["name_b"], r["match_confidence"], r["decision"]):
            int(r["pair_count"]) for r in scored.collect()}
@@ -173,7 +174,7 @@ CONFIG = MatchConfig("upper(name)")
 def test_groups_by_key(spark, rows):
     df = spark.createDataFrame(
         [(1, "a"), (2, "b"), (3, "B"), (4, "b"), (5, None)], "id int, name string")
-    scored = exact.match_exact(df, CONFIG, skew=Skew(rows=2, salts=3))
+    scored = exact.match_exact(df, CONFIG, skew=Skew(rows=2))
     assert rows(scored, "id", "dupe_count", "match_confidence", "decision") == [
         (1, 1, 0.99, "AUTO_MERGE"), (2, 3, 0.88, "STEWARD_REVIEW"),
         (3, 3, 0.88, "STEWARD_REVIEW"), (4, 3, 0.88, "STEWARD_REVIEW"),
