@@ -14,6 +14,7 @@ from lakewarden import fixed_values as fv
 from lakewarden.functions.columns import minutes_between, require_columns, run_time, stamp
 from lakewarden.operators.keyed import (
     BROADCAST_BYTES,
+    SideSize,
     Skew,
     lookup_join,
     measure,
@@ -53,28 +54,51 @@ def add_duration(df: DataFrame, start: str = fv.START_TS, end: str = fv.END_TS,
     return df
 
 
+def _needed(fact: DataFrame, dimension_rows: DataFrame, roles: Sequence[Role],
+            dimension: Dimension) -> DataFrame:
+    require_columns(dimension_rows, [dimension.key, *dimension.attributes], "dimension")
+    # Keys read as text are brought to the type of the foreign key; text that is no key drops out.
+    key = F.col(dimension.key)
+    if dimension_rows.schema[dimension.key].dataType == T.StringType():
+        key = key.try_cast(fact.schema[roles[0].foreign_key].dataType)
+    keyed = dimension_rows.select(key.alias(dimension.key), *dimension.attributes)
+    return keyed.filter(F.col(dimension.key).isNotNull())
+
+
+def _present(fact: DataFrame, roles: Sequence[Role]) -> list[Role]:
+    return [r for r in roles if r.foreign_key in fact.columns]
+
+
+def dimension_size(fact: DataFrame, dimension_rows: DataFrame,
+                   roles: Sequence[Role] = ZONE_ROLES,
+                   dimension: Dimension = Dimension()) -> SideSize | None:
+    """Measure the dimension and insist on a unique key; None if the fact uses no role."""
+    present = _present(fact, roles)
+    if not present:
+        return None
+    size = measure(_needed(fact, dimension_rows, present, dimension), dimension.key)
+    require_unique(size, dimension.key)
+    return size
+
+
 def add_roles(fact: DataFrame, dimension_rows: DataFrame, roles: Sequence[Role] = ZONE_ROLES,
               dimension: Dimension = Dimension(), *, keep_key_as: str | None = None,
-              limit: int = BROADCAST_BYTES, skew: Skew = Skew()) -> DataFrame:
+              size: SideSize | None = None, limit: int = BROADCAST_BYTES,
+              skew: Skew = Skew()) -> DataFrame:
     """Left look-up per role; a foreign key without a dimension row gives NULL attributes.
 
-    The dimension is measured once: its key must be unique, and its size decides how the
-    joins run. `keep_key_as` also keeps the matched dimension key, as `{prefix}_{keep_key_as}`.
+    The dimension is measured once, unless its size is given: its key must be unique, and its
+    size decides how the joins run. `keep_key_as` also keeps the matched dimension key, as
+    `{prefix}_{keep_key_as}`.
     """
-    present = [r for r in roles if r.foreign_key in fact.columns]
+    present = _present(fact, roles)
     if not present:
         return fact
-    require_columns(dimension_rows, [dimension.key, *dimension.attributes], "dimension")
-    # Keys read as text are brought to the type of the foreign key; text that is no key drops out.
-    key = F.col(dimension.key)
-    if dimension_rows.schema[dimension.key].dataType == T.StringType():
-        key = key.try_cast(fact.schema[present[0].foreign_key].dataType)
-    needed = dimension_rows.select(key.alias(dimension.key), *dimension.attributes)
-    size = measure(needed, dimension.key)
-    require_unique(size, dimension.key)
+    size = size or dimension_size(fact, dimension_rows, roles, dimension)
+    needed = _needed(fact, dimension_rows, present, dimension)
     for role in present:
         side_key = f"{role.prefix}_{keep_key_as}" if keep_key_as else f"__{role.prefix}_key"
-        side = needed.filter(F.col(dimension.key).isNotNull()).select(
+        side = needed.select(
             F.col(dimension.key).alias(side_key),
             *[F.col(a).alias(f"{role.prefix}_{n}") for a, n in dimension.attributes.items()],
         )
@@ -87,8 +111,8 @@ def add_roles(fact: DataFrame, dimension_rows: DataFrame, roles: Sequence[Role]
 
 def enrich(validated: DataFrame, dimension_rows: DataFrame, roles: Sequence[Role] = ZONE_ROLES,
            dimension: Dimension = Dimension(), *, keep_key_as: str | None = None,
-           moment: dt.datetime | None = None) -> DataFrame:
+           size: SideSize | None = None, moment: dt.datetime | None = None) -> DataFrame:
     """The whole stage: duration, look-ups, stamps."""
     timed = add_duration(validated)
-    wide = add_roles(timed, dimension_rows, roles, dimension, keep_key_as=keep_key_as)
+    wide = add_roles(timed, dimension_rows, roles, dimension, keep_key_as=keep_key_as, size=size)
     return stamp(wide, {"governance_zone": fv.ZONE_CURATED, "curated_at": run_time(moment)})

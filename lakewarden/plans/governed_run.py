@@ -118,9 +118,13 @@ class GovernedRun:
         self.store.write(valid, self.places.validated, partition_by=self.partition_by)
 
     def stage_enrich(self) -> None:
-        valid = self.store.read(self.places.validated)
-        curated = enrich.enrich(valid, self._zones(), moment=self.moment)
-        self.store.write(curated, self.places.curated, partition_by=self.partition_by)
+        """With a small dimension no row changes its task, so rows stay clustered as they were
+        stored and the partitioned write needs no shuffle."""
+        valid, zones = self.store.read(self.places.validated), self._zones()
+        size = enrich.dimension_size(valid, zones)
+        curated = enrich.enrich(valid, zones, size=size, moment=self.moment)
+        self.store.write(curated, self.places.curated, partition_by=self.partition_by,
+                         clustered=size is None or size.fits())
 
     def stage_quality(self) -> None:
         """Two narrow passes over the curated table, then a report over what they wrote."""

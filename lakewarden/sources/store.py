@@ -71,15 +71,19 @@ class TableStore:
                 reader = reader.schema(T.StructType.fromJson(json.loads(last["table_schema"])))
         return reader.load(path)
 
-    def write(self, df: DataFrame, path: str, *, partition_by: str | None = None) -> Written:
+    def write(self, df: DataFrame, path: str, *, partition_by: str | None = None,
+              clustered: bool = False) -> Written:
         """Replace the table.
 
         A partitioned write is rebalanced first: each partition value is gathered into few files
         instead of one per task, and a value with very many rows is still split over tasks.
+        That takes a shuffle; rows that come `clustered`, because they were read from a table
+        partitioned alike and stayed in their tasks, do without.
+
         Rows are counted as the tasks write them. The count sits in the last stage, where Spark
         takes the numbers of each partition once, whatever is run again.
         """
-        if partition_by:
+        if partition_by and not clustered:
             df = df.hint("rebalance", partition_by)
         counted = Observation()
         writer = df.observe(counted, F.count("*").alias("rows")).write

@@ -83,7 +83,8 @@ def test_whole_run_twice(spark, setup, rows):
                               (4, "PICKUP_NOT_IN_MASTER")]
     assert got["lifecycle"] == [("ACTIVE", True, 2)]
     report = spark.read.json(places.quality_report).first()
-    assert (report["total_rows"], report["passed_rows"], report["fare_under_100_fail_count"]) == (6, 4, 1)
+    counts = ("total_rows", "passed_rows", "fare_under_100_fail_count")
+    assert tuple(report[c] for c in counts) == (6, 4, 1)
     assert spark.read.parquet(places.summary).first()["orphans_count"] == 3
     history = spark.read.parquet(places.history)
     assert rows(history, "table_name", "version", "num_rows") == [
