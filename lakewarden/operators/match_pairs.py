@@ -47,6 +47,9 @@ LOWEST_MEDIUM = 0.5
 # Up to this many names with one first token are compared directly: at most this many partners
 # each cost less than the signatures of their pieces. Larger groups are always cut.
 DIRECT_NAMES = 64
+# Pieces of longer names are looked for anywhere in the partner, not place by place: the number of
+# signatures then grows with the length of a name instead of its cube.
+LONG_NAME = 64
 _ROUNDING = 0.5 * 10 ** -fv.SCORE_DIGITS + 1e-9
 _COUNT = "decimal(38,0)"
 
@@ -135,18 +138,28 @@ class _Reach:
         """For names with too little text to cut: all of that length and prefix meet."""
         return f"array({self.signature(length, '-1', repr(''))})"
 
+    def loose_signature(self, piece: str) -> str:
+        return f"xxhash64(block, {self.prefix}, 'anywhere', {piece})"
+
     def offered(self) -> str:
         """Signatures of a name's own pieces."""
         pieces, size = self.pieces("len"), f"length({self.rest})"
         start, end = _cut("i", pieces, size), _cut("i + 1", pieces, size)
         piece = f"substring({self.rest}, {start} + 1, {end} - {start})"
         return (
-            f"CASE WHEN {size} >= {pieces} THEN transform(sequence(0, {pieces} - 1),"
-            f" i -> {self.signature('len', 'i', piece)}) ELSE {self.uncut('len')} END"
+            f"CASE WHEN {size} < {pieces} THEN {self.uncut('len')}"
+            f" ELSE transform(sequence(0, {pieces} - 1), i ->"
+            f" IF(len <= {LONG_NAME}, {self.signature('len', 'i', piece)},"
+            f" {self.loose_signature(piece)})) END"
         )
 
     def sought(self) -> str:
-        """Signatures that a partner of the same length or shorter may offer.
+        """Signatures that a partner of the same length or shorter may offer."""
+        shortest = f"greatest(len - {self.edits('len')}, length({self.prefix}), 1)"
+        return f"concat({self._sought_in_place(shortest)}, {self._sought_anywhere(shortest)})"
+
+    def _sought_in_place(self, shortest: str) -> str:
+        """Pieces of partners that are not long.
 
         With d the shift of a piece and s the difference in length, d edits are spent before
         the piece and |s - d| after it, which limits where the piece can be.
@@ -158,22 +171,41 @@ class _Reach:
         last = (f"least(length({self.rest}) - ({end} - {start}),"
                 f" {start} + CAST(floor(({edits} + len - n) / 2) AS INT))")
         piece = f"substring({self.rest}, p + 1, {end} - {start})"
-        places = (f"CASE WHEN {first} <= {last} THEN sequence({first}, {last})"
-                  " ELSE CAST(array() AS array<int>) END")
         return (
-            f"flatten(transform(sequence(greatest(len - {edits}, length({self.prefix}), 1), len),"
+            f"flatten(transform({_span(shortest, f'least(len, {LONG_NAME})')},"
             f" n -> CASE WHEN {partner} >= {pieces}"
-            f" THEN flatten(transform(sequence(0, {pieces} - 1), i -> transform({places},"
-            f" p -> {self.signature('n', 'i', piece)})))"
+            f" THEN flatten(transform(sequence(0, {pieces} - 1), i -> transform("
+            f"{_span(first, last)}, p -> {self.signature('n', 'i', piece)})))"
             f" ELSE {self.uncut('n')} END))"
         )
 
+    def _sought_anywhere(self, shortest: str) -> str:
+        """Pieces of long partners: all substrings of the sizes that their pieces have."""
+        pieces, partner = self.pieces("n"), f"(n - length({self.prefix}))"
+        lengths = _span(f"greatest({shortest}, {LONG_NAME} + 1)", "len")
+        size = f"CAST(floor({partner} / {pieces}) AS INT)"
+        sizes = f"array_distinct(flatten(transform({lengths}, n -> array({size}, {size} + 1))))"
+        piece = f"substring({self.rest}, p, z)"
+        found = (
+            f"flatten(transform(filter({sizes}, z -> z > 0), z -> transform("
+            f"{_span('1', f'length({self.rest}) - z + 1')}, p -> {self.loose_signature(piece)})))"
+        )
+        uncut = (f"flatten(transform(filter({lengths}, n -> {partner} < {pieces}),"
+                 f" n -> {self.uncut('n')}))")
+        return f"concat({found}, {uncut})"
+
 
 def _cut(i: str, pieces: str, length: str) -> str:
     """Start of piece i when a text of this length is cut evenly."""
     return f"CAST(floor(({i}) * {length} / {pieces}) AS INT)"
 
 
+def _span(first: str, last: str) -> str:
+    """Whole numbers from first to last; none if last is smaller."""
+    return (f"CASE WHEN {first} <= {last} THEN sequence({first}, {last})"
+            " ELSE CAST(array() AS array<int>) END")
+
+
 def _reaches(thresholds: Thresholds) -> dict[bool, _Reach]:
     """By whether the first tokens agree; an outcome that cannot reach the threshold is absent."""
     found = {}
@@ -352,7 +384,7 @@ def by_confidence(scored: DataFrame) -> DataFrame:
     return scored.orderBy(F.desc("match_confidence"), "block", "name_a", "name_b")
 
 
-def merge_links(member_rows: DataFrame) -> DataFrame:
+def merge_links(member_rows: DataFrame, *, skew: Skew = Skew()) -> DataFrame:
     """Each record of a shared name with the record it merges into (the smallest id).
 
     One row per record, where listing pairs would need one row per two records.
@@ -361,7 +393,9 @@ def merge_links(member_rows: DataFrame) -> DataFrame:
         F.col("block").alias("group_block"), F.col("name").alias("group_name"),
         F.col("first_id").alias("survivor_id"), "records")
     named = member_rows.filter("name IS NOT NULL AND name <> ''").drop("m")
-    joined = salted_join(named, groups, ["block", "name"], ["group_block", "group_name"], "inner")
+    counts = groups.select("group_block", "group_name", "records")
+    joined = salted_join(named, groups, ["block", "name"], ["group_block", "group_name"], "inner",
+                         heavy=heavy_keys(counts, "records", skew), skew=skew)
     return joined.drop("group_block", "group_name")
 
 

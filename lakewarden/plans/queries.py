@@ -35,7 +35,7 @@ from lakewarden.plans.star_tables import (
     trips,
     zones,
 )
-from lakewarden.session import fresh_path
+from lakewarden.session import fresh_path, shared_folder
 from lakewarden.sources.readers import read_csv, read_json_lines, read_parquet
 from lakewarden.sources.store import TableStore, write_csv, write_parquet, write_report
 
@@ -583,8 +583,8 @@ def union_missing_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {EXACT_SQL}
 SELECT 'part_master' AS table_name, CAST(v AS BIGINT) AS version, 'WRITE' AS operation,
-  'Overwrite' AS mode, count(*) AS num_rows
-FROM scored, (VALUES (0), (1)) t(v) WHERE decision = 'AUTO_MERGE' GROUP BY v
+  'Overwrite' AS mode, (SELECT count(*) FROM scored WHERE decision = 'AUTO_MERGE') AS num_rows
+FROM (VALUES (0), (1)) t(v)
 UNION ALL
 SELECT 'orders', 0, 'WRITE', 'Overwrite', count(*) FROM orders""")
 def history_audit(spark: SparkSession, folder: str) -> DataFrame:
@@ -711,7 +711,8 @@ def dataset_profile(spark: SparkSession, folder: str) -> DataFrame:
 def catalog_register(spark: SparkSession, folder: str) -> DataFrame:
     """Register the tables' files, then list them with format, place and row count."""
     database = "lakewarden_samples"
-    catalog.create_database(spark, database, "sample tables", {"domain": "samples"})
+    catalog.create_database(spark, database, "sample tables", {"domain": "samples"},
+                            location=f"{shared_folder(spark)}/{database}.db")
     catalog.update_database(spark, database, {"classification": "internal"})
     catalog.register_tables(
         spark, database, [catalog.Dataset(t, f"{folder}/{t}.parquet") for t in TABLES])

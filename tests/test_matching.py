@@ -71,12 +71,13 @@ def as_table(spark, records):
     return spark.createDataFrame(records, "id int, name string, block string")
 
 
-@pytest.mark.parametrize("seed, medium, high, skew, direct", [
-    (1, 0.80, 0.95, Skew(), 0), (2, 0.80, 0.90, Skew(rows=3), 64),
-    (3, 0.60, 0.95, Skew(), 0), (4, 0.50, 0.70, Skew(), 0), (5, 0.93, 0.97, Skew(), 5),
-    (6, 1.0, 1.0, Skew(), 0), (7, 0.80, 0.95, Skew(), 64),
+@pytest.mark.parametrize("seed, medium, high, skew, direct, long", [
+    (1, 0.80, 0.95, Skew(), 0, 64), (2, 0.80, 0.90, Skew(rows=3), 64, 10),
+    (3, 0.60, 0.95, Skew(), 0, 12), (4, 0.50, 0.70, Skew(), 0, 8), (5, 0.93, 0.97, Skew(), 5, 64),
+    (6, 1.0, 1.0, Skew(), 0, 64), (7, 0.80, 0.95, Skew(), 0, 14), (8, 0.80, 0.95, Skew(), 0, 0),
 ])
-def test_pairs_equal_brute_force(spark, seed, medium, high, skew, direct):
+def test_pairs_equal_brute_force(spark, monkeypatch, seed, medium, high, skew, direct, long):
+    monkeypatch.setattr(mp, "LONG_NAME", long)
     records = random_records(seed, 150)
     prepared = mp.prepare(as_table(spark, records), "id", "name", "block")
     members = mp.members(prepared, "id")
