@@ -1,4 +1,5 @@
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,19 @@ def test_shared_folder_is_the_configured_one(spark):
     assert prepare_session(spark).conf.get("spark.sql.session.timeZone") == "UTC"
 
 
+def session_without_folder(master):
+    context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default),
+                           sparkContext=context)
+
+
+def test_only_a_local_session_gets_a_folder_of_its_own():
+    local = session_without_folder("local[2]")
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session_without_folder("spark://head:7077"))
+
+
 def test_zone_csv(spark, tmp_path, rows):
     (tmp_path / "z.csv").write_text(
         "Zone,LocationID,Borough,service_zone\nA,1,B,S\nC,x,,S\n")
