@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, also if the name holds dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def pick_column(df: DataFrame, candidates: Iterable[str]) -> str | None:
     """The first candidate the table has (names are case-sensitive), or None."""
     present = set(df.columns)
@@ -28,8 +33,8 @@ def as_type(df: DataFrame, name: str, type_name: str) -> Column:
     A column that already has the type is passed on bare, so filters on it reach the scan.
     """
     if dict(df.dtypes)[name] == type_name:
-        return F.col(name)
-    return F.col(name).try_cast(type_name)
+        return named(name)
+    return named(name).try_cast(type_name)
 
 
 def run_time(moment: dt.datetime | None = None) -> dt.datetime:

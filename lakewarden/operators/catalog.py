@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewarden.functions.columns import named
+
 
 def _name(identifier: str) -> str:
     return "`" + identifier.replace("`", "``") + "`"
@@ -177,7 +179,7 @@ def profile(df: DataFrame) -> DataFrame:
     One aggregation over the table.
     """
     counted = df.agg(F.count("*").alias("__rows"), *[
-        F.count(F.col(f"`{c}`")).alias(f"__c{i}") for i, c in enumerate(df.columns)
+        F.count(named(c)).alias(f"__c{i}") for i, c in enumerate(df.columns)
     ])
     entries = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("data_type"),

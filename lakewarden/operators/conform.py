@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakewarden import fixed_values as fv
 from lakewarden.config import Contract
-from lakewarden.functions.columns import as_type, pick_column, run_time, stamp
+from lakewarden.functions.columns import as_type, named, pick_column, run_time, stamp
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ def fix_names(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
 def align_types(df: DataFrame, contract: Contract) -> DataFrame:
     """Cast contracted columns that exist; other columns stay as they are."""
     return df.select([
-        as_type(df, c, contract.types[c]).alias(c) if c in contract.types else F.col(c)
+        as_type(df, c, contract.types[c]).alias(c) if c in contract.types else named(c)
         for c in df.columns
     ])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden import fixed_values as fv
-from lakewarden.functions.columns import run_time, stamp
+from lakewarden.functions.columns import named, run_time, stamp
 
 _RANK = "__rank"
 
@@ -22,7 +22,7 @@ def survivors(df: DataFrame, keys: Sequence[str], id_column: str) -> DataFrame:
     limit), so a key with very many rows sends one row per task to its partition.
     """
     ties = [
-        F.col(f.name) for f in df.schema.fields
+        named(f.name) for f in df.schema.fields
         if f.name not in keys and f.name != id_column
         and isinstance(f.dataType, T.AtomicType)
     ]

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakewarden.functions.columns import named
+
 BROADCAST_BYTES = 32 * 1024 * 1024
 HEAVY_ROWS = 1_000_000
 HEAVY_KEYS = 10_000
@@ -51,7 +53,7 @@ def _width(df: DataFrame) -> Column:
     """Bytes of a row in memory, roughly: 16 for the row, 8 per field, plus the text."""
     fixed = F.lit(16 + 8 * len(df.columns)).cast("long")
     texts = [
-        F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
+        F.coalesce(F.octet_length(named(f.name).cast("string")), F.lit(0))
         for f in df.schema.fields
         if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType,
                                        T.TimestampType, T.TimestampNTZType))
@@ -92,7 +94,7 @@ def _matches(left: Sequence[str], right: Sequence[str], null_safe: bool) -> Colu
 def _content_hash(df: DataFrame) -> Column:
     """Hash of a row; maps are left out because Spark does not hash them."""
     names = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.xxhash64(*[F.col(n) for n in names])
+    return F.xxhash64(*[named(n) for n in names])
 
 
 def _key_hash(df: DataFrame, keys: Sequence[str]) -> Column:

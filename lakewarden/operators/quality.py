@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakewarden import fixed_values as fv
 from lakewarden.config import QualityPolicy, Rule
-from lakewarden.functions.columns import pick_column, share_of, stamp
+from lakewarden.functions.columns import named, pick_column, share_of, stamp
 
 PASS = "dq_pass"
 FAILED = "failed_rules"
@@ -76,7 +76,7 @@ def derive_rules(df: DataFrame, auto: AutoRules = AutoRules()) -> list[Rule]:
 
 
 def _all_of(names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(n) for n in names], F.lit(True))
+    return reduce(lambda a, b: a & b, [named(n) for n in names], F.lit(True))
 
 
 def add_flags(df: DataFrame, rules: Sequence[Rule], *, null_as_pass: bool = False,
@@ -96,7 +96,7 @@ def add_flags(df: DataFrame, rules: Sequence[Rule], *, null_as_pass: bool = Fals
     flagged = df.select("*", *flags).withColumn(PASS, _all_of(names))
     if not list_failed:
         return flagged
-    failed = [F.when(~F.col(n), F.lit(n)) for n in names]
+    failed = [F.when(~named(n), F.lit(n)) for n in names]
     listed = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
     return flagged.withColumn(FAILED, listed)
 
@@ -110,7 +110,7 @@ def quarantined(flagged: DataFrame) -> DataFrame:
 
 
 def _fail_counts(rules: Sequence[Rule]) -> list[Column]:
-    return [F.count_if(~F.col(r.name)).alias(f"{r.name}_fail_count") for r in rules]
+    return [F.count_if(~named(r.name)).alias(f"{r.name}_fail_count") for r in rules]
 
 
 def report(flagged: DataFrame, rules: Sequence[Rule],
@@ -133,7 +133,7 @@ def report_of_outputs(pass_table: DataFrame, quarantine_table: DataFrame, rules:
     Reads row counts and boolean flags only, and describes what is really stored; counters
     collected during a write could count a re-run task twice.
     """
-    flags = [r.name for r in rules]
+    flags = [named(r.name) for r in rules]
     both = pass_table.select(F.lit(True).alias(PASS), *flags).unionByName(
         quarantine_table.select(PASS, *flags))
     return report(both, rules, lineage)
@@ -144,7 +144,7 @@ def fail_counts_long(flagged: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     counted = flagged.agg(F.count("*").alias("checked_rows"), *_fail_counts(rules))
     entries = F.array(*[
         F.struct(F.lit(r.name).alias("rule_id"), F.col("checked_rows"),
-                 F.col(f"{r.name}_fail_count").alias("fail_count"))
+                 named(f"{r.name}_fail_count").alias("fail_count"))
         for r in rules
     ])
     return counted.select(F.inline(entries))

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from lakewarden import fixed_values as fv
 from lakewarden.config import Thresholds
-from lakewarden.functions.columns import run_time
+from lakewarden.functions.columns import pick_column, run_time
 from lakewarden.operators import match_pairs as mp
 from lakewarden.operators.golden import duplicates, golden_master
 from lakewarden.operators.keyed import Skew
@@ -34,6 +35,16 @@ class PairMatching:
         scored = staged(mp.match_names(members, thresholds, skew=skew), "match-names")
         return cls(prepared, members, scored, id_column, thresholds)
 
+    @classmethod
+    def over_zones(cls, zones: DataFrame, thresholds: Thresholds = Thresholds(), *,
+                   skew: Skew = Skew()) -> PairMatching:
+        """Zone tables name their zones in one of two columns and may come without boroughs."""
+        name = pick_column(zones, (fv.ZONE_NAME, fv.ZONE_NAME_ALTERNATIVE))
+        if name is None:
+            raise ValueError(f"no column with zone names; the table has {zones.columns}")
+        block = pick_column(zones, (fv.ZONE_AREA,))
+        return cls.over(zones, fv.ZONE_KEY, name, block, thresholds, skew=skew)
+
     def blocks(self) -> DataFrame:
         return mp.block_report(self.members, self.scored)
 

@@ -73,6 +73,11 @@ def test_candidate_order_and_missing_times(spark):
         standard_times(df.drop("dropoff_datetime"))
 
 
+def test_other_columns_pass_whatever_their_names(spark):
+    got = conform(trips(spark, [(1, T0, T0, 5)], ", `odd.name` int"))
+    assert "odd.name" in got.columns and got.count() == 1
+
+
 def test_stamps_and_defaults(spark):
     moment = dt.datetime(2024, 2, 3, tzinfo=dt.timezone.utc)
     row = conform(trips(spark, [(1, T0, T0)]), moment=moment).first().asDict()

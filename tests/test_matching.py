@@ -137,6 +137,18 @@ def test_merge_links(spark, rows):
         ("X", "N", 3, 3, 3), ("X", "N", 7, 3, 3)]
 
 
+def test_zone_tables(spark, rows):
+    zones = spark.createDataFrame([(1, "Old Mill"), (2, "old-mill")], "LocationID int, zone_name string")
+    run = PairMatching.over_zones(zones)
+    assert rows(run.scored, "block", "name_a", "decision") == [("UNKNOWN", "OLD MILL", "AUTO_MERGE")]
+    assert rows(run.master(), "LocationID", "survivorship_rule") == [
+        (1, "min(LocationID) per match_key")]
+    with pytest.raises(ValueError, match="zone names"):
+        PairMatching.over_zones(zones.drop("zone_name"))
+    with pytest.raises(ValueError, match="LocationID"):
+        PairMatching.over_zones(zones.drop("LocationID"))
+
+
 def test_audit_of_nothing(spark):
     run = PairMatching.over(as_table(spark, []), "id", "name", "block")
     row = run.audit().first()

@@ -108,3 +108,13 @@ def test_derived_rules_follow_the_columns(spark):
 def test_report_is_one_aggregation_without_joins(data):
     plan = report(add_flags(data, RULES), RULES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1,), (-1,)], "`x.y` int")
+    rules = [Rule("r.1", "`x.y` > 0")]
+    flagged = add_flags(df, rules)
+    assert [r["failed_rules"] for r in flagged.collect()] == [[], ["r.1"]]
+    assert report(flagged, rules).first()["r.1_fail_count"] == 1
+    assert report_of_outputs(passed(flagged), quarantined(flagged), rules).first()["passed_rows"] == 1
+    assert fail_counts_long(flagged, rules).first()["fail_count"] == 1
