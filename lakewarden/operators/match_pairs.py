@@ -22,7 +22,7 @@ One result row stands for a pair of names and carries the number of record pairs
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -120,6 +120,7 @@ class _Reach:
 
     prefix: str
     rest: str
+    reach: str  # column with the most edits between this name and one that is no longer
     least: float  # smallest edit similarity that can still reach the medium threshold
 
     def edits(self, length: str) -> str:
@@ -155,7 +156,7 @@ class _Reach:
 
     def sought(self) -> str:
         """Signatures that a partner of the same length or shorter may offer."""
-        shortest = f"greatest(len - {self.edits('len')}, length({self.prefix}), 1)"
+        shortest = f"greatest(len - {self.reach}, length({self.prefix}), 1)"
         return f"concat({self._sought_in_place(shortest)}, {self._sought_anywhere(shortest)})"
 
     def _sought_in_place(self, shortest: str) -> str:
@@ -164,20 +165,18 @@ class _Reach:
         With d the shift of a piece and s the difference in length, d edits are spent before
         the piece and |s - d| after it, which limits where the piece can be.
         """
-        edits, pieces = self.edits("len"), self.pieces("n")
         partner = f"(n - length({self.prefix}))"
-        start, end = _cut("i", pieces, partner), _cut("i + 1", pieces, partner)
-        first = f"greatest(0, {start} - CAST(floor(({edits} - len + n) / 2) AS INT))"
-        last = (f"least(length({self.rest}) - ({end} - {start}),"
-                f" {start} + CAST(floor(({edits} + len - n) / 2) AS INT))")
-        piece = f"substring({self.rest}, p + 1, {end} - {start})"
-        return (
-            f"flatten(transform({_span(shortest, f'least(len, {LONG_NAME})')},"
-            f" n -> CASE WHEN {partner} >= {pieces}"
-            f" THEN flatten(transform(sequence(0, {pieces} - 1), i -> transform("
-            f"{_span(first, last)}, p -> {self.signature('n', 'i', piece)})))"
-            f" ELSE {self.uncut('n')} END))"
-        )
+        start = _cut("i", "m", partner)
+        cut = f"struct({start} AS start, {_cut('i + 1', 'm', partner)} - {start} AS size)"
+        first = f"greatest(0, c.start - CAST(floor(({self.reach} - len + n) / 2) AS INT))"
+        last = (f"least(length({self.rest}) - c.size,"
+                f" c.start + CAST(floor(({self.reach} + len - n) / 2) AS INT))")
+        found = self.signature("n", "i", f"substring({self.rest}, p + 1, c.size)")
+        places = _let("c", cut, f"transform({_span(first, last)}, p -> {found})")
+        each = (f"CASE WHEN {partner} >= m THEN flatten(transform(sequence(0, m - 1), i -> {places}))"
+                f" ELSE {self.uncut('n')} END")
+        lengths = _span(shortest, f"least(len, {LONG_NAME})")
+        return f"flatten(transform({lengths}, n -> {_let('m', self.pieces('n'), each)}))"
 
     def _sought_anywhere(self, shortest: str) -> str:
         """Pieces of long partners: all substrings of the sizes that their pieces have."""
@@ -200,6 +199,11 @@ def _cut(i: str, pieces: str, length: str) -> str:
     return f"CAST(floor(({i}) * {length} / {pieces}) AS INT)"
 
 
+def _let(variable: str, value: str, array_text: str) -> str:
+    """An array expression in which the variable stands for a value that is computed once."""
+    return f"flatten(transform(array({value}), {variable} -> {array_text}))"
+
+
 def _span(first: str, last: str) -> str:
     """Whole numbers from first to last; none if last is smaller."""
     return (f"CASE WHEN {first} <= {last} THEN sequence({first}, {last})"
@@ -209,20 +213,22 @@ def _span(first: str, last: str) -> str:
 def _reaches(thresholds: Thresholds) -> dict[bool, _Reach]:
     """By whether the first tokens agree; an outcome that cannot reach the threshold is absent."""
     found = {}
-    for agree, prefix, rest in ((True, "token", "tail"), (False, "''", "name")):
+    for agree, prefix, rest, reach in ((True, "token", "tail", "reach_alike"),
+                                       (False, "''", "name", "reach_other")):
         boost = fv.TOKEN_WEIGHT if agree else 0.0
         least = (thresholds.medium - _ROUNDING - boost) / fv.NAME_WEIGHT - _ROUNDING
         if least <= 1.0:
-            found[agree] = _Reach(prefix, rest, least)
+            found[agree] = _Reach(prefix, rest, reach, least)
     return found
 
 
-def _cuttable(groups: DataFrame, skew: Skew) -> DataFrame:
+def _cuttable(groups: DataFrame, reaches: Iterable[_Reach], skew: Skew) -> DataFrame:
     named = groups.select(
         "block", "name", "records", "first_id", F.length("name").alias("len"),
         first_token(F.col("name")).alias("token"),
     ).withColumn("tail", F.expr("substring(name, length(token) + 1)"))
-    return with_group_size(named, ["block", "token"], "token_names", skew=skew)
+    sized = with_group_size(named, ["block", "token"], "token_names", skew=skew)
+    return sized.withColumns({r.reach: F.expr(r.edits("len")) for r in reaches})
 
 
 def _close_names(groups: DataFrame, thresholds: Thresholds, skew: Skew, direct: int) -> DataFrame:
@@ -231,7 +237,7 @@ def _close_names(groups: DataFrame, thresholds: Thresholds, skew: Skew, direct:
     A pair can appear more than once, as two names may meet on several pieces.
     """
     reaches = _reaches(thresholds)
-    names = _cuttable(groups, skew)
+    names = _cuttable(groups, reaches.values(), skew)
 
     def under(signatures: dict[bool, str], side: str) -> DataFrame:
         if True in signatures:
