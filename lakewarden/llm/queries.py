@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import chat, mixing, quality_rules, topk
+from lakewarden.llm import chat, mixing, pieces, quality_cnn, quality_rules, substring, topk, toxicity
 from lakewarden.llm.shipping import ship
+from lakewarden.llm.text import crc32_mod
 from lakewarden.llm.token_files import TokenFiles
 from lakewarden.session import fresh_path
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Run] = {}
 SQL: dict[str, str] = {}
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
+PIECES = "piece_bpe_32k.model"
 
 
 def query(sql: str | None = None) -> Callable[[Run], Run]:
@@ -35,6 +37,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def toxic_learns() -> Column:
+    return crc32_mod("doc_id", 4) != 2
+
+
+def quality_learns() -> Column:
+    return crc32_mod("doc_id", 5) != 0
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -63,6 +73,13 @@ def op2_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), asks, 5, fresh_path(spark, "top-k"))
 
 
+@query()
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = substring.without_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed",
+                          F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 @query()
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"),
@@ -71,6 +88,27 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "kept")
 
 
+@query()
+def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    coded = pieces.encoded(table(spark, folder, "documents"), tokenizer_path(PIECES),
+                           with_pieces=False)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"),
+                            toxic_learns(), fresh_path(spark, "toxicity"))
+    return found.select("doc_id", (~toxic_learns()).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_cnn.scored(table(spark, folder, "documents"), table(spark, folder, "labels"),
+                               quality_learns(), fresh_path(spark, "quality"))
+    return found.select("doc_id", (~quality_learns()).alias("held_out"), "score", "predicted")
+
+
 PLANTED_CHAT = r"\### Assistant: </turn> ok"
 
 

@@ -139,10 +139,9 @@ def window_starts(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n words lie in a window that begins at one of `starts`."""
-    change = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + width, n), -1)
-    return np.cumsum(change[:-1]) > 0
+    change = np.bincount(starts, minlength=n + 1)[:n + 1]
+    change -= np.bincount(np.minimum(starts + width, n), minlength=n + 1)[:n + 1]
+    return np.cumsum(change[:n]) > 0
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
