@@ -208,9 +208,10 @@ class PieceCodec:
         return self.processor.decode([i.tolist() for i in ids], num_threads=1)
 
 
-def encoded(docs: DataFrame, model_path: str, *, with_pieces: bool = True) -> DataFrame:
-    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, covered, and with_pieces also ids,
-    begins, ends (spans in source bytes) and decoded.
+def encoded(docs: DataFrame, model_path: str, *, with_pieces: bool = True,
+            with_ids: bool = True) -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, covered; with_ids also ids; and
+    with_pieces also begins, ends (spans in source bytes) and decoded.
 
     `covered` is the number of source bytes that the spans of the pieces cover.
     """
@@ -228,16 +229,21 @@ def encoded(docs: DataFrame, model_path: str, *, with_pieces: bool = True) -> Da
                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
                     pa.array([int((c[2] - c[1]).sum()) for c in coded], pa.int64())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered"]
+                if with_ids:
+                    columns.append(pa.array([c[0].astype(np.int32) for c in coded],
+                                            pa.list_(pa.int32())))
+                    names.append("ids")
                 if with_pieces:
-                    kind = pa.list_(pa.int64())
-                    columns += [pa.array([c[i].astype(np.int64) for c in coded], kind)
-                                for i in range(3)]
+                    columns += [pa.array([c[i].astype(np.int64) for c in coded],
+                                         pa.list_(pa.int64())) for i in (1, 2)]
                     columns.append(pa.array(back))
-                    names += ["ids", "begins", "ends", "decoded"]
+                    names += ["begins", "ends", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = ("doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, "
               "covered bigint")
+    if with_ids:
+        schema += ", ids array<int>"
     if with_pieces:
-        schema += ", ids array<bigint>, begins array<bigint>, ends array<bigint>, decoded string"
+        schema += ", begins array<bigint>, ends array<bigint>, decoded string"
     return texts_of(docs).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import chat, mixing, pieces, quality_cnn, quality_rules, substring, topk, toxicity
+from lakewarden.llm import chat, jaccard_join, mixing, pieces, quality_cnn, quality_rules, substring, topk, toxicity
 from lakewarden.llm.shipping import ship
 from lakewarden.llm.text import crc32_mod
 from lakewarden.llm.token_files import TokenFiles
@@ -88,10 +88,16 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "kept")
 
 
+@query()
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"),
+                                        fresh_path(spark, "near-duplicates"))
+
+
 @query()
 def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
     coded = pieces.encoded(table(spark, folder, "documents"), tokenizer_path(PIECES),
-                           with_pieces=False)
+                           with_pieces=False, with_ids=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

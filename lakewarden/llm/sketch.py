@@ -56,8 +56,11 @@ class Sketch:
     depth: int = DEPTH
 
     @classmethod
-    def for_keys(cls, keys: int, cell_bits: int = CELL_BITS, depth: int = DEPTH) -> Sketch:
-        return cls(max(0, int(keys - 1).bit_length() - (cell_bits - 2)), cell_bits, depth)
+    def for_keys(cls, keys: int, cell_bits: int = CELL_BITS, depth: int = DEPTH,
+                 spare_bits: int = 2) -> Sketch:
+        """Shards for so many keys, with 2**spare_bits cells a key (once more at worst)."""
+        shard_bits = max(0, int(keys - 1).bit_length() - (cell_bits - spare_bits))
+        return cls(shard_bits, cell_bits, depth)
 
     def parts(self, keys: np.ndarray) -> list[tuple[int, int, int]]:
         """Shard, begin and end of the keys (ascending) that lie in each shard that has any."""

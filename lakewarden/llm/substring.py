@@ -25,7 +25,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.sketch import Sketch, bits, flags
@@ -39,15 +39,21 @@ _ANSWERS = "batch int, kind int, shard int, answers array<binary>"
 
 
 def batches(docs: DataFrame, keep: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES
-            ) -> tuple[DataFrame, int]:
-    """Documents with their batch, and the bytes of all texts. Kept columns become kept_0, ..."""
+            ) -> tuple[DataFrame, int, int]:
+    """Documents with their batch, the bytes of all texts, and the number of batches.
+
+    Kept columns become kept_0, kept_1, ...
+    """
     given = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
     texts = texts_of(docs, *given)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     number = max(-(-size // batch_bytes), docs.sparkSession.sparkContext.defaultParallelism)
     spread = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    batch = F.pmod(F.xxhash64(spread), F.lit(number)).cast("int")
-    return texts.withColumn("batch", batch), size
+    return texts.withColumn("batch", batch_of(spread, number)), size, number
+
+
+def batch_of(doc_id: Column, number: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(number)).cast("int")
 
 
 class Windows:
@@ -151,7 +157,7 @@ def _grouped(table: pa.Table) -> pa.Table:
                      "answers": pa.array([[bits(p)] for p in parts], pa.list_(pa.binary()))})
 
 
-def _cleaned(sketch: Sketch, width: int, kept_names: list[str]):
+def _cleaned(sketch: Sketch, width: int, kept_names: list[str], as_is: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(table):
             table = table.slice(0, 0)
@@ -172,6 +178,9 @@ def _cleaned(sketch: Sketch, width: int, kept_names: list[str]):
             texts = []
             for text, end, n, r in zip(windows.texts, ends, windows.counts, removed_per_text,
                                        strict=True):
+                if as_is and not r:
+                    texts.append(text)
+                    continue
                 words = text.split()
                 texts.append(b" ".join(compress(words, ~gone[end - n:end]) if r else words))
         table = table.take(pa.array(order, pa.int64()))
@@ -183,9 +192,12 @@ def _cleaned(sketch: Sketch, width: int, kept_names: list[str]):
 
 
 def without_repeats(docs: DataFrame, *, width: int = WINDOW, keep: tuple[str, ...] = (),
-                    batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by one blank), columns of `keep`."""
-    given, size = batches(docs, keep, batch_bytes)
+                    as_is: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (kept words joined by one blank), columns of `keep`.
+
+    With `as_is` a text that loses nothing stays as it was, blanks included.
+    """
+    given, size, _ = batches(docs, keep, batch_bytes)
     sketch = Sketch.for_keys(size // BYTES_PER_WORD)
     grouped = given.groupBy("batch")
     sketches = grouped.applyInArrow(_sketched(sketch, width),
@@ -199,7 +211,7 @@ def without_repeats(docs: DataFrame, *, width: int = WINDOW, keep: tuple[str, ..
               *[f"{n} {docs.schema[c].dataType.simpleString()}"
                 for n, c in zip(names, keep, strict=True)]]
     out = grouped.cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(
-        _cleaned(sketch, width, names), ", ".join(schema))
+        _cleaned(sketch, width, names, as_is), ", ".join(schema))
     return out.select("doc_id", "n_words", "n_removed",
                       F.col("kept_text").cast("string").alias("kept_text"),
                       *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)])
