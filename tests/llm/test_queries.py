@@ -1,0 +1,48 @@
+"""Every query of the subpackage against its SQL or the plain Python of these tests."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent / "tools"))
+import check_oracle  # noqa: E402
+
+import __spark_entry__ as contract  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+NUMBERED = [n for n in contract.queries() if n.startswith("op") and n[2].isdigit()]
+
+pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test data here")
+
+
+def test_ten_queries_and_the_pipeline():
+    assert sorted(int(n[2:].split("_")[0]) for n in NUMBERED) == list(range(1, 11))
+    assert "pipeline" in contract.queries()
+
+
+@pytest.mark.parametrize("name", [*NUMBERED, "pipeline"])
+def test_query(spark, name):
+    outcome, rows, _ = check_oracle.compare(spark, SMALL, name)
+    assert outcome in ("ok", "rows only") and rows > 0
+
+
+def test_pipeline_stages_do_their_work(spark):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    accepted = corpus_pipeline.quality(spark, docs, SMALL)
+    assert accepted.columns == docs.columns and 0 < accepted.count() <= docs.count()
+    single = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    found = contract.queries()["op5_near_duplicates"](spark, SMALL)
+    assert single.columns == docs.columns
+    assert single.count() == found.select("component_id").distinct().count()
+    cleaned = corpus_pipeline.repeated_passages(spark, docs, SMALL)
+    removed = contract.queries()["op3_substring_dedup"](spark, SMALL)
+    same = cleaned.join(docs.select("doc_id", docs["text"].alias("before")), "doc_id").where(
+        "text = before").count()
+    assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
+    assert same == removed.where("n_removed = 0").count()
+    mixed = corpus_pipeline.source_mix(spark, docs, SMALL)
+    taken = contract.queries()["op10_mix_sources"](spark, SMALL)
+    assert mixed.columns == docs.columns
+    assert mixed.count() == taken.selectExpr("sum(taken / size)").first()[0]
