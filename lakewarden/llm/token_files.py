@@ -20,10 +20,12 @@ ignored. An empty table gives an empty file set.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,10 @@ from pyspark.sql import functions as F
 from lakewarden.llm.text import rows_of, texts_of
 
 BLOCK_IDS = 65_536
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000  # of about 200 bytes
+_WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}  # widths at which the format is an array of numbers
+# A run of these marks between a letter or digit and a blank, letter or digit is always split off.
+_MARKS = re.compile(rb"(?<=[A-Za-z0-9])([.,!$%*&#|;:?]+)(?=[ \t-\rA-Za-z0-9]|\Z)")
 
 BLOCKS = ("shard int, block int, first bigint, n_ids bigint, bits int, doc_ids array<bigint>, "
           "doc_starts array<bigint>, payload binary")
@@ -51,6 +56,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids below 2**bits, lowest bit first, eight at a time."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
+    if bits in _WHOLE:
+        return ids.astype(_WHOLE[bits]).tobytes()
     rows = -(-len(ids) // 8)
     padded = np.zeros(rows * 8, dtype=np.uint64)
     padded[:len(ids)] = ids
@@ -66,6 +73,9 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
     """n ids from position start on, as 32-bit values; reads only the bytes that hold them."""
+    if bits in _WHOLE:
+        whole = np.dtype(_WHOLE[bits])
+        return np.frombuffer(payload, whole, n, start * whole.itemsize).astype(np.uint32)
     first = start // 8
     rows = -(-(start + n) // 8) - first
     data = np.zeros(rows * bits, dtype=np.uint8)
@@ -85,16 +95,19 @@ def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
 class WordEncoder:
     """Encodes with a tokenizer of the tokenizers library, each distinct word once.
 
-    Only for tokenizers that drop white space and treat it as a boundary for everything else
-    (normalization, splitting, special tokens); then a text's ids are those of its words in turn.
+    Only for tokenizers that drop white space, ignore case, and split runs of letters, of digits and
+    of other marks from each other. Then the ids of a text are those of its words in turn, and
+    simple marks may be cut off a word and ASCII letters lower-cased first, which leaves far fewer
+    distinct words. Texts that may hold special tokens are only cut at blanks.
     """
 
     def __init__(self, path: str):
-        import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.known: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -102,23 +115,20 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    @property
-    def vocabulary(self) -> int:
-        return self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        missing = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known = {}
-            missing = list(set().union(*split))
-        coded = self.tokenizer.encode_batch(
-            [w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-        self.known.update((w, tuple(c.ids)) for w, c in zip(missing, coded, strict=True))
-        get = self.known.__getitem__
-        end = (end_id,)
-        return [np.fromiter(chain(chain.from_iterable(map(get, words)), end), dtype=np.uint32)
-                for words in split]
+    def encode(self, text: bytes, end_id: int) -> np.ndarray:
+        words = text.split() if b"<|" in text else _MARKS.sub(rb" \1", text.lower()).split()
+        missing = list(set(words).difference(self.known))
+        if missing:
+            if len(self.known) > CACHED_WORDS:
+                self.known = {}
+                missing = list(set(words))
+            coded = self.tokenizer.encode_batch_fast(
+                [w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
+            code = "H" if self.kind.itemsize == 2 else "I"
+            self.known.update((w, array(code, c.ids).tobytes())
+                              for w, c in zip(missing, coded, strict=True))
+        ids = b"".join(map(self.known.__getitem__, words))
+        return np.append(np.frombuffer(ids, dtype=self.kind), self.kind.type(end_id))
 
 
 def _as_block(shard: int, block: int, first: int, bits: int, doc_ids: list,
@@ -154,7 +164,8 @@ class TokenFiles:
                     continue
                 shard = batch.column("shard")[0].as_py()
                 for ids, texts in rows_of([batch]):
-                    for doc_id, coded in zip(ids, encoder.encode(texts, end_id), strict=True):
+                    for doc_id, text in zip(ids, texts, strict=True):
+                        coded = encoder.encode(text, end_id)
                         doc_ids.append(doc_id)
                         parts.append(coded)
                         held += len(coded)
