@@ -113,8 +113,8 @@ class QualityConfig:
         )
         if not rules:
             raise ConfigError("the quality artifact has no rules")
-        if len({r.name for r in rules}) < len(rules):
-            raise ConfigError("rule ids must be unique")
+        if len({r.name.lower() for r in rules}) < len(rules):
+            raise ConfigError("rule ids must be unique, whatever their case")
         given = document.get("policy") or {}
         wanted = given.get("default_min_pass_rate", fv.DEFAULT_MIN_PASS_RATE)
         policy = QualityPolicy(

@@ -92,3 +92,24 @@ RUN_MODE_ALIASES = {
     "day9": "match",
     "day10": "audit",
 }
+
+# Names of the rules that are derived from the columns of a table.
+NOT_NULL_RULES = {
+    "VendorID": "vendor_not_null",
+    START_FK: "pu_location_not_null",
+    END_FK: "do_location_not_null",
+}
+START_RULE = "pickup_not_null"
+END_RULE = "dropoff_not_null"
+ORDER_RULE = "pickup_before_dropoff"
+NON_NEGATIVE_RULE = "_non_negative"
+RANGE_RULES = {
+    "passenger_count": ("passenger_count_range", *PASSENGER_RANGE),
+    "RatecodeID": ("ratecode_range", *RATE_CODE_RANGE),
+}
+
+# Columns of the run summary; the count is a number, the others are text.
+SUMMARY_COLUMNS = ("audit_history_out_path", "curated_trips_path", "job_name",
+                   "lifecycle_snapshot_path", "master_zones_path", "orphans_count",
+                   "orphans_out_path")
+SUMMARY_COUNT = "orphans_count"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,32 +12,41 @@ from pyspark.sql import types as T
 
 from lakewarden import fixed_values as fv
 from lakewarden.functions.columns import require_columns, run_time, stamp
-from lakewarden.operators.keyed import BROADCAST_BYTES, Skew, lookup_join, measure
+from lakewarden.operators.keyed import BROADCAST_BYTES, Skew, common_type, lookup_join, measure
+from lakewarden.sources.store import staged
 
 ZONE_LABELS = {fv.START_FK: fv.START_ORPHAN, fv.END_FK: fv.END_ORPHAN}
 
 
-def known_keys(master: DataFrame, key: str, key_type: str = "int") -> DataFrame:
+def known_keys(master: DataFrame, key: str, key_type: T.DataType | str) -> DataFrame:
     """Distinct master keys; text that is no key and NULL are left out."""
     require_columns(master, [key], "master table")
     return master.select(F.col(key).try_cast(key_type).alias(key)).dropna().distinct()
 
 
 def orphans(fact: DataFrame, master: DataFrame, key: str = fv.ZONE_KEY,
-            labels: Mapping[str, str] = ZONE_LABELS, *, key_type: str = "int",
-            key_copies: bool = True, limit: int = BROADCAST_BYTES,
-            skew: Skew = Skew()) -> DataFrame:
+            labels: Mapping[str, str] = ZONE_LABELS, *,
+            key_type: T.DataType | str | None = None, key_copies: bool = True,
+            limit: int = BROADCAST_BYTES, skew: Skew = Skew()) -> DataFrame:
     """Fact rows whose foreign key is not in the master, one row per failing foreign key.
 
-    A NULL foreign key is an orphan. The fact is read once, however many foreign keys there
-    are: each is looked up in the key set, and a row is repeated per label it earned. With one
-    foreign key this is a plain anti join.
+    A NULL foreign key is an orphan. Keys are compared in the common type of the columns, unless
+    one is given; integer copies of the foreign keys are columns of the output only. The fact is
+    read once, however many foreign keys there are: each is looked up in the key set, and a row is
+    repeated per label it earned. With one foreign key this is a plain anti join. The key set is
+    written once and read back, as it is measured first and then joined.
     """
     require_columns(fact, labels, "fact table")
-    keys = known_keys(master, key, key_type)
+    require_columns(master, [key], "master table")
+    if key_type is None:
+        kinds = [fact.schema[fk].dataType for fk in labels]
+        key_type = reduce(common_type, kinds, master.schema[key].dataType)
+    keys = staged(known_keys(master, key, key_type), "known-keys")
     size = measure(keys, key)
-    typed = fact.withColumns({f"{fk}_int": F.col(fk).try_cast(key_type) for fk in labels})
-    typed_names = {fk: f"{fk}_int" for fk in labels}
+    copies = {f"{fk}_int": F.col(fk).try_cast("int") for fk in labels} if key_copies else {}
+    typed_names = {fk: f"__fk{i}" for i, fk in enumerate(labels)}
+    typed = fact.withColumns(copies | {name: F.col(fk).try_cast(key_type)
+                                       for fk, name in typed_names.items()})
 
     if len(labels) == 1:
         (fk, label), = labels.items()
@@ -56,7 +66,7 @@ def orphans(fact: DataFrame, master: DataFrame, key: str = fv.ZONE_KEY,
         ]))
         found = marked.withColumn("orphan_type", F.explode(earned)).drop(
             *[f"__known{i}" for i in range(len(labels))])
-    return found if key_copies else found.drop(*typed_names.values())
+    return found.drop(*typed_names.values())
 
 
 def stamp_orphans(found: DataFrame, job_name: str, moment: dt.datetime | None = None) -> DataFrame:
@@ -86,13 +96,8 @@ def lifecycle_snapshot(master: DataFrame, states: Iterable[str] | None = None,
 
 
 SUMMARY_SCHEMA = T.StructType([
-    T.StructField("audit_history_out_path", T.StringType()),
-    T.StructField("curated_trips_path", T.StringType()),
-    T.StructField("job_name", T.StringType()),
-    T.StructField("lifecycle_snapshot_path", T.StringType()),
-    T.StructField("master_zones_path", T.StringType()),
-    T.StructField("orphans_count", T.LongType()),
-    T.StructField("orphans_out_path", T.StringType()),
+    T.StructField(name, T.LongType() if name == fv.SUMMARY_COUNT else T.StringType())
+    for name in fv.SUMMARY_COLUMNS
 ])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -66,41 +67,51 @@ class Registered:
     outcome: str
 
 
-def _children(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
-    """Names in a folder and whether they are folders, on any file system Spark can read."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [(s.getPath().getName(), s.isDirectory()) for s in files.listStatus(place)]
-    return sorted(found)
+KNOWN_SOURCES = ("parquet", "orc", "json", "csv")
 
 
-def _source_of(spark: SparkSession, path: str) -> str | None:
-    """The format of a dataset: by its log folder, else by the ending of its first data file."""
-    children = _children(spark, path)
-    if ("_delta_log", True) in children:
-        return "delta"
-    shown = [(name, folder) for name, folder in children if name[0] not in "._"]
-    for name, _ in (c for c in shown if not c[1]):
-        for source in ("parquet", "orc", "json", "csv"):
-            if f".{source}" in name:
-                return source
-    folders = [name for name, folder in shown if folder]
-    return _source_of(spark, f"{path}/{folders[0]}") if folders else None
+def _files_under(spark: SparkSession, *paths: str) -> DataFrame:
+    """Paths of the files under some folders; their content is not read."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+            .load(list(paths)).select("path"))
+
+
+def _log_folders(spark: SparkSession, root: str) -> set[str]:
+    """Datasets under the prefix that keep a table log."""
+    try:
+        logs = spark.read.format("binaryFile").load(f"{root}/*/_delta_log/*.json").select("path")
+        rows = logs.select(F.regexp_extract("path", r"([^/]+)/_delta_log/", 1)).distinct().collect()
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return set()
+    return {r[0] for r in rows}
 
 
 def discover(spark: SparkSession, root: str) -> list[Dataset]:
-    """The datasets directly under a prefix, one per folder with data files in it.
+    """The datasets directly under a prefix: folders with data files anywhere in them, and files.
 
-    Lists the prefix and, per dataset, one way down to a data file; no data is read.
+    Only names are listed. The format is that of most files; what reaches the driver is one row per
+    dataset and file ending.
     """
     root = root.rstrip("/")
-    found = []
-    for name, folder in _children(spark, root):
-        if folder and name[0] not in "._":
-            source = _source_of(spark, f"{root}/{name}")
-            if source:
-                found.append(Dataset(name, f"{root}/{name}", source))
-    return found
+    prefix = root.split(":", 1)[-1].lstrip("/")
+    below = F.regexp_extract("path", f"^[^:]*:?/*{re.escape(prefix)}/+(.*)$", 1)
+    ending = F.regexp_extract(F.lower("path"), r"\.(" + "|".join(KNOWN_SOURCES)
+                              + r")(?:\.[a-z0-9]+)?$", 1)
+    counted = (
+        _files_under(spark, root)
+        .select(F.substring_index(below, "/", 1).alias("name"), ending.alias("source"),
+                (F.instr(below, "/") > 0).alias("folder"))
+        .where("source <> '' AND name <> ''")
+        .groupBy("name", "source", "folder").agg(F.count("*").alias("files")).collect())
+    logs = _log_folders(spark, root)
+    found = {}
+    for r in sorted(counted, key=lambda r: (r["name"], -r["files"], r["source"])):
+        table = r["name"] if r["folder"] else r["name"].split(".")[0]
+        source = "delta" if r["name"] in logs else r["source"]
+        found.setdefault(table, Dataset(table, f"{root}/{r['name']}", source))
+    return list(found.values())
 
 
 _OPTIONS = {"csv": " OPTIONS (header 'true')"}
@@ -120,7 +131,11 @@ def _register(spark: SparkSession, database: str, dataset: Dataset) -> str:
     outcome = "created"
     if spark.catalog.tableExists(f"{database}.{dataset.table}"):
         before = {f.name: f.dataType for f in spark.table(full).schema}
-        outcome = "unchanged" if before == {f.name: f.dataType for f in found} else "updated"
+        facts = _facts(spark, database, dataset.table)
+        same = (before == {f.name: f.dataType for f in found}
+                and _place(facts.get("Location")) == _place(dataset.path)
+                and (facts.get("Provider") or "").lower() == dataset.source)
+        outcome = "unchanged" if same else "updated"
         if outcome == "updated":
             spark.sql(f"DROP TABLE {full}")  # external: drops the entry, not the files
     if outcome != "unchanged":
@@ -136,7 +151,7 @@ def _register(spark: SparkSession, database: str, dataset: Dataset) -> str:
 
 def register_tables(spark: SparkSession, database: str,
                     datasets: Iterable[Dataset]) -> list[Registered]:
-    """Register each dataset as an external table and follow changes of its schema.
+    """Register each dataset as an external table and follow changes of its schema, place or format.
 
     Data is never touched. A table whose path is gone stays registered and is reported.
     """
@@ -160,15 +175,22 @@ def list_tables(spark: SparkSession, database: str) -> DataFrame:
     return spark.sql(f"SHOW TABLES IN {_name(database)}").select("tableName")
 
 
+def _place(path: str | None) -> str:
+    """A location without the marks that a local path may come with or without."""
+    return re.sub(r"^file:/*", "/", path or "").rstrip("/")
+
+
+def _facts(spark: SparkSession, database: str, table: str) -> dict[str, str]:
+    described = spark.sql(f"DESCRIBE FORMATTED {_name(database)}.{_name(table)}")
+    return {r["col_name"]: r["data_type"] for r in described.filter(
+        F.col("col_name").isin("Location", "Provider")).collect()}
+
+
 def table_details(spark: SparkSession, database: str, tables: list[str]) -> DataFrame:
     """Name, location and format of registered tables."""
     rows = []
     for table in tables:
-        facts = {
-            r["col_name"]: r["data_type"]
-            for r in spark.sql(f"DESCRIBE FORMATTED {_name(database)}.{_name(table)}").filter(
-                F.col("col_name").isin("Location", "Provider")).collect()
-        }
+        facts = _facts(spark, database, table)
         rows.append((table, facts.get("Location"), facts.get("Provider")))
     return spark.createDataFrame(rows, "name string, location string, format string")
 

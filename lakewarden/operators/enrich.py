@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from lakewarden.operators.keyed import (
     BROADCAST_BYTES,
     SideSize,
     Skew,
+    common_type,
     lookup_join,
     measure,
     require_unique,
@@ -57,10 +59,12 @@ def add_duration(df: DataFrame, start: str = fv.START_TS, end: str = fv.END_TS,
 def _needed(fact: DataFrame, dimension_rows: DataFrame, roles: Sequence[Role],
             dimension: Dimension) -> DataFrame:
     require_columns(dimension_rows, [dimension.key, *dimension.attributes], "dimension")
-    # Keys read as text are brought to the type of the foreign key; text that is no key drops out.
+    # Keys read as text are brought to the common type of all foreign keys; text that is no key
+    # drops out.
     key = F.col(dimension.key)
     if dimension_rows.schema[dimension.key].dataType == T.StringType():
-        key = key.try_cast(fact.schema[roles[0].foreign_key].dataType)
+        kinds = [fact.schema[r.foreign_key].dataType for r in roles]
+        key = key.try_cast(reduce(common_type, kinds))
     keyed = dimension_rows.select(key.alias(dimension.key), *dimension.attributes)
     return keyed.filter(F.col(dimension.key).isNotNull())
 

@@ -4,8 +4,8 @@ A side is broadcast only after its size was measured. Otherwise both sides are s
 the heaviest keys are split over as many partitions as their rows call for: a row of a heavy
 key gets a salt computed from its own content (so a recomputed task gives the same answer), and
 the other side repeats its rows for that key once per salt. Only heavy keys are repeated. Their
-list holds a hash and a number for at most HEAVY_KEYS keys, whatever the tables hold, which
-bounds its broadcast; keys beyond the list hold under 1/HEAVY_KEYS of the rows each.
+list holds a hash and a number, 12 bytes, for each of them, and a key is heavy only from
+HEAVY_ROWS rows on: so its broadcast takes 12 bytes for every million rows of the table at most.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from lakewarden.functions.columns import named
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 HEAVY_ROWS = 1_000_000
-HEAVY_KEYS = 10_000
 
 _HEAVY = "__heavy"
 _SALTS = "__salts"
 _HASH = "__hash"
 _SALT = "__salt"
 _SIDE_SALT = "__side_salt"
+_LEFT_KEY = "__left_key"
+_RIGHT_KEY = "__right_key"
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,7 @@ def _hash_kinds(df: DataFrame, keys: Sequence[str]) -> list[str]:
 
 
 def heavy_keys(counts: DataFrame, n: str, skew: Skew) -> DataFrame:
-    """The keys with the most rows, by hash, with their number of salts.
+    """The keys with skew.rows rows or more, by hash, with their number of salts.
 
     Two keys with one hash are both treated as heavy, on both sides alike, which is harmless.
     """
@@ -120,7 +121,6 @@ def heavy_keys(counts: DataFrame, n: str, skew: Skew) -> DataFrame:
         counts.filter(F.col(n) >= skew.rows)
         .select(_key_hash(counts, keys).alias(_HEAVY), F.col(n))
         .groupBy(_HEAVY).agg(F.max(n).alias(n))
-        .orderBy(F.desc(n), _HEAVY).limit(HEAVY_KEYS)
         .select(_HEAVY, (F.floor(F.col(n) / skew.rows) + 1).cast("int").alias(_SALTS))
     )
 
@@ -140,7 +140,7 @@ def salted_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     if heavy is None:
         counts = left.groupBy(*left_keys).agg(F.count("*").alias("__n"))
         heavy = heavy_keys(counts, "__n", skew)
-    small = F.broadcast(heavy)  # at most HEAVY_KEYS rows of 12 bytes
+    small = F.broadcast(heavy)  # 12 bytes per skew.rows rows of the table at most
 
     def marked(side: DataFrame, keys: Sequence[str]) -> DataFrame:
         hashed = side.withColumn(_HASH, _key_hash(side, keys))
@@ -159,14 +159,50 @@ def salted_join(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
     return joined.drop(_SALT, _SIDE_SALT)
 
 
+def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
+    """The type in which two keys are compared, whatever way the join takes.
+
+    Whole numbers are compared as 64-bit ones, other mixtures of numbers in the type Spark widens
+    them to, and text with any other type in that type (text that is no such value matches
+    nothing). Other unlike types are compared as text.
+    """
+    if left == right:
+        return left
+    whole = isinstance(left, T.IntegralType), isinstance(right, T.IntegralType)
+    if all(whole):
+        return T.LongType()
+    if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
+        decimals = [t for t in (left, right) if isinstance(t, T.DecimalType)]
+        if not decimals or len(decimals) + sum(whole) < 2:
+            return T.DoubleType()
+        scale = max(t.scale for t in decimals)
+        return T.DecimalType(38, min(scale, 18))
+    for text, other in ((left, right), (right, left)):
+        if isinstance(text, T.StringType):
+            return T.LongType() if isinstance(other, T.IntegralType) else other
+    return T.StringType()
+
+
 def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, *,
                 size: SideSize | None = None, limit: int = BROADCAST_BYTES,
                 skew: Skew = Skew()) -> DataFrame:
-    """Join to a look-up table: broadcast if its measured size allows, else salted shuffle."""
+    """Join to a look-up table: broadcast if its measured size allows, else salted shuffle.
+
+    Keys of unlike types are brought to their common type before that choice.
+    """
     size = size or measure(right, right_key)
+    kinds = left.schema[left_key].dataType, right.schema[right_key].dataType
+    helpers: list[str] = []
+    if kinds[0] != kinds[1]:
+        common = common_type(*kinds)
+        left = left.withColumn(_LEFT_KEY, F.col(left_key).try_cast(common))
+        right = right.withColumn(_RIGHT_KEY, F.col(right_key).try_cast(common))
+        left_key, right_key, helpers = _LEFT_KEY, _RIGHT_KEY, [_LEFT_KEY, _RIGHT_KEY]
     if size.fits(limit):
-        return left.join(F.broadcast(right), F.col(left_key) == F.col(right_key), how)
-    return salted_join(left, right, [left_key], [right_key], how, skew=skew)
+        joined = left.join(F.broadcast(right), F.col(left_key) == F.col(right_key), how)
+    else:
+        joined = salted_join(left, right, [left_key], [right_key], how, skew=skew)
+    return joined.drop(*helpers)
 
 
 def with_group_size(df: DataFrame, keys: Sequence[str], out: str, *,

@@ -15,8 +15,7 @@ A block of n records has n(n-1)/2 pairs, so pairs are neither listed nor scored
 * Pairs below the threshold are the rest of the block. Their number is computed from the block
   sizes, not by visiting them.
 
-One result row stands for a pair of names and carries the number of record pairs behind it;
-`record_pairs` lists these for chosen rows.
+One result row stands for a pair of names and carries the number of record pairs behind it.
 """
 
 from __future__ import annotations
@@ -50,6 +49,8 @@ DIRECT_NAMES = 64
 # Pieces of longer names are looked for anywhere in the partner, not place by place: the number of
 # signatures then grows with the length of a name instead of its cube.
 LONG_NAME = 64
+# So many comparisons of names weigh as much as one row of a join.
+COMPARISONS_PER_ROW = 1000
 _ROUNDING = 0.5 * 10 ** -fv.SCORE_DIGITS + 1e-9
 _COUNT = "decimal(38,0)"
 
@@ -114,11 +115,12 @@ def block_totals(member_rows: DataFrame) -> DataFrame:
 class _Reach:
     """How far apart two names may be, for one outcome of the first-token test.
 
-    Names with the same first token differ only after it, so for these only the tail is cut and
-    the token is part of the signature. Texts below are SQL over the columns of `_cuttable`.
+    Names with the same first token differ only after it, so for these only the tail is cut, from
+    behind the blank that follows the token, and the token is part of the signature. Texts below are SQL over the columns of `_cuttable`.
     """
 
     prefix: str
+    lead: str  # letters before the rest: the token and the blank after it
     rest: str
     reach: str  # column with the most edits between this name and one that is no longer
     least: float  # smallest edit similarity that can still reach the medium threshold
@@ -165,7 +167,7 @@ class _Reach:
         With d the shift of a piece and s the difference in length, d edits are spent before
         the piece and |s - d| after it, which limits where the piece can be.
         """
-        partner = f"(n - length({self.prefix}))"
+        partner = f"greatest(n - {self.lead}, 0)"
         start = _cut("i", "m", partner)
         cut = f"struct({start} AS start, {_cut('i + 1', 'm', partner)} - {start} AS size)"
         first = f"greatest(0, c.start - CAST(floor(({self.reach} - len + n) / 2) AS INT))"
@@ -180,7 +182,7 @@ class _Reach:
 
     def _sought_anywhere(self, shortest: str) -> str:
         """Pieces of long partners: all substrings of the sizes that their pieces have."""
-        pieces, partner = self.pieces("n"), f"(n - length({self.prefix}))"
+        pieces, partner = self.pieces("n"), f"greatest(n - {self.lead}, 0)"
         lengths = _span(f"greatest({shortest}, {LONG_NAME} + 1)", "len")
         size = f"CAST(floor({partner} / {pieces}) AS INT)"
         sizes = f"array_distinct(flatten(transform({lengths}, n -> array({size}, {size} + 1))))"
@@ -213,12 +215,13 @@ def _span(first: str, last: str) -> str:
 def _reaches(thresholds: Thresholds) -> dict[bool, _Reach]:
     """By whether the first tokens agree; an outcome that cannot reach the threshold is absent."""
     found = {}
-    for agree, prefix, rest, reach in ((True, "token", "tail", "reach_alike"),
-                                       (False, "''", "name", "reach_other")):
+    for agree, prefix, lead, rest, reach in (
+            (True, "token", "(length(token) + 1)", "tail", "reach_alike"),
+            (False, "''", "0", "name", "reach_other")):
         boost = fv.TOKEN_WEIGHT if agree else 0.0
         least = (thresholds.medium - _ROUNDING - boost) / fv.NAME_WEIGHT - _ROUNDING
         if least <= 1.0:
-            found[agree] = _Reach(prefix, rest, reach, least)
+            found[agree] = _Reach(prefix, lead, rest, reach, least)
     return found
 
 
@@ -226,7 +229,7 @@ def _cuttable(groups: DataFrame, reaches: Iterable[_Reach], skew: Skew) -> DataF
     named = groups.select(
         "block", "name", "records", "first_id", F.length("name").alias("len"),
         first_token(F.col("name")).alias("token"),
-    ).withColumn("tail", F.expr("substring(name, length(token) + 1)"))
+    ).withColumn("tail", F.expr("substring(name, length(token) + 2)"))
     sized = with_group_size(named, ["block", "token"], "token_names", skew=skew)
     return sized.withColumns({r.reach: F.expr(r.edits("len")) for r in reaches})
 
@@ -252,7 +255,12 @@ def _close_names(groups: DataFrame, thresholds: Thresholds, skew: Skew, direct:
 
     offered = under({agree: r.offered() for agree, r in reaches.items()}, "a")
     sought = under({agree: r.sought() for agree, r in reaches.items()}, "b")
-    counts = offered.groupBy("sig_a").agg(F.count("*").alias("n"))
+    # A signature is as heavy as the comparisons it causes: offered times sought names.
+    sides = offered.select("sig_a", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(
+        sought.select("sig_b", F.lit(0), F.lit(1)))
+    counts = sides.groupBy("sig_a").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(
+        "sig_a", F.greatest("a", (F.col("a") * F.col("b") / COMPARISONS_PER_ROW).cast("bigint"))
+        .alias("n"))
     met = salted_join(offered, sought, ["sig_a"], ["sig_b"], "inner",
                       heavy=heavy_keys(counts, "n", skew), skew=skew)
     allowed = {agree: r.edits("len_b") for agree, r in reaches.items()}
@@ -403,32 +411,3 @@ def merge_links(member_rows: DataFrame, *, skew: Skew = Skew()) -> DataFrame:
     joined = salted_join(named, groups, ["block", "name"], ["group_block", "group_name"], "inner",
                          heavy=heavy_keys(counts, "records", skew), skew=skew)
     return joined.drop("group_block", "group_name")
-
-
-def record_pairs(chosen: DataFrame, member_rows: DataFrame) -> DataFrame:
-    """The record pairs behind chosen name pairs, smaller id first.
-
-    Yields exactly the sum of `pair_count` rows, so choose first: this is for opening entries of
-    the queue, not for the whole table.
-    """
-    named = member_rows.filter("name IS NOT NULL")
-    side_a = named.select("block", F.col("name").alias("name_a"), F.col("id").alias("id_1"),
-                          F.col("m").alias("m_1"))
-    side_b = named.select("block", F.col("name").alias("name_b"), F.col("id").alias("id_2"),
-                          F.col("m").alias("m_2"))
-    joined = (
-        chosen.drop("first_id_a", "first_id_b", "pair_count")
-        .join(side_a, ["block", "name_a"]).join(side_b, ["block", "name_b"])
-        # Two unlike names give each pair once; a name paired with itself gives it twice.
-        .filter((F.col("id_1") < F.col("id_2"))
-                | ((F.col("id_1") > F.col("id_2")) & (F.col("name_a") != F.col("name_b"))))
-    )
-    turned = F.col("id_1") > F.col("id_2")
-    copies = F.explode(F.sequence(F.lit(1), F.col("m_1") * F.col("m_2")))
-    return joined.withColumn("__copy", copies).drop("__copy", "m_1", "m_2").withColumns({
-        "id_a": F.least("id_1", "id_2"),
-        "id_b": F.greatest("id_1", "id_2"),
-        "name_of_a": F.when(turned, F.col("name_b")).otherwise(F.col("name_a")),
-        "name_of_b": F.when(turned, F.col("name_a")).otherwise(F.col("name_b")),
-    }).drop("id_1", "id_2", "name_a", "name_b").withColumnsRenamed(
-        {"name_of_a": "name_a", "name_of_b": "name_b"})

@@ -25,21 +25,15 @@ class QualityBelowThreshold(RuntimeError):
 class AutoRules:
     """What to check when a column of that name is present. Rules use plain SQL conditions."""
 
-    not_null: Mapping[str, str] = field(default_factory=lambda: {
-        "VendorID": "vendor_not_null",
-        fv.START_FK: "pu_location_not_null",
-        fv.END_FK: "do_location_not_null",
-    })
+    not_null: Mapping[str, str] = field(default_factory=lambda: dict(fv.NOT_NULL_RULES))
     start_candidates: Sequence[str] = fv.QUALITY_START_COLUMNS
     end_candidates: Sequence[str] = fv.QUALITY_END_COLUMNS
-    start_rule: str = "pickup_not_null"
-    end_rule: str = "dropoff_not_null"
-    order_rule: str = "pickup_before_dropoff"
+    start_rule: str = fv.START_RULE
+    end_rule: str = fv.END_RULE
+    order_rule: str = fv.ORDER_RULE
     non_negative: Sequence[str] = fv.QUALITY_NON_NEGATIVE
-    ranges: Mapping[str, tuple[str, int, int]] = field(default_factory=lambda: {
-        "passenger_count": ("passenger_count_range", *fv.PASSENGER_RANGE),
-        "RatecodeID": ("ratecode_range", *fv.RATE_CODE_RANGE),
-    })
+    ranges: Mapping[str, tuple[str, int, int]] = field(
+        default_factory=lambda: dict(fv.RANGE_RULES))
 
 
 def derive_rules(df: DataFrame, auto: AutoRules = AutoRules()) -> list[Rule]:
@@ -67,7 +61,7 @@ def derive_rules(df: DataFrame, auto: AutoRules = AutoRules()) -> list[Rule]:
         rules.append(Rule(auto.order_rule, f"{time(start)} <= {time(end)}"))
     for c in auto.non_negative:
         if c in df.columns:
-            rules.append(Rule(f"{c}_non_negative", f"`{c}` IS NULL OR {number(c)} >= 0"))
+            rules.append(Rule(f"{c}{fv.NON_NEGATIVE_RULE}", f"`{c}` IS NULL OR {number(c)} >= 0"))
     for c, (name, low, high) in auto.ranges.items():
         if c in df.columns:
             test = f"`{c}` IS NULL OR {number(c)} BETWEEN {low} AND {high}"
@@ -92,6 +86,8 @@ def add_flags(df: DataFrame, rules: Sequence[Rule], *, null_as_pass: bool = Fals
     clashes = [n for n in (*names, PASS, FAILED) if n.lower() in taken]
     if clashes:
         raise ValueError(f"these names are already columns of the table: {clashes}")
+    if len({n.lower() for n in names}) < len(names):
+        raise ValueError(f"rule names must differ in more than case: {names}")
     flags = [F.coalesce(F.expr(r.sql), F.lit(null_as_pass)).alias(r.name) for r in rules]
     flagged = df.select("*", *flags).withColumn(PASS, _all_of(names))
     if not list_failed:

@@ -141,9 +141,9 @@ class GovernedRun:
              "curated_out_path": places.passed, "rejects_path": places.rejects,
              "generated_at_utc": self.moment},
         )
-        write_report(summary, places.quality_report)
-        rate = self.spark.read.json(places.quality_report).first()["pass_rate"]
-        quality.enforce(float(rate), config.policy,
+        row = summary.first()  # one aggregated row, computed once for the report and the gate
+        write_report(self.spark.createDataFrame([row], summary.schema), places.quality_report)
+        quality.enforce(float(row["pass_rate"]), config.policy,
                         f"Rejects: {places.rejects}, report: {places.quality_report}")
 
     def stage_match(self) -> None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +38,13 @@ from lakewarden.plans.star_tables import (
     zones,
 )
 from lakewarden.session import fresh_path, shared_folder
-from lakewarden.sources.readers import read_csv, read_json_lines, read_parquet
+from lakewarden.sources.readers import (
+    read_csv,
+    read_csv_inferred,
+    read_json_lines,
+    read_optional,
+    read_parquet,
+)
 from lakewarden.sources.store import TableStore, write_csv, write_parquet, write_report
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -95,11 +103,11 @@ def conform_positive_measure(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey,
   o_orderstatus, TRY_CAST(CASE WHEN o_orderstatus = 'O' THEN o_orderpriority
-    ELSE substr(o_orderpriority, 1, 1) END AS INTEGER) AS priority
+    ELSE regexp_extract(o_orderpriority, '^([0-9]+)', 1) END AS INTEGER) AS priority
 FROM orders""")
 def conform_cast_contract(spark: SparkSession, folder: str) -> DataFrame:
     text = F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).otherwise(
-        F.substring("o_orderpriority", 1, 1))
+        F.regexp_extract("o_orderpriority", "^([0-9]+)", 1))
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", text.alias("priority"))
     contract = Contract(types={"o_orderkey": "string", "o_custkey": "double", "priority": "int"})
@@ -524,7 +532,7 @@ def duplicate_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- audit
 
-@query(r"""SELECT l.*, CAST(l_partkey AS BIGINT) AS l_partkey_int, 'PART_NOT_IN_MASTER' AS orphan_type
+@query(r"""SELECT l.*, CAST(l_partkey AS INTEGER) AS l_partkey_int, 'PART_NOT_IN_MASTER' AS orphan_type
 FROM lineitem l WHERE NOT EXISTS (
   SELECT 1 FROM (SELECT min(p_partkey) AS k FROM part
     GROUP BY trim(regexp_replace(upper(p_brand), '[^A-Z0-9]+', ' ', 'g')),
@@ -534,7 +542,19 @@ def orphans_single_fk(spark: SparkSession, folder: str) -> DataFrame:
     prepared = mp.prepare(parts(spark, folder), "p_partkey", "p_name", "p_brand")
     master = golden.survivors(prepared, ["match_key"], "p_partkey")
     return audit.orphans(table(spark, folder, "lineitem"), master, "p_partkey",
-                         {"l_partkey": "PART_NOT_IN_MASTER"}, key_type="bigint")
+                         {"l_partkey": "PART_NOT_IN_MASTER"})
+
+
+@query("""SELECT event_id, 3000000000 + user_id AS wide_key, 'USER_NOT_IN_MASTER' AS orphan_type
+FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)""")
+def orphans_wide_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys beyond 32 bits, on one side as text."""
+    events = table(spark, folder, "events").select(
+        "event_id", (F.col("user_id") + 3_000_000_000).alias("wide_key"))
+    master = table(spark, folder, "customer").where("c_custkey % 3 <> 0").select(
+        (F.col("c_custkey") + 3_000_000_000).cast("string").alias("key"))
+    return audit.orphans(events, master, "key", {"wide_key": "USER_NOT_IN_MASTER"},
+                         key_copies=False)
 
 
 MASTER_ZONES_SQL = """
@@ -582,22 +602,26 @@ def union_missing_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {EXACT_SQL}
-SELECT 'part_master' AS table_name, CAST(v AS BIGINT) AS version, 'WRITE' AS operation,
-  'Overwrite' AS mode, (SELECT count(*) FROM scored WHERE decision = 'AUTO_MERGE') AS num_rows
-FROM (VALUES (0), (1)) t(v)
-UNION ALL
-SELECT 'orders', 0, 'WRITE', 'Overwrite', count(*) FROM orders""")
+SELECT 'part_master' AS table_name, count(*) AS num_rows, NULL AS partition_by,
+  true AS schema_is_its_own FROM scored WHERE decision = 'AUTO_MERGE'
+UNION ALL SELECT 'part_master', count(*), NULL, true FROM scored
+  WHERE decision = 'AUTO_MERGE' AND p_partkey % 2 = 0
+UNION ALL SELECT 'orders', count(*), 'o_orderstatus', true FROM orders""")
 def history_audit(spark: SparkSession, folder: str) -> DataFrame:
-    """Master written twice and orders once, partitioned; then what the trail says."""
+    """Master written whole and then its even keys, orders once; what was noted of each write."""
     root = fresh_path(spark, "history")
-    store = TableStore(spark, f"{root}/commits", format="parquet")
+    store = TableStore(spark, f"{root}/writes", format="parquet")
     master = exact.exact_master(exact_parts(spark, folder), "p_partkey")
-    for _ in range(2):
-        store.write(master, f"{root}/master")
-    store.write(table(spark, folder, "orders"), f"{root}/orders", partition_by="o_orderstatus")
-    history = store.history_audit(
+    orders = table(spark, folder, "orders")
+    store.write(master, f"{root}/master")
+    store.write(master.where("p_partkey % 2 = 0"), f"{root}/master")
+    store.write(orders, f"{root}/orders", partition_by="o_orderstatus")
+    noted = store.history_audit(
         {"part_master": f"{root}/master", "orders": f"{root}/orders"}, "history-audit")
-    return history.select("table_name", "version", "operation", "mode", "num_rows")
+    own = F.when(F.col("table_name") == "orders", F.lit(orders.schema.json())).otherwise(
+        F.lit(master.schema.json()))
+    return noted.select("table_name", "num_rows", "partition_by",
+                        (F.col("table_schema") == own).alias("schema_is_its_own"))
 
 
 @query("SELECT * FROM orders")
@@ -609,49 +633,92 @@ def partitioned_table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return store.read(f"{root}/table")
 
 
-@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ''
+  ELSE ' ' || replace(text, 'e', '"') || chr(10) END AS text, lang, source, n_chars
+FROM documents""")
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    path = fresh_path(spark, "customers-csv")
-    customers = table(spark, folder, "customer")
-    write_csv(customers, path)
-    return read_csv(spark, path, customers.schema)
+    """Texts with line feeds, quotes, outer blanks, empty and missing ones."""
+    path = fresh_path(spark, "documents-csv")
+    documents = table(spark, folder, "documents")
+    text = F.concat(F.lit(" "), F.replace("text", F.lit("e"), F.lit('"')), F.lit("\n"))
+    documents = documents.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.lit(None))
+                                     .when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(text))
+    write_csv(documents, path)
+    return read_csv(spark, path, documents.schema, multi_line=True)
+
+
+@query("""SELECT p_partkey, p_size, p_retailprice, p_brand FROM part""")
+def csv_inferred_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Types as guessed from the text: whole numbers, fractions and words."""
+    path = fresh_path(spark, "parts-inferred-csv")
+    write_csv(table(spark, folder, "part").select(
+        "p_partkey", "p_size", "p_retailprice", "p_brand"), path)
+    return read_csv_inferred(spark, path).withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
+
+
+@query("""SELECT 'nation' AS table_name, true AS readable, count(*) AS row_count FROM nation
+UNION ALL SELECT 'no_such_table', false, 0""")
+def optional_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """A look-up table that is there, and one that a job has to do without."""
+    found = None
+    for name in ("nation", "no_such_table"):
+        df, _ = read_optional(lambda name=name: table(spark, folder, name))
+        rows = spark.range(0) if df is None else df
+        one = rows.agg(F.count("*").alias("row_count")).select(
+            F.lit(name).alias("table_name"), F.lit(df is not None).alias("readable"), "row_count")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 # ---------------------------------------------------------------- whole run
 
+SAMPLE_RULES = tuple(r for r in RULES if r.name != "total_over_code")
+# The whole key: borough and name of a zone.
+ZONE_MATCH_KEY = "concat_ws('::', upper(Borough), upper(Zone))"
 SAMPLE_ARTIFACTS = Artifacts(
     contract=CONTRACT,
-    quality=QualityConfig(tuple(r for r in RULES if r.name != "total_over_code"),
-                          QualityPolicy(min_pass_rate=0.5)),
-    # Names that begin alike are one group, so some nations go to the stewards.
-    match=MatchConfig("substring(upper(Zone), 1, 8)"),
+    quality=QualityConfig(SAMPLE_RULES, QualityPolicy(min_pass_rate=0.5)),
+    match=MatchConfig(ZONE_MATCH_KEY),
     lifecycle=Lifecycle(frozenset(fv.REQUIRED_STATES)),
 )
 
-
-@query(f"""WITH {TRIPS_SQL},
+VALID_SQL = f"""WITH {TRIPS_SQL}, {ZONES_SQL},
 valid AS (SELECT * FROM trips WHERE dropoff_datetime >= pickup_datetime AND fare_amount >= 0
   AND total_amount >= 0 AND trip_distance >= 0 AND passenger_count >= 0),
-passed AS (SELECT * FROM valid WHERE RatecodeID BETWEEN 1 AND 6),
-master AS (SELECT min(n_nationkey) AS k FROM nation
-  GROUP BY substring(upper(n_name), 1, 8) HAVING count(*) = 1)
+passed AS (SELECT * FROM valid WHERE RatecodeID BETWEEN 1 AND 6)"""
+# Nations whose key is even are there twice, under another key: they go to the stewards.
+DOUBLED_SQL = """,
+doubled AS (SELECT LocationID, Borough, Zone FROM zones
+  UNION ALL SELECT LocationID + 1000, Borough, Zone FROM zones WHERE LocationID % 2 = 0),
+master AS (SELECT min(LocationID) AS k FROM doubled
+  GROUP BY upper(Borough), upper(Zone) HAVING count(*) = 1)"""
+COUNTS_SQL = """
 SELECT 'valid' AS stage, count(*) AS row_count FROM valid
 UNION ALL SELECT 'passed', count(*) FROM passed
 UNION ALL SELECT 'rejects', (SELECT count(*) FROM valid) - (SELECT count(*) FROM passed)
 UNION ALL SELECT 'master', count(*) FROM master
 UNION ALL SELECT 'orphans',
   count(*) FILTER (WHERE PULocationID NOT IN (SELECT k FROM master))
-  + count(*) FILTER (WHERE DOLocationID NOT IN (SELECT k FROM master)) FROM passed""")
-def governed_run(spark: SparkSession, folder: str) -> DataFrame:
-    """All five stages over trips and zones; row counts of what was written."""
-    root = fresh_path(spark, "governed-run")
+  + count(*) FILTER (WHERE DOLocationID NOT IN (SELECT k FROM master)) FROM passed"""
+
+
+def doubled_zones(spark: SparkSession, folder: str) -> DataFrame:
+    given = zones(spark, folder)
+    again = given.where("LocationID % 2 = 0").withColumn("LocationID", F.col("LocationID") + 1000)
+    return given.unionByName(again)
+
+
+def sample_run(spark: SparkSession, folder: str, root: str, artifacts: Artifacts) -> GovernedRun:
     write_parquet(trips(spark, folder), f"{root}/in/trips")
-    write_csv(zones(spark, folder), f"{root}/in/zones")
+    write_csv(doubled_zones(spark, folder), f"{root}/in/zones")
     places = Places.under(f"{root}/out", f"{root}/in/trips", f"{root}/in/zones")
     # Thousands of dates with a handful of rows each would only measure file creation.
-    run = GovernedRun(spark, places, SAMPLE_ARTIFACTS, "governed-run",
-                      partition_by="RatecodeID", table_format="parquet")
-    run.run()
+    return GovernedRun(spark, places, artifacts, "governed-run", partition_by="RatecodeID",
+                       table_format="parquet")
+
+
+def _written_counts(run: GovernedRun) -> DataFrame:
+    places, spark = run.places, run.spark
     tables = {"valid": places.validated, "passed": places.passed, "master": places.master}
     counts = run.store.history_audit(tables, run.job_name).select(
         F.col("table_name").alias("stage"), F.col("num_rows").alias("row_count"))
@@ -660,6 +727,138 @@ def governed_run(spark: SparkSession, folder: str) -> DataFrame:
     return counts.union(rejects).union(orphans)
 
 
+@query(VALID_SQL + DOUBLED_SQL + COUNTS_SQL)
+def governed_run(spark: SparkSession, folder: str) -> DataFrame:
+    """All five stages over trips and zones; row counts of what was written."""
+    run = sample_run(spark, folder, fresh_path(spark, "governed-run"), SAMPLE_ARTIFACTS)
+    run.run()
+    return _written_counts(run)
+
+
+def _as_document(text: str, spark: SparkSession, path: str) -> str:
+    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+@query(VALID_SQL + DOUBLED_SQL + COUNTS_SQL)
+def governed_run_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same run, governed by four documents that are read and checked first."""
+    root = fresh_path(spark, "governed-files")
+    documents = {
+        "metadata": {"source": "SAMPLE", "dataset_name": "trips", "classification": "internal",
+                     "schema": [{"name": n, "type": t} for n, t in CONTRACT.types.items()]},
+        "quality": {"rules": [{"id": r.name, "expression_sql": r.sql} for r in SAMPLE_RULES],
+                    "policy": {"default_min_pass_rate": 0.5}},
+        "match": {"blocking_keys": [{"expression": ZONE_MATCH_KEY}]},
+        "lifecycle": {"states": [{"name": n} for n in fv.REQUIRED_STATES]},
+    }
+    paths = {name: _as_document(json.dumps(document), spark, f"{root}/artifacts/{name}")
+             for name, document in documents.items()}
+    run = sample_run(spark, folder, root, Artifacts.load(spark, paths))
+    run.run()
+    return _written_counts(run)
+
+
+@query(VALID_SQL + """
+SELECT 'validated' AS stage, count(*) AS row_count FROM valid
+UNION ALL SELECT 'curated', count(*) FROM valid""")
+def governed_stages_by_mode(spark: SparkSession, folder: str) -> DataFrame:
+    """Two stages run one at a time, by name."""
+    run = sample_run(spark, folder, fresh_path(spark, "governed-modes"), SAMPLE_ARTIFACTS)
+    run.run("conform")
+    run.run(" ENRICH ")
+    tables = {"validated": run.places.validated, "curated": run.places.curated}
+    return run.store.history_audit(tables, run.job_name).select(
+        F.col("table_name").alias("stage"), F.col("num_rows").alias("row_count"))
+
+
+@query(VALID_SQL + """
+SELECT 'refused' AS outcome, (SELECT count(*) FROM passed) AS passed_rows,
+  (SELECT count(*) FROM valid) - (SELECT count(*) FROM passed) AS rejected_rows""")
+def governed_gate_fails(spark: SparkSession, folder: str) -> DataFrame:
+    """A pass rate under the policy stops the run; what was written for it stays."""
+    strict = replace(SAMPLE_ARTIFACTS, quality=QualityConfig(
+        SAMPLE_RULES, QualityPolicy(min_pass_rate=1.0)))
+    run = sample_run(spark, folder, fresh_path(spark, "governed-gate"), strict)
+    outcome = "passed"
+    try:
+        for stage in ("conform", "enrich", "quality"):
+            run.run(stage)
+    except quality.QualityBelowThreshold:
+        outcome = "refused"
+    good = run.store.read(run.places.passed).agg(F.count("*").alias("passed_rows"))
+    bad = read_parquet(spark, run.places.rejects).agg(F.count("*").alias("n"))
+    return good.unionByName(bad.select(F.lit(None).cast("bigint").alias("passed_rows"), "n"),
+                            allowMissingColumns=True).agg(
+        F.max("passed_rows").alias("passed_rows"), F.max("n").alias("rejected_rows")).select(
+        F.lit(outcome).alias("outcome"), "passed_rows", "rejected_rows")
+
+
+PINNED = dt.datetime(2026, 1, 6, 12, 30, 45, 250_000, tzinfo=dt.timezone.utc)
+
+
+@query(f"""WITH {TRIPS_SQL}, {ZONES_SQL}, {MASTER_ZONES_SQL}
+SELECT 'summary' AS job_name, count(*) FILTER (WHERE PULocationID NOT IN
+    (SELECT LocationID FROM master_zones))
+  + count(*) FILTER (WHERE DOLocationID NOT IN (SELECT LocationID FROM master_zones))
+    AS orphans_count, 'h' AS audit_history_out_path, 'c' AS curated_trips_path,
+  'l' AS lifecycle_snapshot_path, 'm' AS master_zones_path, 'o' AS orphans_out_path,
+  TIMESTAMP '2026-01-06 12:30:45.25' AS generated_at_utc FROM trips""")
+def run_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """One row on an audit run, at a pinned moment."""
+    master = golden.survivors(zones(spark, folder), ["Borough"], fv.ZONE_KEY)
+    lost = audit.orphans(trips(spark, folder), master).count()
+    row = audit.run_summary(spark, {
+        "audit_history_out_path": "h", "curated_trips_path": "c", "job_name": "summary",
+        "lifecycle_snapshot_path": "l", "master_zones_path": "m", "orphans_count": lost,
+        "orphans_out_path": "o"}, PINNED)
+    return row.withColumn("generated_at_utc", F.col("generated_at_utc").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {TRIPS_SQL}
+SELECT l_orderkey, l_linenumber, pickup_datetime AS pickup_ts, dropoff_datetime AS dropoff_ts,
+  total_amount AS airport_fee, TIMESTAMP '2026-01-06 12:30:45.25' AS ingested_at FROM trips
+WHERE dropoff_datetime >= pickup_datetime AND fare_amount >= 0 AND total_amount >= 0
+  AND trip_distance >= 0 AND passenger_count >= 0""")
+def conform_times_and_stamps(spark: SparkSession, folder: str) -> DataFrame:
+    """Event times and the moment of the run, which is pinned; a misspelt column is renamed."""
+    (found, wanted), = fv.RENAMES.items()
+    raw = trips(spark, folder).withColumn(found, F.col("total_amount"))
+    done = conform.conform(raw, CONTRACT, moment=PINNED)
+    zoned = (fv.START_TS, fv.END_TS, "ingested_at")
+    return done.select("l_orderkey", "l_linenumber", wanted,
+                       *[F.col(c).cast("timestamp_ntz").alias(c) for c in zoned])
+
+
+@query(" UNION ALL ".join((
+    f"SELECT 'master' AS output, count(*) AS row_count FROM ({QUERIES['golden_master_all'].sql})",
+    f"SELECT 'matched_names', count(*) FROM ({QUERIES['match_pairs_scored'].sql})",
+    f"SELECT 'steward_queue', count(*) FROM ({QUERIES['steward_queue_pairs'].sql})",
+    f"SELECT 'duplicate_keys', count(*) FROM ({QUERIES['duplicate_keys'].sql})",
+)))
+def pair_matching_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """The stand-alone matching run; its outputs are read back from where it wrote them."""
+    root = fresh_path(spark, "pair-matching")
+    store = TableStore(spark, f"{root}/writes", format="parquet")
+    places = matched_parts(spark, folder).write(store, f"{root}/out", "pair-matching", PINNED)
+    counts = None
+    for name in ("master", "matched_names", "steward_queue", "duplicate_keys"):
+        read = read_csv_inferred if name == "duplicate_keys" else read_parquet
+        one = read(spark, places[name]).agg(F.count("*").alias("row_count")).select(
+            F.lit(name).alias("output"), "row_count")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+@query(r"""SELECT trim(regexp_replace(upper(n_name), '[^A-Z0-9]+', ' ', 'g')) AS name_norm,
+  count(*) AS records, min(n_nationkey) AS first_id FROM nation GROUP BY ALL""")
+def match_without_block(spark: SparkSession, folder: str) -> DataFrame:
+    """A table without a block column is one block."""
+    prepared = mp.prepare(table(spark, folder, "nation"), "n_nationkey", "n_name", None)
+    return mp.name_groups(mp.members(prepared, "n_nationkey")).select(
+        F.col("name").alias("name_norm"), "records", "first_id")
+
+
 # ---------------------------------------------------------------- catalog
 
 DTYPES = {
@@ -705,28 +904,54 @@ def dataset_profile(spark: SparkSession, folder: str) -> DataFrame:
     return whole
 
 
-@query(" UNION ALL ".join(
+REGISTERED_SQL = " UNION ALL ".join(
     f"SELECT '{t}' AS name, 'parquet' AS format, true AS at_source, "
-    f"(SELECT count(*) FROM {t}) AS row_count" for t in TABLES))
-def catalog_register(spark: SparkSession, folder: str) -> DataFrame:
-    """Register the tables' files, then list them with format, place and row count."""
-    database = "lakewarden_samples"
-    catalog.create_database(spark, database, "sample tables", {"domain": "samples"},
-                            location=f"{shared_folder(spark)}/{database}.db")
-    catalog.update_database(spark, database, {"classification": "internal"})
-    catalog.register_tables(
-        spark, database, [catalog.Dataset(t, f"{folder}/{t}.parquet") for t in TABLES])
-    names = [r["tableName"] for r in catalog.list_tables(spark, database).collect()]
+    f"(SELECT count(*) FROM {t}) AS row_count" for t in TABLES)
+
+
+def _registered(spark: SparkSession, database: str, places: dict[str, str]) -> DataFrame:
+    """What the catalog says of tables, and their rows as read through it."""
     counts = None
-    for name in names:
+    for name in places:
         one = spark.table(f"{database}.{name}").agg(F.count("*").alias("row_count")).select(
             F.lit(name).alias("name"), "row_count")
         counts = one if counts is None else counts.unionByName(one)
-    details = catalog.table_details(spark, database, names).withColumn(
-        "at_source", F.col("location").endswith(F.concat(F.col("name"), F.lit(".parquet"))))
+    known = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
+    location = F.regexp_replace("location", "^file:/*", "/")
+    details = catalog.table_details(spark, database, list(places)).withColumn(
+        "at_source", location == F.regexp_replace(known[F.col("name")], "^file:/*", "/"))
     return details.drop("location").join(counts, "name")
 
 
+def _sample_database(spark: SparkSession) -> str:
+    database = "lakewarden_samples"
+    catalog.create_database(spark, database, "sample tables", {"domain": "samples"},
+                            location=f"{shared_folder(spark)}/{database}.db")
+    catalog.update_database(spark, database, {"classification": "internal"})
+    return database
+
+
+@query(f"SELECT *, true AS governed FROM ({REGISTERED_SQL})")
+def catalog_register(spark: SparkSession, folder: str) -> DataFrame:
+    """Register the tables' files; list them with format, place and rows, and the properties."""
+    database = _sample_database(spark)
+    places = {t: f"{folder}/{t}.parquet" for t in TABLES}
+    catalog.register_tables(spark, database, [catalog.Dataset(t, p) for t, p in places.items()])
+    facts = {r["info_name"]: r["info_value"]
+             for r in catalog.describe_database(spark, database).collect()}
+    governed = all(x in facts["Properties"] for x in ("domain", "samples", "internal"))
+    return _registered(spark, database, places).withColumn("governed", F.lit(governed))
+
+
+@query(REGISTERED_SQL)
+def catalog_crawl(spark: SparkSession, folder: str) -> DataFrame:
+    """Register whatever lies under the folder."""
+    database = _sample_database(spark)
+    done = catalog.crawl(spark, database, folder)
+    return _registered(spark, database, {
+        r.table: r.path for r in done if r.outcome != "missing" and r.table in TABLES})
+
+
 @query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""")
 def preview_top_orders(spark: SparkSession, folder: str) -> DataFrame:

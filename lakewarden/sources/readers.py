@@ -20,28 +20,29 @@ ZONE_SCHEMA = T.StructType([
     T.StructField(fv.ZONE_SERVICE, T.StringType()),
 ])
 
-# The parts of a table commit log that say what happened to which file.
-COMMIT_ACTIONS = {
-    "commitInfo": "timestamp bigint, operation string, operationParameters map<string, string>",
-    "metaData": "id string, schemaString string, partitionColumns array<string>",
-    "protocol": "minReaderVersion int, minWriterVersion int",
-    "add": "path string, size bigint, modificationTime bigint, dataChange boolean",
-    "remove": "path string, size bigint, deletionTimestamp bigint, dataChange boolean",
-}
-
-
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     """One file, a folder of part files, or several of either read as one table."""
     return spark.read.parquet(*paths)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+# How this library writes and reads CSV: nothing is trimmed, quotes are doubled, an empty text is a
+# pair of quotes and NULL is nothing at all.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": '""',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, *,
+             multi_line: bool = False) -> DataFrame:
     """CSV with a header line, matched to the schema by name; malformed values become NULL.
 
     Fields are read as text under the names the header gives and cast after that, because a
-    schema handed to the reader is matched by position.
+    schema handed to the reader is matched by position. Texts with line feeds in them need
+    `multi_line`; a file is then read by one task.
     """
-    raw = spark.read.option("header", True).csv(path)
+    # A field without quotes and without content is handed over as the mark, and so is NULL.
+    options = CSV_OPTIONS | {"emptyValue": "", "nullValue": "\0",
+                             "multiLine": str(multi_line).lower()}
+    raw = spark.read.options(**options).csv(path)
     require_columns(raw, schema.names, path)
     return raw.select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
@@ -59,9 +60,10 @@ def read_json_lines(spark: SparkSession, path: str,
 
 
 def read_small_text(spark: SparkSession, path: str) -> str:
-    """A configuration file as one string."""
-    row = spark.read.text(path, wholetext=True).first()
-    return row["value"] if row else ""
+    """Configuration files as one string: all files of the path, by name."""
+    files = spark.read.text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("file"))
+    return "\n".join(r["value"] for r in files.orderBy("file").collect())
 
 
 def read_optional(read: Callable[[], DataFrame]) -> tuple[DataFrame | None, str | None]:
@@ -75,28 +77,3 @@ def read_optional(read: Callable[[], DataFrame]) -> tuple[DataFrame | None, str
     except (PySparkException, Py4JJavaError) as problem:
         return None, str(problem)
     return df, None
-
-
-def newest_commit(spark: SparkSession, log_folder: str) -> DataFrame:
-    """Actions in the newest commit file of a table log, one row per action.
-
-    Commit files carry zero-padded version numbers, so the newest name is the newest version.
-    Only file names are looked at to find it; the other commits are not read.
-    """
-    names = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.json")
-        .load(log_folder).agg(F.max("path").alias("newest")).first()
-    )
-    if names is None or names["newest"] is None:
-        raise FileNotFoundError(f"no commit files under {log_folder}")
-    ddl = ", ".join(
-        f"`{action}` struct<{fields}>" for action, fields in COMMIT_ACTIONS.items())
-    log = spark.read.schema(ddl).json(names["newest"])
-    kind = F.coalesce(*[F.when(F.col(a).isNotNull(), F.lit(a)) for a in COMMIT_ACTIONS])
-    return log.select(
-        F.col("_metadata.file_name").alias("commit_file"),
-        kind.alias("action"),
-        F.coalesce("add.path", "remove.path").alias("path"),
-        F.coalesce("add.size", "remove.size").alias("size"),
-        F.col("commitInfo.operation").alias("operation"),
-    ).filter("action IS NOT NULL")

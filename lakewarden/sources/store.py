@@ -1,36 +1,36 @@
-"""Tables by path, and an audit trail of what was written to them.
+"""Tables by path, and an audit of the writes to them.
 
-With Delta installed, tables are Delta tables and their history is the table's own. Without it
-they are Parquet folders, and each write adds a row to an audit table. That trail records what
-this job did; it is no transaction log and offers no time travel.
+With Delta installed, tables are Delta tables and their history is the table's own. Without it they
+are Parquet folders, and each write adds a row to an audit table: when, by which run, where to, in
+what format and schema, and how many rows. It is a list of writes, not a table history.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.functions.columns import moment_column, run_time, stamp
 from lakewarden.session import fresh_path
+from lakewarden.sources.readers import CSV_OPTIONS
 
 DELTA, PARQUET = "delta", "parquet"
 
-COMMIT_SCHEMA = T.StructType([
-    T.StructField("version", T.LongType()),
-    T.StructField("timestamp", T.TimestampType()),
-    T.StructField("operation", T.StringType()),
-    T.StructField("mode", T.StringType()),
+AUDIT_SCHEMA = T.StructType([
+    T.StructField("written_at", T.TimestampType()),
+    T.StructField("run_id", T.StringType()),
+    T.StructField("written_path", T.StringType()),
     T.StructField("format", T.StringType()),
     T.StructField("partition_by", T.StringType()),
     T.StructField("num_rows", T.LongType()),
-    T.StructField("committed_path", T.StringType()),
     T.StructField("table_schema", T.StringType()),
 ])
 
@@ -40,7 +40,6 @@ class Written:
     path: str
     format: str
     rows: int
-    version: int | None
 
 
 def delta_installed(spark: SparkSession) -> bool:
@@ -57,6 +56,10 @@ class TableStore:
         self.spark = spark
         self.audit_path = audit_path
         self.format = format or (DELTA if delta_installed(spark) else PARQUET)
+        self.run_id = uuid.uuid4().hex
+        if self.format == PARQUET:
+            # The audit table exists from here on, be it empty.
+            spark.createDataFrame([], AUDIT_SCHEMA).write.mode("append").parquet(audit_path)
 
     def read(self, path: str) -> DataFrame:
         """The table as last written.
@@ -66,9 +69,10 @@ class TableStore:
         """
         reader = self.spark.read.format(self.format)
         if self.format == PARQUET:
-            last = self._last_commit(path)
-            if last is not None:
-                reader = reader.schema(T.StructType.fromJson(json.loads(last["table_schema"])))
+            last = (self.writes().filter(F.col("written_path") == path)
+                    .agg(F.max_by("table_schema", "written_at").alias("schema")).first())
+            if last["schema"] is not None:
+                reader = reader.schema(T.StructType.fromJson(json.loads(last["schema"])))
         return reader.load(path)
 
     def write(self, df: DataFrame, path: str, *, partition_by: str | None = None,
@@ -91,44 +95,27 @@ class TableStore:
             writer = writer.partitionBy(partition_by)
         writer.format(self.format).mode("overwrite").save(path)
         rows = counted.get["rows"]
-        version = None
         if self.format == PARQUET:
-            version = self._commit(path, partition_by, rows, df.schema.json())
-        return Written(path, self.format, rows, version)
-
-    def _commits(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(COMMIT_SCHEMA).parquet(self.audit_path)
-        except AnalysisException as problem:
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-            return self.spark.createDataFrame([], COMMIT_SCHEMA)
-
-    def _last_commit(self, path: str) -> Row | None:
-        return (
-            self._commits().filter(F.col("committed_path") == path)
-            .agg(F.max_by(F.struct("version", "table_schema"), "version").alias("last"))
-            .first()["last"]
-        )
-
-    def _commit(self, path: str, partition_by: str | None, rows: int, schema: str) -> int:
-        last = self._last_commit(path)
-        version = 0 if last is None else last["version"] + 1
-        row = (version, moment_column(dt.datetime.now(dt.timezone.utc)), "WRITE", "Overwrite",
-               self.format, partition_by, rows, path, schema)
-        commit = self.spark.range(0, 1, 1, 1).select(*[
+            self._note(path, partition_by, rows, df.schema.json())
+        return Written(path, self.format, rows)
+
+    def writes(self) -> DataFrame:
+        """All writes that were noted, by all runs that share the audit table."""
+        return self.spark.read.schema(AUDIT_SCHEMA).parquet(self.audit_path)
+
+    def _note(self, path: str, partition_by: str | None, rows: int, schema: str) -> None:
+        row = (moment_column(dt.datetime.now(dt.timezone.utc)), self.run_id, path, self.format,
+               partition_by, rows, schema)
+        self.spark.range(0, 1, 1, 1).select(*[
             F.lit(value).cast(f.dataType).alias(f.name)
-            for value, f in zip(row, COMMIT_SCHEMA.fields, strict=True)
-        ])
-        commit.write.mode("append").parquet(self.audit_path)
-        return version
+            for value, f in zip(row, AUDIT_SCHEMA.fields, strict=True)
+        ]).write.mode("append").parquet(self.audit_path)
 
     def history(self, path: str) -> DataFrame:
-        """All versions of one table."""
+        """The table's own history where it has one, else the writes noted for it."""
         if self.format == DELTA:
             return self.spark.sql("DESCRIBE HISTORY delta.`{}`".format(path.replace("`", "``")))
-        return self._commits().filter(F.col("committed_path") == path).drop(
-            "committed_path", "table_schema")
+        return self.writes().filter(F.col("written_path") == path).drop("written_path")
 
     def history_audit(self, tables: dict[str, str], job_name: str,
                       moment: dt.datetime | None = None) -> DataFrame:
@@ -167,5 +154,9 @@ def write_report(one_row: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, *, one_file: bool = False) -> None:
-    """Replace a CSV export with header. `one_file` is for results known to be small."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
+    """Replace a CSV export with header, from which every text can be read back as it was.
+
+    `one_file` is for results known to be small.
+    """
+    out = df.coalesce(1) if one_file else df
+    out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)

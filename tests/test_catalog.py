@@ -31,30 +31,48 @@ def test_crawl(spark, database, tmp_path):
     (root / "empty").mkdir()
     (root / "_work").mkdir()
     (root / "changes" / "_delta_log").mkdir(parents=True)
+    (root / "changes" / "_delta_log" / "0.json").write_text("{}")
+    spark.range(1).write.mode("append").parquet(str(root / "changes"))
+    late = root / "late"
+    (late / "day=1").mkdir(parents=True)  # its first folder is empty
+    spark.range(5).write.parquet(str(late / "day=2"))
+    spark.range(6).coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*.parquet")).rename(root / "single.parquet")
     found = {d.table: d.source for d in catalog.discover(spark, str(root))}
     assert found == {"changes": "delta", "plain": "parquet", "parted": "parquet",
-                     "listed": "csv", "lines": "json"}
-    (root / "changes" / "_delta_log").rmdir()  # Delta may not be installed here
+                     "listed": "csv", "lines": "json", "late": "parquet", "single": "parquet"}
+    (root / "changes").rename(tmp_path / "changes")  # Delta may not be installed here
 
     def crawl():
         return {r.table: r.outcome for r in catalog.crawl(spark, database, str(root) + "/")}
 
     assert set(crawl().values()) == {"created"}
     assert spark.table(f"{database}.parted").count() == 9
+    assert spark.table(f"{database}.late").count() == 5
+    assert spark.table(f"{database}.single").count() == 6
     assert spark.table(f"{database}.listed").columns == ["id"]
     assert set(crawl().values()) == {"unchanged"}
     spark.range(4).withColumn("more", F.lit(1)).write.mode("overwrite").parquet(plain)
     (root / "lines").rename(tmp_path / "lines")
     assert crawl() == {"plain": "updated", "parted": "unchanged", "listed": "unchanged",
-                       "lines": "missing"}
+                       "lines": "missing", "late": "unchanged", "single": "unchanged"}
     assert spark.table(f"{database}.plain").columns == ["id", "more"]
     names = sorted(r["tableName"] for r in catalog.list_tables(spark, database).collect())
-    assert names == ["lines", "listed", "parted", "plain"]
+    assert names == ["late", "lines", "listed", "parted", "plain", "single"]
     details = {r["name"]: (r["location"], r["format"])
                for r in catalog.table_details(spark, database, names).collect()}
     assert details["plain"][0].endswith("/plain") and details["plain"][1] == "parquet"
 
 
+def test_a_table_follows_its_place(spark, database, tmp_path):
+    for rows in (3, 8):
+        path = str(tmp_path / f"at{rows}")
+        spark.range(rows).write.parquet(path)
+        outcome = catalog.register_tables(spark, database, [catalog.Dataset("moved", path)])[0].outcome
+        assert outcome == ("created" if rows == 3 else "updated")
+        assert spark.table(f"{database}.moved").count() == rows
+
+
 def test_missing_path_is_reported(spark, database, tmp_path):
     gone = catalog.Dataset("gone", str(tmp_path / "gone"))
     assert catalog.register_tables(spark, database, [gone])[0].outcome == "missing"

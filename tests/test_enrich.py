@@ -73,3 +73,13 @@ def test_dimension_key_read_as_text(spark, trips, rows, limit):
     got = add_roles(trips, text, limit=limit)
     assert rows(got, "n", "pu_zone", "do_zone") == [(1, "Z1", None), (2, None, "Z1"),
                                                     (3, None, None)]
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_text_key_for_foreign_keys_of_two_widths(spark, rows, limit):
+    facts = spark.createDataFrame([(1, 1, 3_000_000_000)],
+                                  "n int, PULocationID int, DOLocationID bigint")
+    text = spark.createDataFrame([("1", "B", "near", "S"), ("3000000000", "B", "far", "S")],
+                                 "LocationID string, Borough string, Zone string,"
+                                 " service_zone string")
+    assert rows(add_roles(facts, text, limit=limit), "pu_zone", "do_zone") == [("near", "far")]

@@ -8,12 +8,12 @@ from pyspark.sql import types as T
 from lakewarden.session import fresh_path, prepare_session, shared_folder
 from lakewarden.sources.readers import (
     ZONE_SCHEMA,
-    newest_commit,
     read_csv,
     read_csv_inferred,
     read_json_lines,
     read_optional,
     read_parquet,
+    read_small_text,
 )
 from lakewarden.sources.store import (
     TableStore,
@@ -86,39 +86,35 @@ def test_report_and_export(spark, tmp_path, rows):
     assert len(list((tmp_path / "c").glob("part-*.csv"))) == 1
 
 
-def test_newest_commit(spark, tmp_path, rows):
-    log = tmp_path / "_delta_log"
-    log.mkdir()
-    old = [{"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}},
-           {"add": {"path": "a", "size": 5}}]
-    new = [{"commitInfo": {"operation": "WRITE", "operationParameters": {"mode": "Overwrite"}}},
-           {"add": {"path": "b", "size": 7}}, {"remove": {"path": "a", "size": 5}}]
-    for version, actions in ((2, old), (10, new)):
-        (log / f"{version:020d}.json").write_text("\n".join(map(json.dumps, actions)) + "\n")
-    (log / "_last_checkpoint").write_text("{}")
-    got = newest_commit(spark, str(log))
-    assert rows(got, "action", "path", "size", "operation") == sorted([
-        ("commitInfo", None, None, "WRITE"), ("add", "b", 7, None), ("remove", "a", 5, None)],
-        key=repr)
-    assert got.first()["commit_file"] == f"{10:020d}.json"
-    (tmp_path / "empty").mkdir()
-    with pytest.raises(FileNotFoundError):
-        newest_commit(spark, str(tmp_path / "empty"))
-
-
-def test_versions_and_history(store, tmp_path, rows, spark):
+def test_texts_survive_csv(spark, tmp_path, rows):
+    texts = ["  lead ", "", None, 'say "so"', "two\nlines", "a,b", '"', "\\", "#x", "\t", "''", "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    write_csv(df, str(tmp_path / "t"))
+    assert rows(read_csv(spark, str(tmp_path / "t"), df.schema, multi_line=True)) == rows(df)
+
+
+def test_small_text_of_several_files(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("second\nthird")
+    (tmp_path / "a.txt").write_text("first")
+    assert read_small_text(spark, str(tmp_path)) == "first\nsecond\nthird"
+    assert read_small_text(spark, str(tmp_path / "a.txt")) == "first"
+
+
+def test_noted_writes(store, tmp_path, rows, spark):
     path = str(tmp_path / "t")
-    first = store.write(spark.range(5), path)
-    second = store.write(spark.range(3), path)
-    assert (first.version, first.rows, second.version, second.rows) == (0, 5, 1, 3)
+    assert store.write(spark.range(5), path).rows == 5
+    assert store.write(spark.range(3).withColumn("k", F.lit(1)), path, partition_by="k").rows == 3
     assert store.read(path).count() == 3
     store.write(spark.range(2), str(tmp_path / "u"))
     audit = store.history_audit({"t": path, "u": str(tmp_path / "u")}, "job")
-    assert rows(audit, "table_name", "version", "operation", "mode", "num_rows") == [
-        ("t", 0, "WRITE", "Overwrite", 5), ("t", 1, "WRITE", "Overwrite", 3),
-        ("u", 0, "WRITE", "Overwrite", 2)]
-    assert {"table_path", "job_name", "captured_at_utc"} <= set(audit.columns)
+    assert rows(audit, "table_name", "num_rows", "partition_by") == [
+        ("t", 3, "k"), ("t", 5, None), ("u", 2, None)]
+    assert {"table_path", "job_name", "captured_at_utc", "run_id"} <= set(audit.columns)
+    assert {r["run_id"] for r in audit.collect()} == {store.run_id}
     assert store.history(str(tmp_path / "never")).count() == 0
+    again = TableStore(spark, store.audit_path, format="parquet")
+    again.write(spark.range(1), path)
+    assert again.history(path).count() == 3 and again.read(path).columns == ["id"]
 
 
 def test_partition_values_keep_their_type(store, tmp_path, rows, spark):
