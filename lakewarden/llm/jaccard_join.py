@@ -40,6 +40,9 @@ from lakewarden.llm.text import mix, rolling, rows_of, texts_of, window_starts,
 
 SHINGLE = 5
 PERCENT = 80
+# Signatures still open in the last round go to one group per so many bytes of text: they are few, and
+# the fewer the groups, the less often a pair is named.
+CROSSING_BYTES = 128 << 20
 CHUNK = 512  # classes verified against one centre in one group
 
 _ANSWERS = "batch int, kind int, shard int, answers array<binary>"
@@ -294,23 +297,32 @@ def _unsettled(table: pa.Table) -> pa.Table:
 
 
 def _crossing(percent: int):
-    """Shard side of the last round: pairs of different components that may be similar."""
+    """The last round, for some of the signatures: pairs of components apart that may be similar."""
     def run(table: pa.Table) -> pa.Table:
-        keys, cids = _joined(table, "keys", np.uint64), _joined(table, "cids", np.int64)
-        labels, sizes = _joined(table, "labels", np.int64), _joined(table, "sizes", np.int64)
-        maps = _joined(table, "parities", np.uint64).reshape(len(keys), -1)
-        order = np.lexsort((cids, keys))
+        keys = _joined(table, "keys", np.uint64)
+        cids, labels, sizes = (_joined(table, c, np.int64) for c in ("cids", "labels", "sizes"))
+        maps = _joined(table, "parities", np.uint64).reshape(len(cids), -1)
+        # Members point into the classes of their own row.
+        members, before = [], 0
+        for row in table.select(["members", "cids"]).to_pylist():
+            members.append(np.frombuffer(row["members"], dtype=np.int64) + before)
+            before += len(row["cids"]) // 8
+        member = np.concatenate(members) if members else np.empty(0, dtype=np.int64)
+        order = np.lexsort((cids[member], keys))
         edges = np.flatnonzero(np.diff(keys[order])) + 1
         found = [np.empty((0, 2), dtype=np.int64)]
-        for at in np.split(order, edges) if len(order) else []:
+        held = 0
+        for at in np.split(member[order], edges) if len(order) else []:
             for i in range(len(at) - 1):  # one member against all that follow
                 x, rest = at[i], at[i + 1:]
-                ok = labels[rest] != labels[x]
-                rest = rest[ok]
+                rest = rest[labels[rest] != labels[x]]
                 if len(rest):
-                    ok = part_enum.may_reach(maps[x], sizes[x], maps[rest], sizes[rest], percent)
-                    rest = rest[ok]
+                    rest = rest[part_enum.may_reach(maps[x], sizes[x], maps[rest], sizes[rest],
+                                                    percent)]
                     found.append(np.stack([np.full(len(rest), cids[x]), cids[rest]], axis=1))
+                    held += len(rest)
+                if held > 1 << 20:  # most pairs meet on many signatures
+                    found, held = [np.unique(np.concatenate(found), axis=0)], 0
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
     return run
@@ -368,7 +380,7 @@ def near_duplicates(docs: DataFrame, work: str, *, width: int = SHINGLE, percent
     links = links.unionByName(write(_verified(rest, texts, width, percent), "round"))
     labels = components(links, write)
 
-    crossing = _still_apart(found, labels, percent)
+    crossing = _still_apart(found, labels, percent, -(-size // CROSSING_BYTES))
     links = links.unionByName(write(_verified(crossing, texts, width, percent), "round"))
     labels = components(links, write)
 
@@ -392,7 +404,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where("label_a <> label_b").select("a", "b")
 
 
-def _still_apart(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _still_apart(found: DataFrame, labels: DataFrame, percent: int, groups: int) -> DataFrame:
     """Pairs of different components that share a signature and may be similar enough."""
     facts = (found.where("cid IS NOT NULL")
              .select(F.col("batch").alias("of_batch"), "cid", "n", "parity")
@@ -423,24 +435,29 @@ def _still_apart(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame
         """Members of the batch behind signatures that are not settled, with what a test takes."""
         facts_of = {c: (la, n, p) for c, la, n, p in zip(*(
             classes[x].to_pylist() for x in ("cid", "label", "n", "parity")), strict=True)}
-        rows = []
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for r in signatures.to_pylist():
-            all_keys = np.frombuffer(r["keys"], dtype=np.uint64)
-            keys, back = np.unique(all_keys, return_inverse=True)
-            hit = flags(r["several"], len(keys))[back]
-            cids = np.frombuffer(r["cids"], dtype=np.int64)[hit]
-            known = [facts_of[c] for c in cids.tolist()]
-            if known:
-                rows.append((r["shard"], all_keys[hit].tobytes(), cids.tobytes(),
-                             np.array([x[0] for x in known], dtype=np.int64).tobytes(),
-                             np.array([x[1] for x in known], dtype=np.int64).tobytes(),
-                             b"".join(x[2] for x in known)))
-        kinds = [pa.int32()] + [pa.binary()] * 5
+            keys = np.frombuffer(r["keys"], dtype=np.uint64)
+            distinct, back = np.unique(keys, return_inverse=True)
+            hit = flags(r["several"], len(distinct))[back]
+            if hit.any():
+                parts.setdefault(r["shard"] % groups, []).append(
+                    (keys[hit], np.frombuffer(r["cids"], dtype=np.int64)[hit]))
+        rows = []
+        for part, found in parts.items():
+            keys, cids = (np.concatenate(c) for c in zip(*found, strict=True))
+            own, members = np.unique(cids, return_inverse=True)
+            known = [facts_of[c] for c in own.tolist()]
+            rows.append((part, keys.tobytes(), members.astype(np.int64).tobytes(), own.tobytes(),
+                         np.array([x[0] for x in known], dtype=np.int64).tobytes(),
+                         np.array([x[1] for x in known], dtype=np.int64).tobytes(),
+                         b"".join(x[2] for x in known)))
+        kinds = [pa.int32()] + [pa.binary()] * 6
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                        names=["shard", "keys", "cids", "labels", "sizes", "parities"])
+                        names=["part", "keys", "members", "cids", "labels", "sizes", "parities"])
 
     opened = (shared.join(several, ["batch", "shard"]).groupBy("batch")
               .cogroup(facts.groupBy("of_batch")).applyInArrow(
-                  open_ones, "shard int, keys binary, cids binary, labels binary, sizes binary, "
-                             "parities binary"))
-    return opened.groupBy("shard").applyInArrow(_crossing(percent), "a bigint, b bigint").distinct()
+                  open_ones, "part int, keys binary, members binary, cids binary, labels binary, "
+                             "sizes binary, parities binary"))
+    return opened.groupBy("part").applyInArrow(_crossing(percent), "a bigint, b bigint").distinct()

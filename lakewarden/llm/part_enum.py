@@ -103,11 +103,10 @@ def signatures(sets: list[np.ndarray], shape: Shape) -> Signatures:
     found = []
     groups = np.arange(shape.n1, dtype=np.uint64)
     with np.errstate(over="ignore"):
+        each = [mix(content[:, :, p], 3 + p) for p in range(shape.n2)]
         for number, chosen in enumerate(combinations(range(shape.n2), shape.n2 - shape.k2)):
             salt = mix(groups * np.uint64(64) + np.uint64(number), 2000 + shape.instance)
-            hashes = np.broadcast_to(salt, (n, shape.n1)).copy()
-            for p in chosen:
-                hashes = mix(hashes + mix(content[:, :, p], 3 + p))
+            hashes = mix(sum((each[p] for p in chosen[1:]), each[chosen[0]]) + salt)
             some = used[:, :, list(chosen)].any(axis=2) | sparse[:, None]
             at, g = np.nonzero(some)
             found.append((hashes[at, g], at, g))
