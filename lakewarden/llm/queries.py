@@ -73,7 +73,19 @@ def op2_top_products(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), asks, 5, fresh_path(spark, "top-k"))
 
 
-@query()
+@query(r"""WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM places),
+firsts AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p
+  FROM windows JOIN firsts USING (k) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept_text
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept_text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""")
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = substring.without_repeats(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_words", "n_removed",
@@ -88,7 +100,25 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "kept")
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d
+  WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS k FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+  UNION SELECT reach.a, e.b FROM reach JOIN (SELECT a, b FROM links UNION ALL
+    SELECT b, a FROM links) e ON reach.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
+  least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) r USING (doc_id)""")
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"),
                                         fresh_path(spark, "near-duplicates"))
