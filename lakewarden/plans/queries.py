@@ -895,7 +895,8 @@ DTYPES = {
     for t, columns in DTYPES.items() for c, d in columns.items()))
 def dataset_profile(spark: SparkSession, folder: str) -> DataFrame:
     profiles = [
-        catalog.profile(table(spark, folder, t)).select(F.lit(t).alias("table_name"), "*")
+        catalog.profile_files(spark, f"{folder}/{t}.parquet").select(
+            F.lit(t).alias("table_name"), "*")
         for t in TABLES
     ]
     whole = profiles[0]

@@ -57,6 +57,7 @@ class TableStore:
         self.audit_path = audit_path
         self.format = format or (DELTA if delta_installed(spark) else PARQUET)
         self.run_id = uuid.uuid4().hex
+        self._schemas: dict[str, T.StructType] = {}  # of what this store wrote itself
         if self.format == PARQUET:
             # The audit table exists from here on, be it empty.
             spark.createDataFrame([], AUDIT_SCHEMA).write.mode("append").parquet(audit_path)
@@ -68,7 +69,9 @@ class TableStore:
         of its last write: a text value that looks like a number stays text.
         """
         reader = self.spark.read.format(self.format)
-        if self.format == PARQUET:
+        if path in self._schemas:
+            reader = reader.schema(self._schemas[path])
+        elif self.format == PARQUET:
             last = (self.writes().filter(F.col("written_path") == path)
                     .agg(F.max_by("table_schema", "written_at").alias("schema")).first())
             if last["schema"] is not None:
@@ -96,6 +99,7 @@ class TableStore:
         writer.format(self.format).mode("overwrite").save(path)
         rows = counted.get["rows"]
         if self.format == PARQUET:
+            self._schemas[path] = df.schema
             self._note(path, partition_by, rows, df.schema.json())
         return Written(path, self.format, rows)
 

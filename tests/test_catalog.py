@@ -83,6 +83,18 @@ def test_profile(spark, rows):
     assert rows(catalog.profile(df)) == [("a", "int", 3, 1), ("b.c", "string", 3, 2)]
 
 
+def test_profile_reads_footers(spark, tmp_path, rows, plan_text):
+    df = spark.createDataFrame(
+        [(1, None, [1], "é"), (2, None, None, None), (None, "x", [], "")],
+        "a int, `b.c` string, d array<int>, e string")
+    df.repartition(2).write.parquet(str(tmp_path / "t"))
+    found = catalog.profile_files(spark, str(tmp_path / "t"))
+    assert rows(found) == rows(catalog.profile(df))
+    plan = plan_text(found)
+    assert "COUNT(e)" in plan and "ReadSchema: struct<d:array<int>>" in plan
+    assert not any("e:string" in line for line in plan.splitlines() if "ReadSchema" in line)
+
+
 def test_preview(spark, plan_text):
     df = spark.range(100)
     top = catalog.preview(df, 3, F.desc("id"))
