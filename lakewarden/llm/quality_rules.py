@@ -8,9 +8,10 @@ For every stratum and rule a false rejection is a document labelled good that a
 The cutoffs of a rule are tested from the laxest on; a cutoff is safe if the exact (Clopper-
 Pearson) upper bound of its false rejection rate is at most `risk`. The error allowed, `alpha`, is
 divided by the number of tests (strata x rules x cutoffs), so with probability 1 - alpha no chosen
-cutoff of any stratum exceeds the risk. Of the safe cutoffs the strictest is taken; a rule without
-one is not used in that stratum. `risk` is the bound per rule; a stratum's rules together reject at
-most RULES times it.
+cutoff of any stratum exceeds the risk. Of the safe cutoffs the strictest is taken that turns down
+at least as many documents labelled bad as good ones, so no rule costs more than it brings; a rule
+without one is not used in that stratum. `risk` is the bound per rule; a stratum's rules together
+reject at most RULES times it.
 
 Strata are the values of a column; values with fewer than MIN_STRATUM labelled good documents, null,
 and those beyond the MAX_STRATA most frequent share one pooled stratum, which has its own cutoffs.
@@ -151,13 +152,14 @@ def bounded(k: int, n: int, risk: float, error: float) -> bool:
 
 def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: float = ALPHA,
                rules: tuple[Rule, ...] = RULES) -> dict[str, dict[str, float]]:
-    """Cutoffs per stratum and rule from the measures of documents labelled good."""
-    # A long format of (stratum, rule, strictness, count), counted map-side.
+    """Cutoffs per stratum and rule from the measures of documents with a label `good`."""
+    # A long format of (stratum, rule, strictness) with counts of either label, made map-side.
     each = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), _strictness(r).alias("hits"))
                                for r in rules]))
     counts = (labelled.where(~base_failed())
-              .select(F.col(stratum).cast("string").alias("stratum"), each.alias("x"))
-              .groupBy("stratum", "x.rule", "x.hits").agg(F.count("*").alias("n")))
+              .select(F.col(stratum).cast("string").alias("stratum"), "good", each.alias("x"))
+              .groupBy("stratum", "x.rule", "x.hits")
+              .agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("bad")))
     sizes = counts.where(F.col("rule") == rules[0].name).groupBy("stratum").agg(
         F.sum("n").alias("size"))
     named = (sizes.where(F.col("stratum").isNotNull() & (F.col("size") >= MIN_STRATUM))
@@ -165,20 +167,25 @@ def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: flo
     known = {r["stratum"] for r in named.collect()}
     pooled = F.when(F.col("stratum").isin(*known), F.col("stratum")).otherwise(F.lit(POOLED)) \
         if known else F.lit(POOLED)
-    rows = counts.groupBy(pooled.alias("stratum"), "rule", "hits").agg(F.sum("n").alias("n")).collect()
+    rows = counts.groupBy(pooled.alias("stratum"), "rule", "hits").agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()
     table: dict[tuple[str, str], Counter] = {}
+    junk: dict[tuple[str, str], Counter] = {}
     for r in rows:
         table.setdefault((r["stratum"], r["rule"]), Counter())[r["hits"]] += r["n"]
+        junk.setdefault((r["stratum"], r["rule"]), Counter())[r["hits"]] += r["bad"]
     tests = (len(known) + 1) * sum(len(r.grid) for r in rules)
     chosen: dict[str, dict[str, float]] = {s: {} for s in (*known, POOLED)}
     for (name, rule_name), hits in table.items():
         rule = next(r for r in rules if r.name == rule_name)
         n = sum(hits.values())
-        for i, cut in enumerate(rule.grid):  # cutoff i turns down all with more than i laxer hits
-            rejected = sum(c for h, c in hits.items() if h >= len(rule.grid) - i)
+        for i, cut in enumerate(rule.grid):  # cutoff i turns down all with len(grid) - i hits
+            rejected, caught = (sum(c for h, c in found.items() if h >= len(rule.grid) - i)
+                                for found in (hits, junk[name, rule_name]))
             if not bounded(rejected, n, risk, alpha / tests):
                 break
-            chosen[name][rule_name] = float(cut)
+            if caught and caught >= rejected:
+                chosen[name][rule_name] = float(cut)
     return chosen
 
 
@@ -203,9 +210,10 @@ def judge(docs: DataFrame, labels: DataFrame, work: str, *, stratum: str = "lang
     measured(docs.withColumn("__stratum", F.col(stratum).cast("string")), "__stratum") \
         .write.parquet(f"{work}/measures")
     found = docs.sparkSession.read.parquet(f"{work}/measures")
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    chosen = thresholds(found.join(good, "doc_id"), "__stratum", risk, alpha)
+    marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") == 1).alias("good")
+    ).distinct()
+    chosen = thresholds(found.join(marks, "doc_id"), "__stratum", risk, alpha)
     failed = base_failed()
     return found.withColumn("base_failed", failed).withColumn(
         "kept", ~failed & verdict(chosen, "__stratum")).drop("__stratum")
