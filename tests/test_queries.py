@@ -9,27 +9,35 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import check_oracle  # noqa: E402
 
 import __spark_entry__ as contract  # noqa: E402
+from lakewarden.plans.queries import QUERIES  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 WRITERS = {"dq_report_of_outputs", "history_audit", "partitioned_table_round_trip",
-           "csv_round_trip", "csv_malformed_values", "governed_run", "catalog_register",
-           "match_pairs_scored", "steward_queue_pairs", "reject_pairs", "mdm_audit_pairs"}
+           "csv_round_trip", "csv_malformed_values", "csv_inferred_types", "governed_run",
+           "governed_run_from_files", "governed_stages_by_mode", "governed_gate_fails",
+           "catalog_register", "catalog_crawl", "match_pairs_scored", "steward_queue_pairs",
+           "reject_pairs", "mdm_audit_pairs", "pair_matching_outputs", "run_summary"}
 
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test data here")
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_its_sql(spark, name):
     outcome, rows, _ = check_oracle.compare(spark, SMALL, name)
     assert outcome == "ok" and rows > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - WRITERS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))
 def test_no_query_crosses_rows(spark, plan_text, name):
     plan = plan_text(contract.queries()[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(contract.queries())
+    assert {n for n, q in QUERIES.items() if q.sql} <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.count() == 1 and "pass_rate" in df.columns
