@@ -37,6 +37,7 @@ from lakewarden.llm import part_enum
 from lakewarden.llm.sketch import Sketch, bits, flags
 from lakewarden.llm.substring import BATCH_BYTES, BYTES_PER_WORD, batch_of, batches, merged
 from lakewarden.llm.text import mix, rolling, rows_of, texts_of, window_starts, word_hashes
+from lakewarden.operators.keyed import Skew, heavy_keys, salted_join
 
 SHINGLE = 5
 PERCENT = 80
@@ -59,7 +60,10 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
     sets = []
     for i, n in enumerate(counts):
         if n >= width:
-            sets.append(np.unique(hashes[firsts[i]:ends[i]]))
+            ordered = np.sort(hashes[firsts[i]:ends[i]])
+            new = np.ones(len(ordered), dtype=bool)
+            np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+            sets.append(ordered[new])
         elif n:
             sets.append(rolling(words[upto[i] - n:upto[i]], int(n)) + np.uint64(n))
         else:
@@ -67,11 +71,19 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
     return sets
 
 
-def _identity(s: np.ndarray) -> tuple[int, int]:
-    """A 128-bit hash of a set."""
-    with np.errstate(over="ignore"):
-        return tuple(int(np.bitwise_xor.reduce(mix(s, seed)) ^ np.sum(mix(s, seed + 1)))
-                     - (1 << 63) for seed in (31, 33))
+def _identities(sets: list[np.ndarray]) -> np.ndarray:
+    """A 128-bit hash of each set, as two 64-bit numbers."""
+    names = np.zeros((len(sets), 2), dtype=np.int64)
+    some = np.flatnonzero([len(s) > 0 for s in sets])
+    if len(some):
+        values = np.concatenate([sets[i] for i in some])
+        begin = np.cumsum([0, *(len(sets[i]) for i in some)])[:-1]
+        for column, seed in ((0, 31), (1, 33)):
+            mixed = mix(values, seed)
+            with np.errstate(over="ignore"):
+                names[some, column] = mix(np.add.reduceat(mixed, begin)
+                                          + np.bitwise_xor.reduceat(mixed, begin)).view(np.int64)
+    return names
 
 
 def _members(docs: DataFrame, width: int) -> DataFrame:
@@ -80,7 +92,7 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
         for batch in record_batches:
             for ids, texts in rows_of([batch]):
                 sets = shingle_sets(texts, width)
-                names = np.array([_identity(s) for s in sets], dtype=np.int64).reshape(-1, 2)
+                names = _identities(sets)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(names[:, 0]), pa.array(names[:, 1])],
@@ -100,8 +112,8 @@ class _Classes:
         rows = sorted(rows)
         sets = shingle_sets([t for _, t in rows], width)
         self.ids, self.texts, self.sets = [], [], []
-        for (cid, text), s in zip(rows, sets, strict=True):
-            key = (cid, *_identity(s))
+        for (cid, text), s, name in zip(rows, sets, _identities(sets).tolist(), strict=True):
+            key = (cid, *name)
             if key in wanted:  # one text of each class, even if the id stands for several rows
                 wanted.discard(key)
                 self.ids.append(cid)
@@ -341,9 +353,14 @@ def near_duplicates(docs: DataFrame, work: str, *, width: int = SHINGLE, percent
         df.write.parquet(path)
         return spark.read.parquet(path)
 
+    def write_ids(df: DataFrame, name: str) -> DataFrame:
+        """Tables of ids are small beside the texts: a few tasks a core write them, not one file
+        for every shuffle partition."""
+        return write(df.coalesce(2 * spark.sparkContext.defaultParallelism), name)
+
     members = write(_members(docs, width), "members")
     classes = (members.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2")
-               .agg(F.min("doc_id").alias("cid")))
+               .agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")))
     given, size, number = batches(docs, batch_bytes=batch_bytes)
     sketch = Sketch.for_keys(size // BYTES_PER_WORD, cell_bits, depth=1, spare_bits=4)
 
@@ -372,21 +389,25 @@ def near_duplicates(docs: DataFrame, work: str, *, width: int = SHINGLE, percent
     centred = found.where("cid IS NOT NULL").select("cid", "centres")
     least = F.array_min("centres")
     pairs = centred.where(least < F.col("cid")).select(least.alias("a"), F.col("cid").alias("b"))
-    links = write(_verified(pairs, texts, width, percent), "round")
-    labels = components(links, write)
+    links = write_ids(_verified(pairs, texts, width, percent), "round")
+    labels = components(links, write_ids)
 
     rest = centred.select(F.explode("centres").alias("a"), F.col("cid").alias("b"), least.alias("l"))
     rest = _apart(rest.where("a <> b AND a <> l").select("a", "b"), labels)
-    links = links.unionByName(write(_verified(rest, texts, width, percent), "round"))
-    labels = components(links, write)
+    links = links.unionByName(write_ids(_verified(rest, texts, width, percent), "round"))
+    labels = components(links, write_ids)
 
     crossing = _still_apart(found, labels, percent, -(-size // CROSSING_BYTES))
-    links = links.unionByName(write(_verified(crossing, texts, width, percent), "round"))
-    labels = components(links, write)
+    links = links.unionByName(write_ids(_verified(crossing, texts, width, percent), "round"))
+    labels = components(links, write_ids)
 
+    # A class may hold a third of all rows, so its rows are dealt over tasks by their content.
     component = classes.join(labels, "cid", "left").select(
-        "h1", "h2", F.coalesce("label", "cid").alias("component"))
-    return members.join(component, ["h1", "h2"], "left").select(
+        F.col("h1").alias("c1"), F.col("h2").alias("c2"),
+        F.coalesce("label", "cid").alias("component"))
+    heavy = heavy_keys(classes.select("h1", "h2", "copies"), "copies", Skew())
+    joined = salted_join(members, component, ["h1", "h2"], ["c1", "c2"], "left", heavy=heavy)
+    return joined.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(
             F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")))
         .alias("component_id"))
