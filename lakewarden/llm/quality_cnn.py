@@ -7,8 +7,8 @@ into HIDDEN values per chunk; their mean and maximum over all chunks of the docu
 logistic unit. All parts are fitted together by gradient steps (Adam).
 
 The fit reads at most SAMPLE texts of each label, and of a text at most FIT_CHUNKS chunks, evenly
-spread; scoring reads every byte. The sample is balanced, and the score is set back to the share
-of the labels among all labelled rows. The model is a few kilobytes.
+spread; scoring reads every byte. Both labels weigh the same, and the score is set back to their
+share among all labelled rows. The model is a few kilobytes.
 
 Defined results: a null or empty text is one chunk of padding. Without labels of both kinds every
 score is the share of label 1 (1 if there are no labels: nothing speaks against the texts). Rows
@@ -110,10 +110,11 @@ def _combined(model: Model, pooled: np.ndarray, begin: np.ndarray) -> tuple[np.n
     return z, active, hidden, mean, most, counts
 
 
-def _gradients(model: Model, block: np.ndarray, begin: np.ndarray, y: np.ndarray) -> Model:
+def _gradients(model: Model, block: np.ndarray, begin: np.ndarray, y: np.ndarray,
+               weight: np.ndarray | float = 1.0) -> Model:
     pooled, where = _pooled(model, block)
     z, active, hidden, mean, most, counts = _combined(model, pooled, begin)
-    error = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)).astype(np.float32)
+    error = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / len(y)).astype(np.float32)
     owner = np.repeat(np.arange(len(begin)), counts[:, 0].astype(int))
     to_hidden = np.outer(error, model["last"][:HIDDEN]) / counts
     to_hidden = to_hidden[owner] + (hidden == most[owner]) * np.outer(
@@ -143,6 +144,8 @@ def fit(texts: list[bytes], labels: list[int], share: float = 0.5, epochs: int =
         model["offset"][0] = np.log(share / (1 - share))
     y = np.array(labels, dtype=np.float32)
     if len(y) and y.min() < y.max():
+        # Both labels weigh the same, however many texts of each there are.
+        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
         parts = []
         for text in texts:
             cut = chunks(text)
@@ -159,7 +162,7 @@ def fit(texts: list[bytes], labels: list[int], share: float = 0.5, epochs: int =
                 block = np.concatenate([parts[j] for j in chosen])
                 begin = np.cumsum([0, *(len(parts[j]) for j in chosen)])[:-1]
                 step += 1
-                for name, g in _gradients(model, block, begin, y[chosen]).items():
+                for name, g in _gradients(model, block, begin, y[chosen], weight[chosen]).items():
                     first[name] += 0.1 * (g - first[name])
                     second[name] += 0.01 * (g * g - second[name])
                     scale = np.sqrt(second[name] / (1 - 0.99 ** step)) + 1e-8
@@ -224,16 +227,13 @@ def _model(docs: DataFrame, labels: DataFrame, learn: Column, work: str,
     return out.getvalue()
 
 
-def scored(docs: DataFrame, labels: DataFrame, learn: Column, work: str, *,
-           per_class: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, predicted, and columns to keep.
-
-    `learn` selects labels by doc_id; `work` is a fresh shared folder.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, learn: Column, work: str, per_class: int,
+            kept: list[Column], with_text: bool) -> DataFrame:
+    """doc_id, score, predicted, kept_0, ..., and with_text the text as bytes."""
     model = _model(docs, labels, learn, work, per_class)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
-    numbered = [f"kept_{i}" for i in range(len(keep))]
-    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+    given = texts_of(docs, *[c.alias(f"kept_{i}") for i, c in enumerate(kept)])
+    passed = [c for c in given.columns if c != "doc_id" and (with_text or c != "text")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = opened(shared.value)
@@ -241,21 +241,27 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, work: str, *,
             found = [scores(texts, network) for _, texts in rows_of([batch])]
             values = pa.array(np.concatenate(found) if found else [], pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), values, *[batch.column(c) for c in numbered]],
-                ["doc_id", "score", *numbered])
+                [batch.column("doc_id"), values, *[batch.column(c) for c in passed]],
+                ["doc_id", "score", *passed])
 
-    schema = ", ".join(["doc_id bigint", "score double",
-                        *[f"{n} {k}" for n, k in zip(numbered, kinds, strict=True)]])
-    given = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, numbered, strict=True)]
-    out = texts_of(docs, *given).mapInArrow(run, schema).withColumn(
+    schema = ["doc_id bigint", "score double",
+              *[f"{c} {given.schema[c].dataType.simpleString()}" for c in passed]]
+    return given.mapInArrow(run, ", ".join(schema)).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int"))
-    return out
+
+
+def scored(docs: DataFrame, labels: DataFrame, learn: Column, work: str, *,
+           per_class: int = SAMPLE) -> DataFrame:
+    """doc_id, score, predicted. `learn` selects labels by doc_id; `work` is a fresh shared folder."""
+    return _scored(docs, labels, learn, work, per_class, [], False)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, learn: Column, work: str, *,
              per_class: int = SAMPLE) -> DataFrame:
     """The documents that the network does not reject, with all their columns."""
-    names = docs.columns
-    found = scored(docs, labels, learn, work, per_class=per_class, keep=tuple(names))
-    return found.where("predicted = 1").select(
-        *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])
+    others = [c for c in docs.columns if c != "text"]
+    kept = [F.col("text").isNull(), *[F.col(f"`{c}`") for c in others]]
+    found = _scored(docs, labels, learn, work, per_class, kept, True).where("predicted = 1")
+    back = {c: F.col(f"kept_{i}") for i, c in enumerate(others, start=1)}
+    back["text"] = F.when(~F.col("kept_0"), F.col("text").cast("string"))
+    return found.select(*[back[c].alias(c) for c in docs.columns])

@@ -1,4 +1,5 @@
-"""Sends this package to the executors, whose Python workers import the operators from it."""
+"""Readies a session: sends this package to the executors, whose Python workers import the operators
+from it, and bounds the batches in which rows go to them."""
 
 from __future__ import annotations
 
@@ -9,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+# Rows in an Arrow batch. Rows here carry texts of some kilobytes, so the usual 10,000 would take
+# tens of megabytes on both sides of every running task.
+BATCH_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
     """Once per application: the package as a zip file, served to executors by Spark itself."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -13,8 +13,7 @@ and the score is set back to the share of the labels among all labelled rows.
 As the layer is linear, a subword adds one number to a window, so scoring takes a table of BUCKETS
 numbers: the model that travels to executors is 4 * BUCKETS bytes.
 
-Defined results: a null or empty text scores as a window without subwords, which is the prior of a
-clean text. Without labels of both kinds every score is the share of label 1 (0 if there are none).
+Defined results: a null or empty text has nothing to judge and scores 0. Without labels of both kinds every score is the share of label 1 (0 if there are none).
 Rows that share an id are each scored. Extra columns are ignored. Empty tables give no rows.
 """
 
@@ -33,9 +32,12 @@ from lakewarden.llm.text import IS_BLANK, rows_of, texts_of
 SAMPLE = 1500  # texts of each label that the fit reads
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
-WINDOW = 12
+WINDOW = 6
 DIM = 8
-RATE = 300.0  # of the subword vectors, each of which gets a small share of the gradient
+RATE = 100.0  # of the subword vectors, each of which gets a small share of the gradient
+STEPS = 110  # at most
+WHOLE_STEPS = 20  # on whole texts, before windows
+ENOUGH = 0.005  # mean error at which the fit ends
 THRESHOLD = 0.3
 PIECE = 1 << 20  # bytes scored at a time
 
@@ -125,11 +127,12 @@ class Subwords:
         return out
 
 
-def fit(texts: list[bytes], labels: list[int], share: float = 0.5, steps: int = 60) -> bytes:
-    """The table of subword values, and the offset, as bytes."""
+def fit(texts: list[bytes], labels: list[int], share: float = 0.5, steps: int = STEPS) -> bytes:
+    """The table of subword values, and the offset, as bytes. Both labels weigh the same."""
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS + 1, dtype=np.float32).tobytes()
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     bags = Subwords(texts)
     random = np.random.default_rng(5)
     vectors = random.normal(0, 0.1, (BUCKETS, DIM))
@@ -139,12 +142,14 @@ def fit(texts: list[bytes], labels: list[int], share: float = 0.5, steps: int =
     vectors[~seen] = 0
     slow = np.zeros_like(vectors), np.zeros_like(layer), np.zeros(2)
     for step in range(steps):
-        whole = step < steps // 3
+        whole = step < WHOLE_STEPS
         values = vectors @ (layer[1] - layer[0])
         mean, a, b = bags.window_means(values, None if whole else WINDOW)
         z = mean + bias[1] - bias[0]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        error = (p - y) / len(y)  # the gradient of class 1; that of class 0 is its negative
+        if not whole and (weight * np.abs(p - y)).sum() < ENOUGH:
+            break
+        error = (p - y) * weight  # the gradient of class 1; that of class 0 is its negative
         counts = np.concatenate([[0], np.cumsum(bags.counts)])
         per_bucket = bags.spread(a, b, error / np.maximum(counts[b] - counts[a], 1))
         to_layer = per_bucket @ vectors
@@ -166,13 +171,15 @@ def scores(texts: list[bytes], model: np.ndarray) -> np.ndarray:
     out, group, size = [], [], 0
     for text in (*texts, None):
         if group and (text is None or size + len(text) > PIECE):
-            out.append(Subwords(group).window_means(values)[0])
+            bags = Subwords(group)
+            z = bags.window_means(values)[0] + offset
+            out.append(np.where(np.diff(bags.words_before) > 0, z, -np.inf))
             group, size = [], 0
         if text is not None:
             group.append(text)
             size += len(text)
     z = np.concatenate(out) if out else np.empty(0)
-    return 1 / (1 + np.exp(-np.clip(z + offset, -30, 30)))
+    return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def scored(docs: DataFrame, labels: DataFrame, learn: Column, work: str, *,
