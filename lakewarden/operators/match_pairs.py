@@ -41,8 +41,6 @@ from lakewarden.functions.matching import (
 )
 from lakewarden.operators.keyed import Skew, heavy_keys, salted_join, with_group_size
 
-# Below this the allowed edits are so many that a name cannot be cut finely enough.
-LOWEST_MEDIUM = 0.5
 # Up to this many names with one first token are compared directly: at most this many partners
 # each cost less than the signatures of their pieces. Larger groups are always cut.
 DIRECT_NAMES = 64
@@ -127,10 +125,17 @@ class _Reach:
 
     def edits(self, length: str) -> str:
         """Most edits between two names of which the longer has this length."""
+        if self.least <= 0:  # nothing in common is enough
+            return f"CAST({length} AS INT)"
         return f"CAST(floor({length} * {1.0 - self.least!r}D + 1e-9D) AS INT)"
 
     def pieces(self, length: str) -> str:
-        """Pieces of a name of this length: one more than the edits to any possible partner."""
+        """Pieces of a name of this length: one more than the edits to any possible partner.
+
+        Where that is more than the name has letters, it is not cut, and names of its length meet.
+        """
+        if self.least <= 0:
+            return f"(CAST({length} AS INT) + 1)"
         longest_partner = f"floor({length} / {self.least!r}D + 1e-9D)"
         return f"({self.edits(longest_partner)} + 1)"
 
@@ -299,9 +304,9 @@ def _less_shared_ids(pairs: DataFrame, member_rows: DataFrame) -> DataFrame:
     uses = by_name.join(shared.drop("names"), ["block", "id"], "left_semi")
     side_a = uses.select("block", "id", F.col("name").alias("name_a"), F.col("m").alias("m_a"))
     side_b = uses.select("block", "id", F.col("name").alias("name_b"), F.col("m").alias("m_b"))
+    # Names that share an id, whether or not they are a pair: as many as an id has names.
     both = (
-        pairs.select("block", "name_a", "name_b")
-        .join(side_a, ["block", "name_a"]).join(side_b, ["block", "name_b", "id"])
+        side_a.join(side_b, ["block", "id"]).filter("name_a <> name_b")
         .groupBy("block", "name_a", "name_b")
         .agg(F.sum(F.col("m_a").cast("decimal(19,0)") * F.col("m_b")).cast(_COUNT).alias("less"))
     )
@@ -318,11 +323,12 @@ def match_names(member_rows: DataFrame, thresholds: Thresholds = Thresholds(), *
     """Name pairs at or above the medium threshold, each with its number of record pairs.
 
     A name shared by several records is a pair with itself. Names of unlike text are ordered by
-    length, then alphabet; `first_id_*` is the smallest id behind each name.
+    length, then alphabet; `first_id_*` is the smallest id behind each name. Any medium threshold
+    is taken, but below about 0.5 names cannot be cut finely enough and all names of a block whose
+    lengths allow it are compared.
     """
-    if thresholds.medium < LOWEST_MEDIUM or thresholds.high < thresholds.medium:
-        raise ConfigError(
-            f"thresholds must obey {LOWEST_MEDIUM} <= medium <= high, got {thresholds}")
+    if thresholds.high < thresholds.medium:
+        raise ConfigError(f"thresholds must obey medium <= high, got {thresholds}")
     groups = name_groups(member_rows)
     same = groups.filter("pair_count > 0").select(
         "block", F.col("name").alias("name_a"), F.col("name").alias("name_b"),

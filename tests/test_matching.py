@@ -106,11 +106,23 @@ def test_first_ids_belong_to_their_names(spark):
     assert got["SAME NAME", "SAME NAMES"] == (3, 9, 2, 0.91, "STEWARD_REVIEW")
 
 
-def test_thresholds_too_low_or_out_of_order(spark):
+@pytest.mark.parametrize("seed, medium, high", [(9, 0.30, 0.60), (10, 0.05, 0.50)])
+def test_low_thresholds(spark, seed, medium, high):
+    """Names that can hardly be cut. Halves may be rounded either way in the plain definition."""
+    records = [r for r in random_records(seed, 120) if r[1]]
+    members = mp.members(mp.prepare(as_table(spark, records), "id", "name", "block"), "id")
+    got = {(r["block"], r["name_a"], r["name_b"], int(r["pair_count"])): r["match_confidence"]
+           for r in mp.match_names(members, Thresholds(high, medium), direct=0).collect()}
+    expected = {(b, x, y, n): score
+                for (b, x, y, score, _), n in brute_force(records, medium, high)[0].items()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - expected[k]) < 1.5e-4 for k in got)
+
+
+def test_thresholds_out_of_order(spark):
     members = mp.members(mp.prepare(as_table(spark, [(1, "A", "X")]), "id", "name", "block"), "id")
-    for bad in (Thresholds(0.95, 0.4), Thresholds(0.7, 0.8)):
-        with pytest.raises(ConfigError):
-            mp.match_names(members, bad)
+    with pytest.raises(ConfigError):
+        mp.match_names(members, Thresholds(0.7, 0.8))
 
 
 def test_prepare_without_block(spark, rows):
