@@ -118,3 +118,17 @@ def test_unknown_mode_and_empty_paths(spark, setup):
         job(spark, setup).run("day11")
     with pytest.raises(ValueError, match="raw_zones"):
         Places.under("/x", "/trips", " ")
+
+
+def test_number_of_jobs(spark, setup):
+    """Schemas of own writes are known and reports are computed once: few jobs a stage."""
+    run = job(spark, setup)
+    counted = {}
+    for stage, most in (("conform", 5), ("enrich", 8), ("quality", 8), ("match", 14), ("audit", 17)):
+        spark.sparkContext.setJobGroup(stage, stage)
+        try:
+            run.run(stage)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        counted[stage] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(stage))
+        assert counted[stage] <= most, counted
