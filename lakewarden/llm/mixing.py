@@ -173,14 +173,31 @@ def _order(seed: int) -> Column:
     return F.xxhash64("doc_id", "text", F.lit(seed)).alias(_ORDER)
 
 
+def _numbered(docs: DataFrame, names: list[str], seed: int) -> DataFrame:
+    """What the mix needs, and columns under numbers, so that their names cannot clash."""
+    kept = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(names)]
+    return _mixed(docs.select("doc_id", "source", size_of().alias("size"), _order(seed), *kept), seed)
+
+
 def mix(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
     """The documents with size, source_size, target and `repeats`, the times each is taken.
 
     The new columns replace columns of the same names.
     """
     new = ("size", "source_size", "target", "repeats")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
-    return _mixed(docs.select(*kept, size_of().alias("size"), _order(seed)), seed)
+    names = [c for c in docs.columns if c.lower() not in new]
+    return _numbered(docs, names, seed).select(
+        *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)], *new)
+
+
+def repeated(docs: DataFrame, *, seed: int = SEED) -> DataFrame:
+    """The documents as rows, each as often as the mix takes it, with their own columns only."""
+    names = docs.columns
+    taken = _numbered(docs, names, seed).where("repeats > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")
+    numbered = [F.col(f"kept_{i}") for i in range(len(names))]
+    return taken.select(*numbered, copies).select(
+        *[c.alias(n) for c, n in zip(numbered, names, strict=True)])
 
 
 def mixed_sizes(docs: DataFrame, *, seed: int = SEED) -> DataFrame:

@@ -46,3 +46,33 @@ def test_pipeline_stages_do_their_work(spark):
     taken = contract.queries()["op10_mix_sources"](spark, SMALL)
     assert mixed.columns == docs.columns
     assert mixed.count() == taken.selectExpr("sum(taken / size)").first()[0]
+
+
+def test_stages_pass_on_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage + " one", "s"), (2, "a b " + passage + " two", "s"), (3, None, None),
+            (None, "no id", "t"), (4, "", "t"), (5, "text of its own", "t"), (5, "another", "t")]
+    spark.createDataFrame([(r[0], 1) for r in rows], "doc_id bigint, quality int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    names = ["n_words", "n_removed", "kept_text", "kept_0", "batch", "copy", "size", "repeats",
+             "epochs", "extra", "target", "score", "predicted", "component_id", "n", "__key"]
+    docs = spark.createDataFrame(
+        [(*r, 7, *[f"{c} {i}" for c in names]) for i, r in enumerate(rows)],
+        "doc_id bigint, text string, source string, n_chars bigint, "
+        + ", ".join(f"`{c}` string" for c in names))
+    for stage, function in corpus_pipeline.STAGES[:-1]:
+        found = function(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, stage
+        kept = found.collect()
+        assert kept, stage
+        for r in kept:
+            number = r["n_words"].split()[1]
+            assert all(r[c] == f"{c} {number}" for c in names), stage
+    # The document that loses its passage keeps its other words; the first one keeps all.
+    texts = {r["n_words"]: r["text"] for r in corpus_pipeline.repeated_passages(
+        spark, docs, str(tmp_path)).collect()}
+    assert texts["n_words 0"] == passage + " one" and texts["n_words 1"] == "a b two"
+    none = docs.where("false")
+    for stage, function in corpus_pipeline.STAGES:
+        assert function(spark, none, str(tmp_path)).collect() == [], stage
