@@ -40,21 +40,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document holds."""
     ship(spark)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = substring.without_repeats(docs, keep=others, as_is=True)
-    found = found.withColumn("text", F.col("kept_text"))
-    if "n_chars" in others:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars"))
-                                 .otherwise(F.length("text")).cast("bigint"))
-    return found.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    numbered = [f"other_{i}" for i in range(len(others))]
+    given = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in
+                                            zip(others, numbered, strict=True)])
+    found = substring.without_repeats(given, keep=tuple(numbered), as_is=True)
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    for name, number in zip(others, numbered, strict=True):
+        columns[name] = F.col(number)
+        if name == "n_chars":
+            columns[name] = F.when(F.col("n_removed") == 0, F.col(number)).otherwise(
+                F.length("kept_text")).cast(docs.schema[name].dataType)
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     ship(spark)
-    mixed = mixing.mix(docs).where("repeats > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(
-        *docs.columns)
+    return mixing.repeated(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
