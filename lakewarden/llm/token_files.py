@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from lakewarden.llm.text import rows_of, texts_of
 
 BLOCK_IDS = 65_536
+SHARD_ROWS = 20_000  # documents in a shard, and so in a file
 CACHED_WORDS = 1_000_000  # of about 200 bytes
 _WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}  # widths at which the format is an array of numbers
 # A run of these marks between a letter or digit and a blank, letter or digit is always split off.
@@ -150,8 +151,11 @@ class TokenFiles:
 
     @classmethod
     def write(cls, docs: DataFrame, path: str, tokenizer: str, end_id: int,
-              block_ids: int = BLOCK_IDS) -> TokenFiles:
+              block_ids: int = BLOCK_IDS, shard_rows: int = SHARD_ROWS) -> TokenFiles:
         """Encode all texts, append `end_id` to each, and write blocks in doc_id order."""
+        # Few large files; the order of ids needs no more ranges than there are files.
+        shards = max(-(-docs.count() // shard_rows),
+                     docs.sparkSession.sparkContext.defaultParallelism)
 
         def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoder = WordEncoder.of(tokenizer)
@@ -176,7 +180,7 @@ class TokenFiles:
             if parts:
                 yield _as_block(shard, block, first, bits, doc_ids, parts)
 
-        ordered = (texts_of(docs).repartitionByRange("doc_id")
+        ordered = (texts_of(docs).repartitionByRange(shards, "doc_id")
                    .sortWithinPartitions("doc_id", "text")
                    .withColumn("shard", F.spark_partition_id()))
         ordered.mapInArrow(encoded, BLOCKS).write.parquet(f"{path}/blocks")
