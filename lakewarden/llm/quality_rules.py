@@ -6,16 +6,21 @@ per word), each with a grid of cutoffs.
 
 For every stratum and rule a false rejection is a document labelled good that a cutoff turns down.
 The cutoffs of a rule are tested from the laxest on; a cutoff is safe if the exact (Clopper-
-Pearson) upper bound of its false rejection rate is at most `risk`. The error allowed, `alpha`, is
-divided by the number of tests (strata x rules x cutoffs), so with probability 1 - alpha no chosen
-cutoff of any stratum exceeds the risk. Of the safe cutoffs the strictest is taken that turns down
+Pearson) upper bound of its false rejection rate is at most `risk`. Tests of a rule stop at the
+first cutoff that fails, and rates only grow along a grid, so at most one test of a rule can go
+wrong: the one of the first cutoff that exceeds the risk. The error allowed, `alpha`, is therefore
+divided by strata x rules, not by cutoffs, and with probability 1 - alpha no chosen cutoff of any
+stratum exceeds the risk. Of the safe cutoffs the strictest is taken that turns down
 at least as many documents labelled bad as good ones, so no rule costs more than it brings; a rule
 without one is not used in that stratum. `risk` is the bound per rule; a stratum's rules together
 reject at most RULES times it.
 
-Strata are the values of a column; values with fewer than MIN_STRATUM labelled good documents, null,
-and those beyond the MAX_STRATA most frequent share one pooled stratum, which has its own cutoffs.
-Counts come from all labelled rows: they are histograms over the grids, so what reaches the driver
+Strata are the values of a column. A value has its own cutoffs if its labelled good documents are
+enough to pass the bound at all, that is with no false rejection; how many this takes follows from
+risk, alpha and the number of strata (297 for four strata, 228 at least). Smaller values, and those
+beyond the MAX_STRATA most frequent, share pooled cutoffs, tested on their labels together or, where
+these are too few as well, on those of all strata; the latter are not used for values without a
+good label, of which nothing is known. Null is a value like others. Counts come from all labelled rows: they are histograms over the grids, so what reaches the driver
 is at most strata x rules x cutoffs numbers.
 
 Defined results: a null text has no words and fails the base rule. Rows that share a doc_id are
@@ -40,9 +45,9 @@ from lakewarden.llm.text import rows_of, texts_of
 
 RISK = 0.02
 ALPHA = 0.05
-MIN_STRATUM = 200
 MAX_STRATA = 64
 POOLED = "*"
+_NULL = "\0"  # stands for null
 
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
 _LATER = re.compile(rb"[\x80-\xBF]")  # every byte of a character but its first
@@ -117,6 +122,10 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _value(stratum: str) -> Column:
+    return F.coalesce(F.col(stratum).cast("string"), F.lit(_NULL))
+
+
 def _rate(rule: Rule) -> Column:
     return F.when(F.col(rule.whole) > 0, F.col(rule.part) / F.col(rule.whole))
 
@@ -150,6 +159,14 @@ def bounded(k: int, n: int, risk: float, error: float) -> bool:
     return _log_tail(k, n, risk) <= math.log(error)
 
 
+def least_size(tests: int, risk: float, alpha: float) -> int:
+    """The fewest good documents with which a cutoff without a false rejection is bounded."""
+    n = max(1, math.ceil(math.log(alpha / tests) / math.log1p(-risk)) - 1)
+    while not bounded(0, n, risk, alpha / tests):
+        n += 1
+    return n
+
+
 def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: float = ALPHA,
                rules: tuple[Rule, ...] = RULES) -> dict[str, dict[str, float]]:
     """Cutoffs per stratum and rule from the measures of documents with a label `good`."""
@@ -157,24 +174,34 @@ def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: flo
     each = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), _strictness(r).alias("hits"))
                                for r in rules]))
     counts = (labelled.where(~base_failed())
-              .select(F.col(stratum).cast("string").alias("stratum"), "good", each.alias("x"))
+              .select(_value(stratum).alias("stratum"), "good", each.alias("x"))
               .groupBy("stratum", "x.rule", "x.hits")
               .agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("bad")))
     sizes = counts.where(F.col("rule") == rules[0].name).groupBy("stratum").agg(
         F.sum("n").alias("size"))
-    named = (sizes.where(F.col("stratum").isNotNull() & (F.col("size") >= MIN_STRATUM))
-             .orderBy(F.desc("size"), "stratum").limit(MAX_STRATA))
-    known = {r["stratum"] for r in named.collect()}
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    largest = (sizes.where(F.col("size") >= least_size(len(rules), risk, alpha))
+               .orderBy(F.desc("size"), "stratum").limit(MAX_STRATA)).collect()
+    largest = [(r["stratum"], r["size"]) for r in largest]
+    while largest:  # the more strata, the more good labels each of them takes
+        pool = sum(n for _, n in largest) < total
+        if largest[-1][1] >= least_size((len(largest) + pool) * len(rules), risk, alpha):
+            break
+        largest.pop()
+    known = {s for s, _ in largest}
+    rest = total - sum(n for _, n in largest)
+    tests = (len(known) + (rest > 0)) * len(rules)
     pooled = F.when(F.col("stratum").isin(*known), F.col("stratum")).otherwise(F.lit(POOLED)) \
         if known else F.lit(POOLED)
     rows = counts.groupBy(pooled.alias("stratum"), "rule", "hits").agg(
         F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()
     table: dict[tuple[str, str], Counter] = {}
     junk: dict[tuple[str, str], Counter] = {}
+    of_all = 0 < rest < least_size(tests, risk, alpha)
     for r in rows:
-        table.setdefault((r["stratum"], r["rule"]), Counter())[r["hits"]] += r["n"]
-        junk.setdefault((r["stratum"], r["rule"]), Counter())[r["hits"]] += r["bad"]
-    tests = (len(known) + 1) * sum(len(r.grid) for r in rules)
+        for name in {r["stratum"], POOLED} if of_all else {r["stratum"]}:
+            table.setdefault((name, r["rule"]), Counter())[r["hits"]] += r["n"]
+            junk.setdefault((name, r["rule"]), Counter())[r["hits"]] += r["bad"]
     chosen: dict[str, dict[str, float]] = {s: {} for s in (*known, POOLED)}
     for (name, rule_name), hits in table.items():
         rule = next(r for r in rules if r.name == rule_name)
@@ -186,6 +213,10 @@ def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: flo
                 break
             if caught and caught >= rejected:
                 chosen[name][rule_name] = float(cut)
+    if of_all:  # these are for the few values that have a good label
+        small = sizes.where((F.col("size") > 0) & ~F.col("stratum").isin(*known)).collect()
+        shared = chosen.pop(POOLED)
+        chosen.update({r["stratum"]: shared for r in small} | {POOLED: {}})
     return chosen
 
 
@@ -193,7 +224,7 @@ def verdict(chosen: dict[str, dict[str, float]], stratum: str,
             rules: tuple[Rule, ...] = RULES) -> Column:
     """True for documents that no chosen cutoff turns down; cutoffs are constants of the plan."""
     named = [s for s in chosen if s != POOLED]
-    value = F.col(stratum).cast("string")
+    value = _value(stratum)
     own = F.when(value.isin(*named), value).otherwise(F.lit(POOLED)) if named else F.lit(POOLED)
     bad = F.lit(False)
     for rule in rules:

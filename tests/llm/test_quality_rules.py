@@ -71,3 +71,42 @@ def test_without_labels_only_the_base_rule_works(spark, make_docs, work):
     assert {r["doc_id"]: r["kept"] for r in Q.judge(make_docs(rows), labels, work).collect()} == {
         1: True, 2: False}
     assert Q.judge(make_docs([]), labels, work + "-none").collect() == []
+
+
+def holdout(spark, sizes):
+    """Labelled measures: per language so many good documents and so many full of symbols."""
+    rows = [(lang, good, 100, 450, 0 if good else 300, 10, 0, 0)
+            for lang, n_good, n_bad in sizes
+            for good, n in ((True, n_good), (False, n_bad)) for _ in range(n)]
+    return spark.createDataFrame(rows, "lang string, good boolean, "
+                                 + ", ".join(f"{m} bigint" for m in (
+                                     "n_words", "word_chars", "n_symbols", "n_lines",
+                                     "n_dup_lines", "n_repeat_words")))
+
+
+def lost(spark, labelled):
+    """Documents turned down, by language and label."""
+    found = labelled.withColumn("kept", Q.verdict(Q.thresholds(labelled, "lang"), "lang"))
+    return Counter((r["lang"], r["good"]) for r in found.where("NOT kept").collect())
+
+
+def test_the_least_stratum_passes_the_bound():
+    for tests in (1, 5, 20, 325):
+        n = Q.least_size(tests, Q.RISK, Q.ALPHA)
+        assert Q.bounded(0, n, Q.RISK, Q.ALPHA / tests)
+        assert n == 1 or not Q.bounded(0, n - 1, Q.RISK, Q.ALPHA / tests)
+
+
+@pytest.mark.parametrize("good", [200, 307, 450, 600])
+def test_strata_of_any_size_lose_their_junk(spark, good):
+    sizes = [("en", 2000, 100), ("de", 480, 80), ("fr", 470, 80), ("es", good, 32), (None, 90, 9)]
+    turned_down = lost(spark, holdout(spark, sizes))
+    assert turned_down == {(lang, False): bad for lang, _, bad in sizes}
+
+
+def test_cutoffs_of_all_strata_are_not_for_unlabelled_ones(spark):
+    labelled = holdout(spark, [("en", 2000, 100), ("es", 40, 5)])
+    chosen = Q.thresholds(labelled, "lang")
+    others = holdout(spark, [("xx", 0, 3), ("es", 0, 3)])
+    kept = others.where(Q.verdict(chosen, "lang")).collect()
+    assert [r["lang"] for r in kept] == ["xx"] * 3
