@@ -44,6 +44,9 @@ _MARKS = re.compile(rb"(?<=[A-Za-z0-9])([.,!$%*&#|;:?]+)(?=[ \t-\rA-Za-z0-9]|\Z)
 BLOCKS = ("shard int, block int, first bigint, n_ids bigint, bits int, doc_ids array<bigint>, "
           "doc_starts array<bigint>, payload binary")
 
+# Bytes of ASCII and of letters up to U+02FF; no mark that combines with a letter holds only these.
+_PLAIN = bytes(b for b in range(256) if b < 0xCC)
+
 # One tokenizer and word cache per worker process and file; filled again after a restart.
 _encoders: dict[str, WordEncoder] = {}
 
@@ -99,7 +102,10 @@ class WordEncoder:
     Only for tokenizers that drop white space, ignore case, and split runs of letters, of digits and
     of other marks from each other. Then the ids of a text are those of its words in turn, and
     simple marks may be cut off a word and ASCII letters lower-cased first, which leaves far fewer
-    distinct words. Texts that may hold special tokens are only cut at blanks.
+    distinct words. Letters that a combining mark may follow are left as they are, because a small
+    letter can be composed with marks that its capital cannot, and the tokenizer composes first: in
+    a text with characters from U+0300 on only words of ASCII alone are lower-cased. Texts that may
+    hold special tokens are only cut at blanks.
     """
 
     def __init__(self, path: str):
@@ -117,7 +123,12 @@ class WordEncoder:
         return _encoders[path]
 
     def encode(self, text: bytes, end_id: int) -> np.ndarray:
-        words = text.split() if b"<|" in text else _MARKS.sub(rb" \1", text.lower()).split()
+        if b"<|" in text:
+            words = text.split()
+        elif text.isascii() or not text.translate(None, _PLAIN):
+            words = _MARKS.sub(rb" \1", text.lower()).split()
+        else:
+            words = [w.lower() if w.isascii() else w for w in _MARKS.sub(rb" \1", text).split()]
         missing = list(set(words).difference(self.known))
         if missing:
             if len(self.known) > CACHED_WORDS:

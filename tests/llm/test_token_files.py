@@ -44,3 +44,15 @@ def test_files_hold_what_the_library_gives(spark, make_docs, odd_texts, work):
 def test_no_documents(spark, make_docs, work):
     files = TokenFiles.write(make_docs([]), work, PATH, 2)
     assert files.documents(spark).collect() == []
+
+
+def test_capitals_with_marks_that_only_small_letters_compose_with(spark, make_docs, work):
+    pairs = ["H\u0331", "J\u030c", "T\u0308", "W\u030a", "Y\u030a"]
+    texts = [*pairs, *[f"Two {p}S, A.{p} ({p}'s) {p.lower()} Él" for p in pairs],
+             "J\u0323\u030c J\u0591\u030c E\u0301", " ".join(pairs), "".join(pairs),
+             "ÉL Über FÜR J", "THE \u2014 END\u2019S J\u030c <|x|>"]
+    files = TokenFiles.write(make_docs(list(enumerate(texts))), work, PATH, 2)
+    got = {r["doc_id"]: r["ids"] for r in files.documents(spark).collect()}
+    tokenizer = Tokenizer.from_file(PATH)
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+                   for i, t in enumerate(texts)}
