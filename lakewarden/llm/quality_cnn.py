@@ -1,8 +1,8 @@
 """Quality: a convolutional network over bytes, in numpy.
 
 A document is cut into chunks of CHUNK bytes, each overlapping the next by OVERLAP, down to its last
-byte. Every byte has a learned vector; FILTERS learned filters of WIDTH bytes pass over a chunk at
-every second byte, and each keeps its largest response (max-pooling). A hidden layer turns these
+byte. Every byte has a learned vector; FILTERS learned filters of WIDTH bytes pass over a chunk
+byte by byte, and each keeps its largest response (max-pooling). A hidden layer turns these
 into HIDDEN values per chunk; their mean and maximum over all chunks of the document go into one
 logistic unit. All parts are fitted together by gradient steps (Adam).
 
@@ -34,7 +34,6 @@ FIT_CHUNKS = 8
 CHUNK = 512
 OVERLAP = 64
 WIDTH = 8
-STRIDE = 2
 VECTOR = 4
 FILTERS = 32
 HIDDEN = 16
@@ -76,13 +75,13 @@ def _pooled(model: Model, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = block[i:i + AT_ONCE]
         vectors = model["bytes"][part].reshape(len(part), CHUNK * VECTOR)
         windows = np.lib.stride_tricks.sliding_window_view(
-            vectors, WIDTH * VECTOR, axis=1)[:, ::STRIDE * VECTOR]
+            vectors, WIDTH * VECTOR, axis=1)[:, ::VECTOR]
         places = windows.shape[1]
         responses = (windows.reshape(-1, WIDTH * VECTOR) @ model["filters"]).reshape(
             len(part), places, FILTERS)
         at = responses.argmax(axis=1)
         most.append(np.take_along_axis(responses, at[:, None], axis=1)[:, 0])
-        where.append(at * STRIDE)
+        where.append(at)
     return np.concatenate(most) + model["filter_bias"], np.concatenate(where)
 
 
@@ -93,7 +92,7 @@ def _pooled_values(model: Model, block: np.ndarray) -> np.ndarray:
         part = block[i:i + AT_ONCE]
         vectors = model["bytes"][part].reshape(len(part), CHUNK * VECTOR)
         windows = np.lib.stride_tricks.sliding_window_view(
-            vectors, WIDTH * VECTOR, axis=1)[:, ::STRIDE * VECTOR]
+            vectors, WIDTH * VECTOR, axis=1)[:, ::VECTOR]
         responses = windows.reshape(-1, WIDTH * VECTOR) @ model["filters"]
         most.append(responses.reshape(len(part), -1, FILTERS).max(axis=1))
     return np.concatenate(most) + model["filter_bias"]

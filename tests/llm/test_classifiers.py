@@ -94,3 +94,17 @@ def test_rejected_documents_go_with_their_columns_kept(spark, make_docs, work):
     found = quality_cnn.accepted(docs, labels, crc32_mod("doc_id", 2) >= 0, work)
     assert found.columns == docs.columns
     assert {r["doc_id"] for r in found.collect()} >= {i for i in range(60) if i % 2}
+
+
+def test_a_pattern_is_seen_at_any_byte():
+    model = quality_cnn._start()
+    pattern = np.frombuffer(b"odd\xc3\xa9byt", dtype=np.uint8)
+    model["filters"][:, 0] = model["bytes"][pattern].ravel()  # its largest response to the pattern
+    full = float((model["filters"][:, 0] ** 2).sum())
+    for at in (0, 1, 10, 11, 447, 448, 449, 503, 504):
+        text = b" " * at + pattern.tobytes() + b" " * (1200 - at)
+        block = quality_cnn.chunks(text)
+        most, where = quality_cnn._pooled(model, block)
+        assert np.array_equal(most, quality_cnn._pooled_values(model, block))
+        assert np.isclose(most[:, 0].max(), full, rtol=1e-5)
+        assert where[0, 0] == at
