@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import chat, jaccard_join, mixing, pieces, quality_cnn, quality_rules, substring, topk, toxicity
+from lakewarden.llm import chat, jaccard_join, mixing, packing, pieces, quality_cnn, quality_rules, substring, topk, toxicity
 from lakewarden.llm.shipping import ship
 from lakewarden.llm.text import crc32_mod
 from lakewarden.llm.token_files import TokenFiles
@@ -19,6 +19,7 @@ SQL: dict[str, str] = {}
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
 PIECES = "piece_bpe_32k.model"
+BYTE_BPE, BYTE_BPE_END = "byte_bpe_50k.json", 1
 
 
 def query(sql: str | None = None) -> Callable[[Run], Run]:
@@ -188,3 +189,9 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mixed_sizes(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target",
                         (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+@query()
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), tokenizer_path(BYTE_BPE), BYTE_BPE_END,
+                          fresh_path(spark, "packing"), with_ids=False)
