@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import chat, jaccard_join, mixing, packing, pieces, quality_cnn, quality_rules, substring, topk, toxicity
+from lakewarden.llm import alignment, chat, jaccard_join, mixing, packing, pieces, quality_cnn, quality_rules, substring, topk, toxicity
 from lakewarden.llm.shipping import ship
 from lakewarden.llm.text import crc32_mod
 from lakewarden.llm.token_files import TokenFiles
@@ -195,3 +195,10 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), tokenizer_path(BYTE_BPE), BYTE_BPE_END,
                           fresh_path(spark, "packing"), with_ids=False)
+
+
+@query()
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = alignment.aligned(table(spark, folder, "documents"), tokenizer_path(BYTE_BPE),
+                              tokenizer_path(PIECES), fresh_path(spark, "alignment"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
