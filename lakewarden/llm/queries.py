@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import alignment, chat, jaccard_join, mixing, packing, pieces, quality_cnn, quality_rules, substring, topk, toxicity
+from lakewarden.llm import alignment, chat, jaccard_join, mixing, packing, phrases, pieces, quality_cnn, quality_rules, substring, topk, toxicity
 from lakewarden.llm.shipping import ship
 from lakewarden.llm.text import crc32_mod
 from lakewarden.llm.token_files import TokenFiles
@@ -202,3 +202,29 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     found = alignment.aligned(table(spark, folder, "documents"), tokenizer_path(BYTE_BPE),
                               tokenizer_path(PIECES), fresh_path(spark, "alignment"), digest=True)
     return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query(r"""WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) t(k)
+  WHERE len(w) >= k),
+f AS (SELECT lang, k, w[i:i + k - 1] AS g, count(*) AS f FROM places GROUP BY ALL),
+c AS (SELECT lang, k, g, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND f >= 10),
+s AS (SELECT c.lang, c.k, c.g, a, cut, x.f AS l, y.f AS r,
+    CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:cut]
+  JOIN f y ON y.lang = c.lang AND y.g = c.g[cut + 1:c.k]),
+lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (SELECT lang, g[j:j + 1] AS g, max(f) AS longer
+  FROM (SELECT lang, g, f, unnest([1, 2]) AS j FROM f WHERE k = 3 AND f >= 10) GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, g)
+  WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (
+  PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.phrases(table(spark, folder, "documents"), fresh_path(spark, "phrases"))
