@@ -40,7 +40,8 @@ from lakewarden.llm.perfect_hash import PerfectHash
 from lakewarden.llm.sketch import bits, flags
 from lakewarden.llm.text import mix, rows_of, texts_of
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+SPELLED = 1 << 17  # tokens whose ids are held as text at a time, but for longer documents
 SHARDS = 64
 FAN = 64
 
@@ -103,22 +104,34 @@ class Aligned:
         """Ids of each document's groups: A ids, a bar, B ids; groups parted by semicolons."""
         group = np.cumsum(self.both) - self.both
         sides = []
-        for of, ids, n, mark in ((self.of_a, self.a, self.n_a, "|"), (self.of_b, self.b, self.n_b, ";")):
+        for of, n in ((self.of_a, len(self.a)), (self.of_b, len(self.b))):
             # A token's group is that of its last stretch; so is every other stretch of it.
-            own = np.empty(len(ids), dtype=np.int64)
+            own = np.empty(n, dtype=np.int64)
             own[of] = group
-            last = np.ones(len(ids), dtype=bool)
+            last = np.ones(n, dtype=bool)
             last[:-1] = own[1:] != own[:-1]
-            words = [str(i) for i in ids.tolist()]
-            sides.append((own, [w + (mark if z else ",") for w, z in zip(words, last.tolist(), strict=True)]))
-        (own_a, words_a), (own_b, words_b) = sides
-        # A before B within a group.
-        order = np.argsort(np.concatenate([own_a * 2, own_b * 2 + 1]), kind="stable")
-        words = words_a + words_b
-        ordered = [words[i] for i in order.tolist()]
-        ends = np.cumsum(self.n_a + self.n_b)
-        return ["".join(ordered[end - n:end])[:-1] for end, n in
-                zip(ends.tolist(), (self.n_a + self.n_b).tolist(), strict=True)]
+            sides.append((own, last))
+        (group_a, last_a), (group_b, last_b) = sides
+        ends = [np.concatenate([[0], np.cumsum(n)]).tolist() for n in (self.n_a, self.n_b)]
+        out: list[str] = []
+        while len(out) < len(self.n_a):  # some documents at a time
+            begin = end = len(out)
+            while end < len(self.n_a) and (end == begin or ends[0][end + 1] + ends[1][end + 1]
+                                           - ends[0][begin] - ends[1][begin] <= SPELLED):
+                end += 1
+            at_a, at_b = (slice(e[begin], e[end]) for e in ends)
+            words = [f"{i}|" if z else f"{i}," for i, z in zip(
+                self.a[at_a].tolist(), last_a[at_a].tolist(), strict=True)]
+            words += [f"{i};" if z else f"{i}," for i, z in zip(
+                self.b[at_b].tolist(), last_b[at_b].tolist(), strict=True)]
+            # A before B within a group.
+            order = np.argsort(np.concatenate([group_a[at_a] * 2, group_b[at_b] * 2 + 1]), kind="stable")
+            ordered = list(map(words.__getitem__, order.tolist()))
+            at = 0
+            for n in (self.n_a[begin:end] + self.n_b[begin:end]).tolist():
+                out.append("".join(ordered[at:at + n])[:-1])
+                at += n
+        return out
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
 
 LONG_BLANK = 1000
 # Fixed value: how this family of tokenizers splits a text before merging.
@@ -35,8 +36,6 @@ class ByteEncoder:
 
     def __init__(self, path: str, special: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tiktoken
-        from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as file:
             parsed = json.load(file)
         letters = byte_letters()
@@ -47,10 +46,21 @@ class ByteEncoder:
         self.tokens = [b""] * self.size
         for word, i in ranks.items():
             self.tokens[i] = word
+        self.path, self.ranks = path, ranks
+        self.takes_special = special
         self.special = list(added) if special else []
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = not special
-        self.fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def fast(self):
+        import tiktoken
+        return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=self.ranks, special_tokens={})
+
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = not self.takes_special
+        return whole
 
     @classmethod
     def of(cls, path: str, special: bool) -> ByteEncoder:
