@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm import quotient_filter as qf
 from lakewarden.llm.text import texts_of
-from lakewarden.operators.keyed import salted_join
 
 LEAST = 10
 COVER = 50
@@ -198,9 +197,9 @@ def _score(a: str, left: str, right: str) -> Column:
 
 
 def _with_words(rows: DataFrame, words: DataFrame, column: str, **columns: str) -> DataFrame:
-    """Columns of the word behind an id; very common words are salted."""
-    right = words.select(F.col("id").alias("__id"), *[F.col(c).alias(n) for n, c in columns.items()])
-    return salted_join(rows, right, [column], ["__id"], "inner").drop("__id")
+    """Columns of the word behind an id. Spark splits a very common word's rows (adaptive skew join)."""
+    return rows.join(words.select(F.col("id").alias(column), *[
+        F.col(c).alias(n) for n, c in columns.items()]), column)
 
 
 def phrases(docs: DataFrame, work: str, *, least: int = LEAST, cover: int = COVER, top: int = TOP,
@@ -232,8 +231,7 @@ def phrases(docs: DataFrame, work: str, *, least: int = LEAST, cover: int = COVE
                       F.coalesce(F.sum("f"), F.lit(1)).alias("words")).first()
     if facts["ids"] >= 1 << 32:
         raise ValueError("more words than a number of 32 bits can tell apart")
-    known = words.select(F.col("lang").alias("known_lang"), F.col("word").alias("known_word"), "id")
-    ids = salted_join(entries.drop("n"), known, ["lang", "word"], ["known_lang", "known_word"], "inner").select(
+    ids = entries.drop("n").join(words.drop("f"), ["lang", "word"]).select(
         F.col("chunk").alias("of_chunk"), "code", "id")
     grams = written(counted_ngrams(chunks.select("chunk", "codes"), ids, int(facts["ids"]).bit_length(),
                                    facts["words"], least, fan, shard_entries), "grams")
@@ -265,7 +263,7 @@ def phrases(docs: DataFrame, work: str, *, least: int = LEAST, cover: int = COVE
     near = kept.unionByName(scored_triples).withColumn("place", F.rank().over(best)).where(
         F.col("place") <= top).drop("place")
     # Up to here phrases are ids; only those that may be reported get their texts.
-    texts = near
+    texts = written(near, "near")
     for i in (1, 2):
         texts = _with_words(texts, words, f"w{i}", **{f"t{i}": "word"})
     third = words.select(F.col("id").alias("w3"), F.col("word").alias("t3"))
