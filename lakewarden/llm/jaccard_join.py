@@ -1,8 +1,9 @@
 """Near-duplicate classes: documents whose sets of word shingles have a Jaccard similarity of at
 least PERCENT in a hundred, found with PartEnum signatures (see part_enum.py). No link is lost.
 
-1. Documents with equal sets are one class, named by its smallest doc_id; from here on a class is
-   one text. Groups of copies never meet in one task: they are counted away before the shuffle.
+1. Documents with equal sets are one class, which gets a number; from here on a class is one text of
+   its smallest doc_id. Groups of copies never meet in one task: they are counted away before the
+   shuffle. Numbers are unique, also where several classes have the same smallest doc_id.
 2. Signatures of all classes go through a count-min prefilter (see sketch.py); those estimated
    shared are sent to shards, one entry per batch and signature, and the shards answer which are
    shared and the smallest class behind each ("centre"). A class counts the groups in which it
@@ -12,11 +13,12 @@ least PERCENT in a hundred, found with PartEnum signatures (see part_enum.py). N
    component; and all pairs of different components behind a signature that is still not settled.
    The last round compares sizes and parity maps before a pair is named, and these exclude only
    pairs that cannot be similar. So large groups of near copies come together by way of their
-   centres, and pairs within a component are never listed.
+   centres, and pairs within a component are never listed. A signature that many share is cut into
+   blocks, and every two of its blocks are compared in a group of their own.
 4. Components come from smallest labels passed along links with pointer jumping, in tables.
 
 A set holds 64-bit hashes of shingles of SHINGLE words, A-Z lower-cased; a document with fewer words
-has its whole sequence as one shingle.
+has its whole sequence as one shingle. Whether two sets are equal is decided by 128 bits.
 
 Defined results: documents without words, with null text included, have no shingles and link with
 nothing; their component is their own id. Rows that share a doc_id have one component each, by
@@ -35,7 +37,14 @@ from pyspark.sql import functions as F
 
 from lakewarden.llm import part_enum
 from lakewarden.llm.sketch import Sketch, bits, flags
-from lakewarden.llm.substring import BATCH_BYTES, BYTES_PER_WORD, batch_of, batches, merged
+from lakewarden.llm.substring import (
+    BATCH_BYTES,
+    BYTES_PER_WORD,
+    batch_of,
+    batches,
+    merged,
+    spread,
+)
 from lakewarden.llm.text import mix, rolling, rows_of, texts_of, window_starts, word_hashes
 from lakewarden.operators.keyed import Skew, heavy_keys, salted_join
 
@@ -45,17 +54,16 @@ PERCENT = 80
 # the fewer the groups, the less often a pair is named.
 CROSSING_BYTES = 128 << 20
 CHUNK = 512  # classes verified against one centre in one group
+BLOCK = 4096  # members of an open signature in one group, about
 
 _ANSWERS = "batch int, kind int, shard int, answers array<binary>"
 
 
-def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    words, counts = word_hashes([t.lower() for t in texts])
+def _sets(words: np.ndarray, counts: np.ndarray, width: int, which: int) -> list[np.ndarray]:
     starts, owner = window_starts(counts, width)
-    hashes = rolling(words, width)[starts] if len(starts) else np.empty(0, dtype=np.uint64)
-    ends = np.searchsorted(owner, np.arange(len(texts)), "right")
-    firsts = np.searchsorted(owner, np.arange(len(texts)), "left")
+    hashes = rolling(words, width, which)[starts] if len(starts) else np.empty(0, dtype=np.uint64)
+    ends = np.searchsorted(owner, np.arange(len(counts)), "right")
+    firsts = np.searchsorted(owner, np.arange(len(counts)), "left")
     upto = np.cumsum(counts)
     sets = []
     for i, n in enumerate(counts):
@@ -65,57 +73,67 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
             np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
             sets.append(ordered[new])
         elif n:
-            sets.append(rolling(words[upto[i] - n:upto[i]], int(n)) + np.uint64(n))
+            sets.append(rolling(words[upto[i] - n:upto[i]], int(n), which) + np.uint64(n))
         else:
             sets.append(np.empty(0, dtype=np.uint64))
     return sets
 
 
-def _identities(sets: list[np.ndarray]) -> np.ndarray:
-    """A 128-bit hash of each set, as two 64-bit numbers."""
+def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    words, counts = word_hashes([t.lower() for t in texts])
+    return _sets(words[0], counts, width, 0)
+
+
+def named_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[list[np.ndarray], np.ndarray]:
+    """As `shingle_sets`, with a 128-bit hash of each set, whose halves come from the two independent
+    hashes of its shingles."""
+    words, counts = word_hashes([t.lower() for t in texts])
+    sets = _sets(words[0], counts, width, 0)
     names = np.zeros((len(sets), 2), dtype=np.int64)
-    some = np.flatnonzero([len(s) > 0 for s in sets])
+    some = np.flatnonzero(counts)
     if len(some):
-        values = np.concatenate([sets[i] for i in some])
-        begin = np.cumsum([0, *(len(sets[i]) for i in some)])[:-1]
-        for column, seed in ((0, 31), (1, 33)):
-            mixed = mix(values, seed)
+        for column, own in ((0, sets), (1, _sets(words[1], counts, width, 1))):
+            begin = np.cumsum([0, *(len(own[i]) for i in some)])[:-1]
+            mixed = mix(np.concatenate([own[i] for i in some]), 31 + 2 * column)
             with np.errstate(over="ignore"):
                 names[some, column] = mix(np.add.reduceat(mixed, begin)
                                           + np.bitwise_xor.reduceat(mixed, begin)).view(np.int64)
-    return names
+    return sets, names
 
 
 def _members(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and the hash of the set, per row."""
+    """doc_id, n_shingles, the hash of the set, and what the row's batch follows from, per row."""
     def run(record_batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches:
+            at = 0
             for ids, texts in rows_of([batch]):
-                sets = shingle_sets(texts, width)
-                names = _identities(sets)
+                sets, names = named_sets(texts, width)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(names[:, 0]), pa.array(names[:, 1])],
-                    ["doc_id", "n_shingles", "h1", "h2"])
-    return texts_of(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint")
+                     pa.array(names[:, 0]), pa.array(names[:, 1]),
+                     batch.column("spread").slice(at, len(ids))],
+                    ["doc_id", "n_shingles", "h1", "h2", "spread"])
+                at += len(ids)
+    return texts_of(docs).withColumn("spread", spread()).mapInArrow(
+        run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, spread bigint")
 
 
 class _Classes:
     """The classes of a batch with their texts, sets and signatures."""
 
     def __init__(self, table: pa.Table, more: pa.Table, width: int, percent: int):
-        wanted = {(r["cid"], r["h1"], r["h2"]) for r in more.select(
-            ["kind", "cid", "h1", "h2"]).to_pylist() if r["kind"] == 2}
-        ids = {c for c, _, _ in wanted}
+        wanted = {(r["doc"], r["h1"], r["h2"]): r["cid"] for r in more.select(
+            ["kind", "cid", "doc", "h1", "h2"]).to_pylist() if r["kind"] == 2}
+        ids = {d for d, _, _ in wanted}
         rows = {(i, t) for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(),
                                       strict=True) if i in ids}
         rows = sorted(rows)
-        sets = shingle_sets([t for _, t in rows], width)
+        sets, names = named_sets([t for _, t in rows], width)
         self.ids, self.texts, self.sets = [], [], []
-        for (cid, text), s, name in zip(rows, sets, _identities(sets).tolist(), strict=True):
-            key = (cid, *name)
-            if key in wanted:  # one text of each class, even if the id stands for several rows
-                wanted.discard(key)
+        for (doc_id, text), s, name in zip(rows, sets, names.tolist(), strict=True):
+            cid = wanted.pop((doc_id, *name), None)
+            if cid is not None:  # one text of each class, even if several rows have its doc_id
                 self.ids.append(cid)
                 self.texts.append(text)
                 self.sets.append(s)
@@ -250,17 +268,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     sent = (pairs.join(chunks, "a")
             .withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
-            .join(texts.select(F.col("cid").alias("b"), "text"), "b").select("a", "chunk", "b", "text"))
-    hubs = (chunks.join(texts.select(F.col("cid").alias("a"), "text"), "a")
-            .select(F.col("a").alias("hub"), "text", F.explode(
+            .join(texts.select(F.col("cid").alias("b"), F.col("text").alias("other")), "b")
+            .select("a", "chunk", "b", "other"))
+    hubs = (chunks.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("own")), "a")
+            .select(F.col("a").alias("hub"), "own", F.explode(
                 F.sequence(F.lit(0), F.col("chunks") - 1)).alias("hub_chunk")))
 
     def run(hub: pa.Table, others: pa.Table) -> pa.Table:
         a: list[int] = []
         b: list[int] = []
         if len(hub) and len(others):
-            own = shingle_sets(hub["text"].to_pylist()[:1], width)[0]
-            sets = shingle_sets(others["text"].to_pylist(), width)
+            own = shingle_sets(hub["own"].to_pylist()[:1], width)[0]
+            sets = shingle_sets(others["other"].to_pylist(), width)
             for other, s in zip(others["b"].to_pylist(), sets, strict=True):
                 at = np.minimum(np.searchsorted(own, s), len(own) - 1)
                 common = int((own[at] == s).sum())
@@ -279,8 +298,11 @@ def components(links: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -
     labels = both.groupBy(F.col("a").alias("cid")).agg(
         F.least(F.min("b"), F.col("cid")).alias("label"))
     labels = write(labels, "labels")
+    # Every link is there both ways, so a centre has as many links to it as from it.
+    heavy = heavy_keys(both.groupBy("b").agg(F.count("*").alias("n")), "n", Skew())
     while True:
-        near = (both.join(labels.select(F.col("cid").alias("b"), "label"), "b")
+        of_b = labels.select(F.col("cid").alias("of"), "label")
+        near = (salted_join(both, of_b, ["b"], ["of"], "inner", heavy=heavy)
                 .groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near")))
         stepped = labels.join(near, "cid").select(
             "cid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -294,7 +316,8 @@ def components(links: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -
 
 
 def _unsettled(table: pa.Table) -> pa.Table:
-    """Shard side: signatures behind which there is more than one component."""
+    """Shard side: into how many blocks the members of each signature go; 0 where all of them are in
+    one component."""
     keys = _joined(table, "keys", np.uint64)
     low, high = _joined(table, "low", np.int64), _joined(table, "high", np.int64)
     found, back = np.unique(keys, return_inverse=True)
@@ -302,36 +325,48 @@ def _unsettled(table: pa.Table) -> pa.Table:
     most = np.full(len(found), np.iinfo(np.int64).min)
     np.minimum.at(least, back, low)
     np.maximum.at(most, back, high)
-    several = (least < most)[back]
+    members = np.zeros(len(found), dtype=np.int64)
+    np.add.at(members, back, _joined(table, "members", np.int64))
+    blocks = np.where(least < most, -(-members // BLOCK), 0)[back].astype(np.int32)
     ends = np.cumsum([len(b) // 8 for b in table["keys"].to_pylist()])
     return pa.table({"batch": table["batch"], "shard": table["shard"],
-                     "several": pa.array([bits(p) for p in np.split(several, ends[:-1])])})
+                     "blocks": pa.array([p.tobytes() for p in np.split(blocks, ends[:-1])])})
 
 
 def _crossing(percent: int):
-    """The last round, for some of the signatures: pairs of components apart that may be similar."""
+    """The last round, for some blocks of signatures: pairs of components apart that may be similar."""
     def run(table: pa.Table) -> pa.Table:
         keys = _joined(table, "keys", np.uint64)
         cids, labels, sizes = (_joined(table, c, np.int64) for c in ("cids", "labels", "sizes"))
         maps = _joined(table, "parities", np.uint64).reshape(len(cids), -1)
+        sides = _joined(table, "sides", np.int8)
         # Members point into the classes of their own row.
         members, before = [], 0
         for row in table.select(["members", "cids"]).to_pylist():
             members.append(np.frombuffer(row["members"], dtype=np.int64) + before)
             before += len(row["cids"]) // 8
         member = np.concatenate(members) if members else np.empty(0, dtype=np.int64)
-        order = np.lexsort((cids[member], keys))
+        order = np.lexsort((cids[member], labels[member], keys))
         edges = np.flatnonzero(np.diff(keys[order])) + 1
         found = [np.empty((0, 2), dtype=np.int64)]
         held = 0
-        for at in np.split(member[order], edges) if len(order) else []:
-            for i in range(len(at) - 1):  # one member against all that follow
-                x, rest = at[i], at[i + 1:]
-                rest = rest[labels[rest] != labels[x]]
+        for part in np.split(order, edges) if len(order) else []:
+            at, side = member[part], sides[part]
+            if side.any():  # two blocks: only across
+                first, second = at[side == 1], at[side == 2]
+                begin = np.zeros(len(first), dtype=np.int64)
+            else:  # by component: each member against those of the components that follow
+                first = second = at
+                begin = np.searchsorted(labels[at], labels[at], "right")
+            for x, after in zip(first, begin, strict=True):
+                rest = second[after:]
+                if side.any():
+                    rest = rest[labels[rest] != labels[x]]
                 if len(rest):
                     rest = rest[part_enum.may_reach(maps[x], sizes[x], maps[rest], sizes[rest],
                                                     percent)]
-                    found.append(np.stack([np.full(len(rest), cids[x]), cids[rest]], axis=1))
+                    pair = np.stack([np.full(len(rest), cids[x]), cids[rest]], axis=1)
+                    found.append(np.sort(pair, axis=1))
                     held += len(rest)
                 if held > 1 << 20:  # most pairs meet on many signatures
                     found, held = [np.unique(np.concatenate(found), axis=0)], 0
@@ -340,6 +375,20 @@ def _crossing(percent: int):
     return run
 
 
+def _block_pairs(keys: np.ndarray, cids: np.ndarray, blocks: np.ndarray
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each member once for every pair of blocks it takes part in: its position, the key of that pair
+    of blocks, and its side (0: a block with itself, 1 and 2: the two sides of a pair)."""
+    at = np.repeat(np.arange(len(keys)), blocks)
+    many = blocks[at]
+    other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = (mix(cids[at].view(np.uint64), 77) % many.astype(np.uint64)).astype(np.int64)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    pair = (low * many + high).astype(np.uint64)
+    key = np.where(many == 1, keys[at], mix(keys[at] + mix(pair, 78), 79))
+    return at, key, np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)
+
+
 def near_duplicates(docs: DataFrame, work: str, *, width: int = SHINGLE, percent: int = PERCENT,
                     batch_bytes: int = BATCH_BYTES, cell_bits: int = 24) -> DataFrame:
     """doc_id, n_shingles, component_id; `work` is a fresh folder that all executors can reach."""
@@ -360,17 +409,21 @@ def near_duplicates(docs: DataFrame, work: str, *, width: int = SHINGLE, percent
 
     members = write(_members(docs, width), "members")
     classes = (members.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("h1", "h2")
-               .agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies")))
+               .agg(F.min(F.struct("doc_id", "spread")).alias("first"), F.count("*").alias("copies")))
+    # The numbers are written, so whatever runs again finds them as they were.
+    classes = write_ids(classes.select(
+        F.monotonically_increasing_id().alias("cid"), F.col("first.doc_id").alias("doc"),
+        F.col("first.spread").alias("spread"), "h1", "h2", "copies"), "classes")
     given, size, number = batches(docs, batch_bytes=batch_bytes)
     sketch = Sketch.for_keys(size // BYTES_PER_WORD, cell_bits, depth=1, spare_bits=4)
 
     # Everything a batch is told has one form: its classes (kind 2), answers of shards (0 and 1).
-    told = ["batch", "kind", "shard", "answers", "cid", "h1", "h2"]
-    no_class = {c: F.lit(None).cast("bigint") for c in ("cid", "h1", "h2")}
+    told = ["batch", "kind", "shard", "answers", "cid", "doc", "h1", "h2"]
+    no_class = {c: F.lit(None).cast("bigint") for c in ("cid", "doc", "h1", "h2")}
     named = classes.select(
-        batch_of(F.col("cid"), number).alias("batch"), F.lit(2).alias("kind"),
+        batch_of(F.col("spread"), number).alias("batch"), F.lit(2).alias("kind"),
         F.lit(None).cast("int").alias("shard"),
-        F.lit(None).cast("array<binary>").alias("answers"), "cid", "h1", "h2")
+        F.lit(None).cast("array<binary>").alias("answers"), "cid", "doc", "h1", "h2")
     grouped = given.groupBy("batch")
     sketches = grouped.cogroup(named.groupBy("batch")).applyInArrow(
         _sketched(sketch, width, percent), "shard int, batch int, blobs array<binary>")
@@ -388,25 +441,32 @@ def near_duplicates(docs: DataFrame, work: str, *, width: int = SHINGLE, percent
     texts = found.where("cid IS NOT NULL").select("cid", "text")
     centred = found.where("cid IS NOT NULL").select("cid", "centres")
     least = F.array_min("centres")
-    pairs = centred.where(least < F.col("cid")).select(least.alias("a"), F.col("cid").alias("b"))
+    # Pairs are written, as they are counted and joined, and far smaller than what they come from.
+    pairs = write_ids(centred.where(least < F.col("cid")).select(
+        least.alias("a"), F.col("cid").alias("b")), "pairs")
     links = write_ids(_verified(pairs, texts, width, percent), "round")
     labels = components(links, write_ids)
 
     rest = centred.select(F.explode("centres").alias("a"), F.col("cid").alias("b"), least.alias("l"))
-    rest = _apart(rest.where("a <> b AND a <> l").select("a", "b"), labels)
+    rest = write_ids(_apart(rest.where("a <> b AND a <> l").select("a", "b"), labels), "pairs")
     links = links.unionByName(write_ids(_verified(rest, texts, width, percent), "round"))
     labels = components(links, write_ids)
 
-    crossing = _still_apart(found, labels, percent, -(-size // CROSSING_BYTES))
+    crossing = write_ids(_still_apart(found, labels, percent, -(-size // CROSSING_BYTES)), "pairs")
     links = links.unionByName(write_ids(_verified(crossing, texts, width, percent), "round"))
     labels = components(links, write_ids)
 
+    # A component is named by the smallest doc_id of its classes. Most classes are their own component.
+    linked = write_ids(classes.join(labels, "cid").select("label", "doc", "h1", "h2", "copies"), "linked")
+    lowest = linked.groupBy(F.col("label").alias("of")).agg(F.min("doc").alias("component"))
+    grown = salted_join(linked, lowest, ["label"], ["of"], "inner").select("h1", "h2", "component")
+    alone = classes.join(labels.select("cid"), "cid", "left_anti").select(
+        "h1", "h2", F.col("doc").alias("component"))
+    component = grown.unionByName(alone).select(
+        F.col("h1").alias("c1"), F.col("h2").alias("c2"), "component")
     # A class may hold a third of all rows, so its rows are dealt over tasks by their content.
-    component = classes.join(labels, "cid", "left").select(
-        F.col("h1").alias("c1"), F.col("h2").alias("c2"),
-        F.coalesce("label", "cid").alias("component"))
     heavy = heavy_keys(classes.select("h1", "h2", "copies"), "copies", Skew())
-    joined = salted_join(members, component, ["h1", "h2"], ["c1", "c2"], "left", heavy=heavy)
+    joined = salted_join(members.drop("spread"), component, ["h1", "h2"], ["c1", "c2"], "left", heavy=heavy)
     return joined.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(
             F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")))
@@ -437,48 +497,53 @@ def _still_apart(found: DataFrame, labels: DataFrame, percent: int, groups: int)
         label = dict(zip(classes["cid"].to_pylist(), classes["label"].to_pylist(), strict=True))
         rows = []
         for r in signatures.to_pylist():
-            keys, begin = np.unique(np.frombuffer(r["keys"], dtype=np.uint64), return_index=True)
+            keys, begin, members = np.unique(np.frombuffer(r["keys"], dtype=np.uint64),
+                                             return_index=True, return_counts=True)
             own = np.array([label[c] for c in np.frombuffer(r["cids"], dtype=np.int64).tolist()],
                            dtype=np.int64)
             rows.append((r["shard"], r["batch"], keys.tobytes(),
                          np.minimum.reduceat(own, begin).tobytes(),
-                         np.maximum.reduceat(own, begin).tobytes()))
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                         np.maximum.reduceat(own, begin).tobytes(), members.tobytes()))
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                        names=["shard", "batch", "keys", "low", "high"])
+                        names=["shard", "batch", "keys", "low", "high", "members"])
 
     ends = shared.groupBy("batch").cogroup(facts.groupBy("of_batch")).applyInArrow(
-        lowest, "shard int, batch int, keys binary, low binary, high binary")
+        lowest, "shard int, batch int, keys binary, low binary, high binary, members binary")
     several = ends.groupBy("shard").applyInArrow(
-        _unsettled, "batch int, shard int, several binary")
+        _unsettled, "batch int, shard int, blocks binary")
 
     def open_ones(signatures: pa.Table, classes: pa.Table) -> pa.Table:
         """Members of the batch behind signatures that are not settled, with what a test takes."""
         facts_of = {c: (la, n, p) for c, la, n, p in zip(*(
             classes[x].to_pylist() for x in ("cid", "label", "n", "parity")), strict=True)}
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        opened: list[tuple[np.ndarray, ...]] = []
         for r in signatures.to_pylist():
-            keys = np.frombuffer(r["keys"], dtype=np.uint64)
-            distinct, back = np.unique(keys, return_inverse=True)
-            hit = flags(r["several"], len(distinct))[back]
-            if hit.any():
-                parts.setdefault(r["shard"] % groups, []).append(
-                    (keys[hit], np.frombuffer(r["cids"], dtype=np.int64)[hit]))
+            keys, cids = np.frombuffer(r["keys"], dtype=np.uint64), np.frombuffer(r["cids"], dtype=np.int64)
+            _, back = np.unique(keys, return_inverse=True)
+            blocks = np.frombuffer(r["blocks"], dtype=np.int32).astype(np.int64)[back]
+            if blocks.any():
+                at, key, side = _block_pairs(keys, cids, blocks)
+                opened.append((key, cids[at], side))
         rows = []
-        for part, found in parts.items():
-            keys, cids = (np.concatenate(c) for c in zip(*found, strict=True))
-            own, members = np.unique(cids, return_inverse=True)
-            known = [facts_of[c] for c in own.tolist()]
-            rows.append((part, keys.tobytes(), members.astype(np.int64).tobytes(), own.tobytes(),
-                         np.array([x[0] for x in known], dtype=np.int64).tobytes(),
-                         np.array([x[1] for x in known], dtype=np.int64).tobytes(),
-                         b"".join(x[2] for x in known)))
-        kinds = [pa.int32()] + [pa.binary()] * 6
+        if opened:
+            keys, cids, sides = (np.concatenate(c) for c in zip(*opened, strict=True))
+            part = (mix(keys, 80) % np.uint64(groups)).astype(np.int64)
+            for p in np.unique(part).tolist():
+                here = part == p
+                own, members = np.unique(cids[here], return_inverse=True)
+                known = [facts_of[c] for c in own.tolist()]
+                rows.append((p, keys[here].tobytes(), members.astype(np.int64).tobytes(),
+                             sides[here].tobytes(), own.tobytes(),
+                             np.array([x[0] for x in known], dtype=np.int64).tobytes(),
+                             np.array([x[1] for x in known], dtype=np.int64).tobytes(),
+                             b"".join(x[2] for x in known)))
+        kinds = [pa.int32()] + [pa.binary()] * 7
         return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                        names=["part", "keys", "members", "cids", "labels", "sizes", "parities"])
+                        names=["part", "keys", "members", "sides", "cids", "labels", "sizes", "parities"])
 
     opened = (shared.join(several, ["batch", "shard"]).groupBy("batch")
               .cogroup(facts.groupBy("of_batch")).applyInArrow(
-                  open_ones, "part int, keys binary, members binary, cids binary, labels binary, "
-                             "sizes binary, parities binary"))
+                  open_ones, "part int, keys binary, members binary, sides binary, cids binary, "
+                             "labels binary, sizes binary, parities binary"))
     return opened.groupBy("part").applyInArrow(_crossing(percent), "a bigint, b bigint").distinct()

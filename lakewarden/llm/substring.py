@@ -9,7 +9,7 @@ word, in a document with a smaller doc_id as well. Three passes over batches of
    the batch; a shard groups equal hashes and answers which of them have a smaller id elsewhere;
 3. every batch removes the covered words.
 
-Documents go to batches by a hash of doc_id. All passes read the same shuffled batches (one
+Windows are told apart by 128 bits throughout. Documents go to batches by a hash of id and text. All passes read the same shuffled batches (one
 exchange, reused), and only hashes and bits travel between batches and shards. A window that a
 third of all documents hold is one entry per batch, so no task sees its occurrences one by one.
 
@@ -29,7 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.sketch import Sketch, bits, flags
-from lakewarden.llm.text import covered, rolling, texts_of, window_starts, word_hashes
+from lakewarden.llm.text import (
+    covered,
+    distinct_pairs,
+    rolling,
+    texts_of,
+    window_starts,
+    word_hashes,
+)
 
 WINDOW = 50
 BATCH_BYTES = 4 << 20
@@ -48,12 +55,16 @@ def batches(docs: DataFrame, keep: tuple[str, ...] = (), batch_bytes: int = BATC
     texts = texts_of(docs, *given)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     number = max(-(-size // batch_bytes), docs.sparkSession.sparkContext.defaultParallelism)
-    spread = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    return texts.withColumn("batch", batch_of(spread, number)), size, number
+    return texts.withColumn("batch", batch_of(spread(), number)), size, number
 
 
-def batch_of(doc_id: Column, number: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(number)).cast("int")
+def spread() -> Column:
+    """What the batch of a row follows from: rows that share a doc_id are dealt by their texts."""
+    return F.xxhash64("doc_id", "text")
+
+
+def batch_of(value: Column, number: int) -> Column:
+    return F.pmod(value, F.lit(number)).cast("int")
 
 
 class Windows:
@@ -74,23 +85,19 @@ class Windows:
         if not known.all():
             with_id = known[document]
             self.starts, document = self.starts[with_id], document[with_id]
-        hashes = rolling(self.words, width)[self.starts] if len(self.starts) else \
-            np.empty(0, dtype=np.uint64)
-        self.keys, self.first, self.back = np.unique(
-            hashes, return_index=True, return_inverse=True)
+        hashes = [rolling(self.words[i], width, i)[self.starts] if len(self.starts) else
+                  np.empty(0, dtype=np.uint64) for i in range(2)]
+        self.keys, self.others, self.first, self.back = distinct_pairs(*hashes)
         self.owner = self.ids[document]
         self.smallest = self.owner[self.first]  # ids ascend, so the first one is the smallest
         largest = self.smallest.copy()
         np.maximum.at(largest, self.back, self.owner)
         self.shared = largest > self.smallest
 
-    def second_hashes(self, which: np.ndarray) -> np.ndarray:
-        return rolling(self.words, self.width, 1)[self.starts[self.first[which]]]
-
     def removed(self, smaller_elsewhere: np.ndarray) -> np.ndarray:
         """Which words of the batch go, given which keys have a smaller id in another batch."""
         hit = smaller_elsewhere[self.back] | (self.owner > self.smallest[self.back])
-        return covered(self.starts[hit], self.width, len(self.words))
+        return covered(self.starts[hit], self.width, self.words.shape[1])
 
 
 def _answers(answers: pa.Table, kind: int) -> dict[int, list[bytes]]:
@@ -125,7 +132,7 @@ def _estimated(sketch: Sketch, width: int):
             windows = Windows(table, width)
             which = np.flatnonzero(sketch.repeated(windows.keys, _answers(answers, 0)))
             keys, ids = windows.keys[which], windows.smallest[which]
-            others = windows.second_hashes(which)
+            others = windows.others[which]
             for shard, a, b in sketch.parts(keys):
                 for column, value in zip(columns, (
                         shard, windows.batch, keys[a:b].tobytes(), others[a:b].tobytes(),

@@ -3,14 +3,19 @@
 A word is a maximal run of bytes other than the six ASCII blanks (space and 0x09 to 0x0D); UTF-8
 keeps those bytes out of longer characters, and `bytes.split()` cuts at exactly these six.
 
-Hashes of words and of word windows are 64-bit polynomials, computed for many documents at once
-with numpy. Two different windows share a 128-bit pair of them with probability of about 2**-128.
+Hashes of words and of word windows are 128 bits in two independent halves, computed for many documents
+at once with numpy. A word's halves are sums of random values, one for each of its bytes and their
+places; words of more than LONG_WORD bytes go through blake2b. Windows fold the hashes of their words
+pairwise with steps that are not linear, so no pattern of bytes or words makes two of them meet. Two
+different words or windows share both halves with a probability of about 2**-128.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,11 +26,8 @@ IS_BLANK = np.isin(np.arange(256), list(BLANKS))
 _BLANK = re.compile(rb"[ \t-\r]")
 SEGMENT = 1 << 20  # bytes hashed at a time; a longer word is hashed whole
 
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-
-_powers: dict[str, np.ndarray] = {}
-
+LONG_WORD = 64
+_FOLDS = ((0xD6E8FEB86659FD93, 0xA0761D6478BD642F), (0x9FB21C651E98DF25, 0xE7037ED1A0B428DB))
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Spread the bits of 64-bit values (one to one for a given seed)."""
@@ -36,20 +38,14 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the byte base and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SEGMENT + 4096)
-        for name, base in (("up", _BYTE_BASE), ("down", pow(_BYTE_BASE, -1, 2**64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[name] = np.cumprod(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+@cache
+def _letter_values(which: int) -> np.ndarray:
+    """A random value for each place (up to LONG_WORD) and byte."""
+    return mix(mix(np.arange(LONG_WORD << 8, dtype=np.uint64), 50 + which), 60 + which)
 
 
 def _segment_words(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and hashes of the words of one piece of text."""
+    """Start positions and hashes (two rows) of the words of one piece of text."""
     data = np.frombuffer(segment, dtype=np.uint8)
     inside = np.empty(len(data) + 2, dtype=bool)
     inside[0] = inside[-1] = False
@@ -57,18 +53,22 @@ def _segment_words(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
     if not len(starts):
-        return starts, np.empty(0, dtype=np.uint64)
-    up, down = _power_tables(len(data))
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-        hashes = (sums[ends] - sums[starts]) * down[starts]
-    return starts, mix(hashes)
+        return starts, np.empty((2, 0), dtype=np.uint64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
+    at = (np.minimum(place, LONG_WORD - 1) << 8) | data[inside[1:-1]]
+    hashes = np.empty((2, len(starts)), dtype=np.uint64)
+    for which in range(2):
+        hashes[which] = np.add.reduceat(_letter_values(which)[at], first)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digest = blake2b(segment[starts[i]:ends[i]], digest_size=16).digest()
+        hashes[:, i] = np.frombuffer(digest, dtype="<u8")
+    return starts, hashes
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and the number of words of each text."""
+    """Hashes of all words of all texts in order (a row for each half), and how many each text has."""
     counts = np.zeros(len(texts), dtype=np.int64)
     found: list[np.ndarray] = []
     group: list[bytes] = []
@@ -98,18 +98,26 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             cut = _BLANK.search(text, min(position + SEGMENT, len(text)))
             end = cut.start() if cut else len(text)
             _, hashes = _segment_words(text[position:end])
-            counts[i] += len(hashes)
+            counts[i] += hashes.shape[1]
             found.append(hashes)
             position = end
     flush(len(texts))
-    return (np.concatenate(found) if found else np.empty(0, dtype=np.uint64)), counts
+    return (np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.uint64)), counts
 
 
 def rolling(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """Hash of every run of `width` values, by doubling; empty if there are fewer."""
+    """Hash of every run of `width` values, by doubling; empty if there are fewer.
+
+    `which`: one of two independent functions.
+    """
     if len(words) < width:
         return np.empty(0, dtype=np.uint64)
-    base = WINDOW_BASES[which]
+    left, right = (np.uint64(f) for f in _FOLDS[which])
+
+    def fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(32))) * left
+        return (x ^ (x >> np.uint64(29))) + y * right
+
     out, done = None, 0
     power, span = mix(words, 1 + which), 1
     with np.errstate(over="ignore"):
@@ -119,15 +127,32 @@ def rolling(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
                     out = power[: len(words) - width + 1 if width == span else None]
                 else:
                     n = min(len(out), len(power) - done)
-                    out = out[:n] + power[done:done + n] * np.uint64(pow(base, done, 2**64))
+                    out = fold(out[:n], power[done:done + n])
                 done += span
             if done == width:
                 return mix(out[: len(words) - width + 1])
             n = len(power) - span
-            power = power[:n] + power[span:] * np.uint64(pow(base, span, 2**64))
+            power = fold(power[:n], power[span:])
             span *= 2
 
 
+def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of values, ascending and each once: firsts, seconds, where each is met first, and for
+    each given pair its place among them."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], second[order]
+    same, other = a[1:] == a[:-1], b[1:] != b[:-1]
+    if (same & other).any():  # one first half with several second ones
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        same, other = a[1:] == a[:-1], b[1:] != b[:-1]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = ~same | other
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return a[new], b[new], order[new], back
+
+
 def window_starts(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a window lies within one text, and the index of that text."""
     whole = np.maximum(counts - width + 1, 0)

@@ -63,6 +63,50 @@ def test_equals_brute_force(make_docs, odd_texts, work):
     assert sorted(map(tuple, got), key=repr) == brute(rows)
 
 
+def test_several_texts_of_one_id(make_docs, work):
+    rows = []
+    for doc_id in (5, 6, 11, 12, 500):
+        for k in range(4):
+            text = " ".join(f"d{doc_id}k{k}w{i}" for i in range(80))
+            rows += [(doc_id, text), (1000 * (k + 1) + doc_id, text + " more")]
+    rows += [(700, "short text"), (700, "SHORT  text"), (600, "short text"), (500, "short text")]
+    got = near_duplicates(make_docs(rows), work).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_words_that_powers_of_a_base_do_not_tell_apart(make_docs, work):
+    from test_text import thue_morse
+    first, second = (w.decode() for w in thue_morse(1024))
+    rows = [(1, "x y " + first), (2, "x y " + second), (3, first), (4, second)]
+    got = near_duplicates(make_docs(rows), work).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_signatures_of_many_are_cut_into_blocks(make_docs, work, monkeypatch):
+    from lakewarden.llm import jaccard_join
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    chosen = random.Random(9)
+    rows = []
+    for group in range(6):  # groups of near copies that share half of their words with each other
+        common = [f"c{i}" for i in range(30)]
+        words = common + [f"g{group}w{i}" for i in range(30)]
+        rows += [(chosen.randrange(10**6), changed(words, chosen.randrange(4), chosen)) for _ in range(25)]
+    got = near_duplicates(make_docs(rows), work, batch_bytes=20_000, cell_bits=14).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
+def test_block_pairs_hold_every_two_members_once():
+    from lakewarden.llm.jaccard_join import _block_pairs
+    keys = np.array([9] * 40 + [8] * 3, dtype=np.uint64)
+    cids, blocks = np.arange(43), np.array([5] * 40 + [1] * 3)
+    at, key, side = _block_pairs(keys, cids, blocks)
+    met = []
+    for k in np.unique(key):
+        here = [(int(a), int(s)) for a, s in zip(at[key == k], side[key == k], strict=True)]
+        met += [(min(a, b), max(a, b)) for (a, s), (b, t) in combinations(here, 2) if s == t == 0 or {s, t} == {1, 2}]
+    assert sorted(met) == sorted([*combinations(range(40), 2), *combinations(range(40, 43), 2)])
+
+
 def test_no_documents(make_docs, work):
     assert near_duplicates(make_docs([]), work).collect() == []
 

@@ -42,6 +42,23 @@ def test_unchanged_texts_can_stay_as_they_were(make_docs):
     assert sorted(map(tuple, got)) == [(1, 4, 0, "a  b\nc d", "x", 1), (2, 6, 4, "x y", "x", 1)]
 
 
+def test_long_words_that_differ_in_few_letters(make_docs):
+    from test_text import thue_morse
+    for size in (1024, 4096):
+        first, second = (w.decode() for w in thue_morse(size))
+        around = [f"w{i}" for i in range(60)]
+        rows = [(i, " ".join([*around[:30], word, *around[30:]])) for i, word in ((1, first), (2, second))]
+        got = without_repeats(make_docs(rows)).collect()
+        assert sorted(map(tuple, got), key=repr) == brute(rows, 50)
+        assert all(r["n_removed"] == 0 for r in got)
+
+
+def test_many_rows_of_one_id(make_docs):
+    rows = [(3, f"a{i} b c d e f g h") for i in range(200)] + [(1, "b c d e f g h"), (4, "x b c d e f g h")]
+    got = without_repeats(make_docs(rows), width=7, batch_bytes=500).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 7)
+
+
 def test_no_documents(make_docs):
     assert without_repeats(make_docs([])).collect() == []
 

@@ -9,9 +9,34 @@ def test_words_are_cut_at_ascii_blanks_only(odd_texts):
     assert counts.tolist() == [len(t.split()) for t in texts]
     words = [w for t in texts for w in t.split()]
     seen = {}
-    for word, value in zip(words, hashes.tolist(), strict=True):
+    for word, value in zip(words, zip(*hashes.tolist()), strict=True):
         assert seen.setdefault(word, value) == value
-    assert len(set(seen.values())) == len(seen)
+    assert len(set(seen.values())) == len({v[0] for v in seen.values()}) == len(seen)
+
+
+def thue_morse(size):
+    """Two words of letters in which sums of powers of any odd base are the same modulo 2**64."""
+    first = bytes(97 + bin(i).count("1") % 2 for i in range(size))
+    return first, first.translate(bytes.maketrans(b"ab", b"ba"))
+
+
+def test_words_and_windows_that_powers_of_a_base_do_not_tell_apart():
+    for size in (32, 64, 1024, 4096):
+        first, second = thue_morse(size)
+        hashes, _ = T.word_hashes([first + b" " + second])
+        assert (hashes[:, 0] != hashes[:, 1]).all()
+        words, _ = T.word_hashes([b" ".join(bytes([c]) for c in first), b" ".join(bytes([c]) for c in second)])
+        for which in range(2):
+            windows = T.rolling(words[which], size, which)
+            assert windows[0] != windows[-1]
+
+
+def test_pairs_are_told_apart_by_both_halves():
+    first = np.array([5, 1, 5, 5, 1], dtype=np.uint64)
+    second = np.array([2, 7, 1, 2, 7], dtype=np.uint64)
+    a, b, at, back = T.distinct_pairs(first, second)
+    assert (a.tolist(), b.tolist(), at.tolist()) == ([1, 5, 5], [7, 1, 2], [1, 2, 0])
+    assert back.tolist() == [2, 0, 1, 2, 0]
 
 
 def test_long_texts_are_hashed_in_segments(monkeypatch):
