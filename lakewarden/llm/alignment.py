@@ -5,16 +5,17 @@ the text, to which it adds the blank. Where the bytes of all A tokens, of all B
 blank + text are the same, tokens lie side by side: byte offsets at which both end cut them into
 groups, and every stretch between two neighbouring ends is one pair of tokens that overlap (a link).
 
-1. Documents are encoded and aligned in chunks of CHUNK_BYTES of text. A chunk keeps its ids, and sends
-   each shard of the id pairs its distinct pairs with the number of its documents that hold them.
-   All pairs of one A id lie in one shard; there are SHARDS of them, so a shard can hold no more than
-   its part of the two vocabularies, whatever the size of the table.
+1. Documents are encoded and aligned in chunks of CHUNK_BYTES of text. A chunk keeps the alignment (for
+   each document its pairs and how often each links, which is a fraction of its ids), and sends each
+   shard of the id pairs its distinct pairs with the number of its documents that hold them. All
+   pairs of one A id lie in one shard; there are SHARDS of them, so a shard can hold no more than its
+   part of the two vocabularies, whatever the size of the table.
 2. Per shard the distinct pairs of all chunks are united in a tree, FAN messages at a time, and get a
    minimal perfect hash (perfect_hash.py).
 3. Chunks' counts become dense vectors indexed by that hash, which are summed up the same tree. Keys are
    verified, so no pair is counted under another's number.
 4. Every message is answered with the counts of its pairs and whether each is the highest of its A id.
-5. Chunks are aligned again, from the ids they kept, and look the counts up.
+5. A second pass over the chunks goes through the links again and looks their counts up.
 
 No task holds more than FAN messages of a shard, its table, or one chunk with its answers.
 
@@ -26,8 +27,8 @@ Rows without doc_id are counted and returned as well. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,15 @@ from lakewarden.llm.perfect_hash import PerfectHash
 from lakewarden.llm.sketch import bits, flags
 from lakewarden.llm.text import mix, rows_of, texts_of
 
-CHUNK_BYTES = 2 << 20
-SPELLED = 1 << 17  # tokens whose ids are held as text at a time, but for longer documents
+CHUNK_BYTES = 6 << 20
+BLOCK_BYTES = 1 << 18  # text encoded and aligned at a time, but for longer documents
 SHARDS = 64
 FAN = 64
 
-_CHUNKS = "chunk bigint, doc_ids binary, no_ids binary, n_a binary, n_b binary, a binary, b binary"
-_MESSAGES = "chunk bigint, shard int, keys binary, counts binary"
+_FACTS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
+_CHUNKS = ("chunk bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, "
+           "n_links array<bigint>, groups array<string>, n_pairs binary, pairs binary, times binary, "
+           "sent array<struct<shard:int,keys:binary,counts:binary>>")
 _BLANK_MARK = "▁"
 _models: dict[str, PieceModel] = {}
 
@@ -92,13 +95,14 @@ class Aligned:
         self.document = tokens
         self.keys = (a[self.of_a].astype(np.uint64) << np.uint64(32)) | b[self.of_b].astype(np.uint64)
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs of ids, ascending, and the number of documents that hold each."""
-        order = np.lexsort((self.document, self.keys))
+    def per_document(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, pair and number of links, for each pair of a document; ordered."""
+        order = np.lexsort((self.keys, self.document))
         keys, document = self.keys[order], self.document[order]
         new = np.ones(len(keys), dtype=bool)
         new[1:] = (keys[1:] != keys[:-1]) | (document[1:] != document[:-1])
-        return np.unique(keys[new], return_counts=True)
+        at = np.flatnonzero(new)
+        return document[at], keys[at], np.diff(at, append=len(keys))
 
     def groups(self) -> list[str]:
         """Ids of each document's groups: A ids, a bar, B ids; groups parted by semicolons."""
@@ -112,28 +116,23 @@ class Aligned:
             last[:-1] = own[1:] != own[:-1]
             sides.append((own, last))
         (group_a, last_a), (group_b, last_b) = sides
-        ends = [np.concatenate([[0], np.cumsum(n)]).tolist() for n in (self.n_a, self.n_b)]
-        out: list[str] = []
-        while len(out) < len(self.n_a):  # some documents at a time
-            begin = end = len(out)
-            while end < len(self.n_a) and (end == begin or ends[0][end + 1] + ends[1][end + 1]
-                                           - ends[0][begin] - ends[1][begin] <= SPELLED):
-                end += 1
-            at_a, at_b = (slice(e[begin], e[end]) for e in ends)
-            words = [f"{i}|" if z else f"{i}," for i, z in zip(
-                self.a[at_a].tolist(), last_a[at_a].tolist(), strict=True)]
-            words += [f"{i};" if z else f"{i}," for i, z in zip(
-                self.b[at_b].tolist(), last_b[at_b].tolist(), strict=True)]
-            # A before B within a group.
-            order = np.argsort(np.concatenate([group_a[at_a] * 2, group_b[at_b] * 2 + 1]), kind="stable")
-            ordered = list(map(words.__getitem__, order.tolist()))
-            at = 0
-            for n in (self.n_a[begin:end] + self.n_b[begin:end]).tolist():
-                out.append("".join(ordered[at:at + n])[:-1])
-                at += n
+        # A before B within a group; each id with the mark that follows it.
+        order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
+        marked = np.concatenate([4 * self.a + last_a, 4 * self.b + 2 * last_b])[order]
+        words = list(map(_marked(1 << int(marked.max(initial=0)).bit_length()).__getitem__, marked.tolist()))
+        out, at = [], 0
+        for n in (self.n_a + self.n_b).tolist():
+            out.append("".join(words[at:at + n])[:-1])
+            at += n
         return out
 
 
+@cache
+def _marked(n: int) -> list[str]:
+    """Text of the number i // 4 with the mark i % 4."""
+    return [f"{i >> 2}{',|;'[i & 3]}" if i & 3 < 3 else "" for i in range(n)]
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """By A id, so that the highest count of an A id is known in its shard."""
     return (mix(keys >> np.uint64(32), 71) % np.uint64(shards)).astype(np.int64)
@@ -147,73 +146,95 @@ def _by_shard(keys: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
     return list(zip(found.tolist(), np.split(order, begin[1:]), strict=True)) if len(keys) else []
 
 
-def _encoded(tokenizer_a: str, model_b: str, chunk_bytes: int):
-    """Chunks of encoded documents."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoder, pieces = ByteEncoder.of(tokenizer_a, special=False), PieceModel.of(model_b)
-        bytes_a, bytes_b = encoder.tokens, pieces.tokens
-        chunk = TaskContext.get().partitionId() << 33
-        held: list[tuple] = []
-        size = 0
-
-        def closed() -> pa.RecordBatch:
-            columns = [np.array([r[0] or 0 for r in held], dtype=np.int64).tobytes(),
-                       bits(np.array([r[0] is None for r in held], dtype=bool)),
-                       np.array([len(r[1]) for r in held], dtype=np.int64).tobytes(),
-                       np.array([len(r[2]) for r in held], dtype=np.int64).tobytes(),
-                       b"".join(r[1].tobytes() for r in held), b"".join(r[2].tobytes() for r in held)]
-            names = [c.split()[0] for c in _CHUNKS.split(", ")]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), *[pa.array([c], pa.binary()) for c in columns]], names)
-
-        for batch in batches:
-            for doc_ids, texts in rows_of([batch]):
-                whole = [t.decode("utf-8", "replace") for t in texts]
-                for doc_id, text, raw, b in zip(doc_ids, whole, texts, pieces.model.encode(
-                        whole, num_threads=1), strict=True):
-                    a: list[int] = []
-                    given = b" " + raw
-                    if not raw or b"".join(map(bytes_b.__getitem__, b)) != given:
-                        b = []
-                    else:
-                        a = encoder.encode(" " + text)
-                        if b"".join(map(bytes_a.__getitem__, a)) != given:
-                            a, b = [], []
-                    held.append((doc_id, np.array(a, dtype="<u4"), np.array(b, dtype="<u4")))
-                    size += len(raw) + 64
-                    if size >= chunk_bytes:
-                        yield closed()
-                        chunk, held, size = chunk + 1, [], 0
-        if held:
-            yield closed()
-    return run
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in one, two or four bytes each, with the width in front."""
+    width = next(w for w in (1, 2, 4) if not len(values) or int(values.max()) < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
-def _sizes(tokenizer_a: str, model_b: str) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.array([len(t) for t in tokens], dtype=np.int64) for tokens in (
-        ByteEncoder.of(tokenizer_a, special=False).tokens, PieceModel.of(model_b).tokens))
+def _wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.int64)
 
 
-def _opened(row: dict, sizes: tuple[np.ndarray, np.ndarray]) -> Aligned:
-    a, b = (np.frombuffer(row[c], dtype="<u4").astype(np.int64) for c in ("a", "b"))
-    n_a, n_b = (np.frombuffer(row[c], dtype=np.int64) for c in ("n_a", "n_b"))
-    return Aligned(a, b, n_a, n_b, *sizes)
+class _Chunk:
+    """The alignment of a chunk's documents, as it is written."""
 
+    def __init__(self):
+        self.facts: dict[str, list] = {c: [] for c in _FACTS}
+        self.documents: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
 
-def _messages(tokenizer_a: str, model_b: str, shards: int):
+    def add(self, doc_ids: list, aligned: Aligned, digest: bool) -> None:
+        n, before = len(doc_ids), len(self.facts["doc_id"])
+        document, keys, times = aligned.per_document()
+        groups = aligned.groups()
+        if digest:
+            groups = [g and hashlib.sha256(g.encode()).hexdigest() for g in groups]
+        both = np.bincount(aligned.document[aligned.both], minlength=n)
+        links = np.bincount(aligned.document, minlength=n)
+        for column, values in zip(_FACTS, (doc_ids, aligned.n_a.tolist(), aligned.n_b.tolist(),
+                                           both.tolist(), links.tolist(), groups), strict=True):
+            self.facts[column] += values
+        self.documents.append(document + before)
+        self.keys.append(keys)
+        self.times.append(times)
+
+    def closed(self, chunk: int, shards: int) -> pa.RecordBatch:
+        keys, back, counts = np.unique(np.concatenate(self.keys), return_inverse=True, return_counts=True)
+        n_pairs = np.bincount(np.concatenate(self.documents), minlength=len(self.facts["doc_id"]))
+        sent = [{"shard": s, "keys": keys[at].tobytes(), "counts": counts[at].astype("<u4").tobytes()}
+                for s, at in _by_shard(keys, shards)]
+        blob = pa.struct([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+        columns = [pa.array([chunk], pa.int64())]
+        columns += [pa.array([self.facts[c]], pa.list_(pa.string() if c == "groups" else pa.int64()))
+                    for c in _FACTS]
+        columns += [pa.array([_narrow(v)], pa.binary()) for v in (n_pairs, back, np.concatenate(self.times))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([sent], pa.list_(blob))], [
+            "chunk", *_FACTS, "n_pairs", "pairs", "times", "sent"])
+
+
+def _encoded(tokenizer_a: str, model_b: str, chunk_bytes: int, shards: int, digest: bool):
+    """Chunks of encoded and aligned documents."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = _sizes(tokenizer_a, model_b)
+        encoder, pieces = ByteEncoder.of(tokenizer_a, special=False), PieceModel.of(model_b)
+        bytes_a, bytes_b = encoder.tokens, pieces.tokens
+        sizes = tuple(np.array([len(t) for t in tokens]) for tokens in (bytes_a, bytes_b))
+        number = TaskContext.get().partitionId() << 33
+        chunk, size = _Chunk(), 0
+
+        def block(doc_ids: list, texts: list[bytes]) -> None:
+            ids_a: list[int] = []
+            ids_b: list[int] = []
+            n_a, n_b = [], []
+            whole = [t.decode("utf-8", "replace") for t in texts]
+            for text, raw, b in zip(whole, texts, pieces.model.encode(whole, num_threads=1), strict=True):
+                given = b" " + raw
+                a: list[int] = []
+                if raw and b"".join(map(bytes_b.__getitem__, b)) == given:
+                    a = encoder.encode(" " + text)
+                if not a or b"".join(map(bytes_a.__getitem__, a)) != given:
+                    a, b = [], []
+                n_a.append(len(a))
+                n_b.append(len(b))
+                ids_a += a
+                ids_b += b
+            chunk.add(doc_ids, Aligned(*(np.array(v, dtype=np.int64) for v in (ids_a, ids_b, n_a, n_b)), *sizes),
+                      digest)
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                keys, counts = _opened(row, sizes).counted()
-                parts = [(row["chunk"], s, keys[at].tobytes(), counts[at].tobytes())
-                         for s, at in _by_shard(keys, shards)]
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[i] for p in parts], k) for i, k in enumerate(kinds)],
-                    [c.split()[0] for c in _MESSAGES.split(", ")])
+            for doc_ids, texts in rows_of([batch]):
+                begin = held = 0
+                for i, raw in enumerate(texts):
+                    held += len(raw) + 64
+                    if held >= BLOCK_BYTES or size + held >= chunk_bytes or i + 1 == len(texts):
+                        block(doc_ids[begin:i + 1], texts[begin:i + 1])
+                        size, begin, held = size + held, i + 1, 0
+                    if size >= chunk_bytes:
+                        yield chunk.closed(number, shards)
+                        chunk, size, number = _Chunk(), 0, number + 1
+        if size:
+            yield chunk.closed(number, shards)
     return run
 
 
@@ -240,7 +261,7 @@ def _counted(table: pa.Table, hashes: pa.Table) -> pa.Table:
     total = np.zeros(made.size, dtype=np.int64)
     for keys, counts in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True):
         total[made.verified(np.frombuffer(keys, dtype=np.uint64), known)] += np.frombuffer(
-            counts, dtype=np.int64)
+            counts, dtype="<u4")
     return pa.table({"shard": table["shard"].slice(0, 1), "node": table["above"].slice(0, 1),
                      "vector": pa.array([total.tobytes()], pa.binary())})
 
@@ -274,33 +295,28 @@ _RESULT = ("doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigi
            "count_sum bigint, groups string")
 
 
-def _looked_up(tokenizer_a: str, model_b: str, shards: int, digest: bool):
+def _looked_up(shards: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        row = table.to_pylist()[0]
-        chunk = _opened(row, _sizes(tokenizer_a, model_b))
-        keys, back = np.unique(chunk.keys, return_inverse=True)
+        n = len(table["doc_id"][0])
+        keys = np.sort(np.concatenate([np.empty(0, dtype=np.uint64), *(
+            np.frombuffer(m["keys"], dtype=np.uint64) for m in table["sent"][0].as_py())]))
         counts = np.zeros(len(keys), dtype=np.int64)
         best = np.zeros(len(keys), dtype=bool)
         given = {r["shard"]: r for r in answers.to_pylist()}
         for shard, at in _by_shard(keys, shards):
             counts[at] = np.frombuffer(given[shard]["counts"], dtype=np.int64)
             best[at] = flags(given[shard]["best"], len(at))
-        n = len(chunk.n_a)
+        n_pairs, pairs, times = (_wide(table[c][0].as_py()) for c in ("n_pairs", "pairs", "times"))
+        ends = np.cumsum(n_pairs)
 
-        def per_document(values: np.ndarray) -> np.ndarray:
-            # Whole-number sums; documents are ascending along the links.
+        def per_document(values: np.ndarray) -> pa.Array:
             sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-            edges = np.searchsorted(chunk.document, np.arange(n + 1))
-            return sums[edges[1:]] - sums[edges[:-1]]
+            return pa.array(sums[ends] - sums[ends - n_pairs], pa.int64())
 
-        groups = chunk.groups()
-        if digest:
-            groups = [g and hashlib.sha256(g.encode()).hexdigest() for g in groups]
-        doc_ids = np.frombuffer(row["doc_ids"], dtype=np.int64)
-        columns = [pa.array(doc_ids, mask=flags(row["no_ids"], n)), chunk.n_a, chunk.n_b,
-                   per_document(chunk.both), per_document(np.ones(len(chunk.keys), dtype=bool)),
-                   per_document(best[back]), per_document(counts[back]), pa.array(groups, pa.string())]
-        return pa.table([pa.array(c) for c in columns], names=[c.split()[0] for c in _RESULT.split(", ")])
+        facts = {c: table[c].chunk(0).flatten() if n else pa.array([], table[c].type.value_type)
+                 for c in _FACTS}
+        return pa.table({**{c: facts[c] for c in _FACTS[:-1]}, "n_best": per_document(times * best[pairs]),
+                         "count_sum": per_document(times * counts[pairs]), "groups": facts["groups"]})
     return run
 
 
@@ -317,8 +333,8 @@ def aligned(docs: DataFrame, tokenizer_a: str, model_b: str, work: str, *, diges
         return spark.read.parquet(f"{work}/{name}")
 
     chunks = written(texts_of(docs).mapInArrow(
-        _encoded(tokenizer_a, model_b, chunk_bytes), _CHUNKS), "chunks")
-    sent = written(chunks.mapInArrow(_messages(tokenizer_a, model_b, shards), _MESSAGES), "messages")
+        _encoded(tokenizer_a, model_b, chunk_bytes, shards, digest), _CHUNKS), "chunks")
+    sent = chunks.select("chunk", F.inline("sent"))
     # Chunks are dealt to the lowest nodes of the tree; every level has a FAN-th of the nodes.
     nodes = max(1, -(-chunks.count() // fan))
     node = F.pmod(F.xxhash64("chunk"), F.lit(nodes)).cast("int")
@@ -348,8 +364,9 @@ def aligned(docs: DataFrame, tokenizer_a: str, model_b: str, work: str, *, diges
     at_nodes = counted.select(F.col("shard").alias("of_shard"), everywhere, "hash", "known", "vector")
     answers = sent.groupBy("shard", "above").cogroup(at_nodes.groupBy("of_shard", "node")).applyInArrow(
         _if_both(_answered), "of_chunk bigint, shard int, counts binary, best binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("of_chunk")).applyInArrow(
-        _looked_up(tokenizer_a, model_b, shards, digest), _RESULT)
+    kept = chunks.withColumn("sent", F.transform("sent", lambda m: F.struct(m["keys"].alias("keys"))))
+    return kept.groupBy("chunk").cogroup(answers.groupBy("of_chunk")).applyInArrow(
+        _looked_up(shards), _RESULT)
 
 
 def _if_both(step):
