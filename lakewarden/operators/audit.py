@@ -12,6 +12,13 @@ from pyspark.sql import types as T
 
 from lakewarden import fixed_values as fv
 from lakewarden.functions.columns import require_columns, run_time, stamp
+from lakewarden.operators.bitmaps import (
+    BITMAP_BYTES,
+    BUCKET_BYTES,
+    bitmaps,
+    buckets_of,
+    with_membership,
+)
 from lakewarden.operators.keyed import BROADCAST_BYTES, Skew, common_type, lookup_join, measure
 from lakewarden.sources.store import staged
 
@@ -27,28 +34,45 @@ def known_keys(master: DataFrame, key: str, key_type: T.DataType | str) -> DataF
 def orphans(fact: DataFrame, master: DataFrame, key: str = fv.ZONE_KEY,
             labels: Mapping[str, str] = ZONE_LABELS, *,
             key_type: T.DataType | str | None = None, key_copies: bool = True,
-            limit: int = BROADCAST_BYTES, skew: Skew = Skew()) -> DataFrame:
+            limit: int = BROADCAST_BYTES, bitmap_limit: int = BITMAP_BYTES,
+            skew: Skew = Skew()) -> DataFrame:
     """Fact rows whose foreign key is not in the master, one row per failing foreign key.
 
     A NULL foreign key is an orphan. Keys are compared in the common type of the columns, unless
     one is given; integer copies of the foreign keys are columns of the output only. The fact is
     read once, however many foreign keys there are: each is looked up in the key set, and a row is
-    repeated per label it earned. With one foreign key this is a plain anti join. The key set is
-    written once and read back, as it is measured first and then joined.
+    repeated per label it earned.
+
+    A key set of up to `limit` bytes is broadcast. A larger one of whole numbers becomes bitmaps, which
+    are broadcast up to `bitmap_limit` bytes: the fact is not shuffled then, either. Beyond that both
+    sides are shuffled, once for each foreign key.
     """
     require_columns(fact, labels, "fact table")
     require_columns(master, [key], "master table")
     if key_type is None:
         kinds = [fact.schema[fk].dataType for fk in labels]
         key_type = reduce(common_type, kinds, master.schema[key].dataType)
-    keys = staged(known_keys(master, key, key_type), "known-keys")
+    keys = known_keys(master, key, key_type)
     size = measure(keys, key)
+    as_bitmaps = False
+    if not size.fits(limit):  # a small set is cheaper to find again than to write
+        keys = staged(keys, "known-keys")
+        as_bitmaps = (isinstance(keys.schema[key].dataType, T.IntegralType)
+                      and buckets_of(keys, key) * BUCKET_BYTES <= bitmap_limit)
     copies = {f"{fk}_int": F.col(fk).try_cast("int") for fk in labels} if key_copies else {}
     typed_names = {fk: f"__fk{i}" for i, fk in enumerate(labels)}
     typed = fact.withColumns(copies | {name: F.col(fk).try_cast(key_type)
                                        for fk, name in typed_names.items()})
 
-    if len(labels) == 1:
+    if as_bitmaps:
+        sets = staged(bitmaps(keys, key), "key-bitmaps")
+        marked, known = typed, [f"__known{i}" for i in range(len(labels))]
+        for name, out in zip(typed_names.values(), known, strict=True):
+            marked = with_membership(marked, sets, name, out)
+        earned = F.array_compact(F.array(*[
+            F.when(~F.col(out), F.lit(label)) for out, label in zip(known, labels.values(), strict=True)]))
+        found = marked.withColumn("orphan_type", F.explode(earned)).drop(*known)
+    elif len(labels) == 1:
         (fk, label), = labels.items()
         side = keys.select(F.col(key).alias("__known"))
         lost = lookup_join(typed, side, typed_names[fk], "__known", "left_anti",

@@ -39,7 +39,9 @@ from lakewarden.functions.matching import (
     pair_confidence,
     token_agreement,
 )
+from lakewarden.operators.components import components
 from lakewarden.operators.keyed import Skew, heavy_keys, salted_join, with_group_size
+from lakewarden.sources.store import staged
 
 # Up to this many names with one first token are compared directly: at most this many partners
 # each cost less than the signatures of their pieces. Larger groups are always cut.
@@ -233,17 +235,16 @@ def _reaches(thresholds: Thresholds) -> dict[bool, _Reach]:
 def _cuttable(groups: DataFrame, reaches: Iterable[_Reach], skew: Skew) -> DataFrame:
     named = groups.select(
         "block", "name", "records", "first_id", F.length("name").alias("len"),
-        first_token(F.col("name")).alias("token"),
+        first_token(F.col("name")).alias("token"), *[c for c in ("node",) if c in groups.columns],
     ).withColumn("tail", F.expr("substring(name, length(token) + 2)"))
     sized = with_group_size(named, ["block", "token"], "token_names", skew=skew)
     return sized.withColumns({r.reach: F.expr(r.edits("len")) for r in reaches})
 
 
-def _close_names(groups: DataFrame, thresholds: Thresholds, skew: Skew, direct: int) -> DataFrame:
-    """Pairs of unlike names that may reach the medium threshold: shorter (or earlier) name first.
-
-    A pair can appear more than once, as two names may meet on several pieces.
-    """
+def _meeting(groups: DataFrame, thresholds: Thresholds, skew: Skew, direct: int
+             ) -> tuple[DataFrame, DataFrame, Column]:
+    """Names under the signatures they offer (side a) and seek (side b), and the test that pairs which
+    met have to pass: shorter (or earlier) name first, and few enough edits."""
     reaches = _reaches(thresholds)
     names = _cuttable(groups, reaches.values(), skew)
 
@@ -256,31 +257,42 @@ def _close_names(groups: DataFrame, thresholds: Thresholds, skew: Skew, direct:
         return names.select(
             F.explode(F.expr(distinct)).alias(f"sig_{side}"),
             *[F.col(c).alias(f"{c}_{side}")
-              for c in ("block", "name", "records", "first_id", "len", "token")])
+              for c in ("block", "name", "records", "first_id", "len", "token", *carried)])
 
+    carried = [c for c in ("node",) if c in names.columns]
     offered = under({agree: r.offered() for agree, r in reaches.items()}, "a")
     sought = under({agree: r.sought() for agree, r in reaches.items()}, "b")
+    allowed = {agree: r.edits("len_b") for agree, r in reaches.items()}
+    # levenshtein stops counting past the limit and gives -1; the full score is for the few left.
+    near = (
+        "block_a = block_b AND (len_a < len_b OR (len_a = len_b AND name_a < name_b))"
+        f" AND levenshtein(name_a, name_b, CASE WHEN token_a = token_b THEN {allowed.get(True, '-1')}"
+        f" ELSE {allowed.get(False, '-1')} END) >= 0"
+    )
+    return offered, sought, F.expr(near)
+
+
+def _met(offered: DataFrame, sought: DataFrame, skew: Skew) -> DataFrame:
+    """Every name that offers a signature with every one that seeks it."""
     # A signature is as heavy as the comparisons it causes: offered times sought names.
     sides = offered.select("sig_a", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(
         sought.select("sig_b", F.lit(0), F.lit(1)))
     counts = sides.groupBy("sig_a").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(
         "sig_a", F.greatest("a", (F.col("a") * F.col("b") / COMPARISONS_PER_ROW).cast("bigint"))
         .alias("n"))
-    met = salted_join(offered, sought, ["sig_a"], ["sig_b"], "inner",
-                      heavy=heavy_keys(counts, "n", skew), skew=skew)
-    allowed = {agree: r.edits("len_b") for agree, r in reaches.items()}
-    # levenshtein stops counting past the limit and gives -1; the full score is for the few left.
-    near = (
-        f"levenshtein(name_a, name_b, CASE WHEN token_a = token_b THEN {allowed.get(True, '-1')}"
-        f" ELSE {allowed.get(False, '-1')} END) >= 0"
-    )
-    return (
-        met.filter("block_a = block_b")
-        .filter("len_a < len_b OR (len_a = len_b AND name_a < name_b)")
-        .filter(near)
-        .select(F.col("block_a").alias("block"), "name_a", "name_b", "records_a", "records_b",
-                "first_id_a", "first_id_b")
-    )
+    return salted_join(offered, sought, ["sig_a"], ["sig_b"], "inner",
+                       heavy=heavy_keys(counts, "n", skew), skew=skew)
+
+
+def _close_names(groups: DataFrame, thresholds: Thresholds, skew: Skew, direct: int) -> DataFrame:
+    """Pairs of unlike names that may reach the medium threshold: shorter (or earlier) name first.
+
+    A pair can appear more than once, as two names may meet on several pieces.
+    """
+    offered, sought, near = _meeting(groups, thresholds, skew, direct)
+    return _met(offered, sought, skew).filter(near).select(
+        F.col("block_a").alias("block"), "name_a", "name_b", "records_a", "records_b",
+        "first_id_a", "first_id_b")
 
 
 def _score(pairs: DataFrame, thresholds: Thresholds) -> DataFrame:
@@ -297,21 +309,29 @@ def _score(pairs: DataFrame, thresholds: Thresholds) -> DataFrame:
     )
 
 
-def _less_shared_ids(pairs: DataFrame, member_rows: DataFrame) -> DataFrame:
-    """Take record pairs off that join an id with itself: ids that occur under two names."""
+def _less_shared_ids(pairs: DataFrame, member_rows: DataFrame, skew: Skew) -> DataFrame:
+    """Take record pairs off that join an id with itself: ids that occur under both names of a pair.
+
+    It starts from the pairs found: an id under very many names is not joined with itself.
+    """
     by_name = member_rows.filter("name IS NOT NULL AND name <> ''")
     shared = by_name.groupBy("block", "id").agg(F.count("*").alias("names")).filter("names > 1")
-    uses = by_name.join(shared.drop("names"), ["block", "id"], "left_semi")
-    side_a = uses.select("block", "id", F.col("name").alias("name_a"), F.col("m").alias("m_a"))
-    side_b = uses.select("block", "id", F.col("name").alias("name_b"), F.col("m").alias("m_b"))
-    # Names that share an id, whether or not they are a pair: as many as an id has names.
-    both = (
-        side_a.join(side_b, ["block", "id"]).filter("name_a <> name_b")
-        .groupBy("block", "name_a", "name_b")
-        .agg(F.sum(F.col("m_a").cast("decimal(19,0)") * F.col("m_b")).cast(_COUNT).alias("less"))
-    )
+    uses = staged(by_name.join(shared.drop("names"), ["block", "id"], "left_semi"), "shared-ids")
+    if uses.isEmpty():
+        return pairs.filter("pair_count > 0")
+    side_a = uses.select(F.col("block").alias("u_block"), F.col("name").alias("u_name"),
+                         F.col("id").alias("u_id"), F.col("m").alias("m_a"))
+    side_b = uses.select(F.col("block").alias("v_block"), F.col("name").alias("v_name"),
+                         F.col("id").alias("v_id"), F.col("m").alias("m_b"))
+    # Rows: the shared ids of the first name of each pair; then one look-up by block, name and id.
+    named = pairs.select("block", "name_a", "name_b")
+    first = salted_join(named, side_a, ["block", "name_a"], ["u_block", "u_name"], "inner", skew=skew)
+    both = salted_join(first, side_b, ["block", "name_b", "u_id"], ["v_block", "v_name", "v_id"], "inner",
+                       skew=skew)
+    less = both.groupBy("block", "name_a", "name_b").agg(
+        F.sum(F.col("m_a").cast("decimal(19,0)") * F.col("m_b")).cast(_COUNT).alias("less"))
     return (
-        pairs.join(both, ["block", "name_a", "name_b"], "left")
+        pairs.join(less, ["block", "name_a", "name_b"], "left")
         .withColumn("pair_count",
                     (F.col("pair_count") - F.coalesce("less", F.lit(0))).cast(_COUNT))
         .drop("less").filter("pair_count > 0")
@@ -342,7 +362,7 @@ def match_names(member_rows: DataFrame, thresholds: Thresholds = Thresholds(), *
         "pair_count",
         (F.col("records_a").cast("decimal(19,0)") * F.col("records_b")).cast(_COUNT),
     ).drop("records_a", "records_b")
-    unlike = _less_shared_ids(_score(counted, thresholds), member_rows)
+    unlike = _less_shared_ids(staged(_score(counted, thresholds), "scored-names"), member_rows, skew)
     return _score(same, thresholds).unionByName(unlike)
 
 
@@ -417,3 +437,59 @@ def merge_links(member_rows: DataFrame, *, skew: Skew = Skew()) -> DataFrame:
     joined = salted_join(named, groups, ["block", "name"], ["group_block", "group_name"], "inner",
                          heavy=heavy_keys(counts, "records", skew), skew=skew)
     return joined.drop("group_block", "group_name")
+
+
+def merge_clusters(member_rows: DataFrame, least: float = fv.HIGH_CONFIDENCE, *, skew: Skew = Skew(),
+                   direct: int = DIRECT_NAMES) -> DataFrame:
+    """Each record with the record it merges into when every match of `least` or more is followed.
+
+    block, name, id, survivor_id (smallest id of all names that hang together), records (of all these
+    names). One row per record, also for names that match no other. An id under several names has a
+    row for each; it does not join them. Matching stays within blocks, as in `match_names`.
+
+    Pairs of names are not listed. Under each signature all names are first compared with the shortest
+    one that offers it, and what matches it is one component. Signatures behind which there is one
+    component only are done, however many names they hold; on the others names of different components
+    are compared, and what is kept of that is one link per pair of components.
+    """
+    thresholds = Thresholds(high=least, medium=least)
+    groups = staged(name_groups(member_rows).withColumn("node", F.monotonically_increasing_id()), "name-groups")
+    offered, sought, near = _meeting(groups, thresholds, skew, direct)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return _score(pairs.filter(near), thresholds)
+
+    columns = [c for c in offered.columns if c != "sig_a"]
+    shortest = offered.groupBy("sig_a").agg(F.min(F.struct("len_a", "name_a", *[
+        c for c in columns if c not in ("len_a", "name_a")])).alias("s")).select("sig_a", "s.*")
+    to_shortest = salted_join(sought, shortest, ["sig_b"], ["sig_a"], "inner", skew=skew)
+    stars = staged(scored(to_shortest).select("node_a", "node_b").distinct(), "name-links")
+    found = components(stars, skew=skew)
+
+    def labelled(side: DataFrame, name: str) -> DataFrame:
+        own = found.select(F.col("node").alias("of"), F.col("component").alias(f"part_{name}"))
+        joined = salted_join(side, own, [f"node_{name}"], ["of"], "left", skew=skew).drop("of")
+        return joined.withColumn(f"part_{name}", F.coalesce(f"part_{name}", f"node_{name}"))
+
+    parted_a, parted_b = labelled(offered, "a"), labelled(sought, "b")
+    ends = (parted_a.select(F.col("sig_a").alias("sig"), F.col("part_a").alias("part"))
+            .unionAll(parted_b.select("sig_b", "part_b"))
+            .groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")))
+    several = staged(ends.where("low < high").select("sig"), "open-signatures")
+    still_open = [staged(parted.join(several.select(F.col("sig").alias(f"sig_{name}")), f"sig_{name}",
+                                     "left_semi"), f"open-names-{name}")
+                  for parted, name in ((parted_a, "a"), (parted_b, "b"))]
+    across = scored(_met(*still_open, skew).where("part_a <> part_b")).select(
+        F.col("part_a").alias("node_a"), F.col("part_b").alias("node_b")).distinct()
+    whole = components(stars.unionAll(staged(across, "name-links")), skew=skew)
+
+    grouped = groups.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    facts = grouped.groupBy("component").agg(
+        F.min("first_id").alias("survivor_id"), F.sum("records").alias("records")).withColumnRenamed(
+            "component", "of_component")
+    named = salted_join(grouped.drop("records", "first_id"), facts, ["component"], ["of_component"], "inner",
+                        skew=skew).select(F.col("block").alias("of_block"), F.col("name").alias("of_name"),
+                                          "survivor_id", "records")
+    own = member_rows.filter("name IS NOT NULL AND name <> ''").drop("m")
+    return salted_join(own, named, ["block", "name"], ["of_block", "of_name"], "inner", skew=skew).drop(
+        "of_block", "of_name")

@@ -505,6 +505,27 @@ def merge_links(spark: SparkSession, folder: str) -> DataFrame:
     return mp.merge_links(mp.members(prepared, "p_partkey"))
 
 
+# Names at 0.8 or more, and whatever hangs together by way of them.
+CLUSTERS_SQL = f"""WITH RECURSIVE {ALL_PAIRS_SQL},
+links AS (SELECT DISTINCT block, name_a, name_b FROM name_pairs
+  WHERE decision <> 'REJECT' AND name_a <> name_b),
+edges AS (SELECT * FROM links UNION SELECT block, name_b, name_a FROM links),
+reach AS (SELECT DISTINCT block_norm AS block, name_norm AS name, name_norm AS other FROM prepared
+  UNION SELECT r.block, r.name, e.name_b FROM reach r
+  JOIN edges e ON r.block = e.block AND r.other = e.name_a),
+facts AS (SELECT r.block, r.name, min(p_partkey) AS survivor_id, count(*) AS records
+  FROM reach r JOIN prepared p ON r.block = p.block_norm AND r.other = p.name_norm GROUP BY ALL)"""
+
+
+@query(f"""{CLUSTERS_SQL}
+SELECT f.block, f.name, p_partkey AS id, survivor_id, records
+FROM facts f JOIN prepared p ON f.block = p.block_norm AND f.name = p.name_norm""")
+def merge_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Each part with the part it merges into, by way of any chain of like names."""
+    prepared = mp.prepare(parts(spark, folder), "p_partkey", "p_name", "p_brand")
+    return mp.merge_clusters(mp.members(prepared, "p_partkey"), fv.MEDIUM_CONFIDENCE)
+
+
 @query(f"""WITH {PREPARED_SQL}, ranked AS (
   SELECT p_partkey, p_name, p_brand, p_type, name_norm, block_norm,
     block_norm || '::' || name_norm AS match_key,
@@ -557,6 +578,21 @@ def orphans_wide_keys(spark: SparkSession, folder: str) -> DataFrame:
                          key_copies=False)
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, orphan_type FROM (
+  SELECT *, 'PART_NOT_IN_MASTER' AS orphan_type FROM lineitem
+  WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0)
+  UNION ALL
+  SELECT *, 'SUPPLIER_NOT_IN_MASTER' FROM lineitem
+  WHERE l_suppkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0))""")
+def orphans_by_bitmap(spark: SparkSession, folder: str) -> DataFrame:
+    """A key set above the broadcast limit, here of 0 bytes: bitmaps, and no shuffle of the fact."""
+    master = table(spark, folder, "part").where("p_partkey % 3 <> 0")
+    fact = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return audit.orphans(fact, master, "p_partkey", {
+        "l_partkey": "PART_NOT_IN_MASTER", "l_suppkey": "SUPPLIER_NOT_IN_MASTER"},
+        key_copies=False, limit=0)
+
+
 MASTER_ZONES_SQL = """
 master_zones AS (SELECT min(LocationID) AS LocationID FROM zones GROUP BY Borough)"""
 
@@ -656,12 +692,12 @@ def csv_inferred_types(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv_inferred(spark, path).withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
-@query("""SELECT 'nation' AS table_name, true AS readable, count(*) AS row_count FROM nation
+@query("""SELECT 'events' AS table_name, true AS readable, count(*) AS row_count FROM events
 UNION ALL SELECT 'no_such_table', false, 0""")
 def optional_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """A look-up table that is there, and one that a job has to do without."""
+    """A table that is there, and one that a job has to do without."""
     found = None
-    for name in ("nation", "no_such_table"):
+    for name in ("events", "no_such_table"):
         df, _ = read_optional(lambda name=name: table(spark, folder, name))
         rows = spark.range(0) if df is None else df
         one = rows.agg(F.count("*").alias("row_count")).select(
@@ -850,13 +886,14 @@ def pair_matching_outputs(spark: SparkSession, folder: str) -> DataFrame:
     return counts
 
 
-@query(r"""SELECT trim(regexp_replace(upper(n_name), '[^A-Z0-9]+', ' ', 'g')) AS name_norm,
-  count(*) AS records, min(n_nationkey) AS first_id FROM nation GROUP BY ALL""")
+@query("WITH " + ALL_PAIRS_SQL.replace(
+    "trim(regexp_replace(upper(p_brand), '[^A-Z0-9]+', ' ', 'g')) AS block_norm",
+    f"'{fv.MISSING_AREA}' AS block_norm")
+    + " SELECT * FROM name_pairs WHERE decision <> 'REJECT'")
 def match_without_block(spark: SparkSession, folder: str) -> DataFrame:
-    """A table without a block column is one block."""
-    prepared = mp.prepare(table(spark, folder, "nation"), "n_nationkey", "n_name", None)
-    return mp.name_groups(mp.members(prepared, "n_nationkey")).select(
-        F.col("name").alias("name_norm"), "records", "first_id")
+    """A table without a block column is one block, in which all names are matched."""
+    return mp.by_confidence(_plain_counts(
+        PairMatching.over(parts(spark, folder), "p_partkey", "p_name", None).scored))
 
 
 # ---------------------------------------------------------------- catalog

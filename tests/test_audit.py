@@ -25,19 +25,48 @@ EXPECTED = [(2, "PICKUP_NOT_IN_MASTER"), (3, "PICKUP_NOT_IN_MASTER"),
             (5, "DROPOFF_NOT_IN_MASTER")]
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_one_row_per_failing_key(trips, master, rows, limit):
-    got = orphans(trips, master, limit=limit, skew=Skew(rows=2))
+# Broadcast keys, broadcast bitmaps, and a shuffle of both sides.
+LIMITS = [{"limit": 10**9}, {"limit": 0}, {"limit": 0, "bitmap_limit": 0}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_one_row_per_failing_key(trips, master, rows, limits):
+    got = orphans(trips, master, skew=Skew(rows=2), **limits)
     assert rows(got, "n", "orphan_type") == EXPECTED
     assert set(got.columns) == {"n", "PULocationID", "DOLocationID", "PULocationID_int",
                                 "DOLocationID_int", "orphan_type"}
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_total_is_the_sum_of_anti_joins(trips, master, limit):
-    each = [orphans(trips, master, labels={fk: fk}, limit=limit).count()
+@pytest.mark.parametrize("limits", LIMITS)
+def test_total_is_the_sum_of_anti_joins(trips, master, limits):
+    each = [orphans(trips, master, labels={fk: fk}, **limits).count()
             for fk in ("PULocationID", "DOLocationID")]
-    assert sum(each) == orphans(trips, master, limit=limit).count() == 5
+    assert sum(each) == orphans(trips, master, **limits).count() == 5
+
+
+EDGES = [0, 1, -1, 7, 8, 32_767, 32_768, 32_769, 65_536, 65_537, -32_767, -32_768, -32_769,
+         2**63 - 1, -2**63 + 1, 3_000_000_000]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_null_negative_and_boundary_keys(spark, rows, limits):
+    facts = spark.createDataFrame([(i, k) for i, k in enumerate([*EDGES, None, 2, -2])], "n int, k bigint")
+    for chosen in (EDGES[::2], EDGES[1::2]):
+        master = spark.createDataFrame([(k,) for k in [*chosen, None]], "LocationID bigint")
+        got = orphans(facts, master, labels={"k": "LOST"}, key_copies=False, **limits)
+        lost = [(i,) for i, k in enumerate([*EDGES, None, 2, -2]) if k not in chosen]
+        assert rows(got, "n") == sorted(lost, key=repr)
+
+
+def test_bitmaps_need_no_shuffle_of_the_fact(spark, tmp_path, plan_text):
+    spark.range(1000).selectExpr("id AS n", "id * 3 AS a", "id - 500 AS b").write.parquet(str(tmp_path / "f"))
+    fact = spark.read.parquet(str(tmp_path / "f"))
+    got = orphans(fact, spark.range(0, 2000, 2).toDF("LocationID"), labels={"a": "A", "b": "B"}, limit=0)
+    plan = plan_text(got)
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert plan.count("BroadcastHashJoin LeftOuter") >= 2
+    assert got.count() == sum(1 for i in range(1000) for k in (3 * i, i - 500)
+                              if k % 2 or not 0 <= k < 2000)
 
 
 @pytest.mark.parametrize("limit", [10**9, 0])

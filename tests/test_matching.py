@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakewarden.config import ConfigError, MatchConfig, Thresholds
 from lakewarden.operators import match_exact as exact
 from lakewarden.operators import match_pairs as mp
+from lakewarden.operators.components import components
 from lakewarden.operators.golden import duplicates, golden_master, survivors
 from lakewarden.operators.keyed import Skew
 from lakewarden.plans.pair_matching import PairMatching
@@ -252,3 +253,67 @@ def test_numbered_names_do_not_all_meet(spark):
     each = F.explode(F.expr(reach.offered()))
     most = named.select(each.alias("s")).groupBy("s").count().agg(F.max("count")).first()[0]
     assert most < 600 / 3
+
+
+def clusters_by_hand(records, least):
+    """(block, name, id) to the smallest id and the number of records that hang together."""
+    names = sorted({(b, n) for i, n, b in records if b is not None and i is not None and n})
+    parent = {x: x for x in names}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in itertools.combinations(names, 2):
+        if x[0] == y[0] and confidence(x[1], y[1]) >= least:
+            parent[root(x)] = root(y)
+    ids = {}
+    for i, n, b in records:
+        if (b, n) in parent and i is not None:
+            ids.setdefault(root((b, n)), []).append(i)
+    return sorted({(b, n, i, min(ids[root((b, n))]), len(ids[root((b, n))]))
+                   for i, n, b in records if (b, n) in parent and i is not None})
+
+
+@pytest.mark.parametrize("least", [0.95, 0.8])
+def test_merge_clusters(spark, rows, least):
+    chain = ["AB CDEFGHIJKLMNOPQRST"]
+    for k in range(12):  # each differs from the next by a letter, the ends by many
+        chain.append(chain[-1][:k + 4] + "Z" + chain[-1][k + 5:])
+    records = [(100 - i, n, "X") for i, n in enumerate(chain)]
+    records += [(i + 500, f"SERIAL {i:09d}", "Y") for i in range(150)]
+    records += [(7, "ONE", "X"), (7, "TWO THINGS", "X"), (7, chain[0], "Y"), (3, "ONE", "X"), (3, "ONE", "X"),
+                (None, "ONE", "X"), (9, "", "X"), (9, None, "X"), (9, "ONE", None)]
+    members = mp.members(spark.createDataFrame(
+        records, "id int, name_norm string, block_norm string"), "id")
+    got = mp.merge_clusters(members, least, skew=Skew(rows=50), direct=4)
+    assert rows(got, "block", "name", "id", "survivor_id", "records") == clusters_by_hand(records, least)
+
+
+def test_merge_clusters_of_nothing(spark):
+    members = mp.members(spark.createDataFrame([], "id int, name_norm string, block_norm string"), "id")
+    assert mp.merge_clusters(members).collect() == []
+
+
+def test_components(spark):
+    star = spark.range(1, 100_001).selectExpr("CAST(0 AS BIGINT) AS a", "id AS b")
+    chain = spark.range(200_000, 200_300).selectExpr("id AS a", "id + 1 AS b")
+    odd = spark.createDataFrame([(900_005, 900_001), (900_001, 900_005), (900_009, 900_009), (None, 5),
+                                 (900_003, 900_005)], "a bigint, b bigint")
+    found = components(star.unionAll(chain).unionAll(odd), skew=Skew(rows=20_000))
+    sizes = {r["component"]: r["count"] for r in found.groupBy("component").count().collect()}
+    assert sizes == {0: 100_001, 200_000: 301, 900_001: 3}
+    assert found.select("node").distinct().count() == found.count()
+    assert components(odd.where("false")).collect() == []
+
+
+def test_an_id_under_very_many_names(spark):
+    """Ids are looked up for the pairs found, not joined with themselves."""
+    many = spark.range(100_000).selectExpr(
+        "0 AS id", "md5(CAST(id AS STRING)) AS name_norm", "'X' AS block_norm")
+    few = spark.createDataFrame([(1, "LONG COMMON NAMES", "X"), (0, "LONG COMMON NAMEZ", "X")],
+                                "id int, name_norm string, block_norm string")
+    found = mp.match_names(mp.members(many.unionAll(few), "id"), Thresholds(0.95, 0.9)).collect()
+    assert [(r["name_a"], r["name_b"], int(r["pair_count"])) for r in found] == [
+        ("LONG COMMON NAMES", "LONG COMMON NAMEZ", 1)]
