@@ -6,13 +6,16 @@ import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.functions.columns import named
+from lakewarden.sources.store import staged
 
 
 def _name(identifier: str) -> str:
@@ -62,7 +65,9 @@ class Dataset:
 
 @dataclass(frozen=True)
 class Registered:
-    """What registering did: created, updated, unchanged, or missing (logged, not dropped)."""
+    """What registering did: created, updated, unchanged, missing (logged, not dropped), conflict
+    (files whose columns have types that do not go together), or unreadable (no data file where the
+    reader looks, as in folders that are no partitions). The last two leave the entry as it was."""
 
     table: str
     path: str
@@ -73,9 +78,9 @@ KNOWN_SOURCES = ("parquet", "orc", "json", "csv")
 
 
 def _files_under(spark: SparkSession, *paths: str) -> DataFrame:
-    """Paths of the files under some folders; their content is not read."""
+    """Path, size and time of the files under some folders; their content is not read."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-            .load(list(paths)).select("path"))
+            .load(list(paths)).select("path", "length", "modificationTime"))
 
 
 def _log_folders(spark: SparkSession, root: str) -> set[str]:
@@ -90,6 +95,19 @@ def _log_folders(spark: SparkSession, root: str) -> set[str]:
     return {r[0] for r in rows}
 
 
+def _data_files(spark: SparkSession, root: str) -> DataFrame:
+    """The data files under a prefix with the name of their dataset, the file ending, and whether the
+    dataset is a folder."""
+    prefix = root.split(":", 1)[-1].lstrip("/")
+    below = F.regexp_extract("path", f"^[^:]*:?/*{re.escape(prefix)}/+(.*)$", 1)
+    ending = F.regexp_extract(F.lower("path"), r"\.(" + "|".join(KNOWN_SOURCES)
+                              + r")(?:\.[a-z0-9]+)?$", 1)
+    return _files_under(spark, root).select(
+        F.substring_index(below, "/", 1).alias("name"), ending.alias("source"),
+        (F.instr(below, "/") > 0).alias("folder"), "path", "length", "modificationTime",
+    ).where("source <> '' AND name <> ''")
+
+
 def discover(spark: SparkSession, root: str) -> list[Dataset]:
     """The datasets directly under a prefix: folders with data files anywhere in them, and files.
 
@@ -97,16 +115,11 @@ def discover(spark: SparkSession, root: str) -> list[Dataset]:
     dataset and file ending.
     """
     root = root.rstrip("/")
-    prefix = root.split(":", 1)[-1].lstrip("/")
-    below = F.regexp_extract("path", f"^[^:]*:?/*{re.escape(prefix)}/+(.*)$", 1)
-    ending = F.regexp_extract(F.lower("path"), r"\.(" + "|".join(KNOWN_SOURCES)
-                              + r")(?:\.[a-z0-9]+)?$", 1)
-    counted = (
-        _files_under(spark, root)
-        .select(F.substring_index(below, "/", 1).alias("name"), ending.alias("source"),
-                (F.instr(below, "/") > 0).alias("folder"))
-        .where("source <> '' AND name <> ''")
-        .groupBy("name", "source", "folder").agg(F.count("*").alias("files")).collect())
+    return _datasets(spark, root, _data_files(spark, root))
+
+
+def _datasets(spark: SparkSession, root: str, files: DataFrame) -> list[Dataset]:
+    counted = files.groupBy("name", "source", "folder").agg(F.count("*").alias("files")).collect()
     logs = _log_folders(spark, root)
     found = {}
     for r in sorted(counted, key=lambda r: (r["name"], -r["files"], r["source"])):
@@ -116,20 +129,78 @@ def discover(spark: SparkSession, root: str) -> list[Dataset]:
     return list(found.values())
 
 
+class FileList:
+    """The files of a prefix as the last crawl found them: a table of path, size and time per file.
+
+    Two slots are written in turn, so a crawl that ends early leaves the list before it in place.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.number, self.known = 0, None
+        for slot in (0, 1):
+            try:
+                list_ = spark.read.parquet(f"{self.path}/slot{slot}")
+            except AnalysisException as problem:
+                if "PATH_NOT_FOUND" not in str(problem):
+                    raise
+                continue
+            number = list_.agg(F.max("crawl")).first()[0] or 0
+            if number > self.number:
+                self.number, self.known = number, list_
+
+    def changed(self, files: DataFrame) -> set[str] | None:
+        """Names of datasets with new, changed or removed files; None if there is no list yet.
+
+        What reaches the driver is one row per changed dataset.
+        """
+        if self.known is None:
+            return None
+        facts = ["name", "path", "length", "modificationTime"]
+        now, before = files.select(*facts), self.known.where("path IS NOT NULL").select(*facts)
+        # A file that is in one of the two lists only, or twice with unlike facts, is alone in its group.
+        return {r["name"] for r in now.unionByName(before).groupBy(*facts).agg(F.count("*").alias("lists"))
+                .where("lists = 1").select("name").distinct().collect()}
+
+    def keep(self, files: DataFrame) -> None:
+        """The list for the next crawl. One row without a path stands for the crawl itself."""
+        number = self.number + 1
+        mark = self.spark.range(0, 1, 1, 1).select(F.lit(number).cast("bigint").alias("crawl"))
+        (files.withColumn("crawl", F.lit(number).cast("bigint")).unionByName(mark, allowMissingColumns=True)
+         .write.mode("overwrite").parquet(f"{self.path}/slot{number % 2}"))
+
+
 _OPTIONS = {"csv": " OPTIONS (header 'true')"}
 
 
+def _partition_columns(opened: DataFrame, dataset: Dataset) -> list[str]:
+    """Columns that come from folder names (Spark puts them last)."""
+    folders = opened.select(F.input_file_name().alias("path")).where("path LIKE '%=%'").limit(1).collect()
+    below = folders[0]["path"].rsplit(dataset.path.rstrip("/").rsplit("/", 1)[-1] + "/", 1)[-1] if folders else ""
+    keys = [unquote(part.split("=", 1)[0]) for part in below.split("/")[:-1] if "=" in part]
+    return [k for k in keys if k in opened.columns]
+
+
 def _register(spark: SparkSession, database: str, dataset: Dataset) -> str:
     full = f"{_name(database)}.{_name(dataset.table)}"
     reader = spark.read.format(dataset.source)
     if dataset.source == "csv":
         reader = reader.option("header", True)
+    elif dataset.source in ("parquet", "orc"):  # footers of all files, read by tasks
+        reader = reader.option("mergeSchema", True)
     try:
-        found = reader.load(dataset.path).schema
+        opened = reader.load(dataset.path)
     except AnalysisException as problem:
+        if "UNABLE_TO_INFER_SCHEMA" in str(problem):
+            return "unreadable"
         if "PATH_NOT_FOUND" not in str(problem):
             raise
         return "missing"
+    except (PySparkException, Py4JJavaError) as problem:  # a task found it, or the driver
+        if "CANNOT_MERGE" not in str(problem):
+            raise
+        return "conflict"
+    found = opened.schema
     outcome = "created"
     if spark.catalog.tableExists(f"{database}.{dataset.table}"):
         before = {f.name: f.dataType for f in spark.table(full).schema}
@@ -142,7 +213,13 @@ def _register(spark: SparkSession, database: str, dataset: Dataset) -> str:
             spark.sql(f"DROP TABLE {full}")  # external: drops the entry, not the files
     if outcome != "unchanged":
         options = _OPTIONS.get(dataset.source, "")
-        spark.sql(f"CREATE TABLE {full} USING {dataset.source}{options}"
+        inside = _partition_columns(opened, dataset) if dataset.source in ("parquet", "orc") else None
+        columns, parted = "", ""
+        if inside is not None:  # the merged schema; left alone, one file would be asked for it
+            columns = " (" + ", ".join(f"{_name(f.name)} {f.dataType.simpleString()}" for f in found) + ")"
+            if inside:
+                parted = " PARTITIONED BY (" + ", ".join(_name(c) for c in inside) + ")"
+        spark.sql(f"CREATE TABLE {full}{columns} USING {dataset.source}{options}{parted}"
                   f" LOCATION {_text(dataset.path)}")
     partitioned = spark.sql(f"DESCRIBE {full}").filter("col_name = '# Partition Information'")
     if dataset.source != "delta" and not partitioned.isEmpty():
@@ -160,16 +237,35 @@ def register_tables(spark: SparkSession, database: str,
     return [Registered(d.table, d.path, _register(spark, database, d)) for d in datasets]
 
 
-def crawl(spark: SparkSession, database: str, root: str) -> list[Registered]:
-    """Register what lies under the prefix; report tables of the prefix that lost their folder."""
-    found = discover(spark, root)
-    done = register_tables(spark, database, found)
-    names = [r["tableName"] for r in list_tables(spark, database).collect()]
-    gone = sorted(set(names) - {d.table for d in found})
-    inside = f"{root.rstrip('/')}/"
-    for row in table_details(spark, database, gone).collect():
+def crawl(spark: SparkSession, database: str, root: str, state: str | None = None) -> list[Registered]:
+    """Register what lies under the prefix; report tables of the prefix that lost their folder.
+
+    With `state`, a folder for the list of files, a later crawl opens only datasets whose files
+    changed since; the others are reported as unchanged without a look at any footer.
+    """
+    root = root.rstrip("/")
+    files = _data_files(spark, root)
+    list_ = FileList(spark, state) if state else None
+    if list_:
+        files = staged(files, "files")
+    found = _datasets(spark, root, files)
+    changed = list_.changed(files) if list_ else None
+    names = {r["tableName"] for r in list_tables(spark, database).collect()}
+
+    def is_open(d: Dataset) -> bool:
+        return changed is None or d.path.rsplit("/", 1)[-1] in changed or d.table not in names
+
+    opened = {r.table: r for r in register_tables(spark, database, [d for d in found if is_open(d)])}
+    done = [opened.get(d.table) or Registered(d.table, d.path, "unchanged") for d in found]
+    inside = f"{root}/"
+    for row in table_details(spark, database, sorted(names - {d.table for d in found})).collect():
         if row["location"] and inside in row["location"]:
             done.append(Registered(row["name"], row["location"], "missing"))
+    if list_:
+        refused = [d.path.rsplit("/", 1)[-1] for d in found if d.table in opened
+                   and opened[d.table].outcome == "conflict"]
+        # Datasets in conflict are looked at again, whether or not their files change.
+        list_.keep(files.where(~F.col("name").isin(refused)) if refused else files)
     return done
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ from lakewarden.sources.readers import (
     read_optional,
     read_parquet,
 )
-from lakewarden.sources.store import TableStore, write_csv, write_parquet, write_report
+from lakewarden.sources.store import TableStore, staged, write_csv, write_parquet, write_report
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -990,6 +991,41 @@ def catalog_crawl(spark: SparkSession, folder: str) -> DataFrame:
         r.table: r.path for r in done if r.outcome != "missing" and r.table in TABLES})
 
 
+@query("""SELECT 'first' AS crawl, 'whole' AS name, 'created' AS outcome, count(*) AS row_count,
+  count(*) FILTER (WHERE o_orderkey % 2 = 0) AS with_priority FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT 'second', 'whole', 'updated', count(*), count(*) FILTER (WHERE o_orderkey % 2 = 0) FROM orders
+UNION ALL SELECT 'second', 'still', 'unchanged', count(*), count(*) FROM orders""")
+def catalog_crawl_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Files with unlike columns are one table; a second crawl looks at the changed folder only."""
+    database = _sample_database(spark)
+    root, state = fresh_path(spark, "lake"), fresh_path(spark, "crawled")
+    given = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    some = given.where("o_orderkey % 3 <> 0")
+
+    def add(df: DataFrame) -> None:
+        df.where("o_orderkey % 2 = 0").write.mode("append").parquet(f"{root}/whole")
+        df.where("o_orderkey % 2 <> 0").select("o_orderkey").write.mode("append").parquet(f"{root}/whole")
+
+    def crawled(name: str, tables: tuple[str, ...]) -> list[DataFrame]:
+        outcomes = {r.table: r.outcome for r in catalog.crawl(spark, database, root, state)}
+        return [staged(spark.table(f"{database}.{t}").agg(
+            F.count("*").alias("row_count"), F.count("o_orderpriority").alias("with_priority")).select(
+                F.lit(name).alias("crawl"), F.lit(t).alias("name"), F.lit(outcomes[t]).alias("outcome"),
+                "row_count", "with_priority"), "crawl-counts") for t in tables]
+
+    add(some)
+    given.write.parquet(f"{root}/still")
+    for t in ("whole", "still"):
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{t}")
+    found = crawled("first", ("whole",))
+    # New files, and a column the earlier crawl did not see.
+    rest = given.where("o_orderkey % 3 = 0").withColumn("late", F.lit(1))
+    add(rest.where("o_orderkey % 2 <> 0"))
+    rest.where("o_orderkey % 2 = 0").write.mode("append").parquet(f"{root}/whole")
+    found += crawled("second", ("whole", "still"))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""")
 def preview_top_orders(spark: SparkSession, folder: str) -> DataFrame:

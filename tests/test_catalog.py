@@ -101,3 +101,49 @@ def test_preview(spark, plan_text):
     assert [r["id"] for r in top.collect()] == [99, 98, 97]
     assert "TakeOrderedAndProject" in plan_text(top)
     assert catalog.preview(df, 5).count() == 5
+
+
+def test_drifting_files_and_conflicts(spark, tmp_path):
+    root = str(tmp_path / "drift")
+    spark.range(3).write.parquet(f"{root}/grown/a")
+    spark.range(3).selectExpr("id", "'x' AS extra").write.parquet(f"{root}/grown/b")
+    spark.range(3).selectExpr("id", "2.5D AS third").write.parquet(f"{root}/grown/c")
+    for i, folder in enumerate(("a", "b", "c")):  # one folder with three files
+        spark.read.parquet(f"{root}/grown/{folder}").coalesce(1).write.mode("append").parquet(f"{root}/whole")
+    spark.range(2).write.parquet(f"{root}/apart")
+    spark.range(2).selectExpr("CAST(id AS STRING) AS id").write.mode("append").parquet(f"{root}/apart")
+    spark.range(4).selectExpr("id", "id % 2 AS day").write.partitionBy("day").parquet(f"{root}/parted")
+    catalog.create_database(spark, "drifting", location=str(tmp_path / "d.db"))
+    outcomes = {r.table: r.outcome for r in catalog.crawl(spark, "drifting", root)}
+    assert outcomes["apart"] == "conflict" and outcomes["grown"] == "unreadable" and outcomes["whole"] == outcomes["parted"] == "created"
+    assert set(spark.table("drifting.whole").columns) == {"id", "extra", "third"}
+    assert spark.table("drifting.whole").count() == 9
+    assert spark.table("drifting.whole").where("extra = 'x'").count() == 3
+    assert sorted(map(tuple, spark.table("drifting.parted").collect())) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+    again = {r.table: r.outcome for r in catalog.crawl(spark, "drifting", root)}
+    assert again["whole"] == again["parted"] == "unchanged"
+
+
+def test_a_second_crawl_opens_changed_datasets_only(spark, tmp_path, monkeypatch):
+    root, state = str(tmp_path / "lake"), str(tmp_path / "state")
+    for name in ("one", "two", "three"):
+        spark.range(5).write.parquet(f"{root}/{name}")
+    catalog.create_database(spark, "increments", location=str(tmp_path / "i.db"))
+    opened = []
+    plain = catalog._register
+    monkeypatch.setattr(catalog, "_register", lambda s, d, x: opened.append(x.table) or plain(s, d, x))
+
+    def crawl():
+        opened.clear()
+        found = catalog.crawl(spark, "increments", root, state)
+        return {r.table: r.outcome for r in found}, sorted(opened)
+
+    assert crawl() == ({n: "created" for n in ("one", "two", "three")}, ["one", "three", "two"])
+    assert crawl() == ({n: "unchanged" for n in ("one", "two", "three")}, [])
+    spark.range(2).selectExpr("id", "1 AS more").write.mode("append").parquet(f"{root}/two")
+    spark.range(2).write.parquet(f"{root}/four")
+    assert crawl() == ({"one": "unchanged", "two": "updated", "three": "unchanged", "four": "created"},
+                       ["four", "two"])
+    assert crawl()[1] == []
+    spark.sql("DROP TABLE increments.one")
+    assert crawl() == ({"one": "created", **{n: "unchanged" for n in ("two", "three", "four")}}, ["one"])
