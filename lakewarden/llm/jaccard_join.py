@@ -299,7 +299,7 @@ def components(links: DataFrame, write: Callable[[DataFrame, str], DataFrame]) -
         F.least(F.min("b"), F.col("cid")).alias("label"))
     labels = write(labels, "labels")
     # Every link is there both ways, so a centre has as many links to it as from it.
-    heavy = heavy_keys(both.groupBy("b").agg(F.count("*").alias("n")), "n", Skew())
+    heavy = write(heavy_keys(both.groupBy("b").agg(F.count("*").alias("n")), "n", Skew()), "heavy")
     while True:
         of_b = labels.select(F.col("cid").alias("of"), "label")
         near = (salted_join(both, of_b, ["b"], ["of"], "inner", heavy=heavy)
