@@ -24,10 +24,10 @@ def first_token(name: Column) -> Column:
 
 
 def edit_similarity(left: Column, right: Column) -> Column:
-    """1 - edit distance / longer length, rounded; 0.0 where both names are empty."""
+    """1 - edit distance / longer length, rounded; 0.0 where both names are empty, NULL if one is."""
     longer = F.greatest(F.length(left), F.length(right))
     ratio = F.levenshtein(left, right) / F.nullif(longer, F.lit(0))
-    return F.when(longer == 0, 0.0).otherwise(F.round(1 - ratio, fv.SCORE_DIGITS))
+    return F.when(F.length(left) + F.length(right) == 0, 0.0).otherwise(F.round(1 - ratio, fv.SCORE_DIGITS))
 
 
 def token_agreement(left_token: Column, right_token: Column) -> Column:

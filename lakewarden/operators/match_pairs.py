@@ -295,7 +295,8 @@ def _close_names(groups: DataFrame, thresholds: Thresholds, skew: Skew, direct:
         "first_id_a", "first_id_b")
 
 
-def _score(pairs: DataFrame, thresholds: Thresholds) -> DataFrame:
+def score_all(pairs: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """Similarity, confidence and decision of pairs with name_a and name_b, rejects included."""
     tokens = {"token_a": first_token(F.col("name_a")), "token_b": first_token(F.col("name_b"))}
     return (
         pairs.withColumns({
@@ -305,10 +306,13 @@ def _score(pairs: DataFrame, thresholds: Thresholds) -> DataFrame:
         .withColumn("match_confidence",
                     pair_confidence(F.col("name_similarity"), F.col("token_match")))
         .withColumn("decision", decision(F.col("match_confidence"), thresholds))
-        .filter(F.col("decision") != fv.REJECT)
     )
 
 
+def _score(pairs: DataFrame, thresholds: Thresholds) -> DataFrame:
+    return score_all(pairs, thresholds).filter(F.col("decision") != fv.REJECT)
+
+
 def _less_shared_ids(pairs: DataFrame, member_rows: DataFrame, skew: Skew) -> DataFrame:
     """Take record pairs off that join an id with itself: ids that occur under both names of a pair.
 

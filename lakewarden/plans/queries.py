@@ -24,7 +24,7 @@ from lakewarden.config import (
 )
 from lakewarden.functions.columns import minutes_between
 from lakewarden.functions.matching import normalized
-from lakewarden.operators import audit, catalog, conform, enrich, golden, quality
+from lakewarden.operators import audit, catalog, conform, enrich, golden, quality, ranked_pairs
 from lakewarden.operators import match_exact as exact
 from lakewarden.operators import match_pairs as mp
 from lakewarden.plans.governed_run import Artifacts, GovernedRun, Places
@@ -41,6 +41,7 @@ from lakewarden.plans.star_tables import (
 from lakewarden.session import fresh_path, shared_folder
 from lakewarden.sources.readers import (
     read_csv,
+    read_csv_checked,
     read_csv_inferred,
     read_json_lines,
     read_optional,
@@ -527,6 +528,43 @@ def merge_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return mp.merge_clusters(mp.members(prepared, "p_partkey"), fv.MEDIUM_CONFIDENCE)
 
 
+SLICE = (300, 20_000)
+
+
+@query(f"""WITH {ALL_PAIRS_SQL},
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY block_norm ORDER BY p_partkey) - 1 AS position
+  FROM prepared WHERE block_norm IS NOT NULL
+),
+by_rank AS (
+  SELECT a.p_partkey AS id_a, b.p_partkey AS id_b, a.name_norm AS own_a, b.name_norm AS own_b,
+    row_number() OVER (ORDER BY a.block_norm, b.position, a.position) - 1 AS rank
+  FROM ordered a JOIN ordered b ON a.block_norm = b.block_norm AND a.position < b.position
+)
+SELECT r.id_a, r.id_b, own_a AS name_a, own_b AS name_b, block, name_similarity, match_confidence,
+  decision
+FROM by_rank r JOIN decided d ON r.id_a = d.id_a AND r.id_b = d.id_b
+WHERE decision = 'REJECT' AND rank >= {SLICE[0]} AND rank < {SLICE[0] + SLICE[1]}""")
+def reject_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Rejected pairs of records in one slice of the ranks of all pairs: rows for a steward to look at."""
+    prepared = mp.prepare(parts(spark, folder), "p_partkey", "p_name", "p_brand")
+    records = staged(ranked_pairs.numbered(mp.members(prepared, "p_partkey")), "ranked-parts")
+    blocks = ranked_pairs.blocks_of(records)
+    return ranked_pairs.rejects(ranked_pairs.pair_slice(records, blocks, *SLICE))
+
+
+@query(f"""WITH {ALL_PAIRS_SQL}
+SELECT count(match_confidence) AS total_pairs, round(avg(match_confidence), 6) AS avg_confidence,
+  round(avg(match_confidence), 6) AS low, round(avg(match_confidence), 6) AS high,
+  CAST(0 AS BIGINT) AS sampled_blocks
+FROM decided""")
+def mean_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Average confidence over matched and rejected pairs; exact while blocks are small."""
+    prepared = mp.prepare(parts(spark, folder), "p_partkey", "p_name", "p_brand")
+    found = _plain_counts(ranked_pairs.mean_confidence(mp.members(prepared, "p_partkey")))
+    return found.withColumns({c: F.round(c, 6) for c in ("avg_confidence", "low", "high")})
+
+
 @query(f"""WITH {PREPARED_SQL}, ranked AS (
   SELECT p_partkey, p_name, p_brand, p_type, name_norm, block_norm,
     block_norm || '::' || name_norm AS match_key,
@@ -670,6 +708,53 @@ def partitioned_table_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return store.read(f"{root}/table")
 
 
+@query("""SELECT o_orderkey, year(o_orderdate) AS order_year,
+  CASE WHEN year(o_orderdate) IN (1994, 1996) THEN o_totalprice * 2 ELSE o_totalprice END AS total,
+  CASE WHEN year(o_orderdate) IN (1994, 1996) THEN 'second' ELSE 'first' END AS written
+FROM orders""")
+def replaced_years(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders by year, of which two years were written again and the others left as they were."""
+    root = fresh_path(spark, "orders-by-year")
+    store = TableStore(spark, f"{root}/writes", format="parquet")
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", F.year("o_orderdate").alias("order_year"), F.col("o_totalprice").alias("total"),
+        F.lit("first").alias("written"))
+    store.write(orders, f"{root}/table", partition_by="order_year")
+    again = orders.where(F.col("order_year").isin(1994, 1996)).withColumns(
+        {"total": F.col("total") * 2, "written": F.lit("second")})
+    store.write(again, f"{root}/table", partition_by="order_year", only_given=True)
+    return store.read(f"{root}/table")
+
+
+@query("""SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_orderkey % 5 = 0 THEN 'l_quantity' WHEN l_linenumber = 2 THEN 'l_tax' END AS columns,
+  CASE WHEN l_orderkey % 5 = 0 THEN 'not a value of type double'
+       WHEN l_linenumber = 2 THEN 'not a value of type double' END AS reasons,
+  CAST(l_orderkey AS VARCHAR) || ',' || l_linenumber || ','
+    || CASE WHEN l_orderkey % 5 = 0 THEN 'many' ELSE '3.5' END || ','
+    || CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'n/a' END AS line
+FROM lineitem WHERE l_orderkey % 5 = 0 OR l_linenumber = 2
+UNION ALL SELECT l_orderkey, l_linenumber, NULL, NULL, NULL FROM lineitem
+WHERE l_orderkey % 5 <> 0 AND l_linenumber <> 2""")
+def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with malformed numbers kept apart with their text; a missing tax is no fault."""
+    path = fresh_path(spark, "lines-csv")
+    odd = F.col("l_orderkey") % 5 == 0
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(odd, "many").otherwise("3.5").alias("l_quantity"),
+        F.when(odd, F.lit(None)).when(F.col("l_linenumber") == 2, "n/a").otherwise("0.25").alias("l_tax"))
+    write_csv(lines, path)
+    good, bad = read_csv_checked(spark, path, T.StructType([
+        T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()),
+        T.StructField("l_quantity", T.DoubleType()), T.StructField("l_tax", T.DoubleType())]))
+    keys = F.split("line", ",")
+    return bad.select(
+        keys[0].cast("bigint").alias("l_orderkey"), keys[1].cast("int").alias("l_linenumber"),
+        F.array_join("problems.column", ",").alias("columns"),
+        F.array_join("problems.reason", ",").alias("reasons"), "line",
+    ).unionByName(good.select("l_orderkey", "l_linenumber"), allowMissingColumns=True)
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ''
   ELSE ' ' || replace(text, 'e', '"') || chr(10) END AS text, lang, source, n_chars
 FROM documents""")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden import fixed_values as fv
-from lakewarden.functions.columns import require_columns
+from lakewarden.functions.columns import named, require_columns
 
 ZONE_SCHEMA = T.StructType([
     T.StructField(fv.ZONE_KEY, T.IntegerType()),
@@ -31,6 +31,10 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "emptyValue": '""'
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+WRONG_FIELDS = "wrong number of fields"
+_LINE, _PROBLEMS, _FILE, _TEXT = "__line", "__problems", "__file", "__text"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, *,
              multi_line: bool = False) -> DataFrame:
     """CSV with a header line, matched to the schema by name; malformed values become NULL.
@@ -47,6 +51,49 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, *,
     return raw.select([F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, *,
+                     multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As `read_csv`, but lines with a field that fails its cast are kept apart: (good, quarantined).
+
+    Quarantined lines have `file`, `line` (the text of the line), and `problems`, an array of (column,
+    reason): a field that is no value of its type, or a line with more or fewer fields than the header,
+    whose column is NULL. A field without content is a missing value, not a problem. Every line is in one
+    of the two. Where only casts failed the line is put together again from its fields, so quotes that
+    the reader did not need are left out.
+    """
+    options = CSV_OPTIONS | {"emptyValue": "", "nullValue": "\0",
+                             "multiLine": str(multi_line).lower()}
+    header = spark.read.options(**options).csv(path).columns
+    require_columns(spark.createDataFrame([], T.StructType(
+        [T.StructField(c, T.StringType()) for c in header])), schema.names, path)
+    # Columns that are not asked for are parsed too: else a line with too few fields goes unnoticed.
+    whole = T.StructType([T.StructField(c, T.StringType()) for c in (*header, _LINE)])
+    raw = spark.read.schema(whole).options(
+        **options, mode="PERMISSIVE", columnNameOfCorruptRecord=_LINE, columnPruning="false").csv(path)
+    problems = [F.when(F.col(_LINE).isNotNull(), F.struct(
+        F.lit(None).cast("string").alias("column"), F.lit(WRONG_FIELDS).alias("reason")))]
+    for f in schema.fields:
+        failed = (F.col(_LINE).isNull() & named(f.name).isNotNull()
+                  & named(f.name).try_cast(f.dataType).isNull())
+        problems.append(F.when(failed, F.struct(
+            F.lit(f.name).alias("column"),
+            F.lit(f"not a value of type {f.dataType.simpleString()}").alias("reason"))))
+    fields = F.struct(*[named(c) for c in header])
+    again = F.to_csv(fields, {"quote": '"', "escape": '"', "emptyValue": '""',
+                              "ignoreLeadingWhiteSpace": "false",
+                              "ignoreTrailingWhiteSpace": "false"})
+    checked = raw.select(
+        F.array_compact(F.array(*problems)).alias(_PROBLEMS),
+        F.col("_metadata.file_path").alias(_FILE),
+        F.coalesce(named(_LINE), again).alias(_TEXT),
+        *[named(c) for c in schema.names])
+    good = checked.where(F.size(_PROBLEMS) == 0).select(
+        [named(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    bad = checked.where(F.size(_PROBLEMS) > 0).select(
+        F.col(_FILE).alias("file"), F.col(_TEXT).alias("line"), F.col(_PROBLEMS).alias("problems"))
+    return good, bad
+
+
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header line and guessed types. Costs one more pass over the file."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path)

@@ -32,6 +32,7 @@ AUDIT_SCHEMA = T.StructType([
     T.StructField("partition_by", T.StringType()),
     T.StructField("num_rows", T.LongType()),
     T.StructField("table_schema", T.StringType()),
+    T.StructField("partitions_replaced", T.StringType()),
 ])
 
 
@@ -79,8 +80,12 @@ class TableStore:
         return reader.load(path)
 
     def write(self, df: DataFrame, path: str, *, partition_by: str | None = None,
-              clustered: bool = False) -> Written:
-        """Replace the table.
+              clustered: bool = False, only_given: bool = False) -> Written:
+        """Replace the table, or with `only_given` just the partitions that `df` has rows of.
+
+        With `only_given` all other partitions stay as they are. Columns and partition column have to
+        be those of the last noted write; the note names the partitions as a JSON list. A table that
+        was not written before is written whole. A Delta table takes the same option.
 
         A partitioned write is rebalanced first: each partition value is gathered into few files
         instead of one per task, and a value with very many rows is still split over tasks.
@@ -90,26 +95,56 @@ class TableStore:
         Rows are counted as the tasks write them. The count sits in the last stage, where Spark
         takes the numbers of each partition once, whatever is run again.
         """
+        replaced = None
+        if only_given:
+            if not partition_by:
+                raise ValueError("replacing given partitions only takes a partition column")
+            df = self._like_last_write(df, path, partition_by)
+            # One value per folder to be written.
+            values = df.select(F.col(f"`{partition_by}`").cast("string").alias("v")).distinct()
+            replaced = json.dumps(sorted((r["v"] for r in values.collect()),
+                                         key=lambda v: (v is None, v or "")))
         if partition_by and not clustered:
             df = df.hint("rebalance", partition_by)
         counted = Observation()
         writer = df.observe(counted, F.count("*").alias("rows")).write
         if partition_by:
             writer = writer.partitionBy(partition_by)
+        if only_given:
+            writer = writer.option("partitionOverwriteMode", "dynamic")
         writer.format(self.format).mode("overwrite").save(path)
         rows = counted.get["rows"]
         if self.format == PARQUET:
             self._schemas[path] = df.schema
-            self._note(path, partition_by, rows, df.schema.json())
+            self._note(path, partition_by, rows, df.schema.json(), replaced)
         return Written(path, self.format, rows)
 
+    def _like_last_write(self, df: DataFrame, path: str, partition_by: str) -> DataFrame:
+        """The rows with columns in the order of the table; an error if the table is built otherwise."""
+        if self.format != PARQUET:
+            return df
+        last = (self.writes().filter(F.col("written_path") == path)
+                .agg(F.max_by(F.struct("table_schema", "partition_by"), "written_at").alias("w"))
+                .first())["w"]
+        if last is None:
+            return df
+        if last["partition_by"] != partition_by:
+            raise ValueError(f"{path} is partitioned by {last['partition_by']}, not {partition_by}")
+        known = T.StructType.fromJson(json.loads(last["table_schema"]))
+        given = {f.name: f.dataType for f in df.schema}
+        if given != {f.name: f.dataType for f in known}:
+            raise ValueError(f"columns of {path} are {known.simpleString()}, "
+                             f"not {df.schema.simpleString()}")
+        return df.select(*[F.col(f"`{name}`") for name in known.names])
+
     def writes(self) -> DataFrame:
         """All writes that were noted, by all runs that share the audit table."""
         return self.spark.read.schema(AUDIT_SCHEMA).parquet(self.audit_path)
 
-    def _note(self, path: str, partition_by: str | None, rows: int, schema: str) -> None:
+    def _note(self, path: str, partition_by: str | None, rows: int, schema: str,
+              replaced: str | None) -> None:
         row = (moment_column(dt.datetime.now(dt.timezone.utc)), self.run_id, path, self.format,
-               partition_by, rows, schema)
+               partition_by, rows, schema, replaced)
         self.spark.range(0, 1, 1, 1).select(*[
             F.lit(value).cast(f.dataType).alias(f.name)
             for value, f in zip(row, AUDIT_SCHEMA.fields, strict=True)

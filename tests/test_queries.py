@@ -17,7 +17,8 @@ WRITERS = {"dq_report_of_outputs", "history_audit", "partitioned_table_round_tri
            "governed_run_from_files", "governed_stages_by_mode", "governed_gate_fails",
            "catalog_register", "catalog_crawl", "match_pairs_scored", "steward_queue_pairs",
            "reject_pairs", "mdm_audit_pairs", "pair_matching_outputs", "run_summary", "merge_clusters",
-           "match_without_block", "catalog_crawl_changes"}
+           "match_without_block", "catalog_crawl_changes", "reject_evidence", "mean_confidence",
+           "replaced_years", "csv_quarantine"}
 
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test data here")
 

@@ -7,8 +7,10 @@ from pyspark.sql import types as T
 
 from lakewarden.session import fresh_path, prepare_session, shared_folder
 from lakewarden.sources.readers import (
+    WRONG_FIELDS,
     ZONE_SCHEMA,
     read_csv,
+    read_csv_checked,
     read_csv_inferred,
     read_json_lines,
     read_optional,
@@ -148,3 +150,65 @@ def test_staged_table_is_cut_off_from_its_source(spark, rows):
     df = staged(spark.range(5).withColumn("t", F.lit("x")), "five")
     assert rows(df)[0] == (0, "x")
     assert "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+NUMBERS = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("name", T.StringType()),
+                        T.StructField("day", T.DateType())])
+
+
+def test_malformed_lines_are_kept_apart(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text(
+        'name,extra,n,day\nA,x,1,2024-01-02\n"B, b",x,two,2024-13-02\nC,,,\nD,x\n,x,7,\nE,x,8,2024-01-01,9\n')
+    good, bad = read_csv_checked(spark, str(tmp_path / "a.csv"), NUMBERS)
+    found = [(r["n"], r["name"], str(r["day"])) for r in good.collect()]
+    assert found == [(1, "A", "2024-01-02"), (None, "C", "None"), (7, None, "None")]
+    held = {r["line"]: [(p["column"], p["reason"]) for p in r["problems"]] for r in bad.collect()}
+    assert held == {
+        '"B, b",x,two,2024-13-02': [("n", "not a value of type int"),
+                                    ("day", "not a value of type date")],
+        "D,x": [(None, WRONG_FIELDS)], "E,x,8,2024-01-01,9": [(None, WRONG_FIELDS)]}
+    assert {r["file"].rsplit("/", 1)[1] for r in bad.collect()} == {"a.csv"}
+    assert good.count() == 3 and bad.count() == 3
+    with pytest.raises(ValueError, match="lacks"):
+        read_csv_checked(spark, str(tmp_path / "a.csv"), ZONE_SCHEMA)
+
+
+def test_malformed_records_over_several_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,name,day\n1,"a\nb",2024-01-02\nx,"c\nd",\n')
+    good, bad = read_csv_checked(spark, str(tmp_path / "a.csv"), NUMBERS, multi_line=True)
+    assert [r["name"] for r in good.collect()] == ["a\nb"]
+    assert [p["column"] for p in bad.first()["problems"]] == ["n"]
+    assert bad.count() == 1
+
+
+def test_only_given_partitions_are_replaced(spark, store, tmp_path, rows):
+    path = str(tmp_path / "t")
+    days = spark.range(20).select("id", F.concat(F.lit("d"), (F.col("id") % 10).cast("string")).alias("day"),
+                                  F.lit("old").alias("state"))
+    store.write(days, path, partition_by="day", only_given=True)  # the first write is of all
+    again = days.where("day IN ('d3', 'd5') AND id < 10").withColumn("state", F.lit("new"))
+    nameless = spark.createDataFrame([("new", 99, None)], "state string, id long, day string")
+    written = store.write(again.unionByName(nameless), path, partition_by="day", only_given=True)
+    assert written.rows == 3
+    expected = [(i, f"d{i % 10}", "old") for i in range(20) if i % 10 not in (3, 5)] + [
+        (3, "d3", "new"), (5, "d5", "new"), (99, None, "new")]
+    assert rows(store.read(path), "id", "day", "state") == sorted(expected, key=repr)
+    notes = store.writes().orderBy("written_at").collect()
+    assert json.loads(notes[1]["partitions_replaced"]) == ["d3", "d5", None]
+    assert len(json.loads(notes[0]["partitions_replaced"])) == 10
+    store.write(days.where("false"), path, partition_by="day", only_given=True)
+    assert store.read(path).count() == 19
+    store.write(days, path, partition_by="day")
+    assert store.read(path).count() == 20
+
+
+def test_partitions_of_another_table_are_refused(spark, store, tmp_path):
+    path = str(tmp_path / "t")
+    days = spark.range(4).selectExpr("id", "id % 2 AS day")
+    store.write(days, path, partition_by="day")
+    with pytest.raises(ValueError, match="columns"):
+        store.write(days.withColumn("more", F.lit(1)), path, partition_by="day", only_given=True)
+    with pytest.raises(ValueError, match="partitioned by day"):
+        store.write(days, path, partition_by="id", only_given=True)
+    with pytest.raises(ValueError, match="takes a partition column"):
+        store.write(days, path, only_given=True)
