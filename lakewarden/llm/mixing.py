@@ -13,6 +13,10 @@ once more a subset of them, found by subset sums over the counts of documents pe
 3. a bounded-knapsack program over the remaining counts finds the sum nearest to what is open (a
    bit set of reachable sums; a count is split into powers of two).
 
+If that misses the budget, EXACT words of it are kept back from the shares and the program fills
+these as well; the better of both stays. So up to a rest of EXACT words no choice of documents comes nearer
+than this one; for a larger rest none does among those that keep the shares given in steps 1 and 2.
+
 Which documents of a length are taken is decided by a seeded hash of the doc_id and text. The range
 of that hash is cut into as many salts as the square root of the number of rows. A document's rank
 within its length is its rank within its salt plus the documents in the salts before; so the
@@ -65,60 +69,75 @@ def water_level(sizes: list[int], weights: list[float], most: float) -> list[flo
 
 
 def _nearest_sum(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
-    """How many of each length reach the sum nearest to the budget from below, or just above it."""
-    most = budget + (min(lengths) if lengths else 0)
+    """How many of each length make the sum nearest to the budget; of two as near, the smaller one."""
+    # No documents at all are off by the budget, so no sum above twice the budget is nearest.
+    most = min(2 * budget, sum(a * c for a, c in zip(lengths, counts, strict=True)))
     mask = (1 << (most + 1)) - 1
     reach, steps = 1, []
+    found_by = np.zeros(most + 1, dtype=np.int32)  # the step that first reached a sum
     for length, count in zip(lengths, counts, strict=True):
         part = 1
         while count:
             take = min(part, count)
             if take * length > most:
                 break
-            steps.append((reach, length, take))
-            reach |= (reach << (take * length)) & mask
+            new = (reach << (take * length)) & mask & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(most // 8 + 1, "little"), dtype=np.uint8)
+                found_by[np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = len(steps)
+                steps.append((length, take))
+                reach |= new
             count, part = count - take, part * 2
         if reach >> budget & 1:
             break
-    below = reach & ((1 << (budget + 1)) - 1)
-    goal = below.bit_length() - 1
+    goal = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
     above = reach >> (budget + 1)
     if above:
         over = budget + 1 + (above & -above).bit_length() - 1
         goal = over if over - budget < budget - goal else goal
     chosen: dict[int, int] = {}
-    for before, length, take in reversed(steps):
-        if before >> goal & 1:
-            continue
-        goal -= take * length
+    while goal:
+        length, take = steps[found_by[goal]]
         chosen[length] = chosen.get(length, 0) + take
+        goal -= take * length
     return chosen
 
 
-def fit_counts(lengths: Iterable[int], counts: Iterable[int], budget: int,
-               exact: int = EXACT) -> list[int]:
-    """How many documents of each length to take so that their words come nearest to the budget."""
-    lengths, counts = list(map(int, lengths)), list(map(int, counts))
+def _filled(lengths: list[int], counts: list[int], budget: int, held: int, exact: int) -> list[int]:
+    """Steps 1 to 3, with `held` words of the budget kept back from the shares."""
     whole = sum(a * b for a, b in zip(lengths, counts, strict=True))
-    budget = min(max(0, int(budget)), whole)
-    taken = [c * budget // whole if whole and a else 0
-             for a, c in zip(lengths, counts, strict=True)]
+    shared = max(0, budget - held)
+    taken = [c * shared // whole if whole and a else 0 for a, c in zip(lengths, counts, strict=True)]
     left = budget - sum(a * t for a, t in zip(lengths, taken, strict=True))
     order = sorted((i for i in range(len(lengths)) if lengths[i]), key=lambda i: -lengths[i])
     for i in order:
-        if left <= exact:
+        if left <= held + exact:
             break
-        more = min(counts[i] - taken[i], (left - exact // 2) // lengths[i])
+        more = min(counts[i] - taken[i], (left - held - exact // 2) // lengths[i])
         if more > 0:
             taken[i] += more
             left -= more * lengths[i]
-    fits = [i for i in order if lengths[i] <= max(left, 1) or i == order[-1]]
-    chosen = _nearest_sum([lengths[i] for i in fits], [counts[i] - taken[i] for i in fits], left)
-    for i in fits:
+    chosen = _nearest_sum([lengths[i] for i in order], [counts[i] - taken[i] for i in order], left)
+    for i in order:
         taken[i] += chosen.get(lengths[i], 0)
     return taken
 
 
+def fit_counts(lengths: Iterable[int], counts: Iterable[int], budget: int,
+               exact: int = EXACT) -> list[int]:
+    """How many documents of each (distinct) length to take so that their words come near the budget."""
+    lengths, counts = list(map(int, lengths)), list(map(int, counts))
+    whole = sum(a * b for a, b in zip(lengths, counts, strict=True))
+    budget = min(max(0, int(budget)), whole)
+    tries = []
+    for held in (0, exact):
+        taken = _filled(lengths, counts, budget, held, exact)
+        tries.append((abs(sum(a * t for a, t in zip(lengths, taken, strict=True)) - budget), taken))
+        if tries[-1][0] == 0:
+            break
+    return min(tries, key=lambda t: t[0])[1]
+
+
 def _targets(sources: pd.DataFrame) -> pd.DataFrame:
     """One row per source: a table as long as the list of sources."""
     # Keys of sources begin with "=", that of the null source is "~": it sorts last.

@@ -30,6 +30,31 @@ def test_counts_come_near_the_budget():
     assert fit_counts([], [], 5) == []
 
 
+def test_no_choice_of_documents_comes_nearer():
+    assert fit_counts([10, 7], [1, 1], 9) == [1, 0]
+    assert fit_counts([4, 6], [2, 2], 12) == [0, 2]
+    assert fit_counts([10], [3], 15) == [1]  # as near as two: the smaller sum
+    chosen = random.Random(8)
+    for _ in range(400):
+        lengths = sorted(chosen.sample(range(0, 60), chosen.randrange(1, 6)))
+        counts = [chosen.randrange(1, 7) for _ in lengths]
+        sums = {0}
+        for a, c in zip(lengths, counts, strict=True):
+            sums = {s + a * k for s in sums for k in range(c + 1)}
+        budget = chosen.randrange(max(sums) + 1)
+        taken = fit_counts(lengths, counts, budget)
+        assert all(0 <= t <= c for t, c in zip(taken, counts, strict=True))
+        got = sum(a * t for a, t in zip(lengths, taken, strict=True))
+        assert abs(got - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_long_lists_of_lengths_without_a_hit():
+    # Even lengths only: an odd budget is missed by one, after all steps were tried.
+    lengths = list(range(2, 4002, 2))
+    taken = fit_counts(lengths, [300] * len(lengths), 90_001)
+    assert sum(a * t for a, t in zip(lengths, taken, strict=True)) == 90_000
+
+
 def documents(count=600):
     chosen = random.Random(1)
     rows = []
