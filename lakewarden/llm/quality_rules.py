@@ -17,11 +17,11 @@ reject at most RULES times it.
 
 Strata are the values of a column. A value has its own cutoffs if its labelled good documents are
 enough to pass the bound at all, that is with no false rejection; how many this takes follows from
-risk, alpha and the number of strata (297 for four strata, 228 at least). Smaller values, and those
-beyond the MAX_STRATA most frequent, share pooled cutoffs, tested on their labels together or, where
+risk, alpha and the number of strata (297 for four strata, 228 at least), of which there may be any
+number. Smaller values share pooled cutoffs, tested on their labels together or, where
 these are too few as well, on those of all strata; the latter are not used for values without a
-good label, of which nothing is known. Null is a value like others. Counts come from all labelled rows: they are histograms over the grids, so what reaches the driver
-is at most strata x rules x cutoffs numbers.
+good label, of which nothing is known. Null is a value like others. Counts come from all labelled rows:
+they are histograms over the grids, and cutoffs are rows of a table that is joined to the documents.
 
 Defined results: a null text has no words and fails the base rule. Rows that share a doc_id are
 each judged; their labels count once per row. Labels without a document, or null, are ignored; with
@@ -42,11 +42,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.llm.text import rows_of, texts_of
+from lakewarden.operators.keyed import lookup_join
+from lakewarden.sources.store import staged
 
 RISK = 0.02
 ALPHA = 0.05
-MAX_STRATA = 64
-POOLED = "*"
 _NULL = "\0"  # stands for null
 
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
@@ -167,9 +167,42 @@ def least_size(tests: int, risk: float, alpha: float) -> int:
     return n
 
 
-def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: float = ALPHA,
-               rules: tuple[Rule, ...] = RULES) -> dict[str, dict[str, float]]:
-    """Cutoffs per stratum and rule from the measures of documents with a label `good`."""
+def _own_from(histogram: dict[int, int], tests_of_one: int, risk: float, alpha: float) -> int | None:
+    """The size from which a value is a stratum of its own, given how many values have which size.
+
+    The more strata, the more good labels each of them takes; the smallest size counts for which this
+    works out. None: there is no such size.
+    """
+    sizes = sorted(n for n in histogram if n > 0)
+    for at, size in enumerate(sizes):
+        strata = sum(histogram[n] for n in sizes[at:]) + (at > 0)
+        if size >= least_size(strata * tests_of_one, risk, alpha):
+            return size
+    return None
+
+
+def _chosen(hits: dict[int, int], junk: dict[int, int], rule: Rule, risk: float,
+            error: float) -> float | None:
+    """The cutoff of one rule in one stratum, from how many documents have which strictness."""
+    n, found = sum(hits.values()), None
+    for i, cut in enumerate(rule.grid):  # cutoff i turns down all with len(grid) - i hits
+        rejected, caught = (sum(c for h, c in of.items() if h >= len(rule.grid) - i)
+                            for of in (hits, junk))
+        if not bounded(rejected, n, risk, error):
+            break
+        if caught and caught >= rejected:
+            found = float(cut)
+    return found
+
+
+def cutoffs(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: float = ALPHA,
+            rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, dict[str, float]]:
+    """Cutoffs by value from the measures of documents with a label `good`, and those for other values.
+
+    The rows are (stratum, one column per rule, null where the rule is not used), one for each value that
+    has cutoffs other than the rest. Strata stay rows: each is worked out by itself from its counts. Only a
+    histogram of sizes and the pooled counts, both of bounded length, come to the driver.
+    """
     # A long format of (stratum, rule, strictness) with counts of either label, made map-side.
     each = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), _strictness(r).alias("hits"))
                                for r in rules]))
@@ -177,62 +210,68 @@ def thresholds(labelled: DataFrame, stratum: str, risk: float = RISK, alpha: flo
               .select(_value(stratum).alias("stratum"), "good", each.alias("x"))
               .groupBy("stratum", "x.rule", "x.hits")
               .agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("bad")))
-    sizes = counts.where(F.col("rule") == rules[0].name).groupBy("stratum").agg(
+    counts = staged(counts, "label-counts")
+    sizes = counts.where(F.col("rule") == rules[0].name).groupBy(F.col("stratum").alias("of")).agg(
         F.sum("n").alias("size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    largest = (sizes.where(F.col("size") >= least_size(len(rules), risk, alpha))
-               .orderBy(F.desc("size"), "stratum").limit(MAX_STRATA)).collect()
-    largest = [(r["stratum"], r["size"]) for r in largest]
-    while largest:  # the more strata, the more good labels each of them takes
-        pool = sum(n for _, n in largest) < total
-        if largest[-1][1] >= least_size((len(largest) + pool) * len(rules), risk, alpha):
-            break
-        largest.pop()
-    known = {s for s, _ in largest}
-    rest = total - sum(n for _, n in largest)
-    tests = (len(known) + (rest > 0)) * len(rules)
-    pooled = F.when(F.col("stratum").isin(*known), F.col("stratum")).otherwise(F.lit(POOLED)) \
-        if known else F.lit(POOLED)
-    rows = counts.groupBy(pooled.alias("stratum"), "rule", "hits").agg(
-        F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()
-    table: dict[tuple[str, str], Counter] = {}
-    junk: dict[tuple[str, str], Counter] = {}
-    of_all = 0 < rest < least_size(tests, risk, alpha)
-    for r in rows:
-        for name in {r["stratum"], POOLED} if of_all else {r["stratum"]}:
-            table.setdefault((name, r["rule"]), Counter())[r["hits"]] += r["n"]
-            junk.setdefault((name, r["rule"]), Counter())[r["hits"]] += r["bad"]
-    chosen: dict[str, dict[str, float]] = {s: {} for s in (*known, POOLED)}
-    for (name, rule_name), hits in table.items():
-        rule = next(r for r in rules if r.name == rule_name)
-        n = sum(hits.values())
-        for i, cut in enumerate(rule.grid):  # cutoff i turns down all with len(grid) - i hits
-            rejected, caught = (sum(c for h, c in found.items() if h >= len(rule.grid) - i)
-                                for found in (hits, junk[name, rule_name]))
-            if not bounded(rejected, n, risk, alpha / tests):
-                break
-            if caught and caught >= rejected:
-                chosen[name][rule_name] = float(cut)
+    # More good labels than this are enough for 10**12 strata.
+    ample = least_size(10**12 * len(rules), risk, alpha)
+    histogram = {r["s"]: r["n"] for r in sizes.groupBy(F.least("size", F.lit(ample)).alias("s"))
+                 .agg(F.count("*").alias("n")).collect()}
+    own_from = _own_from(histogram, len(rules), risk, alpha)
+    own = F.lit(False) if own_from is None else F.col("size") >= own_from
+    sized = counts.join(sizes, F.col("stratum") == F.col("of")).drop("of").withColumn("own", own)
+    strata = sum(n for s, n in histogram.items() if own_from is not None and s >= own_from)
+    small = sized.where("NOT own").groupBy("rule", "hits").agg(F.sum("n").alias("n"),
+                                                               F.sum("bad").alias("bad")).collect()
+    rest = sum(r["n"] for r in small if r["rule"] == rules[0].name)
+    error = alpha / max(1, (strata + (rest > 0)) * len(rules))
+    of_all = 0 < rest < least_size((strata + 1) * len(rules), risk, alpha)
+    if of_all:
+        small = counts.groupBy("rule", "hits").agg(F.sum("n").alias("n"),
+                                                   F.sum("bad").alias("bad")).collect()
+    pooled = {}
+    for rule in rules:
+        mine = [r for r in small if r["rule"] == rule.name]
+        cut = _chosen({r["hits"]: r["n"] for r in mine}, {r["hits"]: r["bad"] for r in mine}, rule,
+                      risk, error)
+        if cut is not None:
+            pooled[rule.name] = cut
+
+    def of_stratum(table: pa.Table) -> pa.Table:
+        columns: dict[str, list] = {"stratum": [table["stratum"][0].as_py()]}
+        rows = table.to_pylist()
+        for rule in rules:
+            mine = [r for r in rows if r["rule"] == rule.name]
+            columns[rule.name] = [_chosen({r["hits"]: r["n"] for r in mine},
+                                          {r["hits"]: r["bad"] for r in mine}, rule, risk, error)]
+        return pa.table({c: pa.array(v, pa.string() if c == "stratum" else pa.float64())
+                         for c, v in columns.items()})
+
+    schema = "stratum string, " + ", ".join(f"{r.name} double" for r in rules)
+    # A group is as long as the grids of all rules together at most.
+    table = sized.where("own").select("stratum", "rule", "hits", "n", "bad").groupBy(
+        "stratum").applyInArrow(of_stratum, schema)
     if of_all:  # these are for the few values that have a good label
-        small = sizes.where((F.col("size") > 0) & ~F.col("stratum").isin(*known)).collect()
-        shared = chosen.pop(POOLED)
-        chosen.update({r["stratum"]: shared for r in small} | {POOLED: {}})
-    return chosen
-
-
-def verdict(chosen: dict[str, dict[str, float]], stratum: str,
-            rules: tuple[Rule, ...] = RULES) -> Column:
-    """True for documents that no chosen cutoff turns down; cutoffs are constants of the plan."""
-    named = [s for s in chosen if s != POOLED]
-    value = _value(stratum)
-    own = F.when(value.isin(*named), value).otherwise(F.lit(POOLED)) if named else F.lit(POOLED)
+        shared = [F.lit(pooled.get(r.name)).cast("double").alias(r.name) for r in rules]
+        table = table.unionByName(sizes.join(sized.where("own").select("stratum").distinct(),
+                                             F.col("of") == F.col("stratum"), "left_anti")
+                                  .where("size > 0").select(F.col("of").alias("stratum"), *shared))
+        pooled = {}
+    return table, pooled
+
+
+def with_verdict(found: DataFrame, stratum: str, table: DataFrame, pooled: dict[str, float],
+                 rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Adds `passed`: false for documents that a cutoff turns down. A value may hold most rows."""
+    sides = table.select(F.col("stratum").alias("__of"),
+                         *[F.col(r.name).alias(f"__cut_{r.name}") for r in rules])
+    joined = lookup_join(found.withColumn("__value", _value(stratum)), sides, "__value", "__of", "left")
     bad = F.lit(False)
     for rule in rules:
-        cuts = {s: c[rule.name] for s, c in chosen.items() if rule.name in c}
-        for s, cut in sorted(cuts.items()):
-            over = _rate(rule) * rule.sign > cut * rule.sign
-            bad = bad | ((own == s) & F.coalesce(over, F.lit(False)))
-    return ~bad
+        cut = F.when(F.col("__of").isNull(), F.lit(pooled.get(rule.name)).cast("double")).otherwise(
+            F.col(f"__cut_{rule.name}"))
+        bad = bad | F.coalesce(_rate(rule) * rule.sign > cut * rule.sign, F.lit(False))
+    return joined.withColumn("passed", ~bad).drop("__value", *sides.columns)
 
 
 def judge(docs: DataFrame, labels: DataFrame, work: str, *, stratum: str = "lang",
@@ -244,7 +283,9 @@ def judge(docs: DataFrame, labels: DataFrame, work: str, *, stratum: str = "lang
     marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") == 1).alias("good")
     ).distinct()
-    chosen = thresholds(found.join(marks, "doc_id"), "__stratum", risk, alpha)
+    table, pooled = cutoffs(found.join(marks, "doc_id"), "__stratum", risk, alpha)
+    table.write.parquet(f"{work}/cutoffs")
+    table = docs.sparkSession.read.parquet(f"{work}/cutoffs")
     failed = base_failed()
-    return found.withColumn("base_failed", failed).withColumn(
-        "kept", ~failed & verdict(chosen, "__stratum")).drop("__stratum")
+    return with_verdict(found, "__stratum", table, pooled).withColumn("base_failed", failed).withColumn(
+        "kept", ~failed & F.col("passed")).drop("__stratum", "passed")

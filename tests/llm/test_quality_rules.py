@@ -86,8 +86,8 @@ def holdout(spark, sizes):
 
 def lost(spark, labelled):
     """Documents turned down, by language and label."""
-    found = labelled.withColumn("kept", Q.verdict(Q.thresholds(labelled, "lang"), "lang"))
-    return Counter((r["lang"], r["good"]) for r in found.where("NOT kept").collect())
+    found = Q.with_verdict(labelled, "lang", *Q.cutoffs(labelled, "lang"))
+    return Counter((r["lang"], r["good"]) for r in found.where("NOT passed").collect())
 
 
 def test_the_least_stratum_passes_the_bound():
@@ -106,7 +106,98 @@ def test_strata_of_any_size_lose_their_junk(spark, good):
 
 def test_cutoffs_of_all_strata_are_not_for_unlabelled_ones(spark):
     labelled = holdout(spark, [("en", 2000, 100), ("es", 40, 5)])
-    chosen = Q.thresholds(labelled, "lang")
+    chosen = Q.cutoffs(labelled, "lang")
     others = holdout(spark, [("xx", 0, 3), ("es", 0, 3)])
-    kept = others.where(Q.verdict(chosen, "lang")).collect()
+    kept = Q.with_verdict(others, "lang", *chosen).where("passed").collect()
     assert [r["lang"] for r in kept] == ["xx"] * 3
+
+
+def many_strata(spark):
+    """70 values with 450 good documents each; value i has good ones with i/20 symbols a word."""
+    rows = spark.range(70 * 500).selectExpr("CAST(id % 70 AS STRING) AS lang", "id DIV 70 < 450 AS good")
+    return rows.selectExpr(
+        "lang", "good", "100L AS n_words", "450L AS word_chars",
+        "CASE WHEN good THEN CAST(lang AS BIGINT) * 5 ELSE CAST(lang AS BIGINT) * 5 + 12 END AS n_symbols",
+        "10L AS n_lines", "0L AS n_dup_lines", "0L AS n_repeat_words")
+
+
+def test_every_stratum_keeps_its_own_cutoffs(spark):
+    labelled = many_strata(spark)
+    table, pooled = Q.cutoffs(labelled, "lang")
+    assert table.count() == 70 and pooled == {}
+    turned_down = lost(spark, labelled)
+    # The grid ends at 2 symbols a word; up to there each value loses its own junk and nothing good.
+    assert turned_down == {(str(i), False): 50 for i in range(41)}
+
+
+def plain_kept(rows):
+    """The verdict of (lang, good, measures) rows, as the docstring has it, in plain Python."""
+    def rate(row, rule):
+        m = dict(zip(Q.MEASURES, row[2], strict=True))
+        return m[rule.part] / m[rule.whole] if m[rule.whole] else None
+
+    def over(row, rule, cut):
+        return rate(row, rule) is not None and (rate(row, rule) - cut) * rule.sign > 0
+
+    def tail(k, n):
+        return sum(math.comb(n, i) * Q.RISK**i * (1 - Q.RISK) ** (n - i) for i in range(k + 1))
+
+    judged = [r for r in rows if r[2][0] >= 50 and 100 * r[2][5] <= 50 * r[2][0]]
+    goods = Counter(r[0] for r in judged if r[1])
+    for least in sorted(set(goods.values())):
+        own = {v for v, n in goods.items() if n >= least}
+        tests = (len(own) + any(n < least for n in goods.values())) * len(Q.RULES)
+        if tail(0, least) <= Q.ALPHA / tests:
+            break
+    else:
+        own, tests = set(), len(Q.RULES)
+    pool = [r for r in judged if r[0] not in own]
+    too_few = 0 < sum(r[1] for r in pool) and tail(0, sum(r[1] for r in pool)) > Q.ALPHA / tests
+    known = {}
+
+    def cut_of(value, rule):
+        name = value if value in own else "rest" if goods[value] or not too_few else "unknown"
+        if (name, rule.name) not in known:
+            group = ([r for r in judged if r[0] == value] if value in own
+                     else [] if name == "unknown" else judged if too_few else pool)
+            n, cut = sum(r[1] for r in group), None
+            for c in rule.grid:
+                hit = [r[1] for r in group if over(r, rule, c)]
+                if not n or sum(hit) >= Q.RISK * n or tail(sum(hit), n) > Q.ALPHA / tests:
+                    break
+                if len(hit) > sum(hit) and len(hit) - sum(hit) >= sum(hit):
+                    cut = c
+            known[name, rule.name] = cut
+        return known[name, rule.name]
+
+    base = {id(r) for r in judged}
+    return [id(row) in base and not any(
+        cut_of(row[0], rule) is not None and over(row, rule, cut_of(row[0], rule)) for rule in Q.RULES)
+        for row in rows]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_kept_equals_a_plain_version(spark, make_docs, work, seed):
+    chosen = random.Random(seed)
+
+    def text(bad):
+        words = ["".join(chosen.choices("abcdefghij", k=chosen.randrange(2, 9)))
+                 for _ in range(chosen.randrange(45, 70))]
+        kind = chosen.randrange(4) if bad else 9
+        words = [w + ("#$" if kind == 0 else "") for w in words]
+        words = words[:12] * 2 + words if kind == 1 else words
+        return "\n".join(["a line", *(["a line"] * 60 if kind == 2 else []), " ".join(words)])
+
+    langs = ["en"] * 8 + ["de"] * 6 + ["x", None] if seed == 1 else ["en"] * 12 + ["y"] * 3 + ["z"]
+    docs, given = [], []
+    for i in range(900):
+        bad = chosen.random() < 0.15
+        docs.append((i, text(bad), chosen.choice(langs), not bad if chosen.random() < 0.97 else bad))
+    labels = spark.createDataFrame([(i, int(good)) for i, _, lang, good in docs],
+                                   "doc_id bigint, quality int")
+    given = [(lang, good, Q.measure(t.encode())) for _, t, lang, good in docs]
+    df = make_docs([(i, t) for i, t, _, _ in docs]).drop("lang").join(
+        spark.createDataFrame([(i, lang) for i, _, lang, _ in docs], "doc_id bigint, lang string"), "doc_id")
+    found = {r["doc_id"]: r["kept"] for r in Q.judge(df, labels, work).collect()}
+    assert [found[i] for i in range(900)] == plain_kept(given)
+    assert not all(found.values()) and any(found.values())
