@@ -6,8 +6,8 @@ byte by byte, and each keeps its largest response (max-pooling). A hidden layer
 into HIDDEN values per chunk; their mean and maximum over all chunks of the document go into one
 logistic unit. All parts are fitted together by gradient steps (Adam).
 
-The fit reads at most SAMPLE texts of each label, and of a text at most FIT_CHUNKS chunks, evenly
-spread; scoring reads every byte. Both labels weigh the same, and the score is set back to their
+The fit reads at most SAMPLE texts of each label, drawn until they have `sampling.SAMPLE_BYTES`; fit
+and scoring read every byte of a text. Both labels weigh the same, and the score is set back to their
 share among all labelled rows. The model is a few kilobytes.
 
 Defined results: a null or empty text is one chunk of padding. Without labels of both kinds every
@@ -30,7 +30,6 @@ from lakewarden.llm.sampling import fitted_model, labelled_sample
 from lakewarden.llm.text import rows_of, texts_of
 
 SAMPLE = 2500  # texts of each label that the fit reads
-FIT_CHUNKS = 8
 CHUNK = 512
 OVERLAP = 64
 WIDTH = 8
@@ -120,13 +119,18 @@ def _gradients(model: Model, block: np.ndarray, begin: np.ndarray, y: np.ndarray
         error, model["last"][HIDDEN:])[owner]
     to_hidden = to_hidden * (hidden > 0)
     to_pooled = (to_hidden @ model["hidden"].T) * (pooled > 0)
-    spots = where[:, :, None] + np.arange(WIDTH)
-    read = np.take_along_axis(block[:, None, :], spots, axis=2)  # chunk, filter, byte of window
-    filters = np.einsum("nf,nfwv->wvf", to_pooled, model["bytes"][read], optimize=True)
+    filters = np.zeros((WIDTH, VECTOR, FILTERS))
+    to_vectors = np.zeros((256, VECTOR))
     shaped = model["filters"].reshape(WIDTH, VECTOR, FILTERS)
-    to_bytes = np.einsum("nf,wvf->nfwv", to_pooled, shaped, optimize=True).reshape(-1, VECTOR)
-    to_vectors = np.stack([np.bincount(read.ravel(), weights=to_bytes[:, v], minlength=256)
-                           for v in range(VECTOR)], axis=1)
+    for i in range(0, len(block), AT_ONCE):  # a long text has many chunks
+        at = slice(i, i + AT_ONCE)
+        spots = where[at, :, None] + np.arange(WIDTH)
+        read = np.take_along_axis(block[at, None, :], spots, axis=2)  # chunk, filter, byte of window
+        filters += np.einsum("nf,nfwv->wvf", to_pooled[at], model["bytes"][read], optimize=True)
+        to_bytes = np.einsum("nf,wvf->nfwv", to_pooled[at], shaped, optimize=True)
+        to_bytes = to_bytes.reshape(-1, VECTOR)
+        to_vectors += np.stack([np.bincount(read.ravel(), weights=to_bytes[:, v], minlength=256)
+                                for v in range(VECTOR)], axis=1)
     return {"bytes": to_vectors, "filters": filters.reshape(-1, FILTERS),
             "filter_bias": to_pooled.sum(axis=0), "hidden": active.T @ to_hidden,
             "hidden_bias": to_hidden.sum(axis=0),
@@ -145,11 +149,7 @@ def fit(texts: list[bytes], labels: list[int], share: float = 0.5, epochs: int =
     if len(y) and y.min() < y.max():
         # Both labels weigh the same, however many texts of each there are.
         weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-        parts = []
-        for text in texts:
-            cut = chunks(text)
-            at = np.unique(np.linspace(0, len(cut) - 1, min(len(cut), FIT_CHUNKS)).astype(int))
-            parts.append(cut[at])
+        parts = [chunks(text) for text in texts]
         first = {k: np.zeros_like(v) for k, v in model.items()}
         second = {k: np.zeros_like(v) for k, v in model.items()}
         step = 0
@@ -217,7 +217,7 @@ def _model(docs: DataFrame, labels: DataFrame, learn: Column, work: str,
     sample, counts = labelled_sample(docs, labels, "quality", learn, per_class, work)
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 1.0
     if 0 < share < 1:
-        return fitted_model(sample, fit, per_class, share=share)
+        return fitted_model(sample, fit, share=share)
     constant = _start()
     constant["last"][:] = 0
     constant["offset"][0] = 30 if share else -30

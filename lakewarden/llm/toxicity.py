@@ -7,8 +7,8 @@ is scored by its most toxic window, so one insult in a long text is not averaged
 fewer words is one window. A misspelt insult shares most n-grams, and so vectors, with the word.
 
 Vectors and layer are fitted together by gradient steps: first on the average of the whole text,
-then on the most toxic window. At most SAMPLE texts of each label are used; the sample is balanced
-and the score is set back to the share of the labels among all labelled rows.
+then on the most toxic window. At most SAMPLE texts of each label are used, drawn whole until they
+have `sampling.SAMPLE_BYTES`; the sample is balanced and the score is set back to the share of the labels among all labelled rows.
 
 As the layer is linear, a subword adds one number to a window, so scoring takes a table of BUCKETS
 numbers: the model that travels to executors is 4 * BUCKETS bytes.
@@ -188,7 +188,7 @@ def scored(docs: DataFrame, labels: DataFrame, learn: Column, work: str, *,
     sample, counts = labelled_sample(docs, labels, "toxic", learn, per_class, work)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if 0 < share < 1:
-        model = fitted_model(sample, fit, per_class, share=share)
+        model = fitted_model(sample, fit, share=share)
     else:
         model = np.append(np.zeros(BUCKETS), 30 if share else -30).astype(np.float32).tobytes()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 * (BUCKETS + 1) bytes

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lakewarden.llm import quality_cnn, toxicity
+from lakewarden.llm.sampling import labelled_sample
 from lakewarden.llm.text import crc32_mod
 
 FOLDER = "/root/testdata/sf0.1"
@@ -108,3 +109,59 @@ def test_a_pattern_is_seen_at_any_byte():
         assert np.array_equal(most, quality_cnn._pooled_values(model, block))
         assert np.isclose(most[:, 0].max(), full, rtol=1e-5)
         assert where[0, 0] == at
+
+
+def test_the_fit_reads_a_long_text_to_its_last_byte():
+    random = np.random.default_rng(5)
+
+    def text(end: bytes, blanks: int) -> bytes:
+        return b"plain words in order " * (blanks // 21) + end
+
+    lengths = random.integers(9_000, 20_000, 80)  # 20 to 45 chunks; only the end tells
+    texts = [text(b"#$%& #$%& #$%&" if i % 2 else b"plain words.", n) for i, n in enumerate(lengths)]
+    model = quality_cnn.opened(quality_cnn.fit(texts, [1 - i % 2 for i in range(80)], epochs=80))
+    found = quality_cnn.scores([text(b"#$%& #$%& #$%&", 30_000), text(b"plain words.", 30_000)], model)
+    assert found[0] < 0.3 < 0.7 < found[1]
+
+
+def _naive_network(text: bytes, m) -> float:
+    """The score of a text, one response at a time."""
+    step, width, size = 448, 8, 512
+    hidden = []
+    for c in range(1 + max(0, -(-(len(text) - size) // step))):
+        chunk = text[c * step:c * step + size].ljust(size, b"\0")
+        pooled = [max(sum(float(m["bytes"][chunk[p + w]][v]) * float(m["filters"][w * 4 + v][f])
+                          for w in range(width) for v in range(4))
+                      for p in range(size - width + 1)) + float(m["filter_bias"][f])
+                  for f in range(m["filters"].shape[1])]
+        hidden.append([max(0.0, sum(max(0.0, x) * float(m["hidden"][f][h])
+                                    for f, x in enumerate(pooled)) + float(m["hidden_bias"][h]))
+                       for h in range(m["hidden"].shape[1])])
+    columns = list(zip(*hidden, strict=True))
+    inputs = [sum(c) / len(c) for c in columns] + [max(c) for c in columns]
+    z = sum(x * float(w) for x, w in zip(inputs, m["last"], strict=True))
+    return float(1 / (1 + np.exp(-(z + float(m["last_bias"][0]) + float(m["offset"][0])))))
+
+
+def test_scores_equal_a_naive_convolution(monkeypatch):
+    model = {k: v.copy() for k, v in quality_cnn._start(9).items()}
+    model["filters"], model["filter_bias"] = model["filters"][:, :3], model["filter_bias"][:3]
+    model["hidden"] = model["hidden"][:3]
+    model["last_bias"][0], model["offset"][0] = 0.2, -0.4
+    monkeypatch.setattr(quality_cnn, "FILTERS", 3)
+    texts = [b"", b"a", "naïve text ".encode() * 30, bytes(range(256)) * 4]
+    assert np.allclose(quality_cnn.scores(texts, model),
+                       [_naive_network(t, model) for t in texts], atol=1e-4)
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark, make_docs, work):
+    docs = make_docs([(i % 50, "x" * 100) for i in range(400)] + [(60, "y" * 5000)])
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(61)],
+                                   "doc_id bigint, quality int")
+    every = crc32_mod("doc_id", 2) >= 0
+    found, counts = labelled_sample(docs, labels, "quality", every, 20, work, 1000)
+    by_label = {c: [len(r["text"]) for r in found.where(f"label = {c}").collect()] for c in (0, 1)}
+    assert counts == {0: 31, 1: 30}
+    assert all(0 < sum(n) - max(n) < 1000 for n in by_label.values()) and sum(by_label[1]) == 1000
+    few, _ = labelled_sample(docs, labels, "quality", every, 7, work + "-few")
+    assert {r["n"] for r in few.groupBy("label").count().toDF("label", "n").collect()} == {7}
