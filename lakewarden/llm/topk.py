@@ -14,8 +14,9 @@ of at least t / (|q| l), its local threshold:
 
 What remains is verified by the exact integer product. First thresholds come from the bucket of the
 longest vectors; then every query goes to the buckets its threshold leaves, by bucket number, and
-the best k per query and bucket are merged. Queries meet a bucket in salts of at most about
-QUERY_BLOCK, so the number of queries in one task does not grow with the table. How many buckets a
+the best k per query and bucket are merged. The queries of a bucket meet it in blocks of about
+QUERY_BLOCK, so the number of queries in one task does not grow with the table; a bucket is repeated
+once per block, so buckets that nobody asks for do not move. How many buckets a
 query needs is looked up by the binary logarithm of the length it asks for, in a table of at most
 a few thousand steps.
 
@@ -205,21 +206,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, work: str, *, id_column:
         "bucket", F.row_number().over(by_length))
     buckets = packed.join(directory.select("part", "number", "bucket"), ["part", "number"])
 
-    salts = max(1, -(-usable.where("asks").count() // query_block))
     asked = (usable.where("asks").select("id", "v", "len").distinct()
-             .withColumn("dim", F.size("v"))
-             .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")))
+             .withColumn("dim", F.size("v")))
 
-    def meet(some: DataFrame, queries: DataFrame) -> DataFrame:
+    def meet(some: DataFrame, queries: DataFrame, name: str) -> DataFrame:
         keys = ["dim", "bucket", "salt"]
-        spread = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return spread.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(
+        # One row per bucket that is asked for.
+        blocks = written(queries.groupBy("dim", "bucket").agg(
+            F.ceil(F.count("*") / query_block).cast("int").alias("blocks")), name)
+        dealt = queries.join(blocks, ["dim", "bucket"]).withColumn(
+            "salt", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        again = spark.read.parquet(f"{work}/{name}")
+        spread = some.join(again, ["dim", "bucket"]).withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return spread.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(
             _searched(k), _HITS)
 
     # The bucket of the longest vectors sets the first thresholds.
     unknown = F.lit(None).cast("bigint")
     first = written(meet(buckets.where("bucket = 1"), asked.withColumn("known", unknown)
-                         .withColumn("bucket", F.lit(1))), "first")
+                         .withColumn("bucket", F.lit(1)), "first-blocks"), "first")
     known = first.groupBy("query_id").agg(
         F.when(F.count("*") >= k, F.sort_array(F.collect_list("score"), asc=False)[k - 1])
         .alias("known"))
@@ -242,7 +248,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, work: str, *, id_column:
             .join(needed, ["dim", "level"]).where("last > 1")
             .withColumn("bucket", F.explode(F.sequence(F.lit(2), F.col("last"))))
             .drop("last", "level", "len"))
-    hits = first.unionByName(meet(buckets.where("bucket > 1"), rest))
+    hits = first.unionByName(meet(buckets.where("bucket > 1"), rest, "blocks"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -38,3 +38,17 @@ def test_equals_brute_force(spark, work, spread):
 def test_no_rows(spark, work):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert top_k(df, F.col("vec_id") % 2 == 0, 3, work).collect() == []
+
+
+def test_buckets_are_repeated_for_their_own_queries_only(spark, work):
+    """A few long vectors set thresholds that leave most buckets unasked for."""
+    chosen = random.Random(3)
+    rows = [(i, [(chosen.random() + 0.5) * (50 if i < 40 else 1) for _ in range(6)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = top_k(df, F.col("vec_id") % 10 == 0, 5, work, bucket=8, query_block=7)
+    assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 10 == 0, 5)
+    first = spark.read.parquet(f"{work}/first-blocks").collect()
+    assert [(r["bucket"], r["blocks"]) for r in first] == [(1, 9)]  # 60 queries in blocks of 7
+    rest = {r["bucket"]: r["blocks"] for r in spark.read.parquet(f"{work}/blocks").collect()}
+    assert sorted(rest) == list(range(2, max(rest) + 1)) and max(rest) < 10  # of 75 buckets
+    assert [rest[b] for b in sorted(rest)] == sorted(rest.values(), reverse=True)
