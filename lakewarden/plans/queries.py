@@ -39,6 +39,7 @@ from lakewarden.plans.star_tables import (
     zones,
 )
 from lakewarden.session import fresh_path, shared_folder
+from lakewarden.sources.csv_records import read_csv_records
 from lakewarden.sources.readers import (
     read_csv,
     read_csv_checked,
@@ -769,6 +770,23 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, path, documents.schema, multi_line=True)
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN ''
+  ELSE replace(replace(text, 'a', '"'), ' ', CASE doc_id % 3 WHEN 0 THEN chr(10)
+    WHEN 1 THEN chr(13) || chr(10) ELSE ' ,' END) END AS text, source, n_chars
+FROM documents""")
+def csv_records_in_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of many lines each, out of files that several tasks read."""
+    path = fresh_path(spark, "records-csv")
+    part = F.col("doc_id") % 3
+    blank = F.when(part == 0, "\n").when(part == 1, "\r\n").otherwise(" ,")
+    text = F.replace(F.replace("text", F.lit("a"), F.lit('"')), F.lit(" "), blank)
+    documents = table(spark, folder, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 6 == 0, F.lit(None)).when(F.col("doc_id") % 13 == 0, F.lit(""))
+        .otherwise(text).alias("text"), "source", "n_chars")
+    write_csv(documents, path)
+    return read_csv_records(spark, path, documents.schema)
+
+
 @query("""SELECT p_partkey, p_size, p_retailprice, p_brand FROM part""")
 def csv_inferred_types(spark: SparkSession, folder: str) -> DataFrame:
     """Types as guessed from the text: whole numbers, fractions and words."""
