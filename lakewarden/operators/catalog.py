@@ -66,7 +66,7 @@ class Dataset:
 @dataclass(frozen=True)
 class Registered:
     """What registering did: created, updated, unchanged, missing (logged, not dropped), conflict
-    (files whose columns have types that do not go together), or unreadable (no data file where the
+    (files whose columns have types that no common type holds), or unreadable (no data file where the
     reader looks, as in folders that are no partitions). The last two leave the entry as it was."""
 
     table: str
@@ -181,6 +181,64 @@ def _partition_columns(opened: DataFrame, dataset: Dataset) -> list[str]:
     return [k for k in keys if k in opened.columns]
 
 
+_WHOLE = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())
+_FRACTIONS = (T.FloatType(), T.DoubleType())
+
+
+def wider_type(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The type that takes the values of both unchanged and that Parquet files of either are read as."""
+    if a == b:
+        return a
+    if a in _WHOLE and b in _WHOLE:
+        return max(a, b, key=_WHOLE.index)
+    if all(t in _FRACTIONS or t in _WHOLE[:3] for t in (a, b)):  # a double holds every 32-bit number
+        return T.DoubleType()
+    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+        scale = max(a.scale, b.scale)
+        precision = scale + max(a.precision - a.scale, b.precision - b.scale)
+        return T.DecimalType(precision, scale) if precision <= 38 else None
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return wider_schema(a, b)
+    return None
+
+
+def wider_schema(a: T.StructType, b: T.StructType) -> T.StructType | None:
+    """The columns of both, each in its wider type; None if a column has none."""
+    merged = {f.name.lower(): f for f in a}
+    for f in b:
+        known = merged.get(f.name.lower())
+        data_type = wider_type(known.dataType, f.dataType) if known else f.dataType
+        if data_type is None:
+            return None
+        merged[f.name.lower()] = T.StructField(known.name if known else f.name, data_type)
+    return T.StructType(list(merged.values()))
+
+
+def _widened(spark: SparkSession, dataset: Dataset) -> T.StructType | None:
+    """The schema of Parquet files whose types Spark does not merge.
+
+    Files in the order of their writing are halved until Spark can merge the schemas of a part, and
+    the parts' schemas are widened. As types change with time, the parts are about as many as the changes
+    times the logarithm of the number of files.
+    """
+    files = [r["path"] for r in _files_under(spark, dataset.path).where("path LIKE '%.parquet'")
+             .orderBy("modificationTime", "path").select("path").collect()]
+    reader = spark.read.option("mergeSchema", True).option("basePath", dataset.path)
+
+    def merged(first: int, end: int) -> T.StructType | None:
+        try:
+            return reader.parquet(*files[first:end]).schema
+        except (PySparkException, Py4JJavaError) as problem:
+            if "CANNOT_MERGE" not in str(problem) or end - first < 2:
+                raise
+        middle = (first + end) // 2
+        left = merged(first, middle)
+        right = merged(middle, end) if left is not None else None
+        return wider_schema(left, right) if right is not None else None
+
+    return merged(0, len(files))
+
+
 def _register(spark: SparkSession, database: str, dataset: Dataset) -> str:
     full = f"{_name(database)}.{_name(dataset.table)}"
     reader = spark.read.format(dataset.source)
@@ -199,7 +257,10 @@ def _register(spark: SparkSession, database: str, dataset: Dataset) -> str:
     except (PySparkException, Py4JJavaError) as problem:  # a task found it, or the driver
         if "CANNOT_MERGE" not in str(problem):
             raise
-        return "conflict"
+        wide = _widened(spark, dataset) if dataset.source == "parquet" else None
+        if wide is None:
+            return "conflict"
+        opened = spark.read.schema(wide).parquet(dataset.path)
     found = opened.schema
     outcome = "created"
     if spark.catalog.tableExists(f"{database}.{dataset.table}"):

@@ -787,6 +787,51 @@ def csv_records_in_splits(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv_records(spark, path, documents.schema)
 
 
+@query("""SELECT o_orderkey, o_orderdate, o_totalprice,
+  CASE WHEN year(o_orderdate) % 3 = 2 THEN o_orderstatus END AS o_orderstatus FROM orders""")
+def folders_as_one(spark: SparkSession, folder: str) -> DataFrame:
+    """Folders of part files that were written apart are one table; one of them has a column more."""
+    root = fresh_path(spark, "orders-by-folder")
+    orders = table(spark, folder, "orders")
+    columns = ["o_orderkey", "o_orderdate", "o_totalprice"]
+    for i in (2, 1, 0):
+        part = orders.where(F.year("o_orderdate") % 3 == i)
+        part.select(*columns, *(["o_orderstatus"] if i == 2 else [])).write.parquet(f"{root}/year{i}")
+    return read_parquet(spark, *[f"{root}/year{i}" for i in (2, 1, 0)])
+
+
+@query("""SELECT 'parquet' AS format, (SELECT count(*) FROM orders) AS rows_written, o_orderstatus,
+  count(*) AS row_count, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM orders GROUP BY o_orderstatus""")
+def store_without_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """A store that is named no format takes Parquet where Delta is not installed, and says so."""
+    store = TableStore(spark, fresh_path(spark, "fallback-audit"))
+    path = fresh_path(spark, "fallback-orders")
+    written = store.write(table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice")),
+        path, partition_by="o_orderstatus")
+    return store.read(path).groupBy("o_orderstatus").agg(
+        F.count("*").alias("row_count"), F.sum("o_totalprice").cast("double").alias("total")).select(
+            F.lit(written.format).alias("format"), F.lit(written.rows).cast("bigint").alias("rows_written"),
+            "o_orderstatus", "row_count", "total")
+
+
+@query("""SELECT p_partkey + CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 5000000000 END AS p_partkey,
+  CAST(p_size AS DOUBLE) AS p_size, CASE WHEN p_partkey % 2 <> 0 THEN p_brand END AS p_brand FROM part""")
+def catalog_crawl_widened(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose numbers grew from int to bigint and double are one table in the wider types."""
+    database, root = _sample_database(spark), fresh_path(spark, "grown-lake")
+    parts = table(spark, folder, "part")
+    even, odd = parts.where("p_partkey % 2 = 0"), parts.where("p_partkey % 2 <> 0")
+    even.selectExpr("CAST(p_partkey AS INT) AS p_partkey", "CAST(p_size AS INT) AS p_size").write.parquet(
+        f"{root}/grown")
+    odd.selectExpr("CAST(p_partkey AS BIGINT) + 5000000000 AS p_partkey", "CAST(p_size AS DOUBLE) AS p_size",
+                   "p_brand").write.mode("append").parquet(f"{root}/grown")
+    spark.sql(f"DROP TABLE IF EXISTS {database}.grown")
+    catalog.crawl(spark, database, root)
+    return spark.table(f"{database}.grown")
+
+
 @query("""SELECT p_partkey, p_size, p_retailprice, p_brand FROM part""")
 def csv_inferred_types(spark: SparkSession, folder: str) -> DataFrame:
     """Types as guessed from the text: whole numbers, fractions and words."""

@@ -21,8 +21,12 @@ ZONE_SCHEMA = T.StructType([
 ])
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    """One file, a folder of part files, or several of either read as one table."""
-    return spark.read.parquet(*paths)
+    """One file, a folder of part files, or several of either read as one table.
+
+    Of several, the columns are those of all; where a file lacks one, it is NULL. That takes the footers of
+    all files, read by tasks.
+    """
+    return spark.read.option("mergeSchema", len(paths) > 1).parquet(*paths)
 
 
 # How this library writes and reads CSV: nothing is trimmed, quotes are doubled, an empty text is a

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewarden.operators import catalog
 
@@ -147,3 +148,44 @@ def test_a_second_crawl_opens_changed_datasets_only(spark, tmp_path, monkeypatch
     assert crawl()[1] == []
     spark.sql("DROP TABLE increments.one")
     assert crawl() == ({"one": "created", **{n: "unchanged" for n in ("two", "three", "four")}}, ["one"])
+
+
+def test_types_that_grew_are_widened(spark, tmp_path):
+    root = str(tmp_path / "grew")
+
+    def add(name, *columns):
+        spark.range(3).selectExpr(*columns).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+
+    for _ in range(3):  # three files of each kind, so that there are parts to merge
+        add("numbers", "CAST(id AS INT) AS n", "CAST(id AS FLOAT) AS x", "CAST(id AS DECIMAL(5,2)) AS d")
+    for _ in range(3):
+        add("numbers", "id + 3000000000 AS n", "id + 0.1D AS x", "CAST(id AS DECIMAL(9,4)) AS d", "'y' AS late")
+    add("numbers", "CAST(id AS SMALLINT) AS n")
+    add("texts", "id AS n")
+    add("texts", "CAST(id AS STRING) AS n")
+    for day in (1, 2):
+        kind = "INT" if day == 1 else "BIGINT"
+        spark.range(2).selectExpr(f"CAST(id AS {kind}) AS n", f"{day} AS day").write.mode(
+            "append").partitionBy("day").parquet(f"{root}/parted")
+    catalog.create_database(spark, "widened", location=str(tmp_path / "w.db"))
+    outcomes = {r.table: r.outcome for r in catalog.crawl(spark, "widened", root)}
+    assert outcomes == {"numbers": "created", "texts": "conflict", "parted": "created"}
+    found = spark.table("widened.numbers")
+    assert dict(found.dtypes) == {"n": "bigint", "x": "double", "d": "decimal(9,4)", "late": "string"}
+    sums = found.selectExpr("count(*)", "sum(n)", "round(sum(x), 6)", "sum(d)", "count(late)").first()
+    assert [float(v) for v in sums] == [21, 3 * 3 + 3 * 9_000_000_003 + 3, 3 * 3 + 3 * 3.3, 18, 9]
+    assert sorted(map(tuple, spark.table("widened.parted").collect())) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+    assert {r.outcome for r in catalog.crawl(spark, "widened", root)} == {"unchanged", "conflict"}
+
+
+def test_wider_types(spark):
+    def wider(a, b):
+        found = catalog.wider_type(*(T.StructType.fromDDL(f"c {t}")["c"].dataType for t in (a, b)))
+        return found.simpleString() if found else None
+
+    cases = {("int", "float"): "double", ("tinyint", "smallint"): "smallint", ("bigint", "double"): None,
+             ("bigint", "int"): "bigint", ("date", "int"): None, ("string", "string"): "string",
+             ("decimal(38,0)", "decimal(5,2)"): None, ("decimal(4,1)", "decimal(5,3)"): "decimal(6,3)",
+             ("struct<a:int>", "struct<a:bigint,b:string>"): "struct<a:bigint,b:string>",
+             ("struct<a:int>", "struct<a:string>"): None, ("array<int>", "array<bigint>"): None}
+    assert {pair: wider(*pair) for pair in cases} == cases

@@ -18,7 +18,8 @@ WRITERS = {"dq_report_of_outputs", "history_audit", "partitioned_table_round_tri
            "catalog_register", "catalog_crawl", "match_pairs_scored", "steward_queue_pairs",
            "reject_pairs", "mdm_audit_pairs", "pair_matching_outputs", "run_summary", "merge_clusters",
            "match_without_block", "catalog_crawl_changes", "reject_evidence", "mean_confidence",
-           "replaced_years", "csv_quarantine", "csv_records_in_splits"}
+           "replaced_years", "csv_quarantine", "csv_records_in_splits",
+           "folders_as_one", "store_without_delta", "catalog_crawl_widened"}
 
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test data here")
 
