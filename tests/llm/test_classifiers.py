@@ -165,3 +165,33 @@ def test_samples_are_bounded_in_rows_and_bytes(spark, make_docs, work):
     assert all(0 < sum(n) - max(n) < 1000 for n in by_label.values()) and sum(by_label[1]) == 1000
     few, _ = labelled_sample(docs, labels, "quality", every, 7, work + "-few")
     assert {r["n"] for r in few.groupBy("label").count().toDF("label", "n").collect()} == {7}
+
+
+def _naive_toxicity(text: bytes, values, offset: float) -> float:
+    """The most toxic six words of a text, n-gram by n-gram."""
+    words = text.lower().split()
+    if not words:
+        return 0.0
+    factors = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1]
+    grams = []
+    for word in words:
+        spaced, own = b" " + word + b" ", []
+        for n in (3, 4, 5):
+            for p in range(len(spaced) - n + 1):
+                h = sum(spaced[p + k] * factors[k] for k in range(n)) % 2**32
+                own.append(float(values[(h ^ (h >> 15)) * (0x2C1B3C6D + 2 * n) % 2**32 >> 16]))
+        grams.append(own)
+    windows = [sum(grams[i:i + 6], []) for i in range(max(1, len(words) - 5))]
+    return float(1 / (1 + np.exp(-(max(sum(w) / len(w) for w in windows) + offset))))
+
+
+def test_toxicity_scores_equal_naive_windows():
+    random = np.random.default_rng(6)
+    model = random.normal(0, 2, toxicity.BUCKETS + 1).astype(np.float32)
+    letters = "a b c Z é 日 . ! x1 LONGER word".split(" ")
+    texts = ["", " \t ", "a", "Ab c", "one two three four five six", "one two three four five six seven"]
+    texts += [" ".join("".join(random.choice(letters, random.integers(1, 5)))
+                       for _ in range(random.integers(1, 40))) for _ in range(30)]
+    texts = [t.encode() for t in texts]
+    naive = [_naive_toxicity(t, model[:-1], float(model[-1])) for t in texts]
+    assert np.allclose(toxicity.scores(texts, model), naive, atol=1e-9)
