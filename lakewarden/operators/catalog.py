@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
@@ -75,6 +76,7 @@ class Registered:
 
 
 KNOWN_SOURCES = ("parquet", "orc", "json", "csv")
+_FORMAT_ENDING = re.compile(r"(?<=.)\.(" + "|".join((*KNOWN_SOURCES, "delta")) + r")\Z", re.IGNORECASE)
 
 
 def _files_under(spark: SparkSession, *paths: str) -> DataFrame:
@@ -123,10 +125,27 @@ def _datasets(spark: SparkSession, root: str, files: DataFrame) -> list[Dataset]
     logs = _log_folders(spark, root)
     found = {}
     for r in sorted(counted, key=lambda r: (r["name"], -r["files"], r["source"])):
-        table = r["name"] if r["folder"] else r["name"].split(".")[0]
-        source = "delta" if r["name"] in logs else r["source"]
-        found.setdefault(table, Dataset(table, f"{root}/{r['name']}", source))
-    return list(found.values())
+        found.setdefault(r["name"], r)
+    tables = _table_names({name: r["folder"] for name, r in found.items()})
+    return [Dataset(tables[name], f"{root}/{name}", "delta" if name in logs else r["source"])
+            for name, r in found.items()]
+
+
+def _table_names(folders: Mapping[str, bool]) -> dict[str, str]:
+    """Table names, of letters, digits and underscores as Spark wants them, by name of file or folder.
+
+    A file loses all from its first point on, a folder only a data format's ending (`orders.parquet`).
+    Where that name is taken, the ending is kept, and after that a number is added.
+    """
+    found: dict[str, str] = {}
+    taken: set[str] = set()
+    for name, folder in folders.items():
+        short = _FORMAT_ENDING.sub("", name) if folder else name.split(".")[0]
+        whole, short = (re.sub(r"\W", "_", n, flags=re.ASCII) for n in (name, short or name))
+        numbered = (f"{whole}_{i}" for i in itertools.count(2))
+        found[name] = next(n for n in itertools.chain((short, whole), numbered) if n.lower() not in taken)
+        taken.add(found[name].lower())  # Spark does not tell capitals in names
+    return found
 
 
 class FileList:
@@ -263,7 +282,7 @@ def _register(spark: SparkSession, database: str, dataset: Dataset) -> str:
         opened = spark.read.schema(wide).parquet(dataset.path)
     found = opened.schema
     outcome = "created"
-    if spark.catalog.tableExists(f"{database}.{dataset.table}"):
+    if spark.catalog.tableExists(full):
         before = {f.name: f.dataType for f in spark.table(full).schema}
         facts = _facts(spark, database, dataset.table)
         same = (before == {f.name: f.dataType for f in found}

@@ -65,6 +65,21 @@ def test_crawl(spark, database, tmp_path):
     assert details["plain"][0].endswith("/plain") and details["plain"][1] == "parquet"
 
 
+def test_folders_with_points_and_marks_in_their_names(spark, database, tmp_path):
+    root = tmp_path / "lake"
+    for rows, name in enumerate(("orders.parquet", "by day", "a-b.v2", "twice.csv", "twice.parquet"), 1):
+        spark.range(rows).coalesce(1).write.option("header", True).format(
+            "csv" if name.endswith("csv") else "parquet").save(str(root / name))
+    for outcome in ("created", "unchanged"):
+        done = catalog.crawl(spark, database, str(root))
+        assert {r.outcome for r in done} == {outcome}
+        assert {r.table: r.path.rsplit("/", 1)[-1] for r in done} == {
+            "orders": "orders.parquet", "by_day": "by day", "a_b_v2": "a-b.v2", "twice": "twice.csv",
+            "twice_parquet": "twice.parquet"}
+    rows = {r.table: spark.table(f"{database}.{r.table}").count() for r in done}
+    assert rows == {"orders": 1, "by_day": 2, "a_b_v2": 3, "twice": 4, "twice_parquet": 5}
+
+
 def test_a_table_follows_its_place(spark, database, tmp_path):
     for rows in (3, 8):
         path = str(tmp_path / f"at{rows}")
