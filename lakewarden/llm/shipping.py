@@ -3,13 +3,10 @@ from it, and bounds the batches in which rows go to them."""
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import SparkSession
 
-_shipped: set[str] = set()
+from lakewarden.session import ship_package
+
 # Rows in an Arrow batch. Rows here carry texts of some kilobytes, so the usual 10,000 would take
 # tens of megabytes on both sides of every running task.
 BATCH_ROWS = 2000
@@ -18,13 +15,4 @@ BATCH_ROWS = 2000
 def ship(spark: SparkSession) -> None:
     """Once per application: the package as a zip file, served to executors by Spark itself."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
+    ship_package(spark)

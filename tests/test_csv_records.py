@@ -64,3 +64,25 @@ def test_odd_files(spark, tmp_path, rows, small_splits):
     (tmp_path / "b.csv").write_text('d,t,n\n1,"open,2\n' * 3)
     with pytest.raises(ValueError, match="inside quotes.*b.csv"):
         read_csv_records(spark, str(tmp_path), SCHEMA)
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+@pytest.mark.parametrize("split_bytes", ["300", "100000"])
+def test_lines_stay_in_the_task_that_reads_them(spark, tmp_path, rows, plan_text, batch, split_bytes):
+    df = spark.createDataFrame(_odd_rows(150), SCHEMA)
+    path = str(tmp_path / "t")
+    write_csv(df.repartition(5), path)
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": batch,
+                "spark.sql.files.maxPartitionBytes": split_bytes, "spark.sql.files.openCostInBytes": "1"}
+    before = {n: spark.conf.get(n) for n in settings}
+    try:
+        for n, value in settings.items():
+            spark.conf.set(n, value)
+        found = read_csv_records(spark, path, SCHEMA)
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    plan = plan_text(found)
+    assert "Window" not in plan and "Scan text" not in plan  # records were put together while lines were read
+    assert rows(found) == rows(df)
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
