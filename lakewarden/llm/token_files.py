@@ -24,7 +24,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakewarden.llm.byte_bpe import byte_letters
 from lakewarden.llm.text import rows_of, texts_of
 
 BLOCK_IDS = 65_536
@@ -39,7 +40,11 @@ SHARD_ROWS = 20_000  # documents in a shard, and so in a file
 CACHED_WORDS = 1_000_000  # of about 200 bytes
 _WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}  # widths at which the format is an array of numbers
 # A run of these marks between a letter or digit and a blank, letter or digit is always split off.
-_MARKS = re.compile(rb"(?<=[A-Za-z0-9])([.,!$%*&#|;:?]+)(?=[ \t-\rA-Za-z0-9]|\Z)")
+# A mark comes first in the pattern, so that the search steps from mark to mark.
+_MARKS = re.compile(rb"[.,!$%*&#|;:?](?<=[A-Za-z0-9].)[.,!$%*&#|;:?]*(?=[ \t-\rA-Za-z0-9]|\Z)")
+# Words of small letters up to U+00FF alone, as UTF-8.
+_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_PROBES = "a the word straße naïveté über ñandú øre þing ÿ aaaaaaaaaaaaaaaaaaaaaaaa".split()
 
 BLOCKS = ("shard int, block int, first bigint, n_ids bigint, bits int, doc_ids array<bigint>, "
           "doc_starts array<bigint>, payload binary")
@@ -96,6 +101,18 @@ def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
     return out.reshape(-1)[start - first * 8:][:n]
 
 
+class _Known(dict):
+    """Ids by word; a word that is not there is encoded and kept."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self._encode(word)
+        return ids
+
+
 class WordEncoder:
     """Encodes with a tokenizer of the tokenizers library, each distinct word once.
 
@@ -106,6 +123,9 @@ class WordEncoder:
     letter can be composed with marks that its capital cannot, and the tokenizer composes first: in
     a text with characters from U+0300 on only words of ASCII alone are lower-cased. Texts that may
     hold special tokens are only cut at blanks.
+
+    Words of small letters are what the tokenizer's first steps leave of them, up to how its vocabulary
+    writes bytes, so they go to its model at once, if a few of them get the same ids that way.
     """
 
     def __init__(self, path: str):
@@ -114,7 +134,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.model = self.tokenizer.model
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
+        self.direct = all(self._by_model(w.encode()) == self._whole(w.encode()) for w in _PROBES)
+        self.known = _Known(self._ids)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -126,22 +150,25 @@ class WordEncoder:
         if b"<|" in text:
             words = text.split()
         elif text.isascii() or not text.translate(None, _PLAIN):
-            words = _MARKS.sub(rb" \1", text.lower()).split()
+            words = _MARKS.sub(rb" \g<0>", text.lower()).split()
         else:
-            words = [w.lower() if w.isascii() else w for w in _MARKS.sub(rb" \1", text).split()]
-        missing = list(set(words).difference(self.known))
-        if missing:
-            if len(self.known) > CACHED_WORDS:
-                self.known = {}
-                missing = list(set(words))
-            coded = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            code = "H" if self.kind.itemsize == 2 else "I"
-            self.known.update((w, array(code, c.ids).tobytes())
-                              for w, c in zip(missing, coded, strict=True))
+            words = [w.lower() if w.isascii() else w for w in _MARKS.sub(rb" \g<0>", text).split()]
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
         ids = b"".join(map(self.known.__getitem__, words))
         return np.append(np.frombuffer(ids, dtype=self.kind), self.kind.type(end_id))
 
+    def _ids(self, word: bytes) -> bytes:
+        return self._by_model(word) if self.direct and _SMALL.fullmatch(word) else self._whole(word)
+
+    def _by_model(self, word: bytes) -> bytes:
+        letters = word.decode("latin-1").translate(self.letters)  # a letter for each byte
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _whole(self, word: bytes) -> bytes:
+        coded = self.tokenizer.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)
+        return array(self.code, coded[0].ids).tobytes()
+
 
 def _as_block(shard: int, block: int, first: int, bits: int, doc_ids: list,
               parts: list[np.ndarray]) -> pa.RecordBatch:

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lakewarden.llm.token_files import TokenFiles, bits_for, pack, unpack
+from lakewarden.llm.token_files import TokenFiles, WordEncoder, bits_for, pack, unpack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,3 +56,27 @@ def test_capitals_with_marks_that_only_small_letters_compose_with(spark, make_do
     tokenizer = Tokenizer.from_file(PATH)
     assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
                    for i, t in enumerate(texts)}
+
+
+def test_words_of_small_letters_go_to_the_model_at_once(monkeypatch):
+    encoder, whole = WordEncoder(PATH), Tokenizer.from_file(PATH)
+    chosen = np.random.default_rng(3)
+    letters = list("aeinrst" * 3 + "abcdefghijklmnopqrstuvwxyzßàéñöø÷ÿ")
+    words = ["".join(chosen.choice(letters, chosen.integers(1, 30))) for _ in range(3000)]
+    plain = [w for w in words if "÷" not in w]
+    asked = []
+    monkeypatch.setattr(encoder, "_whole", lambda w, get=encoder._whole: asked.append(w) or get(w))
+    encoder.encode(" ".join(plain).encode(), 2)
+    assert asked == []
+    for text in (" ".join(plain), " ".join(words), "Ab, Ab.cd Éa, ñ...! x;y ?", "a " * 3 + "1a a1 .a a."):
+        assert encoder.encode(text.encode(), 2).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_the_cache_is_emptied_between_texts(monkeypatch):
+    from lakewarden.llm import token_files
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 5)
+    encoder, whole = WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for i in range(20):
+        text = " ".join(f"word{j} été" for j in range(i))
+        assert encoder.encode(text.encode(), 2).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
+        assert len(encoder.known) <= 5 + 2 * 20
