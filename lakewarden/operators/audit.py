@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,9 +69,8 @@ def orphans(fact: DataFrame, master: DataFrame, key: str = fv.ZONE_KEY,
         marked, known = typed, [f"__known{i}" for i in range(len(labels))]
         for name, out in zip(typed_names.values(), known, strict=True):
             marked = with_membership(marked, sets, name, out)
-        earned = F.array_compact(F.array(*[
-            F.when(~F.col(out), F.lit(label)) for out, label in zip(known, labels.values(), strict=True)]))
-        found = marked.withColumn("orphan_type", F.explode(earned)).drop(*known)
+        found = _repeated(marked, {label: ~F.col(out) for out, label in zip(
+            known, labels.values(), strict=True)}).drop(*known)
     elif len(labels) == 1:
         (fk, label), = labels.items()
         side = keys.select(F.col(key).alias("__known"))
@@ -84,15 +83,20 @@ def orphans(fact: DataFrame, master: DataFrame, key: str = fv.ZONE_KEY,
             side = keys.select(F.col(key).alias(f"__known{i}"))
             marked = lookup_join(marked, side, typed_names[fk], f"__known{i}", "left",
                                  size=size, limit=limit, skew=skew)
-        earned = F.array_compact(F.array(*[
-            F.when(F.col(f"__known{i}").isNull(), F.lit(label))
-            for i, label in enumerate(labels.values())
-        ]))
-        found = marked.withColumn("orphan_type", F.explode(earned)).drop(
-            *[f"__known{i}" for i in range(len(labels))])
+        known = [f"__known{i}" for i in range(len(labels))]
+        found = _repeated(marked, {label: F.col(k).isNull() for k, label in zip(
+            known, labels.values(), strict=True)}).drop(*known)
     return found.drop(*typed_names.values())
 
 
+def _repeated(df: DataFrame, earned: Mapping[str, Column]) -> DataFrame:
+    """Each row once per label it earned. Rows without a label go before any is repeated; an array
+    of plain conditions is exploded in compiled code, unlike one that a function on arrays made."""
+    lost = df.where(reduce(Column.__or__, earned.values()))
+    labels = F.array(*[F.when(test, F.lit(label)) for label, test in earned.items()])
+    return lost.withColumn("orphan_type", F.explode(labels)).where("orphan_type IS NOT NULL")
+
+
 def stamp_orphans(found: DataFrame, job_name: str, moment: dt.datetime | None = None) -> DataFrame:
     return stamp(found, {"job_name": job_name, "detected_at_utc": run_time(moment)})
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.functions.columns import require_columns
-from lakewarden.session import ship_package
+from lakewarden.session import ship_package, with_settings
 from lakewarden.sources.readers import CSV_OPTIONS
 from lakewarden.sources.store import staged
 
@@ -129,10 +129,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
         "spark.sql.files.minPartitionNum": str(spark.sparkContext.defaultParallelism),
         "spark.sql.execution.arrow.maxBytesPerBatch": str(_BATCH_BYTES),
     }
-    given = {name: spark.conf.get(name, None) for name in settings}
-    try:
-        for name, value in settings.items():
-            spark.conf.set(name, value)
+    with with_settings(spark, settings):
         lines = _lines(spark, path)
         splits = staged(_splits(lines), "csv-splits")  # one row per split
         broken = splits.where("is_last AND ends_inside = 1").select("file").limit(_NAMED).collect()
@@ -142,12 +139,6 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
         placed = lines.join(F.broadcast(splits.select(*_SPLIT, "id", "begins_inside")), _SPLIT, "left")
         pieces = staged(placed.select("id", "begins_inside", F.col("value").cast("binary").alias("line"))
                         .mapInArrow(_pieces, _PIECES), "csv-pieces")
-    finally:
-        for name, value in given.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
 
     begun = pieces.groupBy("id").agg(F.max("local").alias("begun"))
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)

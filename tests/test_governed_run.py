@@ -1,8 +1,12 @@
 import datetime as dt
 import json
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
+from lakewarden.fixed_values import END_ORPHAN, START_ORPHAN
+from lakewarden.operators.audit import orphans
 from lakewarden.operators.quality import AutoRules, QualityBelowThreshold
 from lakewarden.plans.governed_run import Artifacts, GovernedRun, Places
 
@@ -132,3 +136,29 @@ def test_number_of_jobs(spark, setup):
             spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         counted[stage] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(stage))
         assert counted[stage] <= most, counted
+
+
+def test_many_small_tasks_write_without_a_sort(spark, setup, monkeypatch):
+    from lakewarden.plans.governed_run import run_settings
+    names, seen = list(run_settings(spark)), []
+    before = [spark.conf.get(n, None) for n in names]
+    run = job(spark, setup)
+    write = run.store.write
+    monkeypatch.setattr(run.store, "write", lambda df, *args, **kw: seen.append(
+        {n: spark.conf.get(n, None) for n in names}) or write(df, *args, **kw))
+    run.run()
+    assert seen and all(s == run_settings(spark) for s in seen)
+    assert [spark.conf.get(n, None) for n in names] == before
+    files = list(Path(run.places.passed).rglob("*.parquet"))
+    kinds = {pq.ParquetFile(f).schema.column(i).physical_type for f in files
+             for i, name in enumerate(pq.ParquetFile(f).schema.names) if name.startswith("tpep_")}
+    assert kinds == {"INT64"}
+
+
+def test_rows_are_repeated_for_orphans_in_compiled_code(spark, rows, plan_text):
+    fact = spark.createDataFrame([(1, 2), (1, 9), (8, 9), (None, 1)], "PULocationID int, DOLocationID int")
+    found = orphans(fact, spark.createDataFrame([(1,), (2,)], "LocationID int"), key_copies=False)
+    assert rows(found) == sorted([(1, 9, END_ORPHAN), (8, 9, START_ORPHAN), (8, 9, END_ORPHAN),
+                                  (None, 1, START_ORPHAN)], key=repr)
+    plan = plan_text(found)
+    assert "explode(array(" in plan and "filter(array(" not in plan
